@@ -1,6 +1,6 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Learning. Tokens are maximal letter runs in lower case; a token's features are itself and its first 4, 5 and 6 letters,
+Learning. Tokens are maximal letter runs in lower case; a token's features are itself and its first 5, 6 and 7 letters,
 so that inflected forms share evidence. Document frequencies of the features in toxic and in other documents give
 log-odds with an informative Dirichlet prior (Monroe et al., 2008: the prior of a feature is in proportion to its overall
 frequency) and their variance. Copies would count one document's rare words many times, so of documents that share
@@ -36,12 +36,13 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 TRAIN_ROWS = 8000
 LEXICON = 20000
-PREFIXES = (4, 5, 6)
-LEAST_DOCS = 4
-LEAST_Z = 3.0
+PREFIXES = (5, 6, 7)
+LEAST_DOCS = 5
+LEAST_Z = 3.5
 PRIOR = 20.0
-DRIFT = 0.25
-SIGNIFICANT = 0.05
+DRIFT = 0.1
+LEAST_SCORE = 1.0
+SIGNIFICANT = 0.3
 CACHE = 400_000
 
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -148,8 +149,7 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
     odds = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
     other = F.col("n") - F.col("t")
     scored = counts.withColumn("d", odds(F.col("t"), F.lit(toxic)) - odds(other, F.lit(clean))).withColumn("e", F.sqrt(1 / (F.col("t") + prior) + 1 / (other + prior)))
-    best = scored.where(F.col("d") >= LEAST_Z * F.col("e")).withColumn("s", F.col("d") - 1.96 * F.col("e")).where(F.col("s") > 0.5)
-    # Common to most toxic text means a function word, not an insult, unless clean text lacks it.
+    best = scored.where(F.col("d") >= LEAST_Z * F.col("e")).withColumn("s", F.col("d") - 1.96 * F.col("e")).where(F.col("s") > LEAST_SCORE)
     return {r["f"]: r["s"] for r in best.orderBy(F.desc("s"), "f").limit(LEXICON).select("f", "s").collect()}
 
 
