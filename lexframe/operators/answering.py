@@ -17,6 +17,12 @@ CONSOLIDATED, NOT_APPLICABLE, REPEALED = "texto consolidado a ", "AÚN NO APLICA
 TODAY, QUESTION = "Fecha de hoy: ", "Pregunta: "
 CRUMB = " › "
 
+#: What a model is told before the sources; a deployment may say it otherwise.
+INSTRUCTIONS = (
+    "Contesta en español, con claridad y solo con lo que dicen los fragmentos dados. Cita la norma, el artículo o la disposición y, si consta, el apartado. "
+    f'Si los fragmentos no contienen la respuesta, contesta "{ABSTENTION}". Advierte de lo que aún no es aplicable y de lo derogado. No des asesoramiento jurídico.'
+)
+
 EVENT = "query_id long, seq int, type string, text string, source_index int, code string, stop_reason string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long"
 Generate = Callable[[str, list[dict]], Iterator[dict]]
 

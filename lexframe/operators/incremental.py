@@ -36,7 +36,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], hash_col: str
 
 def due(specs: DataFrame, state: DataFrame, current: DataFrame, day, force: bool = False) -> DataFrame:
     """(norm_id, reason): why a norm must be processed, null if it need not. ``state`` has fingerprint and next_change."""
-    joined = specs.select("norm_id").join(state.select("norm_id", F.col("fingerprint").alias("__old"), "next_change"), "norm_id", "left").join(current, "norm_id", "left")
+    joined = specs.select("norm_id").join(state.select("norm_id", F.col("fingerprint").alias("__old"), "next_change"), "norm_id", "left").join(current, "norm_id", "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
     reason = F.when(F.col("__old").isNull(), "not indexed")
     if force:
         reason = reason.otherwise("forced")

@@ -65,7 +65,7 @@ class Engine:
 
         dates = chunks.groupBy("norm_id").agg(F.max("consolidated_as_of").alias("consolidated_as_of"))
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        renewed = todo.join(current, "norm_id").join(structure.next_scheduled_change(own, specs, day), "norm_id").join(dates, "norm_id", "left").select("norm_id", "fingerprint", "next_change", "consolidated_as_of", now.alias("synced_at"))
+        renewed = todo.join(current, "norm_id", "left").join(structure.next_scheduled_change(own, specs, day), "norm_id").join(dates, "norm_id", "left").select("norm_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), "next_change", "consolidated_as_of", now.alias("synced_at"))
         report = incremental.sync_report(diff, reasons).persist()
         report.count()
         self.store.commit(

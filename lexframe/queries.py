@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import numerals
 from .functions.text import ACCENTED, PLAIN, STOPWORDS, clean, text_hash, tokenize
 from .operators import answering, chunking, dense, evaluation, incremental, lexical, references, retrieval, structure
-from .sources import catalog, schema
+from .sources import catalog, schema, xml
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -552,3 +552,81 @@ def source_indices(spark, sf_dir):
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn")))
     found = answering.sources(ranked.withColumns({"score": F.lit(0.5), "application_date": F.lit(None).cast("date"), "sources": F.array(F.lit("x"))}), DAY)
     return found.select(F.col("query_id").alias("conv_id"), F.col("turn").cast("int").alias("turn"), F.col("index").cast("int").alias("idx"))
+
+
+# --- ingestion of ordered XML, on a literal
+
+_XML = """<response><status><code>200</code></status><data><texto>
+<bloque id="t1" tipo="encabezado" titulo="TÍTULO I"><version fecha_vigencia="20200101"><p class="titulo_num">TÍTULO I</p><p class="titulo_tit">Del objeto</p></version></bloque>
+<bloque id="a1" tipo="precepto" titulo="Artículo primero"><version fecha_vigencia="20200101"><p class="articulo">Artículo primero. Ámbito.</p><p>Viejo.</p></version>
+<version fecha_vigencia="20230601"><p class="articulo">Artículo primero. Ámbito.</p><p>Nuevo.</p><p>Más.</p></version><version fecha_vigencia="20990101"><p class="articulo">Artículo primero.</p><p>Futuro.</p></version></bloque>
+<bloque id="a2" tipo="precepto" titulo="Artículo 2"><version fecha_vigencia="20200101"><p class="articulo">Artículo 2. (Derogado).</p></version></bloque>
+<bloque id="a3" tipo="precepto" titulo="Artículo 3" fecha_caducidad="20210101"><version fecha_vigencia="20200101"><p>Caducado.</p></version></bloque>
+<bloque id="da" tipo="precepto" titulo="Disposición adicional segunda"><version fecha_vigencia="20200101"><p class="articulo">Disposición adicional segunda. Plazo.</p><p>Un mes.</p></version></bloque>
+<bloque id="an" tipo="precepto" titulo="ANEXO"><version fecha_vigencia="20200101"><p class="anexo_num">ANEXO</p><p class="anexo_tit">Tarifas</p><table><tr><th>a</th></tr><tr><td>x</td></tr></table></version></bloque>
+</texto></data></response>"""
+
+_INGESTED = [
+    ("a1", "articulo", "1", "Ámbito", "TÍTULO I. Del objeto", "Nuevo.\nMás.", 0), ("a2", "articulo", "2", "(Derogado)", "TÍTULO I. Del objeto", "(Sin contenido)", 1),
+    ("da", "disposicion_adicional", "2", "Plazo", "", "Un mes.", 0), ("an", "anexo", None, "Tarifas", "", "| a |\n| --- |\n| x |", 0),
+]
+
+
+@_registered(f"SELECT block_id, kind, number, heading, levels, text, repealed = 1 AS repealed FROM (VALUES {_sql_values(_INGESTED)}) t(block_id, kind, number, heading, levels, text, repealed)")
+def xml_to_chunks(spark, sf_dir):
+    """XML to blocks, wording in force, provisions and chunks."""
+    norms = catalog.norms(spark, [{"norm_id": "N", "short_name": "LN", "title": "Ley N"}])
+    blocks = xml.blocks(_values(spark, [("N", _XML)], "norm_id string, payload string"))
+    provisions = structure.build_provisions(blocks, norms, _values(spark, [], schema.BLOCK_INDEX), DAY)
+    chunks = chunking.chunk_provisions(provisions, norms)
+    return chunks.select("block_id", "kind", "number", "heading", F.array_join("hierarchy", "/").alias("levels"), "text", "repealed")
+
+
+_GOLD = [("LCS art. 20", "L50", "articulo", "20", None), ("RDL 3/2020 DA 13", "R3", "disposicion_adicional", "13", None), ("LCS anexo an2", "L50", "anexo", None, "an2")]
+
+
+@_registered(f"SELECT ref, norm_id, kind, number, block_id FROM (VALUES {_sql_values(_GOLD)}) t(ref, norm_id, kind, number, block_id)")
+def gold_parse(spark, sf_dir):
+    norms = catalog.norms(spark, [{"norm_id": n, "short_name": s, "title": s, "aliases": a} for n, s, a in _CITED_NORMS])
+    return references.parse_gold(_values(spark, [(g[0],) for g in _GOLD], "ref string"), norms)
+
+
+@_registered("SELECT config, mode, refs = 1 AS refs, rerank = 1 AS rerank FROM (VALUES ('dense', 'dense', 0, 0), ('hybrid+refs', 'hybrid', 1, 0), ('sparse+rerank', 'sparse', 0, 1), ('hybrid+refs+rerank', 'hybrid', 1, 1)) t(config, mode, refs, rerank)")
+def config_grid(spark, sf_dir):
+    rows = _values(spark, [(c,) for c in ("dense", "hybrid+refs", "sparse+rerank", "hybrid+refs+rerank")], "config string")
+    return rows.select("config", evaluation.parse_config(F.col("config")).alias("c")).select("config", "c.*")
+
+
+@_registered("SELECT doc_id, CAST(1 + greatest(1, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))) AS INTEGER) AS blocks, source || ' › ' || lang || ' › ' || doc_id AS crumb FROM documents")
+def context_blocks(spark, sf_dir):
+    doc = F.col("doc_id").cast("string")
+    block = answering.context_block(F.col("source"), F.array("lang"), doc, F.col("text"), F.lit(""), F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", block.alias("b"))
+    return rows.select("doc_id", F.size("b.content").alias("blocks"), F.col("b.content")[0]["text"].alias("crumb"))
+
+
+@_registered("SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
+def cache_fill(spark, sf_dir):
+    """What embedding all documents adds to a cache that holds the English ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    embedder = dense.HashEmbedder()
+    vector = F.array(*[F.lit(0.0).cast("float")] * embedder.dimension)
+    cache = docs.where("lang = 'en'").select(text_hash(F.col("text")).alias("text_hash"), F.lit(embedder.name).alias("model"), vector.alias("vector")).distinct()
+    added = incremental.embed_with_cache(docs, cache, embedder.name, lambda wanted: dense.embed(wanted, embedder, "text_hash", "text"), "text")[1]
+    return added.select("text_hash")
+
+
+@_registered("SELECT doc_id, CASE WHEN source = 'src3' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
+def state_upsert(spark, sf_dir):
+    table = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    changed = _table(spark, sf_dir, "documents").where("source = 'src3'").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"))
+    return incremental.upsert(table, changed, ["doc_id"])
+
+
+@_registered("""SELECT source AS norm_id, CASE WHEN source = 'src1' THEN 'skipped' ELSE 'updated' END AS status, CASE WHEN source = 'src1' THEN NULL ELSE 'forced' END AS reason,
+count(*) FILTER (WHERE lang <> 'es' AND (lang = 'de' OR source = 'src3')) AS changed, count(*) FILTER (WHERE lang = 'es') AS removed, count(*) FILTER (WHERE lang NOT IN ('es', 'de') AND source <> 'src3') AS unchanged FROM documents GROUP BY source""")
+def sync_report(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    diff = snapshot_diff(spark, sf_dir).join(docs.select("doc_id", F.col("source").alias("norm_id")), "doc_id")
+    reasons = docs.select(F.col("source").alias("norm_id")).distinct().withColumn("reason", F.when(F.col("norm_id") != "src1", "forced"))
+    return incremental.sync_report(diff, reasons)

@@ -184,3 +184,20 @@ def test_streaming_ingest(spark, tmp_path):
         query = ingest.watch(spark, str(tmp_path / "raw"), str(tmp_path / "cp"), lambda b, i, d: seen.append((b.count(), i.count())))
         query.awaitTermination(120)
     assert seen == [(14, 1)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lexframe import __version__, cli
+
+    raw = tmp_path / "raw" / "N-1"
+    raw.mkdir(parents=True)
+    (raw / "texto.xml").write_text(XML, "utf-8")
+    (raw / "indice.json").write_text('{"status":{"code":"200"},"data":[]}', "utf-8")
+    (tmp_path / "catalog.json").write_text(json.dumps(NORMS[:1]), "utf-8")
+    (tmp_path / "q.json").write_text('{"id":"1","category":"literal","question":"artículo 1 de la Ley 7/1999","gold":["LPX art. 1"]}\n', "utf-8")
+    base = ["--store", str(tmp_path / "store"), "--catalog", str(tmp_path / "catalog.json"), "--landing", str(tmp_path / "raw")]
+    for command, shown in ((["version"], __version__), (["ingest"], "created"), (["search", "plazos"], "LPX"), (["norms"], "LPX"), (["ready"], "true"), (["eval", str(tmp_path / "q.json"), "--configs", "sparse+refs"], "| sparse+refs | overall | 1.000")):
+        cli.main([*base, *command])
+        assert shown in capsys.readouterr().out
