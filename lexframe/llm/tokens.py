@@ -22,7 +22,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 OFFSET = 10.0
 BYTE_PENALTY = 10.0
-NODES = 250_000
+NODES = 800_000
 LONGEST = 256
 
 
@@ -43,32 +43,51 @@ def load(path: str = VOCABULARY) -> Unigram:
     return Unigram(scores, max(map(len, pieces)), -math.log(len(pieces) + OFFSET) - BYTE_PENALTY)
 
 
-def extend(model: Unigram, token: str, end: int, best: list[float], count: list[int]) -> tuple[float, int]:
-    """Best score and its number of pieces for ``token[:end]``, given those of all shorter prefixes; ties take fewer pieces."""
-    width = len(token[end - 1].encode())
-    top, pieces = best[end - 1] + width * model.byte_score, count[end - 1] + width
-    get = model.scores.get
-    for start in range(max(0, end - model.longest), end):
-        score = get(token[start:end])
+def tails(model: Unigram) -> dict:
+    """The pieces as a trie read from their ends: letter -> [score of the piece that begins here or None, trie]."""
+    root: dict = {}
+    for piece, score in model.scores.items():
+        at, entry = root, None
+        for letter in reversed(piece):
+            entry = at.setdefault(letter, [None, {}])
+            at = entry[1]
+        if entry:
+            entry[0] = score
+    return root
+
+
+def extend(ends: dict, byte_score: float, token: str, end: int, best: list[float], count: list[int]) -> tuple[float, int]:
+    """Best score and its number of pieces for ``token[:end]``, given those of all shorter prefixes; ties take fewer pieces.
+    Pieces that end here are met by walking ``ends`` backwards, which stops where no piece goes on."""
+    start = end - 1
+    width = len(token[start].encode())
+    top, pieces = best[start] + width * byte_score, count[start] + width
+    while start >= 0:
+        entry = ends.get(token[start])
+        if entry is None:
+            break
+        score, ends = entry
         if score is not None:
             score += best[start]
             if score > top or (score == top and count[start] + 1 < pieces):
                 top, pieces = score, count[start] + 1
+        start -= 1
     return top, pieces
 
 
 class Counter(dict):
-    """Word -> number of tokens; a miss walks and grows the trie."""
+    """UTF-8 word -> number of tokens; a miss walks and grows the trie."""
 
     def __init__(self, model: Unigram):
         super().__init__()
-        self.model, self.root, self.nodes = model, {}, 0
+        self.ends, self.byte_score = tails(model), model.byte_score
+        self.root, self.nodes = {}, 0
 
-    def __missing__(self, word: str) -> int:
-        token, best, count = MARK + word, [0.0], [0]
+    def __missing__(self, word: bytes) -> int:
+        token, best, count = MARK + word.decode(), [0.0], [0]
         if len(token) > LONGEST:
             for end in range(1, len(token) + 1):
-                top, pieces = extend(self.model, token, end, best, count)
+                top, pieces = extend(self.ends, self.byte_score, token, end, best, count)
                 best.append(top)
                 count.append(pieces)
             return count[-1]
@@ -79,7 +98,7 @@ class Counter(dict):
         for end, letter in enumerate(token, 1):
             node = children.get(letter)
             if node is None:
-                node = children[letter] = (*extend(self.model, token, end, best, count), {})
+                node = children[letter] = (*extend(self.ends, self.byte_score, token, end, best, count), {})
                 self.nodes += 1
             best.append(node[0])
             count.append(node[1])
@@ -99,7 +118,7 @@ def token_counts(docs: DataFrame, model: Unigram | None = None, id_col: str = "d
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(1):
-                own = [w.decode() for w in (text.as_py() or b"").split()]
+                own = (text.as_py() or b"").split()
                 words.append(len(own))
                 tokens.append(sum(map(get, own)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
