@@ -2,7 +2,7 @@
 
 Source i holds a share p_i of the tokens. Its weight is p_i**a / sum(p**a) with an exponent a from 0 (uniform) to 1
 (as they are). Entropy falls and repetition of small sources shrinks as ``a`` grows, so bisection finds the exponent that
-meets a target entropy, a repetition limit, or both; each job evaluates the midpoints of four bisection levels with
+meets a target entropy, a repetition limit, or both; each job evaluates the midpoints of six bisection levels with
 aggregates alone, so the table of sources is never collected.
 
 A source's budget is its weight times the token budget. The budget is realised on a permutation of blocks: documents
@@ -13,32 +13,40 @@ ordered within a source; rows of a source, however hot, are spread over its bloc
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-LEVELS = 4
-STEPS = 10
+LEVELS = 6
+STEPS = 5
 BLOCK_ROWS = 4096
 
 
 def count_words(text: Column) -> Column:
     """Words between ASCII white space; null has none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), "^[ \\t-\\r]+|[ \\t-\\r]+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, "[ \\t-\\r]+"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
+
+
+def _sums(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
+    """(sum p**a, sum p**a ln p**a) for each exponent, in one job whose code does not depend on their values."""
+    spread = sources.select("share", F.posexplode(F.array(*map(F.lit, exponents))).alias("k", "a"))
+    power = F.pow(F.col("share"), F.col("a"))
+    rows = spread.groupBy("k").agg(F.sum(power).alias("z"), F.sum(power * F.log("share") * F.col("a")).alias("h")).collect()  # a row an exponent
+    return [(r["z"], r["h"]) for r in sorted(rows, key=lambda r: r["k"])]
 
 
-def _bisect(sources: DataFrame, aggregates, met) -> float:
-    """The least exponent in [0, 1] for which ``met`` holds of its aggregates (met at 1, monotone)."""
+def _bisect(sources: DataFrame, met: Callable[[float, float, float], bool]) -> float:
+    """The least exponent in [0, 1] for which ``met`` holds of it and its sums (met at 1, monotone)."""
     low, high = 0.0, 1.0
     for _ in range(STEPS):
         grid = [low + (high - low) * k / (1 << LEVELS) for k in range(1, 1 << LEVELS)]
-        columns = [column.alias(f"{name}{k}") for k, a in enumerate(grid) for name, column in aggregates(a).items()]
-        row = sources.agg(*columns).first()
-        good = [bool(met(**{name: row[f"{name}{k}"] for name in aggregates(0.0)})) for k in range(len(grid))]
+        good = [met(a, z, h) for a, (z, h) in zip(grid, _sums(sources, grid), strict=True)]
         first = next((k for k, ok in enumerate(good) if ok), len(grid))
-        low, high = ([low, *grid][first], [*grid, high][first])
+        low, high = [low, *grid][first], [*grid, high][first]
     return high
 
 
@@ -49,49 +57,42 @@ def temperature(sources: DataFrame, target_entropy: float | None = None, max_rep
     ``max_repetition`` bounds how often the smallest source is repeated; where both are asked for the bound prevails.
     Without ``budget_tokens`` the budget is the least that uses every document at least once.
     """
-    import math
-
     row = sources.agg(F.count("*"), F.sum("tokens"), F.max("share"), F.min("share")).first()
     n, total, largest, smallest = row[0], float(row[1] or 0), row[2], row[3]
     if not n or not total:
         return 1.0, 0.0
-    p = F.col("share")
 
-    def budget(a: float) -> float:
-        z = sources.agg(F.sum(F.pow(p, F.lit(a)))).first()[0]
-        return float(budget_tokens) if budget_tokens is not None else total * z * largest ** (1 - a)
+    def within(a: float, z: float, _: float) -> bool:
+        most = smallest ** (a - 1) / z * (budget_tokens / total) if budget_tokens is not None else (largest / smallest) ** (1 - a)
+        return most <= max_repetition
 
     exponent = 1.0
     if target_entropy is not None and n > 1:
-        sums = lambda a: {"z": F.sum(F.pow(p, F.lit(a))), "h": F.sum(F.pow(p, F.lit(a)) * F.log(p) * a)}
-        exponent = _bisect(sources, sums, lambda z, h: math.log(z) - h / z <= target_entropy * math.log(n))
+        exponent = _bisect(sources, lambda _, z, h: math.log(z) - h / z <= target_entropy * math.log(n))
     elif max_repetition is not None:
         exponent = 0.0
-    if max_repetition is not None:
-        sums = lambda a: {"z": F.sum(F.pow(p, F.lit(a))), "a": F.first(F.lit(a))}
-
-        def within(z: float, a: float) -> bool:
-            most = smallest ** (a - 1) / z * (budget_tokens / total) if budget_tokens is not None else (largest / smallest) ** (1 - a)
-            return most <= max_repetition
-
-        z0 = sources.agg(F.sum(F.pow(p, F.lit(exponent)))).first()[0]
-        if not within(z0, exponent):
-            exponent = max(exponent, _bisect(sources, sums, within))
-    return exponent, budget(exponent)
+    if max_repetition is not None and not within(exponent, *_sums(sources, [exponent])[0]):
+        exponent = max(exponent, _bisect(sources, within))
+    if budget_tokens is not None:
+        return exponent, float(budget_tokens)
+    return exponent, total * _sums(sources, [exponent])[0][0] * largest ** (1 - exponent)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None, max_repetition: float | None = None, budget_tokens: float | str | None = None, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None, max_repetition: float | None = None, budget_tokens: float | str | None = None, seed: int = 17, block_rows: int = BLOCK_ROWS, tokens: Column | None = None) -> DataFrame:
     """``docs`` with ``n_tokens, share, weight, repetition, block, copies`` (columns of these names are replaced).
 
     ``copies`` is how often the document is used: every whole pass over its source, and one more if it lies within the
-    budget left for the last, partial pass. ``budget_tokens`` may be "corpus" (as many tokens as there are). A null source is a
-    source of its own. Documents without tokens cost nothing and are used once with every pass begun.
+    budget left for the last, partial pass. ``tokens`` gives a document's tokens, by default its words; they are needed three
+    times, so a caller without need of the texts counts once and passes the column. ``budget_tokens`` may be "corpus" (as many
+    tokens as there are). A null source is a source of its own. Documents without tokens cost nothing and are used once with every pass begun.
     """
     made = ["n_tokens", "share", "weight", "repetition", "block", "copies"]
     docs = docs.drop(*[c for c in made if c in docs.columns])
-    source = F.col(source_col)
-    counted = docs.withColumn("n_tokens", count_words(F.col(text_col)))
-    stats = cut(counted.groupBy(source.alias("__source")).agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")), "sources")
+    # A text that is never null stands for the source, so that one shuffle by it and the block serves join and window.
+    source = F.col(source_col).cast("string")
+    key = F.concat(F.when(source.isNull(), "-").otherwise("+"), F.coalesce(source, F.lit("")))
+    counted = docs.withColumn("n_tokens", count_words(F.col(text_col)) if tokens is None else tokens).withColumn("__source", key)
+    stats = cut(counted.groupBy("__source").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")), "sources")
     total = stats.agg(F.sum("tokens")).first()[0] or 0
     shares = stats.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total or 1)))
     exponent, budget = temperature(shares, target_entropy, max_repetition, float(total) if budget_tokens == "corpus" else budget_tokens)
@@ -107,19 +108,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = cut(plan.select("__source", "__share", "__weight", "__rep", "__passes", "__left", "__blocks"), "mix-plan")
 
     # The plan has a row for each source: Spark broadcasts it if it is small and otherwise splits the skewed join.
-    dealt = counted.join(plan, source.eqNullSafe(F.col("__source")), "inner")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.col("__blocks")))
-    sums = dealt.groupBy("__source", "block").agg(F.sum("n_tokens").alias("t"), F.first("__left").alias("__room"))
-    order = Window.partitionBy("__source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")
+    dealt = counted.join(plan, "__source").withColumn("__block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.col("__blocks")))
+    sums = dealt.groupBy("__source", "__block").agg(F.sum("n_tokens").alias("t"), F.first("__left").alias("__room"))
+    order = Window.partitionBy("__source").orderBy(F.xxhash64("__block", F.lit(seed + 1)), "__block")
     before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__source", "block", (F.col("__room") - before).alias("__room"))
-    sums = sums.select(F.col("__source").alias("__s"), F.col("block").alias("__b"), "__room")
-    # Equality on coalesced text and a null flag lets the join shuffle by (source, block), which null-safe equality also does.
-    joined = dealt.join(sums, dealt["__source"].eqNullSafe(sums["__s"]) & (dealt["block"] == sums["__b"]), "inner")
-    within = Window.partitionBy("__s", "__b").orderBy(F.xxhash64(F.col(id_col), F.lit(seed + 2)), F.col(id_col), "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.select("__source", "__block", (F.col("__room") - before).alias("__room"))
+    joined = dealt.join(sums, ["__source", "__block"])
+    within = Window.partitionBy("__source", "__block").orderBy(F.xxhash64(F.col(id_col), F.lit(seed + 2)), F.col(id_col), "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = F.when(F.sum("n_tokens").over(within) <= F.col("__room") + F.lit(1e-6), 1).otherwise(0)
     extra = F.when(F.col("__left") > F.lit(0.5), taken).otherwise(0)
-    return joined.withColumn("copies", (F.col("__passes") + extra).cast("long")).select(*[F.col(c) for c in docs.columns], "n_tokens", F.col("__share").alias("share"), F.col("__weight").alias("weight"), F.col("__rep").alias("repetition"), F.col("block").cast("long").alias("block"), "copies")
+    return joined.withColumn("copies", (F.col("__passes") + extra).cast("long")).select(*[F.col(c) for c in docs.columns], "n_tokens", F.col("__share").alias("share"), F.col("__weight").alias("weight"), F.col("__rep").alias("repetition"), F.col("__block").cast("long").alias("block"), "copies")
 
 
 def schedule(mixed: DataFrame, id_col: str = "doc_id", seed: int = 17) -> DataFrame:
@@ -128,6 +126,7 @@ def schedule(mixed: DataFrame, id_col: str = "doc_id", seed: int = 17) -> DataFr
     return used.withColumn("order_key", F.xxhash64(F.col(id_col), F.col("epoch"), F.lit(seed)))
 
 
-def realise(docs: DataFrame, **options) -> DataFrame:
+def realise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` as the mixture uses them, columns unchanged: a document comes up as often as it is used."""
-    return schedule(mix(docs, **options)).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__src"), count_words(F.col(text_col)).alias("__n"))
+    return schedule(mix(packed, "__id", source_col="__src", tokens=F.col("__n"), **options), "__id").select("__row.*")

@@ -84,6 +84,12 @@ def test_realise_repeats_rows_and_keeps_columns(spark):
     assert epochs == 2
 
 
+def test_realise_leaves_columns_with_names_of_its_own(spark):
+    out = mixing.realise(frame(spark), max_repetition=3.0)
+    assert out.columns == frame(spark).columns
+    assert {(r["doc_id"], r["copies"], r["score"]) for r in out.collect()} == {(r[0], r[7], r[6]) for r in awkward()}
+
+
 def test_awkward_rows(spark):
     rows = mixing.mix(frame(spark), max_repetition=3.0).collect()
     assert len(rows) == len(awkward()) and all(r["copies"] >= 1 for r in rows)
