@@ -41,3 +41,10 @@ def fold(id_col: str | Column, folds: int) -> Column:
 
 def utf8(text_col: str) -> Column:
     return F.col(text_col).cast("binary")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch, unless the session says otherwise: batches of long texts take memory outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

@@ -36,9 +36,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     seen = base.select("doc_id", F.length("text").alias("length"), F.xxhash64(F.substring("text", 1, PREFIX)).alias("prefix"), *names)
     seen = cut(seen, "exact-seen")
 
-    lengths = seen.groupBy("length").count().where("count > 1").select("length")
-    alike = seen.join(lengths, "length", "left_semi")  # a row for each length that occurs: bounded by the longest text
-    keys = cut(alike.groupBy("length", "prefix").count().where("count > 1").select("length", "prefix"), "exact-keys")
+    # Copies are counted before anything is shuffled, so a key that a third of all rows hold is a row for each task.
+    pairs = seen.groupBy("length", "prefix").agg(F.count("*").alias("n"))
+    lengths = pairs.groupBy("length").agg(F.sum("n").alias("n")).where("n > 1").select("length")
+    keys = cut(pairs.where("n > 1").join(lengths, "length", "left_semi").select("length", "prefix"), "exact-keys")
 
     rows = base.select("doc_id", "text", F.length("text").alias("length"), F.xxhash64(F.substring("text", 1, PREFIX)).alias("prefix"), *names)
     whole = F.sha2(F.col("text"), 256)

@@ -6,24 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, exact, mixing, quality, sharding, simhash, substring, tokens, toxicity
+from .common import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of all documents. A file that Spark cannot divide would keep one core busy in the operators that run
+    Python, so the rows of an input with fewer partitions than cores are dealt out; larger inputs are read as they are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_texts(spark, sf_dir))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.contamination(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine tenths of the greatest entropy or more is asked for, no source more than four times over."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), target_entropy=0.98, max_repetition=4.0, budget_tokens="corpus")
+    """The sources' entropy is raised to 98 % of the greatest, unless a source would be repeated over four times."""
+    counted = cut(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_words(F.col("text")).alias("words")), "words")
+    mixed = mixing.mix(counted, target_entropy=0.98, max_repetition=4.0, budget_tokens="corpus", tokens=F.col("words"))
     return mixed.select("doc_id", "source", "n_tokens", "share", "weight", "repetition", "block", "copies")
 
 
@@ -36,16 +46,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op7_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+    return tokens.token_counts(_texts(spark, sf_dir))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring.repeated_passages(_texts(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +66,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 

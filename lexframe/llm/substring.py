@@ -24,15 +24,16 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import cut, small_batches, utf8
 
 WINDOW = 20
 DEPTH = 2
-CELLS_PER_WINDOW = 2.5
+CELLS_PER_WINDOW = 1.25
 MAX_BITS = 30
 SEGMENT_BITS = 22
-CHUNK = 4_000_000
-SLICE_BYTES = 4_000_000
+CHUNK = 1_000_000
+SLICE_BYTES = 1_000_000
+BITS_PER_DOC = 16
 BYTES_PER_WORD = 6
 LAST = 2**63 - 1
 
@@ -84,7 +85,7 @@ def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _cells(h1: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((h1 if row == 0 else h1 * _M2) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((h1 if row == 0 else h1 * _M2) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -104,7 +105,7 @@ def _words(column: pa.Array) -> list[list[bytes]]:
 
 
 def _pack(cells: np.ndarray) -> bytes:
-    gaps = np.diff(cells, prepend=0)
+    gaps = np.diff(cells, prepend=cells.dtype.type(0))
     kind = np.uint16 if not len(gaps) or gaps.max() < 1 << 16 else np.uint32
     return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(1).compress(gaps.astype(kind).tobytes())
 
@@ -120,15 +121,15 @@ def _sketch(bits: int):
         hashes = np.concatenate(held)
         out: dict[str, list] = {"row": [], "segment": [], "once": [], "more": []}
         for row in range(DEPTH):
-            cells = np.sort(_cells(hashes, row, bits))
-            new = np.concatenate(([True], cells[1:] != cells[:-1]))
-            first = np.flatnonzero(new)
-            twice = np.diff(np.append(first, len(cells))) > 1
-            cells = cells[first]
+            cells = _cells(hashes, row, bits)
+            cells.sort()
+            same = cells[1:] == cells[:-1]
+            new = np.concatenate(([True], ~same))
+            twice, cells = np.append(same, False)[new], cells[new]
             cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << segment))
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if a < b:
-                    own, more = cells[a:b] - (k << segment), twice[a:b]
+                    own, more = cells[a:b] - np.uint32(k << segment), twice[a:b]
                     out["row"].append(row)
                     out["segment"].append(k)
                     out["once"].append(_pack(own[~more]))
@@ -152,8 +153,8 @@ def _sketch(bits: int):
     return run
 
 
-def _merge(bits: int):
-    """Folds the packed counters of each segment; gives the bits of the counters that reached two."""
+def _merge(bits: int, least: int):
+    """Folds the packed counters of each segment; gives the bits of the counters that reached ``least``, one or two."""
     size = 1 << min(SEGMENT_BITS, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,61 +170,54 @@ def _merge(bits: int):
                 one[cells] = True
                 cells = _unpack(more.as_py())
                 one[cells] = two[cells] = True
-        for (row, segment), (_, two) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([segment], pa.int32()), pa.array([zstandard.ZstdCompressor(1).compress(np.packbits(two).tobytes())], pa.binary())], names=["row", "segment", "bits"])
+        for (row, segment), counted in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([segment], pa.int32()), pa.array([zstandard.ZstdCompressor(1).compress(np.packbits(counted[least - 1]).tobytes())], pa.binary())], names=["row", "segment", "bits"])
 
     return run
 
 
-class _Sketch:
-    """The merged bits, sent compressed; each Python worker unpacks them once."""
+class _Bits:
+    """Merged bits by row, sent once to every Python worker."""
 
-    _unpacked: dict[int, list[np.ndarray]] = {}
+    def __init__(self, spark, bits: int, rows: int, parts: list[tuple[int, int, bytes]]):
+        held = [np.zeros(max(1, (1 << bits) >> 3), np.uint8) for _ in range(rows)]
+        step = max(1, (1 << min(SEGMENT_BITS, bits)) >> 3)
+        while parts:
+            row, segment, data = parts.pop()
+            held[row][segment * step : (segment + 1) * step] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+        self.bits, self.sent = bits, spark.sparkContext.broadcast(held)
 
-    def __init__(self, spark, bits: int, parts: list[tuple[int, int, bytes]]):
-        self.bits, self.sent = bits, spark.sparkContext.broadcast(parts)
-        self.key = self.sent._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"bits": self.bits, "sent": self.sent, "key": self.key}
-
-    def repeated(self, h1: np.ndarray) -> np.ndarray:
-        if self.key not in _Sketch._unpacked:
-            _Sketch._unpacked.clear()
-            rows = [np.zeros(max(1, (1 << self.bits) >> 3), np.uint8) for _ in range(DEPTH)]
-            step = max(1, (1 << min(SEGMENT_BITS, self.bits)) >> 3)
-            for row, segment, data in self.sent.value:
-                rows[row][segment * step : (segment + 1) * step] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-            _Sketch._unpacked[self.key] = rows
-        good = np.ones(len(h1), bool)
-        for row, held in enumerate(_Sketch._unpacked[self.key]):
-            cells = _cells(h1, row, self.bits)
-            good &= (held[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+    def all_set(self, hashes: np.ndarray) -> np.ndarray:
+        good = np.ones(len(hashes), bool)
+        for row, held in enumerate(self.sent.value):
+            cells = _cells(hashes, row, self.bits)
+            good &= (held[cells >> np.uint32(3)] >> (np.uint32(7) - (cells & np.uint32(7))).astype(np.uint8)) & 1 > 0
         return good
 
 
-def _candidates(sketch: _Sketch):
+def _candidates(sketch: _Bits, unique: bool):
     names = ["h1", "h2", "doc", "tag", "place", "run"]
 
     def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, tag, place, h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((place, tag, doc, h2, h1))
-        doc, tag, place, h1, h2 = doc[order], tag[order], place[order], h1[order], h2[order]
-        same = np.concatenate(([False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
+        if (doc[1:] < doc[:-1]).any() or (doc[1:] == doc[:-1]).any() and not unique:
+            order = np.lexsort((place, tag, doc))
+            doc, tag, place, h1, h2 = doc[order], tag[order], place[order], h1[order], h2[order]
+        order = np.lexsort((h2, h1))  # stable: of equal windows the first occurrence comes first
+        same = np.concatenate(([False], (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])))
+        # In the order of the documents, in which ids and places take little room when shuffled.
+        first = np.sort(order[~same])
+        yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int32)), pa.array(doc[first]), pa.array(tag[first]), pa.array(place[first]), pa.array(np.zeros(len(first), np.int32))], names=names)
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         # Of rows that repeat an id and a text, all are the first occurrence if one is.
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h1))))
-        again = same & ((doc != doc[head]) | (tag != tag[head]) | (place != place[head]))
-        first = ~same
-        yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int32)), pa.array(doc[first]), pa.array(tag[first]), pa.array(place[first].astype(np.int32)), pa.array(np.zeros(int(first.sum()), np.int32))], names=names)
-        if again.any():
+        again = np.sort(order[same & ((doc[order] != doc[head]) | (tag[order] != tag[head]) | (place[order] != place[head]))])
+        if len(again):
             doc, tag, place = doc[again], tag[again], place[again]
-            order = np.lexsort((place, tag, doc))
-            doc, tag, place = doc[order], tag[order], place[order]
             fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] > place[:-1] + 1)))
             at = np.flatnonzero(fresh)
             length = place[np.append(at[1:], len(place)) - 1] - place[at] + 1
             key = (doc[at].view(np.uint64) * _MIX).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(at), np.int32)), pa.array(doc[at]), pa.array(tag[at]), pa.array(place[at].astype(np.int32)), pa.array(length.astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(at), np.int32)), pa.array(doc[at]), pa.array(tag[at]), pa.array(place[at]), pa.array(length)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -231,10 +225,10 @@ def _candidates(sketch: _Sketch):
             for part in _slices(batch, 2):
                 owner, place, h1, h2 = windows(_words(part.column(2)))
                 n += len(h1)
-                if len(h1) and (keep := sketch.repeated(h1)).any():
+                if len(h1) and (keep := sketch.all_set(h1)).any():
                     owner = owner[keep]
-                    held.append((part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], place[keep], h1[keep], h2[keep]))
-                if n >= CHUNK:
+                    held.append((part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], place[keep].astype(np.int32), h1[keep], h2[keep]))
+                if n >= CHUNK // 2:
                     if held:
                         yield from emit(held)
                     held, n = [], 0
@@ -244,6 +238,50 @@ def _candidates(sketch: _Sketch):
     return run
 
 
+def _doc_hash(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    return _finish(doc.view(np.uint64) * _MIX ^ _finish(tag.view(np.uint64)))
+
+
+def _mark(bits: int):
+    """Packed cells of the documents of (doc, tag) rows."""
+    segment = min(SEGMENT_BITS, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.unique(_cells(_doc_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()), 0, bits))
+            for k in np.unique(cells >> segment).tolist():
+                own = cells[(cells >> segment) == k] - np.uint32(k << segment)
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([k], pa.int32()), pa.array([_pack(own)], pa.binary()), pa.array([_pack(own[:0])], pa.binary())], names=["row", "segment", "once", "more"])
+
+    return run
+
+
+def _may_have_runs(marks: _Bits, batch: pa.RecordBatch) -> np.ndarray:
+    return marks.all_set(_doc_hash(batch.column(2).to_numpy(), batch.column(3).to_numpy()))
+
+
+def _marked(marks: _Bits):
+    """The (doc_id, text, doc, tag) rows that may have runs, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_may_have_runs(marks, batch)))
+
+    return run
+
+
+def _unmarked(marks: _Bits):
+    """The results of all other rows: nothing is removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~_may_have_runs(marks, batch)))
+            none = pa.nulls(rest.num_rows, pa.list_(pa.struct([("place", pa.int32()), ("run", pa.int32())])))
+            yield from _remove(iter([pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), none], names=["doc_id", "text", "runs"])]))
+
+    return run
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, digests, spans = [], [], [], []
@@ -274,22 +312,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     documents in the order of their text's hash; rows that repeat both are one document and share its result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = min(max_bits, max(10, math.ceil(math.log2(max(2, CELLS_PER_WINDOW * size / BYTES_PER_WORD)))))
     unique = docs.groupBy(id_col).count().where("count > 1").limit(1).count() == 0
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     tag = F.lit(0).cast("long") if unique else F.xxhash64(F.col(text_col))
 
-    touched = docs.select(utf8(text_col)).mapInArrow(_sketch(bits), "row int, segment int, once binary, more binary")
-    merged = touched.repartition("row", "segment").mapInArrow(_merge(bits), "row int, segment int, bits binary")
-    sketch = _Sketch(spark, bits, [(r[0], r[1], bytes(r[2])) for r in merged.collect()])  # at most DEPTH bits a counter
+    touched = docs.select(utf8(text_col)).mapInArrow(_sketch(bits), _PACKED)
+    sketch = _merged(spark, touched, bits, DEPTH, 2)
 
     slim = docs.select(doc.alias("doc"), tag.alias("tag"), utf8(text_col).alias("text"))
-    rows = slim.mapInArrow(_candidates(sketch), "h1 long, h2 int, doc long, tag long, place int, run int")
+    rows = slim.mapInArrow(_candidates(sketch, unique), "h1 long, h2 int, doc long, tag long, place int, run int")
     nth = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc", "tag", "place"))
     later = rows.withColumn("nth", nth).where("run > 0 or nth > 1").select("doc", "tag", "place", F.greatest("run", F.lit(1)).alias("run"))
-    runs = later.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "run")).alias("runs"))  # at most a row a word
+    runs = cut(later.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "run")).alias("runs")), "runs")  # at most a row a word
+
+    # Only documents that may have runs are shuffled; a filter of bounded size tells them, and one too many does no harm.
+    marks = min(max_bits, max(10, math.ceil(math.log2(max(2, BITS_PER_DOC * runs.count())))))
+    marked = _merged(spark, runs.select("doc", "tag").mapInArrow(_mark(marks), _PACKED), marks, 1, 1)
+
     texts = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), doc.alias("doc"), tag.alias("tag"))
-    judged = texts.join(runs, ["doc", "tag"], "left").select("doc_id", "text", "runs")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return judged.mapInArrow(_remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,stop:int>>")
+    out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,stop:int>>"
+    judged = texts.mapInArrow(_marked(marked), texts.schema).join(runs, ["doc", "tag"], "left").select("doc_id", "text", "runs")
+    return judged.mapInArrow(_remove, out).unionByName(texts.mapInArrow(_unmarked(marked), out))
+
+
+_PACKED = "row int, segment int, once binary, more binary"
+
+
+def _merged(spark, packed: DataFrame, bits: int, rows: int, least: int) -> _Bits:
+    folded = packed.repartition("row", "segment").mapInArrow(_merge(bits, least), "row int, segment int, bits binary")
+    return _Bits(spark, bits, rows, [(r[0], r[1], bytes(r[2])) for r in folded.collect()])  # at most a bit a counter
