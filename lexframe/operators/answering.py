@@ -87,9 +87,9 @@ def generate(asked: DataFrame, model: Generate = extractive) -> DataFrame:
                 found = [x if isinstance(x, dict) else x.asDict() for x in ([] if r.sources is None else r.sources)]
                 for seq, event in enumerate([{"type": "delta", "text": ABSTENTION}, {"type": "completed"}] if r.abstain else model(r.prompt, found)):
                     rows.append({"query_id": r.query_id, "seq": seq, **event})
-            out = pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame(rows, columns=names, dtype=object)
             for c in ("source_index", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"):
-                out[c] = out[c].astype("Int64")
+                out[c] = pd.to_numeric(out[c]).astype("Int64")
             yield out
 
     return asked.mapInPandas(run, EVENT)

@@ -63,7 +63,7 @@ def model_scores(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(rerank_score=pd.Series(scorer(frame[query_text].tolist(), frame[passage].tolist()), index=frame.index, dtype=float))
+            yield frame.astype(object).assign(rerank_score=pd.Series(scorer(frame[query_text].tolist(), frame[passage].tolist()), index=frame.index, dtype=float))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
     return pairs.mapInPandas(run, schema + ", rerank_score double")
