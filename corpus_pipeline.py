@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexframe.llm import decontam, mixing, sharding, simhash, toxicity
+from lexframe.llm import decontam, mixing, resemblance, sharding, simhash, toxicity
 from lexframe.llm.common import cut
 
 SHARDS = 40
@@ -17,8 +17,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of documents that share four fifths of their five-word shingles the smallest doc_id stays."""
+    return simhash.drop_near_duplicates(docs, find=resemblance.near_duplicates)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

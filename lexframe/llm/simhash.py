@@ -14,7 +14,7 @@ SAMPLE_PER_SHARD * 2**MAX_DEPTH fingerprints on the driver, whatever the input).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,10 +191,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, with only the smallest doc_id of each group. Rows without an id stay;
-    of rows that repeat an id one stays."""
-    found = cut(near_duplicates(docs, id_col, text_col), "near-duplicates")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, with only the smallest doc_id of each group that ``find`` names. Rows
+    without an id stay; of rows that repeat an id one stays."""
+    found = cut(find(docs, id_col, text_col), "near-duplicates")
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
     kept = docs.join(dropped, F.col(id_col) == F.col("__drop"), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
