@@ -62,12 +62,17 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "ingest":
         texts = landing.read_text(spark, args.landing).join(norms.select("norm_id"), "norm_id", "left_semi")
         index = landing.parse_index(landing.read_json(spark, args.landing, landing.INDEX))
+        chosen = norms.where(F.col("norm_id").isin(args.norm)) if args.norm else None
         if args.norm:
-            texts, engine.norms = texts.where(F.col("norm_id").isin(args.norm)), norms.where(F.col("norm_id").isin(args.norm))
+            texts = texts.where(F.col("norm_id").isin(args.norm))
         if args.recreate:
             engine.store.reset("cache")
         blocks = xml.blocks(texts)
-        (engine.statistics(blocks, index, date.today()) if args.dry_run else engine.sync(blocks, index, date.today(), args.force)).show(100, False)
+        if args.dry_run:
+            engine.norms = norms if chosen is None else chosen
+            engine.statistics(blocks, index, date.today()).show(100, False)
+        else:
+            engine.sync(blocks, index, date.today(), args.force, chosen).show(100, False)
     elif args.command in ("search", "ask"):
         asked = spark.createDataFrame([(0, args.query)], "query_id long, query string")
         chosen = retrieval.ChunkFilter(norm_ids=tuple(args.norm))

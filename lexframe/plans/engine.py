@@ -32,9 +32,11 @@ class Engine:
         empty = "chunk_id string, norm_id string, norm_short_name string, block_id string, seq int, kind string, label string, number string, heading string, apartado string, hierarchy array<string>, text string, embed_text string, url string, version_in_force_since date, block_updated_at date, consolidated_as_of date, repealed boolean, jurisdiction string, legal_effect string, rank string, topics array<string>, application_date date, refs_out array<string>"
         return self.store.read("chunks", empty)
 
-    def sync(self, blocks: DataFrame, block_index: DataFrame, day: date, force: bool = False) -> DataFrame:
+    def sync(self, blocks: DataFrame, block_index: DataFrame, day: date, force: bool = False, only: DataFrame | None = None) -> DataFrame:
         """Brings the store up to date and returns the report, one row per norm. Unchanged norms are not processed.
 
+        ``blocks`` and ``block_index`` are those of the whole catalog, or of the norms in ``only`` (norm_id): then no other
+        norm is processed or reported. Norms that the catalog lacks are removed in both cases.
         New tables are computed first and take effect together, so a failure leaves the old state.
         """
         signature = incremental.signature(__version__, self.embedder.name, self.limit)
@@ -44,7 +46,8 @@ class Engine:
             meta = self.store.read("meta", META)
         state, gone = incremental.forget(self.store.read("state", STATE), self.norms)
         current = incremental.fingerprints(block_index)
-        reasons = incremental.due(self.norms, state, current, day, force).persist()
+        delivered = self.norms if only is None else self.norms.join(only.select("norm_id").distinct(), "norm_id", "left_semi")
+        reasons = incremental.due(delivered, state, current, day, force).persist()
         todo = reasons.where("reason is not null").select("norm_id")
         specs = self.norms.join(todo, "norm_id", "left_semi")
         own = blocks.join(todo, "norm_id", "left_semi")

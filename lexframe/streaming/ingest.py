@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources import landing, xml
 
 
-def watch(spark: SparkSession, root: str, checkpoint: str, sync: Callable[[DataFrame, DataFrame, date], object], day: Callable[[], date] = date.today, once: bool = True) -> StreamingQuery:
-    """Calls ``sync(blocks, index, day)`` with the norms whose text or index is new in each micro-batch.
+def watch(spark: SparkSession, root: str, checkpoint: str, sync: Callable[..., object], day: Callable[[], date] = date.today, once: bool = True) -> StreamingQuery:
+    """Calls ``sync(blocks, index, day)``, with ``only=norms`` too where it takes that, for the norms whose text or index is new in each micro-batch.
 
     A batch names the norms; their snapshots are read whole from the folder, so a batch replayed after a failure does the same.
     """
@@ -25,7 +26,7 @@ def watch(spark: SparkSession, root: str, checkpoint: str, sync: Callable[[DataF
             return
         texts = landing.read_text(spark, root).join(touched, "norm_id", "left_semi")
         index = landing.parse_index(landing.read_json(spark, root, landing.INDEX).join(touched, "norm_id", "left_semi"))
-        sync(xml.blocks(texts), index, day())
+        sync(xml.blocks(texts), index, day(), **({"only": touched} if "only" in signature(sync).parameters else {}))
 
     writer = arrived.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
