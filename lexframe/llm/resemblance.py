@@ -68,7 +68,8 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float, common: np.ndar
                 own = _shingles(joined, count, shingle)
                 taken = len(own) - math.ceil(similarity * len(own) - NEAR_ZERO) + 1 if len(own) else 0
                 if len(last) and len(own):
-                    own = own[np.argsort(np.isin(own, last), kind="stable")]
+                    at = np.minimum(np.searchsorted(last, own), len(last) - 1)
+                    own = own[np.argsort(last[at] == own, kind="stable")]
                 digests.append(digest)
                 sizes.append(len(own))
                 prefixes.append(own[:taken])
@@ -122,7 +123,15 @@ def _nodes(keyed: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links (u, v) among ``pairs`` whose whole sets are alike."""
+    """The links (u, v) among ``pairs`` whose whole sets are alike.
+
+    Of the two prefixes one ends first in the order; its members that the other text holds are in the other's prefix. So no
+    more is shared than the prefixes share and what lies beyond one of them; pairs that this rules out need no whole sets.
+    """
+    first, second = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("prefix").alias(f"{c}_prefix")) for c in "uv")
+    most = F.size(F.array_intersect("u_prefix", "v_prefix")) + F.greatest(F.col("u_n") - F.size("u_prefix"), F.col("v_n") - F.size("v_prefix"))
+    possible = (most + NEAR_ZERO) * (1 + similarity) >= similarity * (F.col("u_n") + F.col("v_n"))
+    pairs = cut(pairs.join(second, "v").join(first, "u").where(possible).select("u", "v"), "possible")
     wanted = nodes.select("digest", "node").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
     sets = cut(_sets(texts, wanted.select("digest", "node"), shingle), "sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")

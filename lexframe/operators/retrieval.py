@@ -98,6 +98,7 @@ def retrieve(
     scorer: Callable[[Column, Column], Column] | None = None,
     candidates: int = CANDIDATES,
     rerank_candidates: int = RERANK_CANDIDATES,
+    stems: bool = True,
 ) -> DataFrame:
     """(query_id, rank, chunk_id, score, sources) for ``queries`` (query_id, query, and query_vector for dense modes).
 
@@ -109,7 +110,7 @@ def retrieve(
     depth = candidates if mode == "hybrid" else pool
     branches = {}
     if mode in ("sparse", "hybrid"):
-        branches["sparse"] = lexical.search(chunks, queries, depth, "chunk_id", "embed_text", keep=keep)
+        branches["sparse"] = lexical.search(chunks, queries, depth, "chunk_id", "embed_text", keep=keep, stems=stems)
     if mode in ("dense", "hybrid"):
         allowed = vectors.join(chunks.where(keep).select("chunk_id"), "chunk_id", "left_semi")
         branches["dense"] = dense.search(allowed, queries, depth, "chunk_id", "vector")

@@ -128,8 +128,9 @@ class Engine:
             mode, *switches = config.split("+")
             self.scorer = (scorer or retrieval.lexical_overlap) if "rerank" in switches else None
             hits = self.search(kept.select(F.col("id").alias("query_id"), F.col("question").alias("query")), k, mode, None, "refs" in switches)
-            match = (hits["query_id"] == keyed["id"]) & (hits["norm_id"] == keyed["norm_id"]) & (hits["kind"] == keyed["kind"]) & evaluation.gold_matches(keyed["block_id"], keyed["number"], hits["block_id"], hits["number"])
-            matched = hits.alias("h").join(keyed, match).select(keyed["id"], "gold", F.col("h.rank").cast("int").alias("rank"))
+            asked = keyed.select(*[F.col(c).alias(f"g_{c}") for c in ("id", "norm_id", "kind", "number", "block_id")], "gold")
+            match = (F.col("query_id") == F.col("g_id")) & (F.col("norm_id") == F.col("g_norm_id")) & (F.col("kind") == F.col("g_kind")) & evaluation.gold_matches(F.col("g_block_id"), F.col("g_number"), F.col("block_id"), F.col("number"))
+            matched = hits.join(asked, match).select(F.col("g_id").alias("id"), "gold", F.col("rank").cast("int").alias("rank"))
             part = evaluation.score_questions(keyed.select("id", "gold").distinct(), matched, "id").join(kept.select("id", "category"), "id").withColumn("config", F.lit(config))
             scores = part if scores is None else scores.unionByName(part)
         self.scorer = scorer
