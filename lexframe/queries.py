@@ -12,7 +12,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import numerals
+from .functions import html, numerals
 from .functions.text import ACCENTED, PLAIN, STOPWORDS, clean, text_hash, tokenize
 from .operators import answering, chunking, dense, evaluation, incremental, lexical, references, retrieval, structure
 from .sources import catalog, schema, xml
@@ -447,6 +447,16 @@ def html_blocks(spark, sf_dir):
     return rows.select("page_id", F.size("p").alias("paragraphs"), text_hash(F.array_join(F.transform("p", clean), "\n")).alias("text_sha256"))
 
 
+@_registered(rf"""WITH shown AS (SELECT page_id, regexp_replace(regexp_replace(html, '[\x01\x02]', ' ', 'g'), '{html.HIDDEN}', '', 'g') AS h FROM pages),
+parted AS (SELECT page_id, regexp_replace(regexp_replace(h, '{html.OPENING}', chr(1) || chr(2), 'g'), '{html.BORDER}', chr(1), 'g') AS h FROM shown),
+plain AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(h, '{html.BREAK}', ' ', 'g'), '{html.TAG}', '', 'g'), chr(1)), lambda x: starts_with(x, chr(2))) AS p FROM parted)
+SELECT page_id, CAST(len(p) AS INTEGER) AS paragraphs, sha256(array_to_string(list_transform(p, lambda x: trim(regexp_replace(replace(x, chr(2), ''), '\s+', ' ', 'g'))), chr(10))) AS text_sha256 FROM plain""")
+def html_paragraphs(spark, sf_dir):
+    """Every paragraph with the text of its inline elements; ``html_blocks`` keeps to paragraphs without any."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", html.paragraphs(F.col("html")).alias("p"))
+    return rows.select("page_id", F.size("p").alias("paragraphs"), text_hash(F.array_join("p", "\n")).alias("text_sha256"))
+
+
 # --- incremental maintenance
 
 
