@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset on a single machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,8 +21,8 @@ def scratch_dir(spark: SparkSession) -> str:
         if held.isDefined():
             root = held.get()
         elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
-            root = tempfile.mkdtemp(prefix="lexframe-")
-            context.setCheckpointDir(root)
+            root = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="lexframe-")
+            _LOCAL[context.applicationId] = root
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/lexframe"
@@ -30,7 +33,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of ``cut`` tables that nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(id_col: str | Column, folds: int) -> Column:
@@ -41,10 +53,3 @@ def fold(id_col: str | Column, folds: int) -> Column:
 
 def utf8(text_col: str) -> Column:
     return F.col(text_col).cast("binary")
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch, unless the session says otherwise: batches of long texts take memory outside the heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both, emit_self=False)
         large = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large")
-        edges = cut(_stars(large, emit_self=True), "small")
+        smaller = cut(_stars(large, emit_self=True), "small")
+        discard(edges, large)
+        edges = smaller
         after = _state(edges)
         if after == before:
             break

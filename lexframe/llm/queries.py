@@ -14,11 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and texts of all documents. A file that Spark cannot divide would keep one core busy in the operators that run
-    Python, so the rows of an input with fewer partitions than cores are dealt out; larger inputs are read as they are."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

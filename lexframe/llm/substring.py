@@ -1,50 +1,46 @@
 """Repeated passages of words, found exactly behind a count-min prefilter.
 
-A window is ``WINDOW`` consecutive words of one document. First pass: each task adds the windows of its rows to a count-min
-sketch of ``DEPTH`` rows whose counters stop at two, and sends the counters it touched, sorted and packed, by segment;
-segments are merged by streaming folds. A sketch overestimates only, so a window whose merged counters are not all two
-occurs once. Second pass: windows estimated repeated, and only these, are grouped exactly by a 96-bit hash; tasks first
-settle what repeats within ``CHUNK`` windows, so a window that a third of all documents share makes a row for each
-chunk, not for each occurrence. The first occurrence in the order of (doc_id, place) stays.
-
-The sketch takes ``CELLS_PER_WINDOW`` counters a window, up to ``2 ** MAX_BITS`` a row (raise it with executor memory: a task
-holds DEPTH bits a counter). Beyond that more windows pass the filter and are grouped exactly; no result changes.
+A window is ``WINDOW`` consecutive words of one document. Its anchor is the least hash among its runs of ``GRAM`` words. If a
+window occurs twice, its anchor lies at two places, so the number of an anchor's places overestimates the counts of its
+windows, and there are seven times fewer of them than windows. First pass: the partitions' sketches of anchors are merged
+(see ``sketch``). Second pass: anchors estimated repeated are named to their documents, and the windows that have one, and
+only these, are grouped exactly; tasks first settle what repeats within ``CHUNK`` windows, so a window that a third of
+all documents share makes a row for each chunk, not for each occurrence. The first occurrence in the order of (doc_id,
+place) stays. Sketches, anchors and windows go by shuffles only: nothing grows on the driver or is broadcast.
+
+Windows are grouped by two 64-bit hashes, both made of one 64-bit hash per word. Two of V different words are confused with a
+probability of at most V**2 / 2**65 (V = 10**8: 0.03 %), two of N different windows with N**2 / 2**129.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, utf8
+from . import sketch
+from .common import cut, utf8
 
 WINDOW = 20
-DEPTH = 2
-CELLS_PER_WINDOW = 1.25
-MAX_BITS = 30
-SEGMENT_BITS = 22
+GRAM = 8
 CHUNK = 1_000_000
 SLICE_BYTES = 1_000_000
-BITS_PER_DOC = 16
-BYTES_PER_WORD = 6
+BYTES_PER_ANCHOR = 42
 LAST = 2**63 - 1
 
 _M1, _M2, _MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
-def _roll(base: np.ndarray, m: np.uint64) -> np.ndarray:
-    """Polynomial hash of every WINDOW consecutive values, by doubling."""
+def _roll(base: np.ndarray, m: np.uint64, length: int) -> np.ndarray:
+    """Polynomial hash of every ``length`` consecutive values, by doubling."""
     out, have, power, weight = None, 0, base, 1
-    multiplier, left = int(m), WINDOW
-    total = len(base) - WINDOW + 1
+    multiplier, left = int(m), length
+    total = len(base) - length + 1
     while left:
         factor = np.uint64(multiplier)
         if left & 1:
@@ -65,27 +61,47 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, 64-bit hash, 32-bit hash) of all windows of the tokenised texts."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    total = int(sizes.sum())
-    if total < WINDOW or sizes.max() < WINDOW:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint32)
-    digest = xxhash.xxh64_intdigest
-    base = np.fromiter((digest(w) for words in texts for w in words), np.uint64, total)
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), sizes)[: total - WINDOW + 1]
-    start = np.arange(total - WINDOW + 1)
-    whole = start + WINDOW <= ends[owner]
-    h1 = _finish(_roll(base, _M1)[whole])
-    h2 = _finish(_roll((base ^ (base >> np.uint64(31))) * _MIX, _M2)[whole])
-    owner, start = owner[whole], start[whole]
-    return owner, start - (ends - sizes)[owner], h1, (h2 >> np.uint64(32)).astype(np.uint32)
-
-
-def _cells(h1: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((h1 if row == 0 else h1 * _M2) >> np.uint64(64 - bits)).astype(np.uint32)
+def _extreme(values: np.ndarray, length: int, pick: Callable) -> np.ndarray:
+    """``pick`` (minimum or maximum) over every ``length`` consecutive values, by doubling."""
+    have, total = 1, len(values) - length + 1
+    while 2 * have <= length:
+        values = pick(values[:-have], values[have:])
+        have *= 2
+    return pick(values[:total], values[length - have : length - have + total])
+
+
+class Windows:
+    """Windows and anchors of tokenised texts: ``owner`` is a text's number, ``place`` a window's first word."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        total = int(sizes.sum())
+        if total < WINDOW or sizes.max() < WINDOW:
+            self.base = self.owner = self.place = np.zeros(0, np.int64)
+            self.least = self.anchors = np.zeros(0, np.uint64)
+            self.anchor_owner = self.whole = np.zeros(0, np.int64)
+            return
+        digest = xxhash.xxh64_intdigest
+        self.base = np.fromiter((digest(w) for words in texts for w in words), np.uint64, total)
+        ends, start = np.cumsum(sizes), np.arange(total - WINDOW + 1)
+        owners = np.repeat(np.arange(len(texts)), sizes)
+        self.whole = start + WINDOW <= ends[owners[: len(start)]]
+        grams, span = _finish(_roll(self.base, _M1, GRAM)), WINDOW - GRAM + 1
+        least = np.where(self.whole, _extreme(grams, span, np.minimum), np.uint64(0))
+        # A place is an anchor if it is the least of some whole window: none of the windows over it has a greater least.
+        around = np.zeros(span - 1, np.uint64)
+        reached = _extreme(np.concatenate((around, least, around)), span, np.maximum)
+        at = np.flatnonzero((reached == grams) & (reached > 0))
+        self.anchors, self.anchor_owner = grams[at], owners[at]
+        self.owner, start, self.least = owners[: len(start)][self.whole], start[self.whole], least[self.whole]
+        self.place = start - (ends - sizes)[self.owner]
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of every window."""
+        if not len(self.place):
+            return self.least, self.least
+        other = (self.base ^ (self.base >> np.uint64(31))) * _MIX
+        return _finish(_roll(self.base, _M1, WINDOW)[self.whole]), _finish(_roll(other, _M2, WINDOW)[self.whole])
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -104,98 +120,26 @@ def _words(column: pa.Array) -> list[list[bytes]]:
     return [(t.as_py() or b"").split() for t in column]
 
 
-def _pack(cells: np.ndarray) -> bytes:
-    gaps = np.diff(cells, prepend=cells.dtype.type(0))
-    kind = np.uint16 if not len(gaps) or gaps.max() < 1 << 16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(1).compress(gaps.astype(kind).tobytes())
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint16 if data[0] == 2 else np.uint32).astype(np.int64))
-
-
-def _sketch(bits: int):
-    segment = min(SEGMENT_BITS, bits)
-
-    def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        hashes = np.concatenate(held)
-        out: dict[str, list] = {"row": [], "segment": [], "once": [], "more": []}
-        for row in range(DEPTH):
-            cells = _cells(hashes, row, bits)
-            cells.sort()
-            same = cells[1:] == cells[:-1]
-            new = np.concatenate(([True], ~same))
-            twice, cells = np.append(same, False)[new], cells[new]
-            cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << segment))
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a < b:
-                    own, more = cells[a:b] - np.uint32(k << segment), twice[a:b]
-                    out["row"].append(row)
-                    out["segment"].append(k)
-                    out["once"].append(_pack(own[~more]))
-                    out["more"].append(_pack(own[more]))
-        yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int32()), pa.array(out["segment"], pa.int32()), pa.array(out["once"], pa.binary()), pa.array(out["more"], pa.binary())], names=list(out))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for part in _slices(batch, 0):
-                h1 = windows(_words(part.column(0)))[2]
-                if len(h1):
-                    held.append(h1)
-                    n += len(h1)
-                if n >= CHUNK:
-                    yield from emit(held)
-                    held, n = [], 0
-        if n:
-            yield from emit(held)
-
-    return run
-
-
-def _merge(bits: int, least: int):
-    """Folds the packed counters of each segment; gives the bits of the counters that reached ``least``, one or two."""
-    size = 1 << min(SEGMENT_BITS, bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for row, segment, once, more in zip(*(batch.column(i) for i in range(4)), strict=True):
-                at = row.as_py(), segment.as_py()
-                if at not in seen:
-                    seen[at] = np.zeros(size, bool), np.zeros(size, bool)
-                one, two = seen[at]
-                cells = _unpack(once.as_py())
-                two[cells[one[cells]]] = True
-                one[cells] = True
-                cells = _unpack(more.as_py())
-                one[cells] = two[cells] = True
-        for (row, segment), counted in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([segment], pa.int32()), pa.array([zstandard.ZstdCompressor(1).compress(np.packbits(counted[least - 1]).tobytes())], pa.binary())], names=["row", "segment", "bits"])
-
-    return run
-
-
-class _Bits:
-    """Merged bits by row, sent once to every Python worker."""
+def _all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for part in _slices(batch, 0):
+            yield Windows(_words(part.column(0))).anchors
 
-    def __init__(self, spark, bits: int, rows: int, parts: list[tuple[int, int, bytes]]):
-        held = [np.zeros(max(1, (1 << bits) >> 3), np.uint8) for _ in range(rows)]
-        step = max(1, (1 << min(SEGMENT_BITS, bits)) >> 3)
-        while parts:
-            row, segment, data = parts.pop()
-            held[row][segment * step : (segment + 1) * step] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-        self.bits, self.sent = bits, spark.sparkContext.broadcast(held)
 
-    def all_set(self, hashes: np.ndarray) -> np.ndarray:
-        good = np.ones(len(hashes), bool)
-        for row, held in enumerate(self.sent.value):
-            cells = _cells(hashes, row, self.bits)
-            good &= (held[cells >> np.uint32(3)] >> (np.uint32(7) - (cells & np.uint32(7))).astype(np.uint8)) & 1 > 0
-        return good
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, doc, tag), once for each document."""
+    for batch in batches:
+        for part in _slices(batch, 2):
+            found = Windows(_words(part.column(2)))
+            order = np.lexsort((found.anchors, found.anchor_owner))
+            anchor, owner = found.anchors[order], found.anchor_owner[order]
+            fresh = np.ones(len(anchor), bool)
+            fresh[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
+            anchor, owner = anchor[fresh], pa.array(owner[fresh])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), part.column(0).take(owner), part.column(1).take(owner)], names=["anchor", "doc", "tag"])
 
 
-def _candidates(sketch: _Bits, unique: bool):
+def _candidates(unique: bool):
     names = ["h1", "h2", "doc", "tag", "place", "run"]
 
     def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +151,7 @@ def _candidates(sketch: _Bits, unique: bool):
         same = np.concatenate(([False], (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])))
         # In the order of the documents, in which ids and places take little room when shuffled.
         first = np.sort(order[~same])
-        yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int32)), pa.array(doc[first]), pa.array(tag[first]), pa.array(place[first]), pa.array(np.zeros(len(first), np.int32))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), pa.array(doc[first]), pa.array(tag[first]), pa.array(place[first]), pa.array(np.zeros(len(first), np.int32))], names=names)
         head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         # Of rows that repeat an id and a text, all are the first occurrence if one is.
         again = np.sort(order[same & ((doc[order] != doc[head]) | (tag[order] != tag[head]) | (place[order] != place[head]))])
@@ -216,21 +160,27 @@ def _candidates(sketch: _Bits, unique: bool):
             fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] > place[:-1] + 1)))
             at = np.flatnonzero(fresh)
             length = place[np.append(at[1:], len(place)) - 1] - place[at] + 1
-            key = (doc[at].view(np.uint64) * _MIX).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(at), np.int32)), pa.array(doc[at]), pa.array(tag[at]), pa.array(place[at]), pa.array(length)], names=names)
+            # Settled runs are ranked among themselves; the hashes only spread them.
+            spread = (doc[at].view(np.uint64) * _MIX).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(doc[at]), pa.array(tag[at]), pa.array(place[at]), pa.array(length)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for part in _slices(batch, 2):
-                owner, place, h1, h2 = windows(_words(part.column(2)))
-                n += len(h1)
-                if len(h1) and (keep := sketch.all_set(h1)).any():
-                    owner = owner[keep]
-                    held.append((part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], place[keep].astype(np.int32), h1[keep], h2[keep]))
+                found = Windows(_words(part.column(2)))
+                named = part.column(3)
+                flagged = np.unique(np.asarray(named.flatten(), np.int64).view(np.uint64)) if len(named) else np.zeros(0, np.uint64)
+                if not len(found.place) or not len(flagged):
+                    continue
+                at = np.minimum(np.searchsorted(flagged, found.least), len(flagged) - 1)
+                keep = flagged[at] == found.least
+                if keep.any():
+                    (h1, h2), owner = found.hashes(), found.owner[keep]
+                    held.append((part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], found.place[keep].astype(np.int32), h1[keep], h2[keep]))
+                    n += len(owner)
                 if n >= CHUNK // 2:
-                    if held:
-                        yield from emit(held)
+                    yield from emit(held)
                     held, n = [], 0
         if held:
             yield from emit(held)
@@ -238,50 +188,6 @@ def _candidates(sketch: _Bits, unique: bool):
     return run
 
 
-def _doc_hash(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    return _finish(doc.view(np.uint64) * _MIX ^ _finish(tag.view(np.uint64)))
-
-
-def _mark(bits: int):
-    """Packed cells of the documents of (doc, tag) rows."""
-    segment = min(SEGMENT_BITS, bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = np.unique(_cells(_doc_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()), 0, bits))
-            for k in np.unique(cells >> segment).tolist():
-                own = cells[(cells >> segment) == k] - np.uint32(k << segment)
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([k], pa.int32()), pa.array([_pack(own)], pa.binary()), pa.array([_pack(own[:0])], pa.binary())], names=["row", "segment", "once", "more"])
-
-    return run
-
-
-def _may_have_runs(marks: _Bits, batch: pa.RecordBatch) -> np.ndarray:
-    return marks.all_set(_doc_hash(batch.column(2).to_numpy(), batch.column(3).to_numpy()))
-
-
-def _marked(marks: _Bits):
-    """The (doc_id, text, doc, tag) rows that may have runs, as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_may_have_runs(marks, batch)))
-
-    return run
-
-
-def _unmarked(marks: _Bits):
-    """The results of all other rows: nothing is removed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.filter(pa.array(~_may_have_runs(marks, batch)))
-            none = pa.nulls(rest.num_rows, pa.list_(pa.struct([("place", pa.int32()), ("run", pa.int32())])))
-            yield from _remove(iter([pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), none], names=["doc_id", "text", "runs"])]))
-
-    return run
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, digests, spans = [], [], [], []
@@ -305,43 +211,31 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: float = sketch.CELLS_PER_HASH) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_words, n_removed, kept_sha256, removed), ``removed`` being [start, stop) word ranges.
 
-    A null text has no words. Null ids come after all others. Rows that repeat an id but not a text are different
-    documents in the order of their text's hash; rows that repeat both are one document and share its result.
+    A null text has no words, an empty table gives an empty one. Null ids come after all others. Rows that repeat an id but
+    not a text are different documents in the order of their text's hash; rows that repeat both are one document and share its
+    result. Only the two columns are read, so others may have any names. ``cells`` is the sketch's number of counters for each
+    anchor; it changes the cost only.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = min(max_bits, max(10, math.ceil(math.log2(max(2, CELLS_PER_WINDOW * size / BYTES_PER_WORD)))))
+    bits = sketch.bits_for(size / BYTES_PER_ANCHOR, cells)
     unique = docs.groupBy(id_col).count().where("count > 1").limit(1).count() == 0
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     tag = F.lit(0).cast("long") if unique else F.xxhash64(F.col(text_col))
+    slim = docs.select(doc.alias("doc"), tag.alias("tag"), utf8(text_col).alias("text"))
 
-    touched = docs.select(utf8(text_col)).mapInArrow(_sketch(bits), _PACKED)
-    sketch = _merged(spark, touched, bits, DEPTH, 2)
+    repeated = cut(sketch.repeated_cells(docs.select(utf8(text_col)), _all_anchors, bits), "cells")
+    anchors = sketch.estimated_repeated(slim.mapInArrow(_anchor_rows, "anchor long, doc long, tag long"), "anchor", repeated, bits)
+    named = anchors.groupBy("doc", "tag").agg(F.collect_set("anchor").alias("anchors"))  # at most one for each word of a text
 
-    slim = docs.select(doc.alias("doc"), tag.alias("tag"), utf8(text_col).alias("text"))
-    rows = slim.mapInArrow(_candidates(sketch, unique), "h1 long, h2 int, doc long, tag long, place int, run int")
-    nth = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc", "tag", "place"))
+    rows = slim.join(named, ["doc", "tag"]).mapInArrow(_candidates(unique), "h1 long, h2 long, doc long, tag long, place int, run int")
+    nth = F.rank().over(Window.partitionBy(F.col("run") > 0, "h1", "h2").orderBy("doc", "tag", "place"))
     later = rows.withColumn("nth", nth).where("run > 0 or nth > 1").select("doc", "tag", "place", F.greatest("run", F.lit(1)).alias("run"))
     runs = cut(later.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "run")).alias("runs")), "runs")  # at most a row a word
 
-    # Only documents that may have runs are shuffled; a filter of bounded size tells them, and one too many does no harm.
-    marks = min(max_bits, max(10, math.ceil(math.log2(max(2, BITS_PER_DOC * runs.count())))))
-    marked = _merged(spark, runs.select("doc", "tag").mapInArrow(_mark(marks), _PACKED), marks, 1, 1)
-
     texts = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), doc.alias("doc"), tag.alias("tag"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,stop:int>>"
-    judged = texts.mapInArrow(_marked(marked), texts.schema).join(runs, ["doc", "tag"], "left").select("doc_id", "text", "runs")
-    return judged.mapInArrow(_remove, out).unionByName(texts.mapInArrow(_unmarked(marked), out))
-
-
-_PACKED = "row int, segment int, once binary, more binary"
-
-
-def _merged(spark, packed: DataFrame, bits: int, rows: int, least: int) -> _Bits:
-    folded = packed.repartition("row", "segment").mapInArrow(_merge(bits, least), "row int, segment int, bits binary")
-    return _Bits(spark, bits, rows, [(r[0], r[1], bytes(r[2])) for r in folded.collect()])  # at most a bit a counter
+    return texts.join(runs, ["doc", "tag"], "left").select("doc_id", "text", "runs").mapInArrow(_remove, out)

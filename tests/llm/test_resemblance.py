@@ -48,7 +48,7 @@ def edited():
 
 def test_every_pair_is_found(spark, monkeypatch):
     monkeypatch.setattr(resemblance, "SAMPLE", 2)
-    monkeypatch.setattr(resemblance, "LEADERS", (1, 3, None))
+    monkeypatch.setattr(resemblance, "LEADERS", (2, 5, None))
     rows = edited()
     expected = groups(rows)
     found = {r["doc_id"]: r["component_id"] for r in resemblance.near_duplicates(frame(spark, rows).repartition(3)).collect()}
