@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted; adjacent turns of one role share a block, in which a
-separator parts them; prefixes, escaped texts and ends are concatenated. All of it is expressions over the sorted array.
+The turns of a conversation are collected as structs and sorted; an aggregate over the array merges adjacent turns of one
+role to a block, in which a separator parts them; prefixes, escaped texts and ends are concatenated. All of it is expressions.
 
 Template: ``<|role:NAME|>`` opens a block, ``<|next|>`` parts turns of one role, ``<|end|>`` closes a block. In names and texts
 ``~`` is doubled and a ``~`` is put after the first character of anything that could be read as a control string of this or
@@ -29,27 +29,51 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, "~(~?)", "$1")
 
 
+def _blocks(turns: Column) -> Column:
+    """array<struct<role, texts>>: adjacent turns of one role merged."""
+
+    def add(blocks: Column, t: Column) -> Column:
+        last = F.try_element_at(blocks, F.lit(-1))
+        longer = F.struct(last["role"].alias("role"), F.array_append(last["texts"], t["text"]).alias("texts"))
+        fresh = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
+        return F.when(last["role"] == t["role"], F.array_append(F.slice(blocks, 1, F.size(blocks) - 1), longer)).otherwise(F.array_append(blocks, fresh))
+
+    return F.aggregate(turns, F.array().cast("array<struct<role:string,texts:array<string>>>"), add)
+
+
+def _spans(pieces: Column) -> Column:
+    """array<struct<start, stop>> of the learnt pieces' places in the concatenation."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
+
+    def add(state: Column, p: Column) -> Column:
+        stop = state["at"] + F.length(p["text"])
+        learnt = F.array_append(state["spans"], F.struct(state["at"].alias("start"), stop.alias("stop")))
+        return F.struct(stop.alias("at"), F.when(p["loss"], learnt).otherwise(state["spans"]).alias("spans"))
+
+    return F.aggregate(pieces, start, add, lambda state: state["spans"])
+
+
 def format_chats(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: (conv_id, formatted, pieces).
+    """One row per conversation: (conv_id, formatted, loss).
 
-    ``pieces`` are the (text, loss) runs whose concatenation is ``formatted``; loss marks the assistant's words and nothing
-    else. Turns are ordered by turn, nulls first, ties by role and text; repeated rows are turns of their own; null roles
-    and texts count as empty; a null conv_id is a conversation of its own. One conversation must fit one row.
+    ``loss`` are the [start, stop) places in ``formatted`` of the assistant's texts, one for each, and of nothing else. Turns are
+    ordered by turn, nulls first, ties by role and text; repeated rows are turns of their own; null roles and texts count as
+    empty; a null conv_id is a conversation of its own; an empty table gives an empty one; other columns are not read. One
+    conversation must fit one row.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
-    sorted_turns = chats.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    merged = chats.groupBy(F.col(conv_col).alias("conv_id")).agg(_blocks(F.array_sort(F.collect_list(turn))).alias("blocks"))
+
+    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
 
-    def pieces(t: Column, i: Column) -> Column:
-        before = F.get(F.col("turns"), i - 1)["role"]
-        start = F.concat(F.lit(OPEN), escape(t["role"]), F.lit(SHUT))
-        lead = F.when(i == 0, start).when(before == t["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END + "\n"), start))
-        return F.array(F.struct(lead.alias("text"), F.lit(False).alias("loss")), F.struct(escape(t["text"]).alias("text"), (t["role"] == LOSS_ROLE).alias("loss")))
+    def pieces(b: Column) -> Column:
+        lead = F.concat(F.lit(OPEN), escape(b["role"]), F.lit(SHUT))
+        said = F.transform(b["texts"], lambda t, i: F.array(piece(F.when(i == 0, lead).otherwise(F.lit(NEXT)), F.lit(False)), piece(escape(t), b["role"] == LOSS_ROLE)))
+        return F.array_append(F.flatten(said), piece(F.lit(END + "\n"), F.lit(False)))
 
-    runs = F.flatten(F.transform("turns", lambda t, i: pieces(t, i)))
-    last = F.array(F.struct(F.lit(END + "\n").alias("text"), F.lit(False).alias("loss")))
-    formatted = sorted_turns.select("conv_id", F.concat(runs, last).alias("pieces"))
-    return formatted.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), "pieces")
+    made = merged.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
+    return made.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), _spans(F.col("pieces")).alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -66,9 +90,10 @@ def read_back(formatted: Column) -> Column:
 
 
 def chat_digest(chats: DataFrame, **columns) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the formatted text."""
-    made = format_chats(chats, **columns).select("conv_id", "formatted", "pieces", read_back(F.col("formatted")).alias("turns"))
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the formatted text and its mask."""
+    made = format_chats(chats, **columns).withColumn("turns", read_back(F.col("formatted")))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescape(p["text"])), "")
+    masked = lambda s: F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))
+    learnt = F.array_join(F.transform("loss", lambda s: unescape(masked(s))), "")
     rows = made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), spoken.alias("spoken"), learnt.alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
     return rows.select("conv_id", "n_turns", F.sha2("spoken", 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")

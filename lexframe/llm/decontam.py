@@ -5,9 +5,10 @@ window). For each pattern length there is a table of block shifts: how far the s
 ``BLOCK`` words, the full distance for a block in no pattern. At shift zero the bucket of that suffix block, divided by
 the patterns' first word, names the candidates, and only a direct comparison of all words confirms an occurrence.
 
-Benchmark texts are collected in blocks of at most about ``max_block_bytes`` (one item cannot be divided), so the broadcast
-tables are bounded however large the benchmark is: with one block the search only maps the documents, with more the
-documents are searched once for each block and the hits of a document are merged.
+Benchmark texts are collected in blocks of at most about ``max_block_bytes`` (one item cannot be divided), one block at a time:
+its hits are written and its tables released before the next is fetched, so driver and executors hold one block however large
+the benchmark is. With one block the search only maps the documents, with more the documents are searched once for each block
+and the hits of a document are merged.
 """
 
 from __future__ import annotations
@@ -117,15 +118,16 @@ class _Tables:
         return _Tables._compiled[self.key]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> list[_Tables]:
+def _count_blocks(items: DataFrame, text_col: str, max_block_bytes: int) -> int:
     size = items.agg(F.sum(F.octet_length(text_col) + 32)).first()[0] or 0
-    n = max(1, math.ceil(size / max_block_bytes))
-    slim = items.select(F.col(id_col).cast("string"), utf8(text_col), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).alias("block"))
-    tables = []
-    for k in range(n):
-        rows = slim.where(F.col("block") == k).collect() if n > 1 else slim.collect()
-        tables.append(_Tables(items.sparkSession, [(r[0], None if r[1] is None else bytes(r[1])) for r in rows]))
-    return tables
+    return max(1, math.ceil(size / max_block_bytes))
+
+
+def _block(items: DataFrame, id_col: str, text_col: str, n: int, k: int) -> _Tables:
+    """The k-th of n blocks, of bounded size."""
+    slim = items.select(F.col(id_col).cast("string"), utf8(text_col))
+    rows = slim.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k).collect() if n > 1 else slim.collect()
+    return _Tables(items.sparkSession, [(r[0], None if r[1] is None else bytes(r[1])) for r in rows])
 
 
 def _digest(items) -> str:
@@ -138,7 +140,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ``spans`` are the hit words as [start, stop) pairs, ``items`` the sorted ids. Null and wordless texts have no words
     and no hits. Items with a null id are searched for but not listed; rows that repeat an item id add to that item.
     """
-    blocks = _blocks(items, item_col, item_text_col, max_block_bytes)
+    n = _count_blocks(items, item_text_col, max_block_bytes)
     slim = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
@@ -162,11 +164,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return run
 
     schema = f"doc_id {kind}, key string, n_words long, spans array<int>, items array<string>"
-    if len(blocks) == 1:
-        found = slim.mapInArrow(scan(blocks[0], False), schema)
+    if n == 1:
+        found = slim.mapInArrow(scan(_block(items, item_col, item_text_col, n, 0), False), schema)
     else:
-        parts = [slim.mapInArrow(scan(t, True), schema).withColumn("part", F.lit(k)) for k, t in enumerate(blocks)]
-        hits = cut(reduce(DataFrame.unionByName, parts), "hits").dropDuplicates(["doc_id", "key", "part"])
+        parts = []
+        for k in range(n):
+            tables = _block(items, item_col, item_text_col, n, k)
+            parts.append(cut(slim.mapInArrow(scan(tables, True), schema), "hits").withColumn("part", F.lit(k)))
+            tables.items.destroy()
+        hits = reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "key", "part"])
         merged = hits.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         own = slim.mapInArrow(_count_words, f"doc_id {kind}, key string, n_words long")
         match = own["doc_id"].eqNullSafe(merged["doc_id"]) & (own["key"] == merged["key"])
@@ -194,9 +200,13 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs, columns unchanged. Each block of items filters in turn."""
-    at = docs.columns.index(text_col)
-    for tables in _blocks(items, item_col, item_text_col, max_block_bytes):
+    """The rows of ``docs`` in which no window of an item occurs, columns unchanged. Each block of items filters in turn.
+
+    Null and wordless texts stay, null items match nothing, repeated rows are judged alike; with an empty benchmark all stay.
+    """
+    at, n = docs.columns.index(text_col), _count_blocks(items, item_text_col, max_block_bytes)
+    for k in range(n):
+        tables = _block(items, item_col, item_text_col, n, k)
 
         def clean(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -204,4 +214,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if n > 1:
+            docs = cut(docs, "uncontaminated")
+            tables.items.destroy()
     return docs

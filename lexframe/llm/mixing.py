@@ -6,7 +6,7 @@ meets a target entropy, a repetition limit, or both; each job evaluates the midp
 aggregates alone, so the table of sources is never collected.
 
 A source's budget is its weight times the token budget. The budget is realised on a permutation of blocks: documents
-are dealt into blocks by hash, whole passes over the source are taken first, then blocks in permuted order as far as
+are dealt into blocks by a hash of id and tokens, whole passes over the source are taken first, then blocks in permuted order as far as
 the budget goes, and of the one block in which it ends the documents in permuted order. Only sums of blocks are
 ordered within a source; rows of a source, however hot, are spread over its blocks. Only DataFrame expressions are used.
 """
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = cut(plan.select("__source", "__share", "__weight", "__rep", "__passes", "__left", "__blocks"), "mix-plan")
 
     # The plan has a row for each source: Spark broadcasts it if it is small and otherwise splits the skewed join.
-    dealt = counted.join(plan, "__source").withColumn("__block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.col("__blocks")))
+    dealt = counted.join(plan, "__source").withColumn("__block", F.pmod(F.xxhash64(F.col(id_col), "n_tokens", F.lit(seed)), F.col("__blocks")))
     sums = dealt.groupBy("__source", "__block").agg(F.sum("n_tokens").alias("t"), F.first("__left").alias("__room"))
     order = Window.partitionBy("__source").orderBy(F.xxhash64("__block", F.lit(seed + 1)), "__block")
     before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -127,6 +127,10 @@ def schedule(mixed: DataFrame, id_col: str = "doc_id", seed: int = 17) -> DataFr
 
 
 def realise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` as the mixture uses them, columns unchanged: a document comes up as often as it is used."""
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__src"), count_words(F.col(text_col)).alias("__n"))
+    """``docs`` as the mixture uses them, columns unchanged: a document comes up as often as it is used.
+
+    A null source is a source of its own; a null text has no tokens and is used with every pass begun; rows that repeat an id
+    are used each for itself; an empty table gives an empty one.
+    """
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__src"), count_words(F.col(text_col)).alias("__n"))
     return schedule(mix(packed, "__id", source_col="__src", tokens=F.col("__n"), **options), "__id").select("__row.*")

@@ -7,7 +7,8 @@ only overflowing keys leave the shard that plain consistent hashing gives them.
 
 The flow is decided on counts of ring cells (``CELLS``, a fixed number, so the collected table is bounded). Rows then need
 only their rank within a cell: a cell holds 1/65536 of the keys whatever the shard sizes are, so no task sees a whole shard.
-Data pass through DataFrame expressions only. Rows that repeat one doc_id share a cell.
+Data pass through DataFrame expressions only. A row's key is its doc_id and a hash of its text, so that rows which repeat an
+id, or have none, are spread unless their texts are equal too.
 """
 
 from __future__ import annotations
@@ -72,10 +73,11 @@ def capacities(rows: int, shards: int) -> list[int]:
 def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """``docs`` with ``shard`` int and ``slot`` long, the row's gapless place in its shard (columns of these names are replaced).
 
-    A null id is a key like any other. ``docs`` must give the same rows each time it is read.
+    A null id is a key like any other, a null text counts as empty; rows equal in id and text are placed in any order. An empty
+    table gives an empty one. ``docs`` must give the same rows each time it is read.
     """
     docs = docs.drop(*[c for c in ("shard", "slot") if c in docs.columns])
-    key = F.xxhash64(F.col(id_col).cast("string"))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
     placed = docs.withColumn("__key", key).withColumn("__cell", F.shiftrightunsigned("__key", 64 - CELL_BITS).cast("int"))
     counts = {r[0]: r[1] for r in docs.select(F.shiftrightunsigned(key, 64 - CELL_BITS).cast("int").alias("c")).groupBy("c").count().collect()}
     segments, filled = [], [0] * shards
@@ -84,7 +86,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
         filled[shard] += stop - start
     packed = docs.sparkSession.range(1).select(F.from_json(F.lit(json.dumps(segments)), "array<array<bigint>>").alias("s")).select(F.explode("s").alias("s"))
     table = packed.select(F.col("s")[0].cast("int").alias("__c"), F.col("s")[1].alias("__from"), F.col("s")[2].alias("__to"), F.col("s")[3].cast("int").alias("shard"), F.col("s")[4].alias("__slot"))
-    order = Window.partitionBy("__cell").orderBy("__key", F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    order = Window.partitionBy("__cell").orderBy("__key", F.col(id_col))
     ranked = placed.withColumn("__rank", F.row_number().over(order) - F.lit(1))
     joined = ranked.join(table, (F.col("__cell") == F.col("__c")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
     return joined.withColumn("slot", (F.col("__slot") + F.col("__rank") - F.col("__from")).cast("long")).select(*[F.col(c) for c in docs.columns], "shard", "slot")

@@ -60,7 +60,7 @@ def extend(ends: dict, byte_score: float, token: str, end: int, best: list[float
     """Best score and its number of pieces for ``token[:end]``, given those of all shorter prefixes; ties take fewer pieces.
     Pieces that end here are met by walking ``ends`` backwards, which stops where no piece goes on."""
     start = end - 1
-    width = len(token[start].encode())
+    width = len(token[start].encode("utf-8", "surrogateescape"))
     top, pieces = best[start] + width * byte_score, count[start] + width
     while start >= 0:
         entry = ends.get(token[start])
@@ -84,7 +84,7 @@ class Counter(dict):
         self.root, self.nodes = {}, 0
 
     def __missing__(self, word: bytes) -> int:
-        token, best, count = MARK + word.decode(), [0.0], [0]
+        token, best, count = MARK + word.decode("utf-8", "surrogateescape"), [0.0], [0]
         if len(token) > LONGEST:
             for end in range(1, len(token) + 1):
                 top, pieces = extend(self.ends, self.byte_score, token, end, best, count)
@@ -108,7 +108,9 @@ class Counter(dict):
 
 
 def token_counts(docs: DataFrame, model: Unigram | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_words, n_tokens). Null and blank texts have none."""
+    """One row per row of ``docs``: (doc_id, n_words, n_tokens). Null and blank texts have none; a byte that is no UTF-8 is a
+    character of its own, in no piece. Rows that repeat an id or a text are counted each; an empty table gives an empty one;
+    other columns are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(model or load())
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 

@@ -35,7 +35,8 @@ def test_round_trip(spark):
 def test_adjacent_turns_share_a_block(spark):
     row = chat.format_chats(frame(spark)).where("conv_id = 1").first()
     assert row["formatted"].count(chat.OPEN) == 2 and row["formatted"].count(chat.NEXT) == 2 and row["formatted"].count(chat.END) == 2
-    assert "".join(p["text"] for p in row["pieces"]) == row["formatted"]
+    masked = [row["formatted"][x["start"] : x["stop"]] for x in row["loss"]]
+    assert masked == ["", "b", "~~~~<~|~~|next|~>[~INST]"]
     assert "[INST]" not in row["formatted"] and "<|end|>\n\n" not in row["formatted"]
 
 

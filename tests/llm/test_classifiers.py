@@ -98,6 +98,93 @@ def test_segments_against_all_subsequences():
         assert all(math.isclose(s, sum(scores[a : b + 1])) for a, b, s in found)
 
 
+def test_long_texts_are_scanned_in_linear_time():
+    """Rising left sums keep every segment on the list; a scan back over all of them would take minutes."""
+    import time
+
+    began = time.perf_counter()
+    found = toxicity.segments([(100 * i, 1.0) for i in range(300_000)], 0.4)
+    falling = toxicity.segments([(i, 1.0 + i % 2) for i in range(0, 300_000, 3)], 0.5)
+    assert len(found) == 300_000 and falling and time.perf_counter() - began < 5
+
+
+def plain_toxicity(rows, settings):
+    """Lexicon, lambda, K and scoring computed again, row by row."""
+    grams = lambda t: {"=" + t, *(t[:k] for k in settings.prefixes if len(t) >= k)}
+    own = [(toxicity._minhashes(toxicity.tokens_of(t)), y, sorted({f for w in set(toxicity.tokens_of(t)) for f in grams(w)})) for t, y in rows]
+    first = {h[0]: max((y, g[1], f) for g, y, f in own if g[0] == h[0]) for h, _, _ in own}
+    second = {h: max((y, f) for y, g, f in first.values() if g == h) for _, h, _ in first.values()}
+    kept = {h: (h, y, f) for h, (y, f) in second.items()}
+    n = [sum(y == c for _, y, _ in kept.values()) for c in (0, 1)]
+    count = {}
+    for _, y, features in kept.values():
+        for f in features:
+            count.setdefault(f, [0, 0])[y] += 1
+    lexicon = {}
+    for f, (clean, toxic) in count.items():
+        prior = (clean + toxic) / sum(n) * settings.prior
+        odds = lambda c, of, prior=prior: math.log((c + prior) / (of + settings.prior - c - prior))
+        d, e = odds(toxic, n[1]) - odds(clean, n[0]), math.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+        if toxic >= settings.least_docs and d >= settings.least_z * e and d - 1.96 * e > settings.least_score:
+            lexicon[f] = d - 1.96 * e
+    value = lambda t: max([lexicon.get(f, 0.0) for f in grams(t)] + [0.0])
+    scored = [([value(t) for t in toxicity.tokens_of(text)], y) for text, y in rows]
+    found = [toxicity.segments([(i, s) for i, s in enumerate(v) if s], settings.drift) for v, _ in scored]
+    total, hits = sum(len(v) for v, y in scored if not y), {}
+    for v, y in scored:
+        for s in v if not y else ():
+            if s:
+                hits[round(s, 1)] = hits.get(round(s, 1), 0) + 1
+    top, least = max(lexicon.values()), min(lexicon.values())
+    hits[top] = hits.get(top, 0) + 1
+    hits[0.0] = max(1, total - sum(hits.values()))
+    rate = toxicity._rate(hits, settings.drift)
+    reached = sum(s >= least for x, (_, y) in zip(found, scored, strict=True) if not y for _, _, s in x)
+    factor = min(10.0, max(1e-4, (reached + 0.5) / (max(1, total) * math.exp(-rate * least))))
+    evidence = [math.log1p(sum(e for e in (rate * s - math.log(factor * max(1, len(v))) for _, _, s in x) if e > -math.log(settings.significant))) for x, (v, _) in zip(found, scored, strict=True)]
+    beta = linear.logistic(np.array(evidence)[:, None], np.array([y for _, y in scored], float))
+    return lexicon, rate, factor, [float(linear.sigmoid(max(0.0, beta[0]) * e + beta[1])) for e in evidence]
+
+
+def test_toxicity_against_plain(spark, tables):
+    docs, labels = tables
+    rows = [(r["text"], r["toxic"]) for r in docs.join(labels, "doc_id").where("doc_id < 200").select("text", "toxic").collect()]
+    settings = toxicity.Settings(least_score=0.2, drift=0.3)
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"), settings)
+    lexicon, rate, factor, scores = plain_toxicity(rows, settings)
+    assert model.lexicon == pytest.approx(lexicon) and lexicon
+    assert (model.rate, model.factor) == (pytest.approx(rate), pytest.approx(factor))
+    held = toxicity.Scores(model.lexicon, settings.prefixes)
+    assert [model.score(model.passages(toxicity.tokens_of(t), held)) for t, _ in rows] == pytest.approx(scores, abs=1e-6)
+
+
+def test_quality_ratios_and_objective_against_plain():
+    docs, labels = corpus(120)
+    features, y = quality.Features(), np.array([q for _, q, _ in labels])
+    x = [features(d[1]) for d in docs]
+    ratio = quality.log_count_ratio(x, y)
+    p = [1 + sum(place in own for own, c in zip([set(v.tolist()) for v in x], y, strict=True) if c == k) for k in (1, 0) for place in (int(x[0][0]), int(x[5][-1]))]
+    whole = [(1 << quality.BITS) + sum(len(v) for v, c in zip(x, y, strict=True) if c == k) for k in (1, 0)]
+    assert [ratio[int(x[0][0])], ratio[int(x[5][-1])]] == pytest.approx([math.log(p[0] / whole[0] / (p[2] / whole[1])), math.log(p[1] / whole[0] / (p[3] / whole[1]))])
+
+    values = [ratio[v] / np.sqrt(len(v)) for v in x]
+    sign = np.where(y > 0, 1, -1)
+    cost = {t: len(y) / (2 * (sign == t).sum()) for t in (-1, 1)}
+
+    def objective(w):
+        return 0.5 * w @ w + sum(cost[t] * max(0.0, 1 - t * (w[v] @ a + w[-1])) for v, a, t in zip(x, values, sign, strict=True))
+
+    best = linear.dual_coordinate_descent(x, values, sign, 1 << quality.BITS, epochs=200)
+    rng, used = np.random.default_rng(1), np.unique(np.concatenate(x))
+    for scale in (1e-1, 1e-2, 1e-3):
+        for _ in range(8):
+            other = best.copy()
+            other[used] += rng.normal(size=len(used)) * scale
+            other[-1] += rng.normal() * scale
+            assert objective(other) > objective(best) * (1 - 1e-2)
+    assert objective(best * 0.98) > objective(best) * (1 - 1e-2) and objective(best * 1.02) > objective(best) * (1 - 1e-2)
+
+
 def test_lambda_solves_its_equation():
     rate = toxicity._rate({0.0: 9900, 2.0: 90, 4.0: 10}, 0.5)
     assert 0.99 * math.exp(-0.5 * rate) + 0.009 * math.exp(2 * rate) + 0.001 * math.exp(4 * rate) == pytest.approx(1.0, abs=1e-9)

@@ -70,3 +70,10 @@ def test_empty_tables(spark):
     rows = decontam.contamination(frame(spark), table(spark, [])).collect()
     assert len(rows) == len(awkward()) and not any(r["contaminated"] for r in rows)
     assert decontam.drop_contaminated(frame(spark), table(spark, [])).count() == len(awkward())
+
+
+def test_invalid_bytes_are_word_characters(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(unhex('61ff20622063') AS STRING) AS text")
+    items = spark.sql("SELECT 1L AS item_id, CAST(unhex('61ff2062') AS STRING) AS text")
+    row = decontam.contamination(df, items).first()
+    assert (row["n_words"], row["n_hit"], row["n_items"]) == (3, 2, 1)

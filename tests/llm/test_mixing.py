@@ -77,6 +77,31 @@ def test_plain_realisation(spark):
                 stopped = r["block"]
 
 
+def test_exponent_against_plain(spark):
+    """Weights and repetition by halving in plain Python, to a target entropy and to a repetition limit."""
+    own = totals()
+    share = {k: v / sum(own.values()) for k, v in own.items()}
+
+    def weights(a):
+        power = {k: p**a for k, p in share.items()}
+        return {k: v / sum(power.values()) for k, v in power.items()}
+
+    def entropy(a):
+        return -sum(w * math.log(w) for w in weights(a).values()) / math.log(len(share))
+
+    def repeated(a):
+        return max(w / share[k] for k, w in weights(a).items())
+
+    for goal, options in ((lambda a: entropy(a) <= 0.9, {"target_entropy": 0.9}), (lambda a: repeated(a) <= 1.7, {"max_repetition": 1.7, "target_entropy": 1.0})):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if goal(middle) else (middle, high)
+        found = mixing.mix(docs(spark), budget_tokens="corpus", **options).select("source", "weight", "repetition").distinct().collect()
+        assert {r["source"]: r["weight"] for r in found} == pytest.approx(weights(high), abs=1e-6)
+        assert {r["source"]: r["repetition"] for r in found} == pytest.approx({k: w / share[k] for k, w in weights(high).items()}, abs=1e-5)
+
+
 def test_realise_repeats_rows_and_keeps_columns(spark):
     out = mixing.realise(docs(spark), max_repetition=2.0)
     assert out.columns == docs(spark).columns and out.select("doc_id").distinct().count() == sum(SIZES.values()) and out.count() > sum(SIZES.values())

@@ -42,3 +42,9 @@ def test_long_word_and_empty_table(spark):
     row = tokens.token_counts(frame(spark, [(1, word, None, None, None, None, None, None)]), SMALL).first()
     assert row["n_tokens"] == plain(SMALL, tokens.MARK + word)
     assert tokens.token_counts(frame(spark, []), SMALL).count() == 0
+
+
+def test_invalid_bytes_are_single_characters(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(unhex('756eff6f20c3') AS STRING) AS text")
+    row = tokens.token_counts(df, SMALL).first()
+    assert (row["n_words"], row["n_tokens"]) == (2, 5)
