@@ -125,12 +125,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: in
     possible = (most + NEAR_ZERO) * (1 + similarity) >= similarity * (F.col("u_n") + F.col("v_n"))
     pairs = cut(pairs.join(second, "v").join(first, "u").where(possible).select("u", "v"), "possible")
     wanted = nodes.select("digest", "doc", "raw").join(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct(), "digest", "left_semi")
+    wanted = cut(wanted, "wanted")  # its size is known now, so that Spark need not shuffle the texts if it is small
     sets = cut(_sets(texts, wanted, shingle), "sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
     both = pairs.join(right, "v").join(left, "u").withColumn("shared", F.size(F.array_intersect("u_set", "v_set")))
     union = F.size("u_set") + F.size("v_set") - F.col("shared")
     alike = cut(both.where(F.col("shared") >= similarity * union - NEAR_ZERO).select("u", "v").distinct(), "alike")
-    discard(pairs, sets)
+    discard(pairs, sets, wanted)
     return alike
 
 

@@ -36,6 +36,7 @@ LEAF = 384
 CHUNK = 1 << 15
 ROUTED_ROWS = 1 << 20
 SHARD_ROWS = 8192
+SALTS = 16
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -254,8 +255,10 @@ def drop_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     of several texts of that id the one with the least hash. Of rows that repeat an id and a text one stays."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "raw")
     found = cut(found.groupBy("root", "doc_id", "raw").agg(F.count("*").alias("n")).withColumn("place", place), "found")
-    first = found.groupBy("root").agg(F.min("place").alias("first"))
-    gone = found.join(first, "root").where("place <> first").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"))
+    first = found.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1")
+    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    several = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"])
+    gone = cut(several.where("place <> first").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")), "gone")
     match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__raw"))
     kept = docs.join(gone, match, "left_anti")
     twice = found.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"))
