@@ -6,7 +6,8 @@ windows, and there are seven times fewer of them than windows. First pass: the p
 (see ``sketch``). Second pass: anchors estimated repeated are named to their documents, and the windows that have one, and
 only these, are grouped exactly; tasks first settle what repeats within ``CHUNK`` windows, so a window that a third of
 all documents share makes a row for each chunk, not for each occurrence. The first occurrence in the order of (doc_id,
-place) stays. Sketches, anchors and windows go by shuffles only: nothing grows on the driver or is broadcast.
+place) stays. Sketches, anchors and windows go by shuffles only; what
+is broadcast are bit maps of documents, of at most 32 MB.
 
 Windows are grouped by two 64-bit hashes, both made of one 64-bit hash per word. Two of V different words are confused with a
 probability of at most V**2 / 2**65 (V = 10**8: 0.03 %), two of N different windows with N**2 / 2**129.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import cut, utf8
+from .common import cut, discard, utf8
 
 WINDOW = 20
 GRAM = 8
@@ -224,18 +225,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     unique = docs.groupBy(id_col).count().where("count > 1").limit(1).count() == 0
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     tag = F.lit(0).cast("long") if unique else F.xxhash64(F.col(text_col))
-    slim = docs.select(doc.alias("doc"), tag.alias("tag"), utf8(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), doc.alias("doc"), tag.alias("tag")).withColumn("key", F.xxhash64("doc", "tag"))
+    key = F.xxhash64("doc", "tag").alias("key")
 
     repeated = cut(sketch.repeated_cells(docs.select(utf8(text_col)), _all_anchors, bits), "cells")
-    anchors = sketch.estimated_repeated(slim.mapInArrow(_anchor_rows, "anchor long, doc long, tag long"), "anchor", repeated, bits)
-    named = anchors.groupBy("doc", "tag").agg(F.collect_set("anchor").alias("anchors"))  # at most one for each word of a text
+    anchors = sketch.estimated_repeated(texts.select("doc", "tag", "text").mapInArrow(_anchor_rows, "anchor long, doc long, tag long"), "anchor", repeated, bits)
+    named = cut(anchors.groupBy("doc", "tag").agg(F.collect_set("anchor").alias("anchors")), "anchors")  # at most one a word
 
-    rows = slim.join(named, ["doc", "tag"]).mapInArrow(_candidates(unique), "h1 long, h2 long, doc long, tag long, place int, run int")
+    # Only texts that have such an anchor are shuffled, and below only those that may lose words: marks of bounded size tell.
+    near = sketch.Marks(named.select(key)).part(texts.select("doc", "tag", "text", "key"), "key", True)
+    rows = near.join(named, ["doc", "tag"]).select("doc", "tag", "text", "anchors").mapInArrow(_candidates(unique), "h1 long, h2 long, doc long, tag long, place int, run int")
     nth = F.rank().over(Window.partitionBy(F.col("run") > 0, "h1", "h2").orderBy("doc", "tag", "place"))
     later = rows.withColumn("nth", nth).where("run > 0 or nth > 1").select("doc", "tag", "place", F.greatest("run", F.lit(1)).alias("run"))
     runs = cut(later.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "run")).alias("runs")), "runs")  # at most a row a word
+    discard(repeated, named)
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), doc.alias("doc"), tag.alias("tag"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,stop:int>>"
-    return texts.join(runs, ["doc", "tag"], "left").select("doc_id", "text", "runs").mapInArrow(_remove, out)
+    losing = sketch.Marks(runs.select(key))
+    judged = losing.part(texts, "key", True).join(runs, ["doc", "tag"], "left").select("doc_id", "text", "runs").mapInArrow(_remove, out)
+    none = F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")
+    return judged.unionByName(losing.part(texts.select("doc_id", "text", "key"), "key", False).select("doc_id", "text", none).mapInArrow(_remove, out))

@@ -106,4 +106,4 @@ def test_pass_rate_does_not_grow_with_the_input(spark, size):
 
     passed = {r[0] for r in sketch.estimated_repeated(rows, "h", sketch.repeated_cells(rows, hashes, bits), bits).distinct().collect()}
     assert set(once[:50].tolist()) <= passed
-    assert (len(passed) - 50) / size < 0.15
+    assert (len(passed) - 50) / size < 0.005
