@@ -3,14 +3,17 @@
 A pre-token is a word between ASCII white space with the vocabulary's word mark before it. The model scores a piece of
 the given vocabulary by its rank, -ln(rank + OFFSET) (a Zipf-Mandelbrot law, nothing is trained), and a character in no piece by its UTF-8
 bytes. Each worker inserts the distinct pre-tokens it meets in a trie; a node keeps the best forward score of its prefix
-and the number of pieces that reach it, computed once however many pre-tokens share the prefix, and a terminal keeps its
-pre-token's count. Trie and counts are emptied when they reach ``NODES``; pre-tokens over ``LONGEST`` characters are computed
-without being kept, so memory is bounded. Documents are only mapped, nothing is shuffled.
+and the number of pieces that reach it, computed once however many pre-tokens share the prefix. The counts of terminals are
+also kept by pre-token, so that one met again needs no walk, and both live as long as the worker does, not only for a task. The
+trie is emptied when it reaches ``NODES`` and the counts when they reach ``WORDS``; pre-tokens over ``LONGEST`` characters are
+computed without being kept, so memory is bounded. Documents are only mapped, nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,7 @@ MARK = "▁"
 OFFSET = 10.0
 BYTE_PENALTY = 10.0
 NODES = 800_000
+WORDS = 1_500_000
 LONGEST = 256
 
 
@@ -92,8 +96,9 @@ class Counter(dict):
                 count.append(pieces)
             return count[-1]
         if self.nodes >= NODES:
-            self.clear()
             self.root, self.nodes = {}, 0
+        if len(self) >= WORDS:
+            self.clear()
         children = self.root
         for end, letter in enumerate(token, 1):
             node = children.get(letter)
@@ -107,22 +112,38 @@ class Counter(dict):
         return count[-1]
 
 
+_counters: dict[str, Counter] = {}
+
+
+def _counter(name: str, model: Unigram) -> Counter:
+    """The worker's counter for this model; there is one at a time."""
+    if name not in _counters:
+        _counters.clear()
+        _counters[name] = Counter(model)
+    return _counters[name]
+
+
 def token_counts(docs: DataFrame, model: Unigram | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_words, n_tokens). Null and blank texts have none; a byte that is no UTF-8 is a
     character of its own, in no piece. Rows that repeat an id or a text are counted each; an empty table gives an empty one;
     other columns are not read."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or load())
+    sent, name = docs.sparkSession.sparkContext.broadcast(model or load()), uuid.uuid4().hex
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(sent.value)
-        get = counter.__getitem__
-        for batch in batches:
-            words, tokens = [], []
-            for text in batch.column(1):
-                own = (text.as_py() or b"").split()
-                words.append(len(own))
-                tokens.append(sum(map(get, own)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        get = _counter(name, sent.value).__getitem__
+        collecting = gc.isenabled()
+        gc.disable()  # the trie has no cycles, and looking for some takes longer than the scores
+        try:
+            for batch in batches:
+                words, tokens = [], []
+                for text in batch.column(1):
+                    own = (text.as_py() or b"").split()
+                    words.append(len(own))
+                    tokens.append(sum(map(get, own)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        finally:
+            if collecting:
+                gc.enable()
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
