@@ -25,7 +25,8 @@ TOKEN = r"\d+(?:[./]\d+)*|[a-z]+"
 
 def normalize(text: Column) -> Column:
     """Lower case without accents; punctuation stays. Exact for the letters of western European languages."""
-    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}", ""), ACCENTED, PLAIN)
+    marked = F.translate(F.regexp_replace(F.lower(text), r"\p{M}", ""), ACCENTED, PLAIN)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), marked).otherwise(F.lower(text))
 
 
 def clean(text: Column) -> Column:
@@ -35,8 +36,7 @@ def clean(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Array of terms: numbers (with inner . or /) and letter runs, function words dropped, unstemmed."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.regexp_extract_all(normalize(text), F.lit(TOKEN), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(normalize(text), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(*STOPWORDS))
 
 
 def term_id(term: Column) -> Column:

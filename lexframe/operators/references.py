@@ -30,26 +30,36 @@ def _plain(text: Column) -> Column:
     return normalize(F.regexp_replace(text, r"(?<=\d)\s*\.?\s*[ºª°]", ""))
 
 
-def _literal_aliases(catalog: DataFrame) -> Column:
-    """The catalog's aliases as one constant array, in their order of use. A catalog is a small dimension: its rows are counted."""
-    rows = alias_table(catalog).orderBy(F.desc("length"), "ord").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a catalog of over 10,000 aliases needs a join, not an array")
-    one = lambda i, r: F.struct(F.lit(i).alias("rank"), F.lit(r["norm_id"]).alias("norm_id"), F.lit(rf"(?<![\w/])\Q{r['alias']}\E(?![\w/])").alias("pattern"))
-    return F.array(*[one(i, r) for i, r in enumerate(rows)])
+MOST_ALIASES = 1000
 
 
-def _positions(text: Column, known: Column) -> Column:
-    found = F.transform(known, lambda a: F.struct(F.regexp_instr(text, a["pattern"]).alias("at"), a["rank"].alias("rank"), a["norm_id"].alias("norm_id")))
-    return F.filter(found, lambda x: x["at"] > 0)
+def _literal_aliases(catalog: DataFrame) -> list[tuple[int, str, str]]:
+    """(rank, norm_id, pattern) of the catalog's aliases in their order of use. A catalog is a small dimension: its rows are
+    counted. As literals the patterns are compiled once a task, not once a row."""
+    rows = alias_table(catalog).orderBy(F.desc("length"), "ord").limit(MOST_ALIASES + 1).collect()
+    if len(rows) > MOST_ALIASES:
+        raise ValueError(f"a catalog of over {MOST_ALIASES} aliases needs a join, not literals")
+    return [(i, r["norm_id"], rf"(?<![\w/])\Q{r['alias']}\E(?![\w/])") for i, r in enumerate(rows)]
 
 
-def resolve_norm(text: Column, known: Column) -> Column:
+def _positions(text: Column, known: list[tuple[int, str, str]]) -> Column:
+    """array<struct<at,rank,norm_id>> of the aliases that ``text`` holds."""
+    if not known:
+        return F.array().cast("array<struct<at:int,rank:int,norm_id:string>>")
+
+    def found(t: Column) -> Column:
+        return F.array(*[F.struct(F.regexp_instr(t, F.lit(pattern)).alias("at"), F.lit(i).alias("rank"), F.lit(norm).alias("norm_id")) for i, norm, pattern in known])
+
+    # The text is bound once, however many aliases there are.
+    return F.filter(F.transform(F.array(text), found)[0], lambda x: x["at"] > 0)
+
+
+def resolve_norm(text: Column, known: list[tuple[int, str, str]]) -> Column:
     """The norm mentioned first in normalised ``text``; of aliases at one place the longest."""
     return F.array_min(_positions(text, known))["norm_id"]
 
 
-def mentioned_norms(text: Column, known: Column) -> Column:
+def mentioned_norms(text: Column, known: list[tuple[int, str, str]]) -> Column:
     """All norms mentioned, those with longer aliases first, then in catalog order."""
     return F.array_distinct(F.transform(_positions(normalize(text), known), lambda x: x["norm_id"]))
 
@@ -61,12 +71,12 @@ def _mentions(text: Column, pattern: str) -> Column:
     return F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get(tails, i + 1).alias("tail")))
 
 
-def _norm_after(tail: Column, known: Column) -> Column:
+def _norm_after(tail: Column, known: list[tuple[int, str, str]]) -> Column:
     near = F.split(F.substring(tail, 1, WINDOW), NEXT_MENTION, 2)[0]
     return F.when(near.rlike(OF_NORM), resolve_norm(near, known))
 
 
-def _dispositions(plain: Column, kind: str, pattern: str, known: Column) -> Column:
+def _dispositions(plain: Column, kind: str, pattern: str, known: list[tuple[int, str, str]]) -> Column:
     """References to dispositions of one kind; a second word that is no ordinal is left to the text."""
 
     def one(m: Column) -> Column:
@@ -78,7 +88,7 @@ def _dispositions(plain: Column, kind: str, pattern: str, known: Column) -> Colu
     return F.filter(F.transform(_mentions(plain, pattern), one), lambda r: r["number"].isNotNull())
 
 
-def parse_references(text: Column, known: Column) -> Column:
+def parse_references(text: Column, known: list[tuple[int, str, str]]) -> Column:
     """array<struct<kind,number,apartado,norm_id>> of the provisions referred to: articles, then dispositions, without repeats."""
     plain = _plain(text)
 
@@ -115,6 +125,12 @@ def find_provisions(refs: DataFrame, chunks: DataFrame, keys: list[str], limit:
     return chosen.where(F.col("place") <= limit).drop("__n", "__choice", "__best", "__apartado")
 
 
+def find_by_block(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of the blocks that ``wanted`` (norm_id, block_id) names, with their ``place`` in the block."""
+    found = chunks.join(wanted.select("norm_id", "block_id").distinct(), ["norm_id", "block_id"], "left_semi")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("norm_id", "block_id").orderBy("seq", "chunk_id")))
+
+
 def reference_hits(refs: DataFrame, chunks: DataFrame, query_col: str, norms_of_filter: list[str] | None = None, limit: int = HITS_PER_REFERENCE) -> DataFrame:
     """(query, place, chunk_id, score, sources): references without a norm take those of the filter, else they are skipped."""
     own = F.when(F.col("norm_id").isNotNull(), F.array("norm_id")).otherwise(F.array(*map(F.lit, norms_of_filter or [])).cast("array<string>"))

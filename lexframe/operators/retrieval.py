@@ -19,7 +19,8 @@ CANDIDATES, RERANK_CANDIDATES, TOP_K = 50, 20, 8
 
 @dataclass(frozen=True)
 class ChunkFilter:
-    """Members are alternatives, different members must all hold; repealed chunks are left out unless asked for."""
+    """Members are alternatives, different members must all hold; repealed chunks are left out unless asked for. A null member
+    does not match: the predicate may be null, which a filter drops, and is a conjunction that Spark pushes to the scan."""
 
     norm_ids: Sequence[str] = ()
     topics: Sequence[str] = ()
@@ -38,7 +39,17 @@ class ChunkFilter:
             keep &= F.arrays_overlap(name("topics"), F.array(*map(F.lit, self.topics)))
         if not self.include_repealed:
             keep &= ~F.coalesce(name("repealed"), F.lit(False))
-        return F.coalesce(keep, F.lit(False))
+        return keep
+
+
+@dataclass(frozen=True)
+class Model:
+    """A reranking model: ``scores`` maps lists of queries and passages to a list of numbers, on Arrow batches in Python workers."""
+
+    scores: Callable[[list[str], list[str]], list[float]]
+
+
+Scorer = Callable[[Column, Column], Column] | Model
 
 
 def fuse(rankings: dict[str, DataFrame], query_col: str, id_col: str, limit: int, k: int = RRF_K) -> DataFrame:
@@ -69,6 +80,12 @@ def model_scores(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list
     return pairs.mapInPandas(run, schema + ", rerank_score double")
 
 
+def passage(short_name: Column, label: Column, heading: Column, text: Column) -> Column:
+    """What a reranker reads of a chunk: norm, label, heading if there is one, and text."""
+    title = F.when(F.coalesce(heading, F.lit("")) != "", F.concat(F.lit(". "), heading)).otherwise(F.lit(""))
+    return F.concat(short_name, F.lit(", "), label, title, F.lit("\n"), text)
+
+
 def rerank(hits: DataFrame, query_col: str, rerank_score: Column, id_col: str = "chunk_id") -> DataFrame:
     """``hits`` with the new score, ranked by it; equal scores keep their order. The source "rerank" is added."""
     rescored = hits.withColumn("__prior", F.col("rank")).withColumn("score", F.round(rerank_score, ROUND))
@@ -95,14 +112,17 @@ def retrieve(
     chunk_filter: ChunkFilter | None = None,
     vectors: DataFrame | None = None,
     use_references: bool = True,
-    scorer: Callable[[Column, Column], Column] | None = None,
+    scorer: Scorer | None = None,
     candidates: int = CANDIDATES,
     rerank_candidates: int = RERANK_CANDIDATES,
     stems: bool = True,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, rank, chunk_id, score, sources) for ``queries`` (query_id, query, and query_vector for dense modes).
 
     The filter holds inside each branch, before its top k. Provisions cited in the query come first and are not reranked.
+    With ``postings`` (see ``lexical.postings``, of the chunks' ``embed_text``) texts are not tokenised. ``scorer`` is an expression
+    of query and passage, or a ``Model``.
     """
     chunk_filter = chunk_filter or ChunkFilter()
     keep = chunk_filter.predicate()
@@ -110,7 +130,11 @@ def retrieve(
     depth = candidates if mode == "hybrid" else pool
     branches = {}
     if mode in ("sparse", "hybrid"):
-        branches["sparse"] = lexical.search(chunks, queries, depth, "chunk_id", "embed_text", keep=keep, stems=stems)
+        if postings is None:
+            branches["sparse"] = lexical.search(chunks, queries, depth, "chunk_id", "embed_text", keep=keep, stems=stems)
+        else:
+            asked = lexical.asked_terms(queries, "query_id", "query", stems)
+            branches["sparse"] = lexical.search_postings(postings, asked, depth, "chunk_id", "query_id", allowed=chunks.where(keep))
     if mode in ("dense", "hybrid"):
         allowed = vectors.join(chunks.where(keep).select("chunk_id"), "chunk_id", "left_semi")
         branches["dense"] = dense.search(allowed, queries, depth, "chunk_id", "vector")
@@ -119,9 +143,13 @@ def retrieve(
     else:
         found = next(iter(branches.values())).withColumn("sources", F.array(F.lit(mode)))
     if scorer:
-        passages = chunks.select("chunk_id", F.concat_ws("", "norm_short_name", F.lit(", "), "label", F.lit(". "), F.coalesce("heading", F.lit("")), F.lit("\n"), "text").alias("__passage"))
+        passages = chunks.select("chunk_id", passage(F.col("norm_short_name"), F.col("label"), F.col("heading"), F.col("text")).alias("__passage"))
         texts = found.join(passages, "chunk_id").join(queries.select("query_id", F.col("query").alias("__query")), "query_id")
-        found = rerank(texts, "query_id", scorer(F.col("__query"), F.col("__passage"))).drop("__passage", "__query")
+        if isinstance(scorer, Model):
+            texts = model_scores(texts, scorer.scores, "__query", "__passage")
+            found = rerank(texts, "query_id", F.col("rerank_score")).drop("__passage", "__query", "rerank_score")
+        else:
+            found = rerank(texts, "query_id", scorer(F.col("__query"), F.col("__passage"))).drop("__passage", "__query")
     if use_references and catalog is not None:
         refs = references.references(queries, catalog, "query_id", "query")
         cited = references.reference_hits(refs, chunks, "query_id", list(chunk_filter.norm_ids)).withColumnRenamed("place", "rank")
