@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,7 +35,7 @@ def sources(hits: DataFrame, day, rank_col: str = "rank") -> DataFrame:
 
 
 def applicability_warnings(found: DataFrame) -> DataFrame:
-    """(query_id, index, code, message) of the sources that do not apply yet."""
+    """(query_id, index, code, message) of the ``sources``, with a ``citation``, that do not apply yet."""
     message = F.concat("citation", F.lit(NOT_YET), F.date_format("application_date", "yyyy-MM-dd"), F.lit("."))
     return found.where("not_yet_applicable").select("query_id", "index", F.lit("not_yet_applicable").alias("code"), message.alias("message"))
 
@@ -53,18 +54,19 @@ def result_title(citation: Column, heading: Column, consolidated: Column, applic
     return F.concat(citation, F.coalesce(F.concat(F.lit(" — "), F.nullif(heading, F.lit(""))), F.lit("")), F.lit(" ("), notes, F.lit(")"))
 
 
-def context_block(short_name: Column, levels: Column, label: Column, text: Column, url: Column, title: Column) -> Column:
-    """A citable result: a breadcrumb, then a text block for every line that is not blank."""
+def context_block(short_name: Column, levels: Column, label: Column, text: Column, url: Column, title: Column, citations: bool = True) -> Column:
+    """A result: a breadcrumb, then a text block for every line that is not blank; ``citations`` lets a model cite its blocks."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     content = F.concat(F.array(F.concat_ws(CRUMB, short_name, levels, label)), F.when(F.size(lines) > 0, lines).otherwise(F.array(text)))
-    return F.struct(F.lit("search_result").alias("type"), url.alias("source"), title.alias("title"), F.transform(content, lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"))
+    return F.struct(F.lit("search_result").alias("type"), url.alias("source"), title.alias("title"), F.transform(content, lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"), F.struct(F.lit(citations).alias("enabled")).alias("citations"))
 
 
 def prompts(queries: DataFrame, hits: DataFrame, day, query_col: str = "query_id", query_text: str = "query") -> DataFrame:
-    """(query, prompt): blocks of the hits in rank order as JSON, then the dated question. ``hits`` hold a ``block`` and a ``rank``."""
+    """(query, prompt): instructions, blocks of the hits in rank order and the dated question, as JSON. ``hits`` hold a ``block`` and
+    a ``rank``."""
     blocks = hits.groupBy(query_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]).alias("blocks"))
     question = F.concat(F.lit(TODAY), F.lit(str(day)), F.lit(".\n\n" + QUESTION), F.col(query_text))
-    return queries.join(blocks, query_col, "left").select(query_col, F.to_json(F.struct("blocks", question.alias("question"))).alias("prompt"))
+    return queries.join(blocks, query_col, "left").select(query_col, F.to_json(F.struct(F.lit(INSTRUCTIONS).alias("system"), "blocks", question.alias("question"))).alias("prompt"))
 
 
 def extractive(prompt: str, found: list[dict]) -> Iterator[dict]:
@@ -129,5 +131,24 @@ def cited_and_uncited(found: DataFrame, folded: DataFrame) -> DataFrame:
     return found.join(cited, ["query_id", "index"], "left").withColumn("cited", F.coalesce("__cited", F.lit(False))).drop("__cited")
 
 
-def ordered(events: DataFrame) -> DataFrame:
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy("query_id").orderBy("seq")) - 1)
+def event_stream(found: DataFrame, events: DataFrame) -> DataFrame:
+    """(query_id, seq, type, data) of every question, data as JSON: its sources, warnings of what does not apply yet, the model's
+    deltas and citations, a warning if it refused or was cut off, and its end. ``found`` are ``sources`` with a ``citation``."""
+    listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "chunk_id", "citation", "score", "retrieved_by", "not_yet_applicable"))).alias("s"))
+    first = events.select("query_id").distinct().join(listed, "query_id", "left")
+    none = F.array().cast(listed.schema["s"].dataType)
+    row = lambda part, at, kind, data: [F.lit(part).alias("part"), at.cast("int").alias("at"), kind.alias("type"), F.to_json(data).alias("data")]
+    zero = F.lit(0)
+    parts = [
+        first.select("query_id", *row(0, zero, F.lit("sources"), F.struct(F.coalesce("s", none).alias("sources")))),
+        applicability_warnings(found).select("query_id", *row(1, F.col("index"), F.lit("warning"), F.struct("code", "message", "index"))),
+        events.where("type = 'delta'").select("query_id", *row(2, F.col("seq"), F.lit("delta"), F.struct("text"))),
+        events.where("type = 'citation'").select("query_id", *row(2, F.col("seq"), F.lit("citation"), F.struct(F.col("source_index").alias("index"), F.col("text").alias("cited_text")))),
+    ]
+    end = events.where("type = 'completed'")
+    said = F.create_map(*[F.lit(x) for pair in WARNINGS.items() for x in pair])
+    code = F.create_map(*[F.lit(x) for pair in WARNING_CODES.items() for x in pair])
+    parts.append(end.where(F.col("stop_reason").isin(*WARNINGS)).select("query_id", *row(3, zero, F.lit("warning"), F.struct(F.try_element_at(code, F.col("stop_reason")).alias("code"), F.try_element_at(said, F.col("stop_reason")).alias("message")))))
+    parts.append(end.select("query_id", *row(4, zero, F.lit("done"), F.struct("stop_reason", "model", "input_tokens", "output_tokens"))))
+    seq = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "at", "type")) - 1
+    return reduce(DataFrame.unionByName, parts).select("query_id", seq.alias("seq"), "type", "data")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_hash
 
+REPORT = "norm_id string, status string, reason string, changed long, removed long, unchanged long"
 NOT_HASHED = ("consolidated_as_of", "chunk_id")
 
 
@@ -35,7 +36,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], hash_col: str
 
 
 def due(specs: DataFrame, state: DataFrame, current: DataFrame, day, force: bool = False) -> DataFrame:
-    """(norm_id, reason): why a norm must be processed, null if it need not. ``state`` has fingerprint and next_change."""
+    """(norm_id, reason): why a norm must be processed, null if it need not. ``state`` has fingerprint and next_change; a norm
+    that ``current`` lacks has an empty index, so ``specs`` must name norms that were fetched only."""
     joined = specs.select("norm_id").join(state.select("norm_id", F.col("fingerprint").alias("__old"), "next_change"), "norm_id", "left").join(current, "norm_id", "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
     reason = F.when(F.col("__old").isNull(), "not indexed")
     if force:
@@ -51,11 +53,15 @@ def forget(state: DataFrame, catalog: DataFrame, key: str = "norm_id") -> tuple[
 
 
 def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[DataFrame], DataFrame], text_col: str = "embed_text") -> tuple[DataFrame, DataFrame]:
-    """(texts with vectors, new cache rows): each distinct text not in the cache for this model is embedded once."""
+    """(texts with vectors, new cache rows): each distinct text not in the cache for this model is embedded once.
+
+    The new rows feed both results, so they are kept in Spark's cache; a caller that stores them can pass the stored table
+    again instead, which then embeds nothing.
+    """
     hashed = texts.withColumn("text_hash", text_hash(F.col(text_col)))
     known = cache.where(F.col("model") == model).select("text_hash", "vector")
     wanted = hashed.groupBy("text_hash").agg(F.min(text_col).alias(text_col)).join(known, "text_hash", "left_anti")
-    fresh = embed(wanted)
+    fresh = embed(wanted).persist()
     return hashed.join(known.unionByName(fresh.select("text_hash", "vector")), "text_hash"), fresh.select("text_hash", F.lit(model).alias("model"), "vector")
 
 
@@ -113,14 +119,31 @@ class Store:
         path = self._pointer()["tables"].get(table)
         return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
+    def _claim(self, version: int) -> None:
+        """Marks ``version`` as being written; an error if another writer has done so, as one of the two would be lost."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/v{version}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(path) or not fs.createNewFile(path):
+            raise RuntimeError(f"version {version} of {self.root} is being written, or its writer failed: see release()")
+
+    def release(self) -> None:
+        """Gives up the claim of a writer that failed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/v{self._pointer()['version'] + 1}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
     def commit(self, **tables: DataFrame) -> int:
-        """Writes ``tables`` as the next version; tables not named stay as they are."""
+        """Writes ``tables`` as the next version; tables not named stay as they are. A failure leaves the old version."""
         now = self._pointer()
         version = now["version"] + 1
+        self._claim(version)
         paths = dict(now["tables"])
-        for name, df in tables.items():
-            paths[name] = f"{self.root}/{name}/v{version}"
-            df.write.mode("overwrite").parquet(paths[name])
+        try:
+            for name, df in tables.items():
+                paths[name] = f"{self.root}/{name}/v{version}"
+                df.write.mode("overwrite").parquet(paths[name])
+        except Exception:
+            self.release()
+            raise
         line = json.dumps({"version": version, "tables": paths})
         self.spark.range(1).select(F.lit(line).alias("value")).write.mode("append").text(f"{self.root}/_current")
         return version
@@ -128,6 +151,7 @@ class Store:
     def reset(self, *keep: str) -> int:
         """Forgets all tables but ``keep``."""
         now = self._pointer()
+        self._claim(now["version"] + 1)
         line = json.dumps({"version": now["version"] + 1, "tables": {k: v for k, v in now["tables"].items() if k in keep}})
         self.spark.range(1).select(F.lit(line).alias("value")).write.mode("append").text(f"{self.root}/_current")
         return now["version"] + 1

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import parse_date
 
 TEXT, INDEX, METADATA = "texto.xml", "indice.json", "metadatos.json"
-_CODED = "codigo string, texto string"
+# The service's paths of the three parts.
+PARTS = {METADATA: "id/{id}/metadatos", INDEX: "id/{id}/texto/indice", TEXT: "id/{id}/texto"}
 
 
 def _whole(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -27,12 +28,52 @@ def read_json(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def missing(spark: SparkSession, root: str, catalog: DataFrame) -> DataFrame:
     """Norms of the catalog that lack one of the three files: these have to be fetched."""
-    found = spark.read.format("binaryFile").load(f"{root}/*/*").select(F.split("path", "/").alias("p"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return catalog.select("norm_id")
+    found = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.split("path", "/").alias("p"))
     whole = found.select(F.element_at("p", -2).alias("norm_id"), F.element_at("p", -1).alias("f")).where(F.col("f").isin(TEXT, INDEX, METADATA))
     whole = whole.groupBy("norm_id").agg(F.count_distinct("f").alias("n")).where("n = 3")
     return catalog.join(whole, "norm_id", "left_anti").select("norm_id")
 
 
+def land(rows: DataFrame, root: str, name: str) -> int:
+    """Writes each payload of (norm_id, payload) to its norm's folder as ``name`` and returns how many; one is held at a time, as
+    a service that limits its rate gives them one by one."""
+    spark, written = rows.sparkSession, 0
+    files = spark._jvm.org.apache.hadoop.fs
+    for row in rows.select("norm_id", "payload").toLocalIterator():
+        path = files.Path(f"{root.rstrip('/')}/{row['norm_id']}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(row["payload"].encode("utf-8")))
+        out.close()
+        written += 1
+    return written
+
+
+def fetch_snapshots(spark: SparkSession, root: str, catalog: DataFrame, base: str, refresh: bool = False, **options: str) -> int:
+    """Fetches the three parts of the norms that lack one, or of all with ``refresh``, into ``root``; returns the number of files.
+
+    ``base`` is the address of the service. Statuses inside JSON payloads are checked before anything of a part is written.
+    """
+    from . import remote
+
+    remote.register(spark)
+    wanted = catalog.select("norm_id") if refresh else missing(spark, root, catalog)
+    ids = [r[0] for r in wanted.orderBy("norm_id").collect()]  # a catalog is a small dimension
+    if not ids:
+        return 0
+    written = 0
+    for name, path in PARTS.items():
+        accept = "application/xml" if name == TEXT else "application/json"
+        reader = spark.read.format("norm_service").option("base", base).option("ids", ",".join(ids)).option("part", path).option("accept", accept)
+        rows = reader.options(**options).load()
+        if name != TEXT:
+            rows = rows.withColumn("payload", F.when(checked(F.col("payload")).isNotNull() | F.lit(True), F.col("payload")))
+        written += land(rows, root, name)
+    return written
+
+
 def checked(payload: Column) -> Column:
     """The ``data`` member as JSON text; an error unless the status code is 200."""
     code = F.get_json_object(payload, "$.status.code")
@@ -42,7 +83,7 @@ def checked(payload: Column) -> Column:
 def parse_index(raw: DataFrame) -> DataFrame:
     """(norm_id, ord, block_id, title, updated_at) of index payloads; ``data`` is a list or one object, titles may be missing."""
     entry = "array<struct<bloque:array<struct<id:string,titulo:string,fecha_actualizacion:string>>>>"
-    data = F.get_json_object("payload", "$.data")
+    data = checked(F.col("payload"))
     data = F.when(data.startswith("["), data).otherwise(F.concat(F.lit("["), data, F.lit("]")))
     rows = raw.select("norm_id", F.posexplode(F.flatten(F.transform(F.from_json(data, entry), lambda d: d["bloque"]))).alias("ord", "b"))
     return rows.select("norm_id", "ord", F.col("b.id").alias("block_id"), F.coalesce("b.titulo", F.lit("")).alias("title"), parse_date(F.col("b.fecha_actualizacion")).alias("updated_at"))
@@ -50,7 +91,7 @@ def parse_index(raw: DataFrame) -> DataFrame:
 
 def parse_metadata(raw: DataFrame) -> DataFrame:
     """One row per norm; fields are scalars or objects with a ``texto`` member."""
-    data = F.get_json_object("payload", "$.data")
+    data = checked(F.col("payload"))
     first = F.when(data.startswith("["), F.get_json_object(data, "$[0]")).otherwise(data)
 
     def field(name: str) -> Column:
