@@ -55,12 +55,12 @@ def _words(text: Column) -> Column:
 
 
 def cardinal(text: Column) -> Column:
-    """"ciento veintiuno" -> 121; null unless every word is a cardinal (or "y")."""
+    """"trescientos siete" -> 307; null unless every word is a cardinal (or "y")."""
     return _total(F.filter(_words(normalize(text)), lambda w: w != "y"), _lookup(CARDINALS))
 
 
 def ordinal(text: Column) -> Column:
-    """"vigésimo primera", "decimotercera" -> 21, 13; null if a word is unknown."""
+    """"trigésimo segunda", "decimosexta" -> 32, 16; null if a word is unknown."""
     return _total(_words(normalize(text)), _lookup(ordinals()))
 
 
@@ -72,7 +72,7 @@ def number(text: Column) -> Column:
 
 
 def provision_number(title: Column) -> Column:
-    """Canonical number of a provision's title: "18", "10 bis", "13", "única", "76 a"; null if it has none."""
+    """Canonical number of a provision's title: "41", "7 quater", "16", "única", "5 c"; null if it has none."""
     text = F.regexp_replace(F.trim(F.regexp_replace(normalize(title), KIND_PREFIX, "")), r"\.+$", "")
     tokens = F.regexp_extract_all(text, F.lit(r"([a-z]+|\d+)"), F.lit(1))
     last = F.try_element_at(tokens, F.lit(-1))

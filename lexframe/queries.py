@@ -288,7 +288,7 @@ def reference_parse(spark, sf_dir):
     return references.references(_values(spark, _CITED, "id long, text string"), norms, "id", "text")
 
 
-_NUMERALS = [("ciento veintiuno", 121), ("treinta y dos", 32), ("dieciocho", 18), ("Vigésimo primera", 21), ("decimotercera", 13), ("decimoctava", 18), ("duodécimo", 12), ("14", 14), ("7.º", 7), ("nada", None), ("", None), ("novecientos noventa y nueve", 999)]
+_NUMERALS = [("trescientos siete", 307), ("cuarenta y cinco", 45), ("dieciséis", 16), ("Trigésimo segunda", 32), ("decimosexta", 16), ("undécimo", 11), ("27", 27), ("9.º", 9), ("jamás", None), ("", None), ("seiscientos doce", 612)]
 
 
 @_registered(f"SELECT words, CAST(n AS INTEGER) AS n FROM (VALUES {_sql_values(_NUMERALS)}) t(words, n)")
@@ -296,7 +296,7 @@ def numeral_parse(spark, sf_dir):
     return _values(spark, [(w,) for w, _ in _NUMERALS], "words string").select("words", numerals.number(F.col("words")).alias("n"))
 
 
-_TITLES = [("Artículo dieciocho", "18"), ("Artículo 10 bis", "10 bis"), ("Disposición adicional decimotercera", "13"), ("Disposición final única", "única"), ("Artículo setenta y seis. a)", "76 a"), ("Artículo sexto ter.", "6 ter"), ("Anexo", None), ("Disposición transitoria", None), ("Artículo único", "único")]
+_TITLES = [("Artículo cuarenta y uno", "41"), ("Artículo 7 quater", "7 quater"), ("Disposición transitoria decimosexta", "16"), ("Disposición derogatoria única", "única"), ("Artículo quinto bis.", "5 bis"), ("Disposición adicional", None), ("Artículo 112", "112")]
 
 
 @_registered(f"SELECT title, number FROM (VALUES {_sql_values(_TITLES)}) t(title, number)")

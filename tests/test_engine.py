@@ -22,7 +22,7 @@ class Counting(dense.HashEmbedder):
 
 
 def index(spark, day="20210301"):
-    return spark.createDataFrame([("N-1", 0, "da13", "Disposición", date(int(day[:4]), int(day[4:6]), int(day[6:])))], "norm_id string, ord int, block_id string, title string, updated_at date")
+    return spark.createDataFrame([("N-1", 0, "plazos", "Disposición", date(int(day[:4]), int(day[4:6]), int(day[6:])))], "norm_id string, ord int, block_id string, title string, updated_at date")
 
 
 @pytest.fixture(scope="module")
@@ -44,8 +44,8 @@ def test_incremental_timeline(spark, norms, tmp_path):
     assert sync(XML, date(2026, 2, 1))["status"] == "skipped"
     row = sync(XML.replace("Diez días", "Once días"), date(2026, 3, 1), "20260301")
     assert (row["status"], row["reason"], row["changed"], row["unchanged"]) == ("updated", "index changed", 1, 4) and cached() == 6
-    assert sync(XML, date(2030, 1, 1), "20260301")["status"] == "skipped"
-    row = sync(XML.replace("Diez días", "Once días"), date(2030, 1, 2), "20260301")
+    assert sync(XML, date(2029, 12, 30), "20260301")["status"] == "skipped"
+    row = sync(XML.replace("Diez días", "Once días"), date(2029, 12, 31), "20260301")
     assert (row["reason"], row["changed"]) == ("scheduled change", 1) and cached() == 7
     assert sync(XML, date(2030, 1, 3), "20260301", force=True)["reason"] == "forced"
     assert built._chunks().groupBy("chunk_id").count().where("count > 1").count() == 0
@@ -62,7 +62,7 @@ def test_search_puts_cited_provisions_first(spark, engine):
     assert first["block_id"] == "a1" and first["score"] == 1.0 and first["sources"] == ["reference"]
     assert max(r["rank"] for r in rows) <= 3 and not any(r["repealed"] for r in rows)
     sparse = engine.search(queries, k=3, mode="sparse", use_references=False).collect()
-    assert {r["block_id"] for r in sparse if r["query_id"] == 2} == {"da13"} and not [r for r in sparse if r["query_id"] == 3]
+    assert {r["block_id"] for r in sparse if r["query_id"] == 2} == {"plazos"} and not [r for r in sparse if r["query_id"] == 3]
     again = engine.search(queries, k=3).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["chunk_id"]) for r in rows] == [(r["query_id"], r["chunk_id"]) for r in again]
 
@@ -70,6 +70,9 @@ def test_search_puts_cited_provisions_first(spark, engine):
 def test_ask(spark, engine):
     queries = spark.createDataFrame([(1, "artículo 1 de la Ley 7/1999"), (2, "otra cosa")], "query_id long, query string")
     rows = {r["query_id"]: r for r in engine.ask(queries, date(2026, 1, 1)).collect()}
+    assert rows[1]["sources"][0]["cited"] and rows[1]["sources"][0]["citation"] == "LPX, art. 1" and not any(x["cited"] for x in rows[1]["sources"][1:])
+    events = [(r["seq"], r["type"]) for r in engine.ask_events(queries.where("query_id = 1"), date(2026, 1, 1)).orderBy("seq").collect()]
+    assert events == [(0, "sources"), (1, "delta"), (2, "citation"), (3, "done")]
     assert rows[1]["answer"] == "Texto actual." and rows[1]["cited_sources"] == [0] and rows[1]["cost_usd"] > 0 and not rows[1]["abstained"]
     none = retrieval.ChunkFilter(norm_ids=("none",))
     row = engine.ask(queries.where("query_id = 2"), date(2026, 1, 1), chunk_filter=none).first()
@@ -163,6 +166,19 @@ def test_out_of_range_citations_and_warnings(spark):
     assert row["cited_sources"] == [0] and row["warning"] == "truncated" and row["answer"] == "a"
 
 
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    store = incremental.Store(spark, str(tmp_path / "x"))
+    rows = spark.range(1)
+    store._claim(1)
+    with pytest.raises(RuntimeError, match="version 1"):
+        store.commit(t=rows)
+    store.release()
+    assert store.commit(t=rows) == 1
+    with pytest.raises(Exception, match="never"):
+        store.commit(t=rows.select(F.raise_error(F.lit("never")).alias("a")))
+    assert store.commit(t=rows) == 2
+
+
 def test_store_reads_one_version(spark, tmp_path):
     store = incremental.Store(spark, str(tmp_path / "x"))
     rows = lambda *v: spark.createDataFrame([(x,) for x in v], "a int")
@@ -183,7 +199,62 @@ def test_streaming_ingest(spark, tmp_path):
     for _ in range(2):
         query = ingest.watch(spark, str(tmp_path / "raw"), str(tmp_path / "cp"), lambda b, i, d: seen.append((b.count(), i.count())))
         query.awaitTermination(120)
-    assert seen == [(14, 1)]
+    assert seen == [(6, 1)]
+
+
+def test_unfetched_norm_and_failed_sync_change_nothing(spark, engine):
+    before = engine._chunks().count()
+    none = xml.blocks(spark.createDataFrame([], "norm_id string, payload string"))
+    assert engine.sync(none, index(spark, "20260401"), date(2026, 1, 1)).first()["status"] == "skipped" and engine._chunks().count() == before
+    version = engine.store._pointer()["version"]
+    changed = xml.blocks(spark.createDataFrame([("N-1", XML.replace("Diez", "Doce"))], "norm_id string, payload string"))
+    embedder = engine.embedder
+
+    class Broken:
+        name = embedder.name
+
+        def __call__(self, texts):
+            raise ValueError("no model")
+
+    engine.embedder = Broken()
+    with pytest.raises(Exception, match="no model"):
+        engine.sync(changed, index(spark, "20260401"), date(2026, 1, 1))
+    engine.embedder = embedder
+    assert engine.store._pointer()["version"] == version and engine._chunks().count() == before
+
+
+def test_settings_and_log(tmp_path, capsys):
+    import json
+    import logging
+
+    from lexframe import observability, settings
+
+    (tmp_path / ".env").write_text("# comment\nexport LEXFRAME_TOP_K=5\nLEXFRAME_STORE='/a b'\n", "utf-8")
+    found = settings.load({"LEXFRAME_TOP_K": "6", "LEXFRAME_ABSTAIN_BELOW": "0.25"}, tmp_path / ".env")
+    assert (found.top_k, found.store, found.abstain_below, found.max_chars) == (6, "/a b", 0.25, 3200)
+    observability.log_json()
+    logging.getLogger("lexframe.x").info("done", extra={"n": 3})
+    line = json.loads(capsys.readouterr().err)
+    assert (line["event"], line["n"], line["level"]) == ("done", 3, "info")
+    timings = observability.Timings()
+    with timings.stage("a"):
+        pass
+    assert list(timings) == ["a"] and timings["a"] < 100
+
+
+def test_event_stream_order(spark):
+    found = spark.createDataFrame([(1, 0, "c", "L, art. 1", 0.5, ["sparse"], date(2030, 1, 1), True)], "query_id long, index int, chunk_id string, citation string, score double, retrieved_by array<string>, application_date date, not_yet_applicable boolean")
+    events = spark.createDataFrame([(1, 0, "delta", "a", None, None), (1, 1, "citation", "a", 0, None), (1, 2, "completed", None, None, "max_tokens"), (2, 0, "completed", None, None, "refusal")], "query_id long, seq int, type string, text string, source_index int, stop_reason string")
+    events = events.withColumns({"model": F.lit("m")} | {c: F.lit(1) for c in ("input_tokens", "output_tokens")})
+    rows = [(r["query_id"], r["seq"], r["type"]) for r in answering.event_stream(found, events).orderBy("query_id", "seq").collect()]
+    assert rows == [(1, 0, "sources"), (1, 1, "warning"), (1, 2, "delta"), (1, 3, "citation"), (1, 4, "warning"), (1, 5, "done"), (2, 0, "sources"), (2, 1, "warning"), (2, 2, "done")]
+
+
+def test_model_as_reranker(spark, engine):
+    queries = spark.createDataFrame([(1, "regla texto")], "query_id long, query string")
+    by_length = retrieval.Model(lambda asked, passages: [float(len(p)) for p in passages])
+    rows = engine.search(queries, k=4, mode="sparse", use_references=False, scorer=by_length).orderBy("rank").collect()
+    assert len(rows) > 1 and [r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True) and all("rerank" in r["sources"] for r in rows)
 
 
 def test_command_line(spark, tmp_path, capsys):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexframe.operators import chunking, structure
 from lexframe.sources import catalog, landing, remote, xml
 
-from .literals import NORMS, XML
+from .literals import APPROVED, HEADINGS, MARKED, NORMS, OVER_TIME, TABLES, XML
 
 
 @pytest.fixture(scope="module")
@@ -14,14 +14,13 @@ def norms(spark):
     return catalog.norms(spark, NORMS)
 
 
-@pytest.fixture(scope="module")
-def blocks(spark):
-    return xml.blocks(spark.createDataFrame([("N-1", XML)], "norm_id string, payload string")).cache()
+def blocks_of(spark, text):
+    return xml.blocks(spark.createDataFrame([("N-1", text)], "norm_id string, payload string"))
 
 
-def provisions(spark, norms, blocks, day):
-    index = spark.createDataFrame([("N-1", "a2", date(2022, 5, 5))], "norm_id string, block_id string, updated_at date")
-    return structure.build_provisions(blocks, norms, index, day).orderBy("ord")
+def provisions(spark, norms, text, day):
+    index = spark.createDataFrame([("N-1", "a8", date(2022, 5, 5))], "norm_id string, block_id string, updated_at date")
+    return structure.build_provisions(blocks_of(spark, text), norms, index, day).orderBy("ord")
 
 
 def test_catalog(spark, norms):
@@ -32,33 +31,39 @@ def test_catalog(spark, norms):
     assert names[0] == "real decreto 8/2001" and set(names[-3:]) == {"lpx", "rdx", "ley"}
 
 
-@pytest.mark.parametrize("day, since", [(date(2005, 1, 1), date(2000, 1, 2)), (date(2026, 1, 1), date(2021, 3, 1)), (date(2030, 1, 2), date(2030, 1, 2)), (date(1999, 1, 1), None)])
-def test_wording_as_of(spark, blocks, day, since):
-    row = blocks.where("block_id = 'a1'").select(structure.version_in_force(F.col("versions"), F.col("expired_on"), F.lit(day)).alias("v")).first()
+@pytest.mark.parametrize("day, since", [(date(2005, 1, 1), date(2000, 1, 2)), (date(2026, 1, 1), date(2021, 3, 1)), (date(2029, 12, 31), date(2029, 12, 31)), (date(1999, 1, 1), None)])
+def test_wording_as_of(spark, day, since):
+    row = blocks_of(spark, OVER_TIME).select(structure.version_in_force(F.col("versions"), F.col("expired_on"), F.lit(day)).alias("v")).first()
     assert (row["v"]["in_force_since"] if row["v"] else None) == since
 
 
-def test_structure(spark, norms, blocks):
-    rows = {r["block_id"]: r for r in provisions(spark, norms, blocks, date(2026, 1, 1)).collect()}
-    assert list(rows) == ["a1", "a2", "a3", "da13", "an"]
-    assert rows["a1"]["hierarchy"] == ["TÍTULO I. Parte general", "CAPÍTULO I. Objeto"] and rows["a1"]["heading"] == "Objeto"
-    assert rows["a2"]["hierarchy"][-1] == "Sección 1.ª De algo" and rows["a2"]["number"] == "2 bis" and rows["a2"]["block_updated_at"] == date(2022, 5, 5)
-    assert rows["a3"]["repealed"] and not rows["a1"]["repealed"]
-    assert rows["da13"]["hierarchy"] == [] and rows["da13"]["number"] == "13" and rows["da13"]["heading"] == "Plazos"
-    assert rows["an"]["kind"] == "anexo" and rows["an"]["number"] is None and rows["an"]["heading"] == "Baremo"
-    assert rows["a1"]["amendment_notes"] == ["Se modifica."] and [p["kind"] for p in rows["a1"]["paragraphs"]] == ["text", "note"]
+def test_headings(spark, norms):
+    rows = {r["block_id"]: r for r in provisions(spark, norms, HEADINGS, date(2026, 1, 1)).collect()}
+    assert list(rows) == ["a7", "a8", "dt"]
+    assert rows["a7"]["hierarchy"] == ["LIBRO II. De los ensayos"] and rows["a7"]["heading"] == "Materia 7"
+    assert rows["a8"]["hierarchy"] == ["LIBRO II. De los ensayos", "CAPÍTULO V. Muestras", "Sección 2.ª Envases"] and rows["a8"]["number"] == "8 ter" and rows["a8"]["block_updated_at"] == date(2022, 5, 5)
+    assert rows["dt"]["hierarchy"] == [] and (rows["dt"]["kind"], rows["dt"]["number"], rows["dt"]["heading"]) == ("disposicion_transitoria", "11", "Ritmo")
+
+
+def test_marked_provisions(spark, norms):
+    rows = {r["block_id"]: r["repealed"] for r in provisions(spark, norms, MARKED, date(2026, 1, 1)).collect()}
+    assert rows == {"a6": True}
+    assert [r["block_id"] for r in provisions(spark, norms, MARKED, date(2009, 1, 1)).collect()] == ["a5", "a6"]
+    assert [r["block_id"] for r in provisions(spark, norms, APPROVED, date(2026, 1, 1)).collect()] == ["a2"]
 
 
-def test_expired_block_was_in_force_before(spark, norms, blocks):
-    assert "a4" in [r["block_id"] for r in provisions(spark, norms, blocks, date(2009, 1, 1)).collect()]
+def test_notes(spark, norms):
+    row = provisions(spark, norms, OVER_TIME, date(2026, 1, 1)).first()
+    assert row["amendment_notes"] == ["Redacción de 2021."] and [p["kind"] for p in row["paragraphs"]] == ["text", "note"]
 
 
-def test_tables(spark, norms, blocks):
-    annex = provisions(spark, norms, blocks, date(2026, 1, 1)).where("block_id = 'an'").first()["paragraphs"]
-    tables = [p for p in annex if p["kind"] == "table"]
+def test_tables(spark, norms):
+    annex = provisions(spark, norms, TABLES, date(2026, 1, 1)).first()
+    assert annex["kind"] == "anexo" and annex["number"] is None and annex["heading"] == "Medidas"
+    tables = [p for p in annex["paragraphs"] if p["kind"] == "table"]
     assert [p["css_class"] for p in tables] == ["table", "numeric_table", "numeric_table"]
-    assert tables[0]["text"].split("\n") == ["| Caso | Nota |", "| --- | --- |", "| a/b | texto |"]
-    assert "Títulos: Tabla 1.A. Columnas: n | m | p. 9 filas." in tables[1]["text"] and "Tabla 1.B" in tables[2]["text"] and "8 filas" in tables[2]["text"]
+    assert tables[0]["text"].split("\n") == ["| Clase | Uso |", "| --- | --- |", "| vidrio/barro | agua |"]
+    assert "Títulos: Tabla 3.C. Columnas: col0 | col1 | col2. 9 filas." in tables[1]["text"] and "Tabla 3.D" in tables[2]["text"] and "12 filas" in tables[2]["text"]
 
 
 def test_refuses_entities_and_bad_status(spark):
@@ -67,30 +72,32 @@ def test_refuses_entities_and_bad_status(spark):
             list(xml.parse_blocks("N", bad))
 
 
-def test_scope(spark, norms, blocks):
+def test_scope(spark, norms):
     def scoped(extra, until="a3"):
-        scope = F.struct(F.lit("c1").alias("from_block"), F.lit(until).alias("until_block"), F.array(*map(F.lit, extra)).alias("extra_blocks"))
-        return structure.in_scope(structure.after_approval(blocks), norms.where("ord = 0").withColumn("scope", scope))
+        scope = F.struct(F.lit("cap").alias("from_block"), F.lit(until).alias("until_block"), F.array(*map(F.lit, extra)).alias("extra_blocks"))
+        return structure.in_scope(structure.after_approval(blocks_of(spark, XML)), norms.where("ord = 0").withColumn("scope", scope))
 
-    assert [r["block_id"] for r in scoped(["da13"]).orderBy("ord").collect()] == ["c1", "a1", "s1", "a2", "da13"]
+    assert [r["block_id"] for r in scoped(["plazos"]).orderBy("ord").collect()] == ["plazos", "cap", "a1", "a2"]
     with pytest.raises(Exception, match="scope block not found"):
         scoped(["zz"]).collect()
 
 
-def test_next_change(spark, norms, blocks):
-    changes = lambda d: structure.next_scheduled_change(blocks, norms.where("ord = 0"), d).first()["next_change"]
-    assert changes(date(2026, 1, 1)) == date(2030, 1, 2) and changes(date(2005, 1, 1)) == date(2010, 1, 1) and changes(date(2031, 1, 1)) is None
+def test_next_change(spark, norms):
+    changes = lambda text, d: structure.next_scheduled_change(blocks_of(spark, text), norms.where("ord = 0"), d).first()["next_change"]
+    assert changes(OVER_TIME, date(2026, 1, 1)) == date(2029, 12, 31) and changes(MARKED, date(2005, 1, 1)) == date(2010, 1, 1) and changes(XML, date(2031, 1, 1)) is None
 
 
-def test_chunks(spark, norms, blocks):
-    rows = chunking.chunk_provisions(provisions(spark, norms, blocks, date(2026, 1, 1)), norms).orderBy("block_id").collect()
+def test_chunks(spark, norms):
+    found = provisions(spark, norms, XML, date(2026, 1, 1)).cache()
+    rows = chunking.chunk_provisions(found, norms).collect()
     by_block = {r["block_id"]: r for r in rows}
     assert len(by_block) == len(rows) == 5
-    assert by_block["a1"]["text"] == "Texto actual.\n[Nota de la edición consolidada: Ojo.]"
-    assert by_block["a1"]["embed_text"].split("\n")[:4] == ["LPX — Ley de Pruebas", "TÍTULO I. Parte general", "CAPÍTULO I. Objeto", "Artículo 1. Objeto"]
-    assert by_block["a3"]["text"] == "(Sin contenido)" and by_block["a1"]["consolidated_as_of"] == date(2022, 5, 5)
-    statistics = structure.norm_statistics(norms.where("ord = 0"), provisions(spark, norms, blocks, date(2026, 1, 1)), chunking.chunk_provisions(provisions(spark, norms, blocks, date(2026, 1, 1)), norms)).first()
-    assert statistics["articulo"] == 3 and statistics["provisions"] == 5 and statistics["repealed"] == 1
+    assert by_block["a1"]["text"] == "Texto actual.\n[Nota de la edición consolidada: Véase el anejo.]"
+    assert by_block["a1"]["embed_text"].split("\n")[:3] == ["LPX — Ley de Pruebas", "CAPÍTULO IV. De las pruebas", "Artículo 1. Materia 1"]
+    empty = chunking.chunk_provisions(provisions(spark, norms, MARKED, date(2026, 1, 1)), norms).first()
+    assert empty["text"] == "(Sin contenido)" and empty["repealed"]
+    statistics = structure.norm_statistics(norms.where("ord = 0"), found, chunking.chunk_provisions(found, norms)).first()
+    assert statistics["articulo"] == 4 and statistics["disposicion_adicional"] == 1 and statistics["provisions"] == 5 and statistics["repealed"] == 0
 
 
 PARAGRAPHS = "array<struct<kind:string,text:string,css_class:string>>"
@@ -133,7 +140,7 @@ def test_landing(spark, tmp_path, norms):
     (folder / landing.TEXT).write_text(XML, "utf-8")
     (folder / landing.INDEX).write_text('{"status":{"code":"200"},"data":[{"bloque":[{"id":"a1","titulo":"Artículo 1","fecha_actualizacion":"20210301"},{"id":"a2","fecha_actualizacion":"20000101"}]}]}', "utf-8")
     (folder / landing.METADATA).write_text('{"status":{"code":"200"},"data":[{"titulo":"Ley","rango":{"codigo":"1","texto":"Ley"},"fecha_vigencia":"20000102","estatus_derogacion":"S"}]}', "utf-8")
-    assert xml.blocks(landing.read_text(spark, str(tmp_path))).count() == 14
+    assert xml.blocks(landing.read_text(spark, str(tmp_path))).count() == 6
     index = landing.parse_index(landing.read_json(spark, str(tmp_path), landing.INDEX)).orderBy("ord").collect()
     assert [(r["block_id"], r["title"], r["updated_at"]) for r in index] == [("a1", "Artículo 1", date(2021, 3, 1)), ("a2", "", date(2000, 1, 1))]
     meta = landing.parse_metadata(landing.read_json(spark, str(tmp_path), landing.METADATA)).first()

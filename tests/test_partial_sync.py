@@ -10,7 +10,7 @@ from lexframe.streaming import ingest
 
 from .literals import NORMS, XML
 
-INDEX = '{"status":{"code":"200"},"data":{"bloque":[{"id":"da13","titulo":"x","fecha_actualizacion":"%s"}]}}'
+INDEX = '{"status":{"code":"200"},"data":{"bloque":[{"id":"plazos","titulo":"x","fecha_actualizacion":"%s"}]}}'
 
 
 def land(root, norm, day, text):
