@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import html, numerals
 from .functions.text import ACCENTED, PLAIN, STOPWORDS, clean, text_hash, tokenize
 from .operators import answering, chunking, dense, evaluation, incremental, lexical, references, retrieval, structure
-from .sources import catalog, schema, xml
+from .sources import catalog, landing, schema, xml
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -640,3 +640,146 @@ def sync_report(spark, sf_dir):
     diff = snapshot_diff(spark, sf_dir).join(docs.select("doc_id", F.col("source").alias("norm_id")), "doc_id")
     reasons = docs.select(F.col("source").alias("norm_id")).distinct().withColumn("reason", F.when(F.col("norm_id") != "src1", "forced"))
     return incremental.sync_report(diff, reasons)
+
+
+# --- operators that only tests reached, on whole tables
+
+
+@_registered("""SELECT norm_id, block_id, CAST(doc_id AS VARCHAR) AS chunk_id, CAST(row_number() OVER (PARTITION BY norm_id, block_id ORDER BY n_chars, CAST(doc_id AS VARCHAR)) AS INTEGER) AS place
+FROM (SELECT source AS norm_id, lang AS block_id, doc_id, n_chars FROM documents) WHERE block_id IN ('de', 'fr') AND norm_id <> 'src2'""")
+def block_lookup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("norm_id"), F.col("lang").alias("block_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("n_chars").alias("seq"))
+    wanted = docs.where("block_id in ('de', 'fr') and norm_id <> 'src2'").select("norm_id", "block_id")
+    return references.find_by_block(wanted, docs).select("norm_id", "block_id", "chunk_id", "place")
+
+
+@_registered(f"WITH {_bm25_sql(10)} SELECT item_id, string_agg(source || '#' || doc_id, ',' ORDER BY rank) AS top FROM sparse JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id")
+def top_labels(spark, sf_dir):
+    hits = _sparse(spark, sf_dir, 10).join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    found = evaluation.top_labels(hits, "item_id", F.concat("source", F.lit("#"), "doc_id"))
+    return found.select("item_id", F.array_join("top", ",").alias("top"))
+
+
+@_registered("""SELECT doc_id, source || CASE WHEN n_chars % 4 = 0 THEN ' anexo an' ELSE ' art. ' || (n_chars % 50) END AS label FROM documents""")
+def gold_labels(spark, sf_dir):
+    annex = F.col("n_chars") % 4 == 0
+    label = references.gold_label(F.col("source"), F.when(annex, "anexo").otherwise("articulo"), (F.col("n_chars") % 50).cast("string"), F.when(annex, "an"))
+    return _table(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
+
+
+@_registered("""SELECT doc_id, source || ', ' || lang || CASE WHEN n_chars % 2 = 0 THEN '. Par' ELSE '' END || chr(10) || sha256(text) AS passage FROM documents""")
+def rerank_passages(spark, sf_dir):
+    heading = F.when(F.col("n_chars") % 2 == 0, "Par").when(F.col("n_chars") % 3 == 0, "")
+    passage = retrieval.passage(F.col("source"), F.col("lang"), heading, text_hash(F.col("text")))
+    return _table(spark, sf_dir, "documents").select("doc_id", passage.alias("passage"))
+
+
+@_registered(f"""WITH {_bm25_sql(20)}, r AS (SELECT item_id, doc_id, CAST(-length(text) AS DOUBLE) AS score, row_number() OVER (PARTITION BY item_id ORDER BY -length(text) DESC, rank, doc_id) AS rank FROM sparse JOIN documents USING (doc_id))
+SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r""")
+def rerank_by_model(spark, sf_dir):
+    """A model that prefers short texts, called on batches in Python workers."""
+    hits = _sparse(spark, sf_dir, 20).withColumn("sources", F.array(F.lit("sparse")))
+    pairs = hits.join(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage")), "doc_id").withColumn("query", F.lit(""))
+    scored = retrieval.model_scores(pairs, lambda asked, passages: [-float(len(p)) for p in passages])
+    return retrieval.rerank(scored, "item_id", F.col("rerank_score"), "doc_id").select("item_id", "doc_id", "score", "rank")
+
+
+def _turn_sources(spark, sf_dir) -> DataFrame:
+    """User turns as sources of their conversation; texts of an even length do not apply yet."""
+    rows = _table(spark, sf_dir, "conversations").where("role = 'user'")
+    later = F.when(F.length("text") % 2 == 0, F.lit(date(2024, 2, 1)))
+    named = rows.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("rank"), F.lit(0.123456).alias("score"), F.array(F.lit("dense")).alias("sources"), later.alias("application_date"), F.concat(F.lit("turno "), "turn").alias("citation"), F.concat_ws("#", "conv_id", "turn").alias("chunk_id"))
+    return answering.sources(named, DAY)
+
+
+@_registered("""SELECT conv_id AS query_id, CAST(turn AS INTEGER) AS index, 'not_yet_applicable' AS code, 'turno ' || turn || ' no se aplica hasta el 2024-02-01.' AS message FROM conversations WHERE role = 'user' AND length(text) % 2 = 0""")
+def applicability_warnings(spark, sf_dir):
+    return answering.applicability_warnings(_turn_sources(spark, sf_dir))
+
+
+def _turn_events(spark, sf_dir) -> DataFrame:
+    """Assistant turns are deltas, each followed by a citation of the turn before it; every conversation ends cut off."""
+    turns = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    none = lambda t: F.lit(None).cast(t)
+    said = turns.select(F.col("conv_id").alias("query_id"), (2 * F.col("turn")).cast("int").alias("seq"), F.lit("delta").alias("type"), text_hash(F.col("text")).alias("text"), none("int").alias("source_index"), none("string").alias("stop_reason"))
+    cited = turns.select(F.col("conv_id").alias("query_id"), (2 * F.col("turn") + 1).cast("int").alias("seq"), F.lit("citation").alias("type"), F.lit("x").alias("text"), (F.col("turn") - 1).cast("int").alias("source_index"), none("string").alias("stop_reason"))
+    end = turns.groupBy(F.col("conv_id").alias("query_id")).agg((2 * F.max("turn") + 2).cast("int").alias("seq")).select("query_id", "seq", F.lit("completed").alias("type"), none("string").alias("text"), none("int").alias("source_index"), F.lit("max_tokens").alias("stop_reason"))
+    return said.unionByName(cited).unionByName(end).withColumns({"model": F.lit("m"), "input_tokens": F.lit(1), "output_tokens": F.lit(1)})
+
+
+@_registered("""WITH t AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant'), u AS (SELECT * FROM conversations WHERE role = 'user' AND conv_id IN (SELECT conv_id FROM t)),
+e AS (SELECT DISTINCT conv_id, 0 AS part, 0 AS pos, 'sources' AS type FROM t UNION ALL SELECT conv_id, 1, turn, 'warning' FROM u WHERE length(text) % 2 = 0 UNION ALL SELECT conv_id, 2, 2 * turn, 'delta' FROM t
+  UNION ALL SELECT conv_id, 2, 2 * turn + 1, 'citation' FROM t UNION ALL SELECT DISTINCT conv_id, 3, 0, 'warning' FROM t UNION ALL SELECT DISTINCT conv_id, 4, 0, 'done' FROM t)
+SELECT conv_id AS query_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY part, pos, type) - 1 AS INTEGER) AS seq, type FROM e""")
+def event_stream(spark, sf_dir):
+    events = _turn_events(spark, sf_dir)
+    found = _turn_sources(spark, sf_dir).join(events.select("query_id").distinct(), "query_id", "left_semi")
+    return answering.event_stream(found, events).select("query_id", "seq", "type")
+
+
+@_registered("""WITH t AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant'), u AS (SELECT conv_id, turn FROM conversations WHERE role = 'user')
+SELECT u.conv_id AS query_id, CAST(u.turn AS INTEGER) AS index, t.conv_id IS NOT NULL AS cited FROM u LEFT JOIN t ON t.conv_id = u.conv_id AND t.turn = u.turn + 1""")
+def cited_and_uncited(spark, sf_dir):
+    folded = answering.fold_events(_turn_events(spark, sf_dir).withColumns({"cache_read_tokens": F.lit(0), "cache_write_tokens": F.lit(0)}))
+    return answering.cited_and_uncited(_turn_sources(spark, sf_dir), folded).select("query_id", F.col("index").cast("int").alias("index"), "cited")
+
+
+@_registered("""SELECT t.conv_id AS query_id, count(*) FILTER (WHERE t.turn - 1 < n) AS kept FROM conversations t JOIN (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id) USING (conv_id) WHERE role = 'assistant' GROUP BY t.conv_id HAVING kept > 0""")
+def citations_in_range(spark, sf_dir):
+    counts = _turn_sources(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n"))
+    kept = answering.in_range(_turn_events(spark, sf_dir).where("type = 'citation'"), counts)
+    return kept.groupBy("query_id").agg(F.count("*").alias("kept"))
+
+
+@_registered("""SELECT source AS norm_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS ord, 'b' || doc_id AS block_id, CASE WHEN n_chars % 2 = 0 THEN lang ELSE '' END AS title, DATE '2024-01-01' + CAST(n_chars % 365 AS INTEGER) AS updated_at FROM documents""")
+def index_payloads(spark, sf_dir):
+    """Index responses made of the documents of each source, some without titles, read back."""
+    day = F.date_format(F.date_add(F.lit(date(2024, 1, 1)), (F.col("n_chars") % 365).cast("int")), "yyyyMMdd")
+    entry = F.struct(F.concat(F.lit("b"), "doc_id").alias("id"), F.when(F.col("n_chars") % 2 == 0, F.col("lang")).alias("titulo"), F.concat(day, F.lit("T010203Z")).alias("fecha_actualizacion"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"])
+    rows = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("norm_id")).agg(listed.alias("bloque"))
+    payload = F.to_json(F.struct(F.struct(F.lit("200").alias("code")).alias("status"), F.struct("bloque").alias("data")))
+    return landing.parse_index(rows.select("norm_id", payload.alias("payload")))
+
+
+@_registered("""SELECT 'n' || doc_id AS norm_id, lang AS title, source AS rank, CASE WHEN n_chars % 2 = 0 THEN DATE '2024-01-01' + CAST(n_chars % 365 AS INTEGER) END AS entry_into_force, coalesce(toxic, 0) = 1 AS repealed FROM documents LEFT JOIN labels USING (doc_id)""")
+def metadata_payloads(spark, sf_dir):
+    """Metadata responses, one a document, fields as scalars and as objects, read back."""
+    day = F.when(F.col("n_chars") % 2 == 0, F.date_format(F.date_add(F.lit(date(2024, 1, 1)), (F.col("n_chars") % 365).cast("int")), "yyyyMMdd")).otherwise("")
+    data = F.struct(F.col("lang").alias("titulo"), F.struct(F.lit("1").alias("codigo"), F.col("source").alias("texto")).alias("rango"), day.alias("fecha_vigencia"), F.when(F.col("repealed"), "S").otherwise("N").alias("estatus_derogacion"))
+    payload = F.to_json(F.struct(F.struct(F.lit("200").alias("code")).alias("status"), F.array(data).alias("data")))
+    raw = _filterable(spark, sf_dir).select(F.concat(F.lit("n"), "doc_id").alias("norm_id"), payload.alias("payload"))
+    return landing.parse_metadata(raw).select("norm_id", "title", "rank", "entry_into_force", "repealed")
+
+
+@_registered("""WITH s AS (SELECT source, min(doc_id) FILTER (WHERE n_chars > 1000) AS f FROM documents GROUP BY source) SELECT source AS norm_id, doc_id AS ord FROM documents JOIN s USING (source) WHERE doc_id > coalesce(f, -1)""")
+def approved_text_start(spark, sf_dir):
+    """The first long document of a source opens its approved text; sources without one are kept whole."""
+    heads = F.col("n_chars") > 1000
+    blocks = _table(spark, sf_dir, "documents").select(F.col("source").alias("norm_id"), F.col("doc_id").alias("ord"), F.when(heads, "encabezado").otherwise("precepto").alias("block_type"), F.when(heads, "TEXTO").otherwise("x").alias("title"))
+    return structure.after_approval(blocks).select("norm_id", "ord")
+
+
+@_registered("""SELECT source AS norm_id, count(*) AS provisions, count(*) FILTER (WHERE lang = 'en') AS articulo, count(*) FILTER (WHERE lang <> 'en') AS anexo, count(*) FILTER (WHERE coalesce(toxic, 0) = 1) AS repealed, count(*) AS chunks, CAST(max(length(text)) AS INTEGER) AS longest FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
+def norm_statistics(spark, sf_dir):
+    docs = _filterable(spark, sf_dir).withColumnRenamed("source", "norm_id")
+    provisions = docs.select("norm_id", F.when(F.col("lang") == "en", "articulo").otherwise("anexo").alias("kind"), F.coalesce("repealed", F.lit(False)).alias("repealed"), F.lit(DAY).alias("block_updated_at"))
+    found = structure.norm_statistics(docs.select("norm_id").distinct(), provisions, docs.select("norm_id", "text"))
+    return found.select("norm_id", "provisions", "articulo", "anexo", "repealed", "chunks", "longest")
+
+
+@_registered("""WITH d AS (SELECT *, source IN ('src1', 'src2') AS second FROM documents), n AS (SELECT DISTINCT source FROM documents)
+SELECT source AS norm_id, CASE WHEN source = 'src1' THEN 'created' WHEN source = 'src2' THEN 'updated' ELSE 'skipped' END AS status,
+CASE WHEN source = 'src1' THEN 'not indexed' WHEN source = 'src2' THEN 'index changed' END AS reason,
+count(*) FILTER (WHERE source = 'src1' OR (source = 'src2' AND lang = 'de')) AS changed, CAST(0 AS BIGINT) AS removed, count(*) FILTER (WHERE source = 'src2' AND lang <> 'de') AS unchanged FROM d GROUP BY source""")
+def sync_timeline(spark, sf_dir):
+    """A second sync in which only two sources were fetched: one is new, one has changed German documents, the others stay."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("norm_id"), F.col("doc_id").alias("block_id"), "lang", text_hash(F.col("text")).alias("hash"))
+    norms = docs.select("norm_id").distinct()
+    state = norms.where("norm_id <> 'src1'").select("norm_id", F.lit("before").alias("fingerprint"), F.lit(None).cast("date").alias("next_change"))
+    delivered = norms.where("norm_id in ('src1', 'src2')")
+    reasons = incremental.due(delivered, state, delivered.withColumn("fingerprint", F.lit("now")), DAY)
+    reasons = reasons.unionByName(norms.join(delivered, "norm_id", "left_anti").withColumn("reason", F.lit(None).cast("string")))
+    new = docs.join(delivered, "norm_id", "left_semi").withColumn("hash", F.when(F.col("lang") == "de", F.concat("hash", F.lit("+"))).otherwise(F.col("hash")))
+    old = docs.where("norm_id = 'src2'")
+    return incremental.sync_report(incremental.snapshot_diff(old, new, ["norm_id", "block_id"]), reasons)
