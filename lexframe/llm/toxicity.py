@@ -188,7 +188,7 @@ def _rate(counts: dict[float, int], drift: float) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS, settings: Settings | None = None) -> Model:
     """A model of the labelled rows that may be learnt from: see ``labelled.training_rows`` for nulls, repeats and the bound.
 
-    Without toxic or without clean rows every text scores the share of toxic ones, 0.5 if there are no rows at all.
+    Without toxic or without clean rows every text scores the share of toxic ones, none if there are no rows at all.
     """
     return fit(cut(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, most, id_col, text_col), "toxicity-sample"), settings or Settings())
 
@@ -197,8 +197,7 @@ def fit(sample: DataFrame, settings: Settings) -> Model:
     """``train`` on a bounded sample of (text, label)."""
     lexicon = _lexicon(sample, settings)
     if not lexicon:
-        rate = sample.agg(F.avg("label")).first()[0]
-        rate = 0.5 if rate is None else rate
+        rate = sample.agg(F.avg("label")).first()[0] or 0.0
         return Model({}, 1.0, 1.0, 0.0, math.log((rate + 1e-3) / (1 - rate + 1e-3)), settings)
     sent = sample.sparkSession.sparkContext.broadcast(lexicon)
 

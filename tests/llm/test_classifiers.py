@@ -76,6 +76,7 @@ def test_held_out_labels_do_not_matter(spark, tables):
 def test_awkward_and_missing_labels(spark, module):
     rows = module.score(frame(spark), module.train(frame(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))).collect()
     assert all(0 <= r["score"] <= 1 for r in rows) and len(rows) == frame(spark).count()
+    assert module is quality or not any(r["predicted"] for r in rows)  # without labels nothing is toxic
     odd = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (3, None, None), (4, 0, 1), (5, 1, 0), (7, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
     assert module.score(frame(spark), module.train(frame(spark), odd)).count() == len(rows)
     assert module.score(frame(spark, []), module.train(frame(spark, []), odd)).count() == 0
