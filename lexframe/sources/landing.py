@@ -69,15 +69,20 @@ def fetch_snapshots(spark: SparkSession, root: str, catalog: DataFrame, base: st
         reader = spark.read.format("norm_service").option("base", base).option("ids", ",".join(ids)).option("part", path).option("accept", accept)
         rows = reader.options(**options).load()
         if name != TEXT:
-            rows = rows.withColumn("payload", F.when(checked(F.col("payload")).isNotNull() | F.lit(True), F.col("payload")))
+            rows = rows.withColumn("payload", accepted(F.col("payload")))
         written += land(rows, root, name)
     return written
 
 
-def checked(payload: Column) -> Column:
-    """The ``data`` member as JSON text; an error unless the status code is 200."""
+def accepted(payload: Column) -> Column:
+    """``payload``; an error unless its status code is 200."""
     code = F.get_json_object(payload, "$.status.code")
-    return F.when(code == "200", F.get_json_object(payload, "$.data")).otherwise(F.raise_error(F.concat(F.lit("response has status "), F.coalesce(code, F.lit("none")))))
+    return F.when(code == "200", payload).otherwise(F.raise_error(F.concat(F.lit("response has status "), F.coalesce(code, F.lit("none")))))
+
+
+def checked(payload: Column) -> Column:
+    """The ``data`` member of an accepted payload as JSON text."""
+    return F.get_json_object(accepted(payload), "$.data")
 
 
 def parse_index(raw: DataFrame) -> DataFrame:

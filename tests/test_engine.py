@@ -269,6 +269,43 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "catalog.json").write_text(json.dumps(NORMS[:1]), "utf-8")
     (tmp_path / "q.json").write_text('{"id":"1","category":"literal","question":"artículo 1 de la Ley 7/1999","gold":["LPX art. 1"]}\n', "utf-8")
     base = ["--store", str(tmp_path / "store"), "--catalog", str(tmp_path / "catalog.json"), "--landing", str(tmp_path / "raw")]
-    for command, shown in ((["version"], __version__), (["ingest"], "created"), (["search", "plazos"], "LPX"), (["norms"], "LPX"), (["ready"], "true"), (["eval", str(tmp_path / "q.json"), "--configs", "sparse+refs"], "| sparse+refs | overall | 1.000")):
+    log, report = str(tmp_path / "log"), str(tmp_path / "report")
+    for command, shown in (
+        (["version"], __version__), (["ingest"], "created"), (["search", "plazos"], "LPX"), (["norms"], "LPX"), (["ready"], "true"), (["ask", "artículo 1 de la Ley 7/1999", "--log", log], "Texto actual."),
+        (["ask", "artículo 1 de la Ley 7/1999", "--events"], "event: done"), (["eval", str(tmp_path / "q.json"), "--configs", "sparse+refs", "--report", report], "| sparse+refs | overall | 1.000"),
+    ):
         cli.main([*base, *command])
         assert shown in capsys.readouterr().out
+    assert spark.read.json(log).first()["query"].startswith("artículo 1") and spark.read.json(report).where("category = 'overall'").first()["recall_at_1"] == 1.0
+
+
+def test_fetch_and_land(spark, tmp_path, norms):
+    """A service on this machine: parts are fetched where some are missing; an error status is not written."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lexframe.sources import landing
+
+    status, asked = ["200"], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked.append(self.path)
+            body = (XML if self.path.endswith("texto") else '{"status":{"code":"%s"},"data":[]}' % status[0]).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, root = f"http://127.0.0.1:{server.server_port}", str(tmp_path / "raw")
+    assert landing.fetch_snapshots(spark, root, norms, base) == 3 and len(asked) == 3
+    assert xml.blocks(landing.read_text(spark, root)).count() == 6
+    assert landing.fetch_snapshots(spark, root, norms, base) == 0 and len(asked) == 3
+    status[0] = "404"
+    with pytest.raises(Exception, match="status 404"):
+        landing.fetch_snapshots(spark, root, norms, base, refresh=True)
+    server.shutdown()
