@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,16 +53,15 @@ def forget(state: DataFrame, catalog: DataFrame, key: str = "norm_id") -> tuple[
     return state.join(catalog.select(key), key, "left_semi"), state.select(key).distinct().join(catalog.select(key), key, "left_anti")
 
 
-def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[DataFrame], DataFrame], text_col: str = "embed_text") -> tuple[DataFrame, DataFrame]:
+def embed_with_cache(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[DataFrame], DataFrame], text_col: str = "embed_text", keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
     """(texts with vectors, new cache rows): each distinct text not in the cache for this model is embedded once.
 
-    The new rows feed both results, so they are kept in Spark's cache; a caller that stores them can pass the stored table
-    again instead, which then embeds nothing.
+    The new rows feed both results, so ``keep`` holds them: in Spark's cache, or as a table that ``Store.stage`` has written.
     """
     hashed = texts.withColumn("text_hash", text_hash(F.col(text_col)))
     known = cache.where(F.col("model") == model).select("text_hash", "vector")
     wanted = hashed.groupBy("text_hash").agg(F.min(text_col).alias(text_col)).join(known, "text_hash", "left_anti")
-    fresh = embed(wanted).persist()
+    fresh = keep(embed(wanted))
     return hashed.join(known.unionByName(fresh.select("text_hash", "vector")), "text_hash"), fresh.select("text_hash", F.lit(model).alias("model"), "vector")
 
 
@@ -106,6 +106,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._session = uuid.uuid4().hex
 
     def _pointer(self) -> dict:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current")
@@ -119,6 +120,17 @@ class Store:
         path = self._pointer()["tables"].get(table)
         return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` written once beside the tables and read back: what follows has a short plan, and a lost executor loses nothing."""
+        path = f"{self.root}/_staging/{self._session}/{label}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def unstage(self) -> None:
+        """Removes what this store has staged."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_staging/{self._session}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def _claim(self, version: int) -> None:
         """Marks ``version`` as being written; an error if another writer has done so, as one of the two would be lost."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/v{version}")

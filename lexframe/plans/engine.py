@@ -43,6 +43,13 @@ class Engine:
         norm is processed or reported. Norms that the catalog lacks are removed in both cases; norms without any block were
         not fetched, are skipped and stay as they are. New tables are computed first and take effect together, so a failure leaves the old state.
         """
+        try:
+            return self._sync(blocks, block_index, day, force, only)
+        finally:
+            self.store.unstage()
+
+    def _sync(self, blocks: DataFrame, block_index: DataFrame, day: date, force: bool, only: DataFrame | None) -> DataFrame:
+        stage = self.store.stage
         signature = incremental.signature(__version__, self.embedder.name, self.limit)
         meta = self.store.read("meta", META)
         same = not meta.where((F.col("key") == "signature") & (F.col("value") == signature)).isEmpty()
@@ -53,21 +60,20 @@ class Engine:
         delivered = self.norms if only is None else self.norms.join(only.select("norm_id").distinct(), "norm_id", "left_semi")
         fetched = blocks.select("norm_id").distinct()
         absent = delivered.join(fetched, "norm_id", "left_anti").select("norm_id", F.lit(None).cast("string").alias("reason"))
-        reasons = incremental.due(delivered.join(fetched, "norm_id", "left_semi"), state, current, day, force).unionByName(absent).persist()
+        reasons = stage(incremental.due(delivered.join(fetched, "norm_id", "left_semi"), state, current, day, force).unionByName(absent), "reasons")
         todo = reasons.where("reason is not null").select("norm_id")
         specs = self.norms.join(todo, "norm_id", "left_semi")
-        own = blocks.join(todo, "norm_id", "left_semi")
+        own = stage(blocks.join(todo, "norm_id", "left_semi"), "blocks")
 
-        provisions = structure.build_provisions(own, specs, block_index, day).persist()
-        chunks = chunking.chunk_provisions(provisions, specs, self.limit).persist()
+        provisions = stage(structure.build_provisions(own, specs, block_index, day), "provisions")
+        chunks = stage(chunking.chunk_provisions(provisions, specs, self.limit), "chunks")
         hashes = incremental.content_hashes(chunks)
         old_hashes = read("hashes", HASHES)
-        diff = incremental.snapshot_diff(old_hashes.join(todo, "norm_id", "left_semi"), hashes, ["norm_id", "block_id"]).persist()
-        held = [reasons, provisions, chunks, diff]
+        diff = stage(incremental.snapshot_diff(old_hashes.join(todo, "norm_id", "left_semi"), hashes, ["norm_id", "block_id"]), "diff")
         # The report outlives the state that it was made of, so its few rows are fixed here.
         report = self.spark.createDataFrame(incremental.sync_report(diff, reasons).collect(), incremental.REPORT)
         if same and gone.isEmpty() and todo.isEmpty():
-            return self._released(held, report)
+            return report
 
         changed = diff.where("change in ('new', 'changed')").select("norm_id", "block_id")
         stale = diff.where("change in ('changed', 'removed')").select("norm_id", "block_id")
@@ -76,7 +82,7 @@ class Engine:
         embed = lambda wanted: dense.embed(wanted, self.embedder, "text_hash", "embed_text")
         wanted = fresh.select("norm_id", "block_id", "chunk_id", "embed_text")
         cache = self.store.read("cache", CACHE)
-        embedded, added = incremental.embed_with_cache(wanted, cache, self.embedder.name, embed)
+        embedded, added = incremental.embed_with_cache(wanted, cache, self.embedder.name, embed, keep=lambda df: stage(df, "embedded"))
         terms = lexical.postings(fresh, "chunk_id", "embed_text", True, ("norm_id", "block_id"))
 
         dates = chunks.groupBy("norm_id").agg(F.max("consolidated_as_of").alias("consolidated_as_of"))
@@ -92,12 +98,6 @@ class Engine:
             meta=incremental.upsert(meta, self.spark.createDataFrame([("signature", signature)], META), ["key"]),
         )
         log.info("synced", extra={"norms": report.count()})
-        return self._released([*held, added], report)
-
-    @staticmethod
-    def _released(held: list[DataFrame], report: DataFrame) -> DataFrame:
-        for df in held:
-            df.unpersist()
         return report
 
     def statistics(self, blocks: DataFrame, block_index: DataFrame, day: date) -> DataFrame:
