@@ -126,6 +126,13 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written once under ``_answers`` and read back, for results that are read lazily; the folder may be removed when
+        they have been."""
+        path = f"{self.root}/_answers/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def unstage(self) -> None:
         """Removes what this store has staged."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_staging/{self._session}")

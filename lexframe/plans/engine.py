@@ -123,7 +123,7 @@ class Engine:
         """(sources, events of the model) of the queries."""
         wrong = F.raise_error(F.lit("a question has 3 to 2000 characters")).cast("boolean")
         queries = queries.where(F.when(F.length("query").between(3, 2000), True).otherwise(wrong))
-        hits = self.search(queries, k, "hybrid", chunk_filter).persist()
+        hits = self.store.keep(self.search(queries, k, "hybrid", chunk_filter))
         label = chunking.citation_label(F.col("norm_short_name"), F.col("kind"), F.col("number"), F.col("label"), F.col("apartado"))
         title = answering.result_title(label, F.col("heading"), F.col("consolidated_as_of"), F.col("application_date"), F.col("repealed"), day)
         block = answering.context_block(F.col("norm_short_name"), F.col("hierarchy"), F.col("label"), F.col("text"), F.col("url"), title)
@@ -170,7 +170,8 @@ class Engine:
         for config in configs:
             mode, *switches = config.split("+")
             scorer = (self.scorer or retrieval.lexical_overlap) if "rerank" in switches else None
-            hits = self.search(kept.select(F.col("id").alias("query_id"), F.col("question").alias("query")), k, mode, None, "refs" in switches, scorer)
+            found = self.search(kept.select(F.col("id").alias("query_id"), F.col("question").alias("query")), k, mode, None, "refs" in switches, scorer)
+            hits = self.store.keep(found.select("query_id", "norm_id", "kind", "number", "block_id", "rank"))
             asked = keyed.select(*[F.col(c).alias(f"g_{c}") for c in ("id", "norm_id", "kind", "number", "block_id")], "gold")
             match = (F.col("query_id") == F.col("g_id")) & (F.col("norm_id") == F.col("g_norm_id")) & (F.col("kind") == F.col("g_kind")) & evaluation.gold_matches(F.col("g_block_id"), F.col("g_number"), F.col("block_id"), F.col("number"))
             matched = hits.join(asked, match).select(F.col("g_id").alias("id"), "gold", F.col("rank").cast("int").alias("rank"))
