@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, mixing, quality, sharding, simhash, substring, tokens, toxicity
+from . import chat, decontam, exact, infill, mixing, quality, sharding, simhash, substring, tokens, toxicity
 from .common import cut
 
 
@@ -67,7 +67,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_temperature_mixing, op4_bounded_load_sharding, op5_exact_dedup, op6_quality_classifier, op7_unigram_token_counts, op8_substring_dedup, op9_chat_formatting, op10_toxicity)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digest(_texts(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_temperature_mixing, op4_bounded_load_sharding, op5_exact_dedup, op6_quality_classifier, op7_unigram_token_counts, op8_substring_dedup, op9_chat_formatting, op10_toxicity, op13_fill_in_middle)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -118,4 +122,15 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op2_benchmark_decontamination": _DECONTAMINATION, "op5_exact_dedup": _EXACT, "op8_substring_dedup": _SUBSTRING, "op9_chat_formatting": _CHAT}
+_INFILL = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT doc_id, text, w, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op2_benchmark_decontamination": _DECONTAMINATION, "op5_exact_dedup": _EXACT, "op8_substring_dedup": _SUBSTRING, "op9_chat_formatting": _CHAT, "op13_fill_in_middle": _INFILL}
