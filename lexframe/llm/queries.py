@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, infill, mixing, quality, sharding, simhash, substring, tokens, toxicity
-from .common import cut
+from . import chat, decontam, exact, infill, lateness, mixing, quality, sharding, simhash, substring, tokens, toxicity
+from .common import cut, scratch_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +69,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes files in a new folder, which stays."""
+    return lateness.sales_layout(_table(spark, sf_dir, "sales"), f"{scratch_dir(spark)}/sales-{uuid.uuid4().hex}")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_digest(_texts(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_temperature_mixing, op4_bounded_load_sharding, op5_exact_dedup, op6_quality_classifier, op7_unigram_token_counts, op8_substring_dedup, op9_chat_formatting, op10_toxicity, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_temperature_mixing, op4_bounded_load_sharding, op5_exact_dedup, op6_quality_classifier, op7_unigram_token_counts, op8_substring_dedup, op9_chat_formatting, op10_toxicity, op12_late_overwrite, op13_fill_in_middle)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
