@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, infill, lateness, mixing, quality, sharding, simhash, substring, tokens, toxicity
+from . import chat, decontam, exact, infill, lateness, mixing, quality, sharding, simhash, substring, suffixes, tokens, toxicity
 from .common import cut, scratch_dir
 
 
@@ -69,6 +69,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(_texts(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes files in a new folder, which stays."""
     return lateness.sales_layout(_table(spark, sf_dir, "sales"), f"{scratch_dir(spark)}/sales-{uuid.uuid4().hex}")
@@ -78,7 +82,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_digest(_texts(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_temperature_mixing, op4_bounded_load_sharding, op5_exact_dedup, op6_quality_classifier, op7_unigram_token_counts, op8_substring_dedup, op9_chat_formatting, op10_toxicity, op12_late_overwrite, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_temperature_mixing, op4_bounded_load_sharding, op5_exact_dedup, op6_quality_classifier, op7_unigram_token_counts, op8_substring_dedup, op9_chat_formatting, op10_toxicity, op11_suffix_array_dedup, op12_late_overwrite, op13_fill_in_middle)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -129,6 +133,19 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+_SUFFIXES = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM
+         (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS gap FROM r)) GROUP BY doc_id, run),
+kept AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, b FROM runs),
+parts AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS last FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id)
+"""
+
 _INFILL = r"""
 WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 d AS (SELECT doc_id, text, w, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
@@ -140,4 +157,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN
 FROM p
 """
 
-ORACLES = {"op2_benchmark_decontamination": _DECONTAMINATION, "op5_exact_dedup": _EXACT, "op8_substring_dedup": _SUBSTRING, "op9_chat_formatting": _CHAT, "op13_fill_in_middle": _INFILL}
+ORACLES = {"op2_benchmark_decontamination": _DECONTAMINATION, "op5_exact_dedup": _EXACT, "op8_substring_dedup": _SUBSTRING, "op9_chat_formatting": _CHAT, "op11_suffix_array_dedup": _SUFFIXES, "op13_fill_in_middle": _INFILL}
