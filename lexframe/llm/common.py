@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """``discard``, and the shuffle files of jobs that are over: Spark drops them when the driver collects its garbage."""
+    discard(*tables)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(id_col: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids count as the empty text."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

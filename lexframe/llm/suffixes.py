@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, utf8
+from .common import cut, release, utf8
 from .exchange import BUCKET_KEYS, SENT, Arrays, answer, buckets_for, gaps, lexicographic, pack, received, sent, starts_of, unpack
 
 WINDOW = 50
@@ -52,10 +52,10 @@ SAMPLED = 1 << 17
 LAST = 2**63 - 1
 BYTES_PER_ANCHOR = 13
 
+_SENT_TYPE = pa.list_(pa.struct([("bucket", pa.int32()), ("data", pa.binary())]))
 _SPAN = WINDOW - GRAM + 1
 _TABLE = np.frombuffer(hashlib.shake_256(b"bytes to 64 bits").digest(2048), "<u8")
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
-_MOST = np.uint64(2**64 - 1)
 
 
 # --- anchors ------------------------------------------------------------------------------------------------------------------
@@ -84,8 +84,8 @@ def _extreme(values: np.ndarray, length: int, pick: Callable) -> np.ndarray:
     return pick(values[:total], values[length - have : length - have + total])
 
 
-def _blocks(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, hashes of grams, least hash of each whole window or 0, places of anchors) for BLOCK windows at a time."""
+def _blocks(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first place, hashes of grams, places of anchors from there on) for BLOCK windows at a time."""
     total, padding = len(data) - WINDOW + 1, np.zeros(_SPAN - 1, np.uint64)
     for a in range(0, max(0, total), BLOCK):
         b = min(total, a + BLOCK)
@@ -95,21 +95,18 @@ def _blocks(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarra
         inside = ends[np.searchsorted(ends, start, "right")] if len(ends) > 1 else ends[0]
         least[start + WINDOW > inside] = 0
         reached = _extreme(np.concatenate((padding, least, padding)), _SPAN, np.maximum)
-        yield a, grams, least, np.flatnonzero(reached == grams)
+        yield a, grams, np.flatnonzero(reached == grams)
 
 
 def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchors, ascending, and whether several documents of the chunk have them."""
-    found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for a, grams, _, at in _blocks(data, ends):
-        found.append(grams[at])
-        owners.append(np.searchsorted(ends, a + at, "right"))
-    h, owner = np.concatenate(found), np.concatenate(owners)
-    order = np.argsort(h, kind="stable")  # owners ascend, so of equal hashes first and last owner tell
-    h, owner = h[order], owner[order]
-    fresh = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    last = np.append(fresh[1:], len(h)) - 1
-    return h[fresh], owner[fresh] != owner[last]
+    """Places and hashes of the anchors of all whole windows, in the order of places."""
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a, grams, at in _blocks(data, ends):
+        places.append(a + at)
+        hashes.append(grams[at])
+    at, h = np.concatenate(places), np.concatenate(hashes)
+    at, first = np.unique(at, return_index=True)  # neighbouring blocks share some
+    return at, h[first]
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -128,26 +125,24 @@ def _repeated(pieces: list[Arrays]) -> list[Arrays | None]:
     return [{"bits": np.packbits(f)} if f.any() else None for f in parts]
 
 
-class _Chunk:
-    """A chunk row of documents: bytes, ends and order keys."""
-
-    def __init__(self, text: bytes, ends, docs):
-        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
-        self.ends, self.docs = np.asarray(ends, np.int64), np.asarray(docs, np.int64)
-
-
 def _chunks(kind: pa.DataType, buckets: int, chunk_bytes: int):
     """Rows (doc, doc_id, text) to rows of chunks, with their anchors sent."""
 
     def emit(number: int, held: list[tuple[int, object, bytes]]) -> pa.RecordBatch:
         buffer = b"".join(t for _, _, t in held)
         ends = np.cumsum([len(t) for _, _, t in held])
-        hashes, _ = _anchors(np.frombuffer(buffer, np.uint8), ends)
+        at, h = _anchors(np.frombuffer(buffer, np.uint8), ends)
+        order, key, first = _distinct([h])  # stable, so of equal hashes the first place comes first and the last one last
+        owner = np.searchsorted(ends, at[order], "right")
+        edge = np.append(np.flatnonzero(starts_of([h], order)), len(order))
+        several = owner[edge[:-1]] != owner[edge[1:] - 1]
+        hashes = h[first]
         bounds = _by_bucket(hashes, buckets)
         asked = sent([(k, {"gaps": gaps(hashes[a:b])}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
-        values = ([number], [[d for d, _, _ in held]], [[i for _, i, _ in held]], [ends], [zstandard.ZstdCompressor(1).compress(buffer)], [asked])
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.struct([("bucket", pa.int32()), ("data", pa.binary())])))
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "docs", "ids", "ends", "text", "sent"])
+        anchors = pack({"gaps": gaps(at).astype(np.uint32), "key": key.astype(np.int32), "several": several, "break": hashes // np.uint64(2) % np.uint64(BREAKS) == 0, "bounds": bounds})
+        values = ([number], [[d for d, _, _ in held]], [[i for _, i, _ in held]], [ends], [zstandard.ZstdCompressor(1).compress(buffer)], [anchors], [asked])
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary(), _SENT_TYPE)
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "docs", "ids", "ends", "text", "anchors", "sent"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -167,56 +162,49 @@ def _chunks(kind: pa.DataType, buckets: int, chunk_bytes: int):
 # --- pieces -------------------------------------------------------------------------------------------------------------------
 
 
-def _candidates(chunk: _Chunk, got: dict[int, Arrays], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(candidate windows, breaks): both as masks of window starts."""
-    hashes, several = _anchors(chunk.data, chunk.ends)
-    bounds = _by_bucket(hashes, buckets)
+def _candidates(total: int, ends: np.ndarray, anchors: Arrays, got: dict[int, Arrays]) -> tuple[np.ndarray, np.ndarray]:
+    """(candidate windows, breaks) as masks of window starts. A window whose anchor one document has alone is not repeated elsewhere."""
+    several, at = anchors["several"].copy(), np.cumsum(anchors["gaps"], dtype=np.int64)
     for bucket, reply in got.items():
-        a, b = bounds[bucket], bounds[bucket + 1]
+        a, b = anchors["bounds"][bucket], anchors["bounds"][bucket + 1]
         several[a:b] |= np.unpackbits(reply["bits"], count=b - a).astype(bool)
-    named = hashes[several]
-    total = max(0, len(chunk.data) - WINDOW + 1)
-    mask, breaks = np.zeros(total, bool), np.zeros(total, bool)
-    if not len(named):
-        return mask, breaks
-    for a, grams, least, at in _blocks(chunk.data, chunk.ends):
-        own = grams[at]
-        hit = named[np.minimum(np.searchsorted(named, own), len(named) - 1)] == own
-        flagged = np.full(len(grams), _MOST)
-        flagged[at[hit]] = own[hit]
-        mask[a : a + len(least)] = (_extreme(flagged, _SPAN, np.minimum) == least) & (least > 0)
-        cuts = at[hit & (own // np.uint64(2) % np.uint64(BREAKS) == 0)] + a
-        breaks[cuts[cuts < total]] = True
+    change = np.zeros(total + 1, np.int32)  # > 0 where a window is whole
+    begins = np.concatenate(([0], ends[:-1]))
+    long = ends - begins >= WINDOW
+    np.add.at(change, begins[long], 1)
+    np.add.at(change, ends[long] - WINDOW + 1, -1)
+    mask = np.cumsum(change[:total]) > 0
+    # Keys are numbered by hash, so the least key of a window's anchors is that of its own anchor.
+    least = np.full(total + _SPAN - 1, len(several), np.int32)
+    least[at] = anchors["key"]
+    mask &= np.append(several, False)[_extreme(least, _SPAN, np.minimum)] if total else mask
+    breaks = np.zeros(total, bool)
+    cuts = at[anchors["break"][anchors["key"]]]
+    breaks[cuts[cuts < total]] = True
     return mask, breaks
 
 
-def _pieces(buckets: int):
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunk rows with answers to rows (h, chunk, doc, text, at): the distinct pieces of each chunk and where they occur."""
-    names = ["h", "chunk", "doc", "text", "at"]
-    place = pa.list_(pa.struct([("idx", pa.int32()), ("doc", pa.int64()), ("place", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, docs, ends, text, got in zip(*batch.columns, strict=True):
-                chunk = _Chunk(text.as_py(), ends.as_py(), docs.as_py())
-                mask, breaks = _candidates(chunk, received(got.as_py()), buckets)
-                start = mask & ~np.concatenate(([False], mask[:-1])) | mask & breaks
-                at = np.flatnonzero(start)
-                if not len(at):
-                    continue
-                stop = np.flatnonzero(mask & ~np.concatenate((mask[1:], [False])))  # last windows of the runs
-                last = np.minimum(np.append(at[1:], len(mask)) - 1, stop[np.searchsorted(stop, at)])
-                owner = np.searchsorted(chunk.ends, at, "right")
-                first = np.concatenate(([0], chunk.ends))[owner]
-                data, found = chunk.data.tobytes(), {}
-                for a, b, o, f in zip(at.tolist(), last.tolist(), owner.tolist(), first.tolist(), strict=True):
-                    piece = data[a : b + WINDOW]
-                    found.setdefault(piece, []).append({"idx": o, "doc": int(chunk.docs[o]), "place": a - f})
-                rows = [(xxhash.xxh3_128_digest(p), number.as_py(), min(x["doc"] for x in where), p, where) for p, where in found.items()]
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), place)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return run
+    for batch in batches:
+        for number, docs, ends, text, anchors, got in zip(*batch.columns, strict=True):
+            data = zstandard.ZstdDecompressor().decompress(text.as_py())
+            docs, ends = docs.values.to_numpy(), ends.values.to_numpy()
+            mask, breaks = _candidates(max(0, len(data) - WINDOW + 1), ends, unpack(anchors.as_py()), received(got.as_py()))
+            at = np.flatnonzero(mask & (breaks | ~np.concatenate(([False], mask[:-1]))))
+            if not len(at):
+                continue
+            stop = np.flatnonzero(mask & ~np.concatenate((mask[1:], [False])))  # last windows of the runs
+            last = np.minimum(np.append(at[1:], len(mask)) - 1, stop[np.searchsorted(stop, at)])
+            owner = np.searchsorted(ends, at, "right")
+            seen: dict[bytes, int] = {}
+            piece = np.fromiter((seen.setdefault(data[a : b + WINDOW], len(seen)) for a, b in zip(at.tolist(), last.tolist(), strict=True)), np.int64, len(at))
+            order = np.argsort(piece, kind="stable")
+            doc, offsets = docs[owner[order]], np.concatenate(([0], np.cumsum(np.bincount(piece, minlength=len(seen)))))
+            place = (at - np.concatenate(([0], ends))[owner])[order]
+            where = pa.StructArray.from_arrays([pa.array(owner[order].astype(np.int32)), pa.array(doc), pa.array(place.astype(np.int32))], ["idx", "doc", "place"])
+            columns = [pa.array([xxhash.xxh3_128_digest(p) for p in seen], pa.binary()), pa.array(np.full(len(seen), number.as_py())), pa.array(np.minimum.reduceat(doc, offsets[:-1])), pa.array(list(seen), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), where)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "chunk", "doc", "text", "at"])
 
 
 # --- suffixes of pieces -------------------------------------------------------------------------------------------------------
@@ -428,7 +416,6 @@ def _later(state: Arrays, got: dict[int, Arrays]) -> list[list[dict]]:
 
 # --- the rounds ---------------------------------------------------------------------------------------------------------------
 
-_SENT_TYPE = pa.list_(pa.struct([("bucket", pa.int32()), ("data", pa.binary())]))
 _STATE = f"chunk long, hs array<binary>, state binary, sent {SENT}"
 
 
@@ -455,7 +442,7 @@ def _piece_chunks(chunk_bytes: int):
 
 
 def _round(states: DataFrame, answers: DataFrame | None, step: Callable[[Arrays, dict[int, Arrays]], tuple[Arrays, list[dict]]], label: str) -> DataFrame:
-    """The states after ``step``, with what they send now, as a written table."""
+    """The states after ``step``, with what they send now, as a written table; the one before is removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,7 +452,9 @@ def _round(states: DataFrame, answers: DataFrame | None, step: Callable[[Arrays,
 
     rows = states.select("chunk", "hs", "state")
     rows = rows.withColumn("got", F.lit(None).cast(SENT)) if answers is None else rows.join(answers, "chunk", "left")
-    return cut(rows.mapInArrow(run, _STATE), label)
+    made = cut(rows.mapInArrow(run, _STATE), label)
+    release(states.sparkSession, states)
+    return made
 
 
 def _splitters(states: DataFrame, buckets: int) -> list[tuple]:
@@ -529,10 +518,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = buckets_for(size / BYTES_PER_ANCHOR, bucket_keys)
     arrow_kind = docs.select(id_col).limit(0).toArrow().schema.field(0).type
-    chunks = cut(rows.mapInArrow(_chunks(arrow_kind, buckets, chunk_bytes), f"chunk long, docs array<bigint>, ids array<{kind}>, ends array<bigint>, text binary, sent {SENT}"), "text-chunks")
+    chunks = cut(rows.mapInArrow(_chunks(arrow_kind, buckets, chunk_bytes), f"chunk long, docs array<bigint>, ids array<{kind}>, ends array<bigint>, text binary, anchors binary, sent {SENT}"), "text-chunks")
 
-    named = chunks.select("chunk", "docs", "ends", "text").join(answer(chunks, _repeated), "chunk", "left")
-    pieces = cut(named.mapInArrow(_pieces(buckets), "h binary, chunk long, doc long, text binary, at array<struct<idx:int,doc:bigint,place:int>>"), "pieces")
+    named = chunks.select("chunk", "docs", "ends", "text", "anchors").join(answer(chunks, _repeated), "chunk", "left")
+    pieces = cut(named.mapInArrow(_pieces, "h binary, chunk long, doc long, text binary, at array<struct<idx:int,doc:bigint,place:int>>"), "pieces")
+    release(docs.sparkSession)
 
     distinct = pieces.groupBy("h").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).select("h", "doc", "text")
     states = cut(distinct.mapInArrow(_piece_chunks(piece_bytes), _STATE), "piece-chunks")
@@ -544,6 +534,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suffixes = _round(names, answer(names, _rank), lambda a, g: _send_suffixes(a, g, splitters), "suffixes")
     ends = suffixes.select("chunk", "hs", "state").join(answer(suffixes, _merge), "chunk", "left")
     runs = cut(ends.mapInArrow(_runs, "h binary, first long, runs array<struct<start:int,stop:int>>"), "runs")
+    release(docs.sparkSession, suffixes)
 
     # Where a piece lies in a later document than its first, all of it goes; in the first one what a window of another piece covers.
     def spans(o):
@@ -553,7 +544,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = pieces.select("h", "chunk", F.octet_length("text").alias("size"), "at").join(runs, "h").select("chunk", F.flatten(F.transform("at", spans)).alias("spans"))
     gone = cut(found.where(F.size("spans") > 0).groupBy("chunk").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    discard(pieces, states, triples, names, suffixes, runs)
+    release(docs.sparkSession, pieces, runs)
     out = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>"
     return chunks.select("chunk", "ids", "ends", "text").join(gone, "chunk", "left").select("ids", "ends", "text", "spans").mapInArrow(_outputs, out)
 
