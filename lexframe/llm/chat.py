@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted; an aggregate over the array merges adjacent turns of one
-role to a block, in which a separator parts them; prefixes, escaped texts and ends are concatenated. All of it is expressions.
+The turns of a conversation are collected as structs and sorted; array expressions merge adjacent turns of one
+role to a block, in which a separator parts them; prefixes, escaped texts and ends are concatenated. All of it is expressions,
+and takes time in proportion to a conversation's length.
 
 Template: ``<|role:NAME|>`` opens a block, ``<|next|>`` parts turns of one role, ``<|end|>`` closes a block. In names and texts
 ``~`` is doubled and a ``~`` is put after the first character of anything that could be read as a control string of this or
@@ -10,12 +11,13 @@ other common templates; removing it again restores the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NEXT, END = "<|next|>", "<|end|>"
 OPEN, SHUT = "<|role:", "|>"
 LOSS_ROLE = "assistant"
+PART = 512
 
 #: The beginnings of control strings of common chat templates.
 _CONTROL = "([<\\[](?=\\||/?s>|</?SYS>|/?INST\\])|\\|(?=>))"
@@ -30,27 +32,11 @@ def unescape(text: Column) -> Column:
 
 
 def _blocks(turns: Column) -> Column:
-    """array<struct<role, texts>>: adjacent turns of one role merged."""
-
-    def add(blocks: Column, t: Column) -> Column:
-        last = F.try_element_at(blocks, F.lit(-1))
-        longer = F.struct(last["role"].alias("role"), F.array_append(last["texts"], t["text"]).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when(last["role"] == t["role"], F.array_append(F.slice(blocks, 1, F.size(blocks) - 1), longer)).otherwise(F.array_append(blocks, fresh))
-
-    return F.aggregate(turns, F.array().cast("array<struct<role:string,texts:array<string>>>"), add)
-
-
-def _spans(pieces: Column) -> Column:
-    """array<struct<start, stop>> of the learnt pieces' places in the concatenation."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
-
-    def add(state: Column, p: Column) -> Column:
-        stop = state["at"] + F.length(p["text"])
-        learnt = F.array_append(state["spans"], F.struct(state["at"].alias("start"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(p["loss"], learnt).otherwise(state["spans"]).alias("spans"))
-
-    return F.aggregate(pieces, start, add, lambda state: state["spans"])
+    """array<struct<role, texts>>: adjacent turns of one role merged. Block starts are found first, then each block is one slice."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (turns[i]["role"] != turns[F.greatest(i - 1, F.lit(0))]["role"]))
+    stops = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(turns)))
+    bounds = F.arrays_zip(starts.alias("a"), stops.alias("b"))
+    return F.transform(bounds, lambda x: F.struct(turns[x["a"]]["role"].alias("role"), F.transform(F.slice(turns, x["a"] + 1, x["b"] - x["a"]), lambda t: t["text"]).alias("texts")))
 
 
 def format_chats(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -63,7 +49,8 @@ def format_chats(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
-    merged = chats.groupBy(F.col(conv_col).alias("conv_id")).agg(_blocks(F.array_sort(F.collect_list(turn))).alias("blocks"))
+    sorted_turns = chats.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    merged = sorted_turns.select("conv_id", _blocks(F.col("turns")).alias("blocks"))
 
     piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
 
@@ -72,8 +59,15 @@ def format_chats(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         said = F.transform(b["texts"], lambda t, i: F.array(piece(F.when(i == 0, lead).otherwise(F.lit(NEXT)), F.lit(False)), piece(escape(t), b["role"] == LOSS_ROLE)))
         return F.array_append(F.flatten(said), piece(F.lit(END + "\n"), F.lit(False)))
 
-    made = merged.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
-    return made.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), _spans(F.col("pieces")).alias("loss"))
+    # Places are running sums over the pieces; conversations are together already, so neither step shuffles again.
+    made = merged.select("conv_id", F.posexplode(F.flatten(F.transform("blocks", pieces))).alias("nth", "piece"))
+    before = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = made.withColumn("stop", F.sum(F.length("piece.text").cast("long")).over(before))
+    ordered = F.array_sort(F.collect_list(F.struct("nth", F.col("piece.text").alias("text"))))
+    learnt = F.array_sort(F.collect_list(F.when(F.col("piece.loss"), F.struct("nth", (F.col("stop") - F.length("piece.text")).alias("start"), "stop"))))
+    rows = made.groupBy("conv_id").agg(ordered.alias("pieces"), learnt.alias("loss"))
+    spans = F.transform("loss", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    return rows.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -93,7 +87,14 @@ def chat_digest(chats: DataFrame, **columns) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the formatted text and its mask."""
     made = format_chats(chats, **columns).withColumn("turns", read_back(F.col("formatted")))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = lambda s: F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))
+    # Characters are found by counting from a text's start, so the mask is read from parts of PART characters.
+    made = made.withColumn("parts", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)))
+
+    def masked(s: Column) -> Column:
+        first, length = F.floor(s["start"] / PART).cast("int"), (s["stop"] - s["start"]).cast("int")
+        near = F.array_join(F.slice("parts", first + 1, F.floor(s["stop"] / PART).cast("int") - first + 1), "")
+        return F.substr(near, (s["start"] % PART + 1).cast("int"), length)
+
     learnt = F.array_join(F.transform("loss", lambda s: unescape(masked(s))), "")
     rows = made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), spoken.alias("spoken"), learnt.alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
     return rows.select("conv_id", "n_turns", F.sha2("spoken", 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")

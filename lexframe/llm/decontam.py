@@ -5,7 +5,7 @@ window). For each pattern length there is a table of block shifts: how far the s
 ``BLOCK`` words, the full distance for a block in no pattern. At shift zero the bucket of that suffix block, divided by
 the patterns' first word, names the candidates, and only a direct comparison of all words confirms an occurrence.
 
-Benchmark texts are collected in blocks of at most about ``max_block_bytes`` (one item cannot be divided), one block at a time:
+Different benchmark texts are collected in blocks of at most about ``max_block_bytes`` (one item cannot be divided), one block at a time:
 its hits are written and its tables released before the next is fetched, so driver and executors hold one block however large
 the benchmark is. With one block the search only maps the documents, with more the documents are searched once for each block
 and the hits of a document are merged.
@@ -27,6 +27,7 @@ from .common import cut, utf8
 WINDOW = 10
 BLOCK = 3
 MAX_BLOCK_BYTES = 4_000_000
+CELLS_PER_BLOCK = 16
 
 #: ASCII letters in lower case and digits stay, bytes of other characters stay, the rest parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -118,15 +119,29 @@ class _Tables:
         return _Tables._compiled[self.key]
 
 
-def _count_blocks(items: DataFrame, text_col: str, max_block_bytes: int) -> int:
-    size = items.agg(F.sum(F.octet_length(text_col) + 32)).first()[0] or 0
-    return max(1, math.ceil(size / max_block_bytes))
-
-
-def _block(items: DataFrame, id_col: str, text_col: str, n: int, k: int) -> _Tables:
-    """The k-th of n blocks, of bounded size."""
-    slim = items.select(F.col(id_col).cast("string"), utf8(text_col))
-    rows = slim.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k).collect() if n > 1 else slim.collect()
+def _blocks(items: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> tuple[DataFrame, int]:
+    """(different items as (id, text, block), number of blocks). Blocks are filled by a running sum in the order of a hash, cell by
+    cell, so a block exceeds its bound by one cell of items at the most; repeated rows count once."""
+    slim = items.select(F.col(id_col).cast("string").alias("id"), utf8(text_col).alias("text"))
+    once = slim.dropDuplicates(["id", "text"])
+    size = once.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
+    if size <= max_block_bytes:
+        return once.select("id", "text", F.lit(0).alias("block")), 1
+    cells = max(1, math.ceil(size / max_block_bytes)) * CELLS_PER_BLOCK
+    placed = cut(once.withColumn("cell", F.pmod(F.xxhash64("id", "text"), F.lit(cells)).cast("int")), "items")
+    filled, room, block, of = 0, max_block_bytes, 0, {}
+    for cell, own in sorted(placed.groupBy("cell").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).collect()):  # CELLS_PER_BLOCK rows a block
+        if filled and filled + own > room:
+            block, filled = block + 1, 0
+        of[cell], filled = block, filled + own
+    bounds = [min(c for c in of if of[c] == b) for b in range(1, block + 1)]
+    number = F.aggregate(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<int>"), F.lit(0), lambda n, c: n + (c <= F.col("cell")).cast("int"))
+    return placed.select("id", "text", number.alias("block")), block + 1
+
+
+def _block(items: DataFrame, k: int) -> _Tables:
+    """The k-th block, of bounded size."""
+    rows = items.where(F.col("block") == k).select("id", "text").collect()
     return _Tables(items.sparkSession, [(r[0], None if r[1] is None else bytes(r[1])) for r in rows])
 
 
@@ -138,9 +153,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row per row of ``docs``: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans).
 
     ``spans`` are the hit words as [start, stop) pairs, ``items`` the sorted ids. Null and wordless texts have no words
-    and no hits. Items with a null id are searched for but not listed; rows that repeat an item id add to that item.
+    and no hits, long ones are searched whole. Items with a null id are searched for but not listed; rows that repeat an item id add to that item.
     """
-    n = _count_blocks(items, item_text_col, max_block_bytes)
+    blocks, n = _blocks(items, item_col, item_text_col, max_block_bytes)
     slim = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
@@ -165,11 +180,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     schema = f"doc_id {kind}, key string, n_words long, spans array<int>, items array<string>"
     if n == 1:
-        found = slim.mapInArrow(scan(_block(items, item_col, item_text_col, n, 0), False), schema)
+        found = slim.mapInArrow(scan(_block(blocks, 0), False), schema)
     else:
         parts = []
         for k in range(n):
-            tables = _block(items, item_col, item_text_col, n, k)
+            tables = _block(blocks, k)
             parts.append(cut(slim.mapInArrow(scan(tables, True), schema), "hits").withColumn("part", F.lit(k)))
             tables.items.destroy()
         hits = reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "key", "part"])
@@ -204,9 +219,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
     Null and wordless texts stay, null items match nothing, repeated rows are judged alike; with an empty benchmark all stay.
     """
-    at, n = docs.columns.index(text_col), _count_blocks(items, item_text_col, max_block_bytes)
+    at, (blocks, n) = docs.columns.index(text_col), _blocks(items, item_col, item_text_col, max_block_bytes)
     for k in range(n):
-        tables = _block(items, item_col, item_text_col, n, k)
+        tables = _block(blocks, k)
 
         def clean(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             for batch in batches:

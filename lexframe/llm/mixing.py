@@ -83,41 +83,44 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``copies`` is how often the document is used: every whole pass over its source, and one more if it lies within the
     budget left for the last, partial pass. ``tokens`` gives a document's tokens, by default its words; they are needed three
-    times, so a caller without need of the texts counts once and passes the column. ``budget_tokens`` may be "corpus" (as many
+    times, so a caller without need of the texts counts once and passes the column; long texts are read whole. ``budget_tokens`` may be "corpus" (as many
     tokens as there are). A null source is a source of its own. Documents without tokens cost nothing and are used once with every pass begun.
+    Rows that repeat an id are dealt each for itself; an empty table gives an empty one; other columns may have any names.
     """
     made = ["n_tokens", "share", "weight", "repetition", "block", "copies"]
     docs = docs.drop(*[c for c in made if c in docs.columns])
     # A text that is never null stands for the source, so that one shuffle by it and the block serves join and window.
     source = F.col(source_col).cast("string")
     key = F.concat(F.when(source.isNull(), "-").otherwise("+"), F.coalesce(source, F.lit("")))
-    counted = docs.withColumn("n_tokens", count_words(F.col(text_col)) if tokens is None else tokens).withColumn("__source", key)
-    stats = cut(counted.groupBy("__source").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")), "sources")
+    row = F.struct(*[F.col(c) for c in docs.columns])  # packed, so that no column meets one of the names below
+    counted = docs.select(row.alias("row"), F.col(id_col).alias("id"), (count_words(F.col(text_col)) if tokens is None else tokens).alias("n_tokens"), key.alias("source"))
+    stats = cut(counted.groupBy("source").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")), "sources")
     total = stats.agg(F.sum("tokens")).first()[0] or 0
     shares = stats.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total or 1)))
     exponent, budget = temperature(shares, target_entropy, max_repetition, float(total) if budget_tokens == "corpus" else budget_tokens)
     z = (shares.agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0] or 1.0) if total else 1.0
 
     share = F.when(F.col("tokens") > 0, F.col("tokens") / F.lit(float(total or 1))).otherwise(F.lit(0.0))
-    weight = F.when(F.col("tokens") > 0, F.pow(F.col("__share"), F.lit(exponent)) / F.lit(z)).otherwise(F.lit(0.0))
-    plan = stats.withColumn("__share", share).withColumn("__weight", weight)
-    plan = plan.withColumn("__rep", F.when(F.col("tokens") > 0, F.col("__weight") * F.lit(budget) / F.col("tokens")).otherwise(F.lit(1.0)))
-    plan = plan.withColumn("__passes", F.floor(F.col("__rep") + F.lit(1e-9)).cast("long"))
-    plan = plan.withColumn("__left", F.greatest(F.lit(0.0), (F.col("__rep") - F.col("__passes")) * F.col("tokens")))
-    plan = plan.withColumn("__blocks", F.ceil(F.col("rows") / F.lit(block_rows)).cast("long"))
-    plan = cut(plan.select("__source", "__share", "__weight", "__rep", "__passes", "__left", "__blocks"), "mix-plan")
+    weight = F.when(F.col("tokens") > 0, F.pow(F.col("share"), F.lit(exponent)) / F.lit(z)).otherwise(F.lit(0.0))
+    plan = stats.withColumn("share", share).withColumn("weight", weight)
+    plan = plan.withColumn("repetition", F.when(F.col("tokens") > 0, F.col("weight") * F.lit(budget) / F.col("tokens")).otherwise(F.lit(1.0)))
+    plan = plan.withColumn("passes", F.floor(F.col("repetition") + F.lit(1e-9)).cast("long"))
+    plan = plan.withColumn("left", F.greatest(F.lit(0.0), (F.col("repetition") - F.col("passes")) * F.col("tokens")))
+    plan = plan.withColumn("blocks", F.ceil(F.col("rows") / F.lit(block_rows)).cast("long"))
+    plan = cut(plan.select("source", "share", "weight", "repetition", "passes", "left", "blocks"), "mix-plan")
 
     # The plan has a row for each source: Spark broadcasts it if it is small and otherwise splits the skewed join.
-    dealt = counted.join(plan, "__source").withColumn("__block", F.pmod(F.xxhash64(F.col(id_col), "n_tokens", F.lit(seed)), F.col("__blocks")))
-    sums = dealt.groupBy("__source", "__block").agg(F.sum("n_tokens").alias("t"), F.first("__left").alias("__room"))
-    order = Window.partitionBy("__source").orderBy(F.xxhash64("__block", F.lit(seed + 1)), "__block")
+    dealt = counted.join(plan, "source").withColumn("block", F.pmod(F.xxhash64("id", "n_tokens", F.lit(seed)), F.col("blocks")))
+    sums = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.first("left").alias("room"))
+    order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")
     before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__source", "__block", (F.col("__room") - before).alias("__room"))
-    joined = dealt.join(sums, ["__source", "__block"])
-    within = Window.partitionBy("__source", "__block").orderBy(F.xxhash64(F.col(id_col), F.lit(seed + 2)), F.col(id_col), "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = F.when(F.sum("n_tokens").over(within) <= F.col("__room") + F.lit(1e-6), 1).otherwise(0)
-    extra = F.when(F.col("__left") > F.lit(0.5), taken).otherwise(0)
-    return joined.withColumn("copies", (F.col("__passes") + extra).cast("long")).select(*[F.col(c) for c in docs.columns], "n_tokens", F.col("__share").alias("share"), F.col("__weight").alias("weight"), F.col("__rep").alias("repetition"), F.col("__block").cast("long").alias("block"), "copies")
+    sums = sums.select("source", "block", (F.col("room") - before).alias("room"))
+    joined = dealt.join(sums, ["source", "block"])
+    within = Window.partitionBy("source", "block").orderBy(F.xxhash64("id", F.lit(seed + 2)), "id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = F.when(F.sum("n_tokens").over(within) <= F.col("room") + F.lit(1e-6), 1).otherwise(0)
+    extra = F.when(F.col("left") > F.lit(0.5), taken).otherwise(0)
+    found = joined.select("row", "n_tokens", "share", "weight", "repetition", F.col("block").cast("long").alias("block"), (F.col("passes") + extra).cast("long").alias("copies"))
+    return found.select("row.*", *made)
 
 
 def schedule(mixed: DataFrame, id_col: str = "doc_id", seed: int = 17) -> DataFrame:
@@ -132,5 +135,5 @@ def realise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     A null source is a source of its own; a null text has no tokens and is used with every pass begun; rows that repeat an id
     are used each for itself; an empty table gives an empty one.
     """
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__src"), count_words(F.col(text_col)).alias("__n"))
-    return schedule(mix(packed, "__id", source_col="__src", tokens=F.col("__n"), **options), "__id").select("__row.*")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), F.col(id_col).alias("key"), F.col(source_col).alias("from"), count_words(F.col(text_col)).alias("n"))
+    return schedule(mix(packed, "key", source_col="from", tokens=F.col("n"), **options), "key").select("whole.*")

@@ -144,7 +144,8 @@ def fit(x: list[np.ndarray], y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> Model:
     """A model of the labelled rows that may be learnt from: see ``labelled.training_rows`` for nulls, repeats and the bound.
 
-    Examples with the same features and label count once. With one class only every text scores its share, 0.5 without rows.
+    Examples with the same features and label count once, so copies of a text add nothing. A null or empty text is an example
+    too, long ones are read whole. With one class only every text scores its share, 0.5 without rows.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,51 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x, rows["label"].to_numpy())
 
 
-def score(self, places: np.ndarray) -> float:
-        return float(sigmoid(self.slope * self.margin(places) + self.intercept))
-
-
-def _fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    counts = {y: np.ones(1 << BITS) for y in (0, 1)}
-    for places, y in zip(rows, labels, strict=True):
-        counts[int(y)][places] += 1
-    ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
-    values = [ratio[p] / np.sqrt(max(1, len(p))) for p in rows]
-    fitted = dual_coordinate_descent(rows, values, np.where(labels > 0, 1, -1), 1 << BITS)
-    return ratio * fitted[:-1], float(fitted[-1])
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> Model:
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
-        for batch in batches:
-            places = [features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(places, pa.list_(pa.int64()))], names=["label", "places"])
-
-    sample = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, most, id_col, text_col)
-    rows = cut(sample.mapInArrow(extract, "label int, places array<bigint>").dropDuplicates(), "quality-train").toArrow()  # of the bounded sample
-    rows = rows.sort_by("label") if rows.num_rows else rows
-    y = rows["label"].to_numpy()
-    x = [np.array(p.values, np.int64) if p.values is not None else np.zeros(0, np.int64) for p in rows["places"]]
-    if len(set(y.tolist())) < 2:
-        rate = float(y.mean()) if len(y) else 0.5
-        return Model(np.zeros(1 << BITS), 0.0, 0.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
-    order = sorted(range(len(y)), key=lambda i: xxhash.xxh64_intdigest(x[i].tobytes()))
-    x, y = [x[i] for i in order], y[order]
-    margins = np.zeros(len(y))
-    for part in range(3):  # margins of examples that the model has not seen
-        out = np.arange(len(y)) % 3 == part
-        weights, bias = _fit([x[i] for i in np.flatnonzero(~out)], y[~out]) if len(set(y[~out].tolist())) == 2 else (np.zeros(1 << BITS), 0.0)
-        for i in np.flatnonzero(out):
-            margins[i] = weights[x[i]].sum() / np.sqrt(max(1, len(x[i]))) + bias
-    beta = logistic(margins[:, None], y.astype(float))
-    weights, bias = _fit(x, y)
-    return Model(weights, bias, max(0.0, float(beta[0])), float(beta[1]))
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, held_out, score, predicted). Null texts score as empty ones do.
-    Rows that repeat an id are scored each; an empty table gives an empty one; other columns are not read."""
+    Rows that repeat an id are scored each; long texts are read whole; an empty table gives an empty one; other columns are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 

@@ -74,26 +74,28 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     """``docs`` with ``shard`` int and ``slot`` long, the row's gapless place in its shard (columns of these names are replaced).
 
     A null id is a key like any other, a null text counts as empty; rows equal in id and text are placed in any order. An empty
-    table gives an empty one. ``docs`` must give the same rows each time it is read.
+    table gives an empty one. ``docs`` must give the same rows each time it is read. Its columns may have any other names.
     """
     docs = docs.drop(*[c for c in ("shard", "slot") if c in docs.columns])
     key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    placed = docs.withColumn("__key", key).withColumn("__cell", F.shiftrightunsigned("__key", 64 - CELL_BITS).cast("int"))
+    row = F.struct(*[F.col(c) for c in docs.columns])  # packed, so that no column meets one of the names below
+    placed = docs.select(row.alias("row"), F.col(id_col).alias("id"), key.alias("key"), F.shiftrightunsigned(key, 64 - CELL_BITS).cast("int").alias("cell"))
     counts = {r[0]: r[1] for r in docs.select(F.shiftrightunsigned(key, 64 - CELL_BITS).cast("int").alias("c")).groupBy("c").count().collect()}
     segments, filled = [], [0] * shards
     for cell, start, stop, shard in sorted(flow(counts, shards, capacities(sum(counts.values()), shards), virtual_nodes)):
         segments.append([cell, start, stop, shard, filled[shard]])
         filled[shard] += stop - start
     packed = docs.sparkSession.range(1).select(F.from_json(F.lit(json.dumps(segments)), "array<array<bigint>>").alias("s")).select(F.explode("s").alias("s"))
-    table = packed.select(F.col("s")[0].cast("int").alias("__c"), F.col("s")[1].alias("__from"), F.col("s")[2].alias("__to"), F.col("s")[3].cast("int").alias("shard"), F.col("s")[4].alias("__slot"))
-    order = Window.partitionBy("__cell").orderBy("__key", F.col(id_col))
-    ranked = placed.withColumn("__rank", F.row_number().over(order) - F.lit(1))
-    joined = ranked.join(table, (F.col("__cell") == F.col("__c")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
-    return joined.withColumn("slot", (F.col("__slot") + F.col("__rank") - F.col("__from")).cast("long")).select(*[F.col(c) for c in docs.columns], "shard", "slot")
+    table = packed.select(F.col("s")[0].cast("int").alias("cell"), F.col("s")[1].alias("from"), F.col("s")[2].alias("to"), F.col("s")[3].cast("int").alias("shard"), F.col("s")[4].alias("first"))
+    order = Window.partitionBy("cell").orderBy("key", "id")
+    ranked = placed.withColumn("rank", F.row_number().over(order) - F.lit(1)).alias("r")
+    joined = ranked.join(table.alias("t"), (F.col("r.cell") == F.col("t.cell")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+    return joined.select("row", "shard", (F.col("first") + F.col("rank") - F.col("from")).cast("long").alias("slot")).select("row.*", "shard", "slot")
 
 
 def shard_digest(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard); size is the text's UTF-8 bytes plus 16, a null text has none."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard); size is the text's UTF-8 bytes plus 16, a null text has none.
+    Nulls, repeated rows and empty tables are as in ``shard_rows``; long texts are read whole, once; other columns are not read."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = shard_rows(slim.withColumn("__text", F.col("text_crc32").cast("string")), shards, "doc_id", "__text")

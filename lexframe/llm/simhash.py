@@ -36,6 +36,7 @@ LEAF = 384
 CHUNK = 1 << 15
 ROUTED_ROWS = 1 << 20
 SHARD_ROWS = 8192
+LARGE = 4
 SALTS = 16
 
 
@@ -223,9 +224,9 @@ def links(prints: DataFrame, reach: int = REACH, shard_rows: int = SHARD_ROWS) -
     """Spanning links (u, v) between the different fingerprints ``fp`` that differ in at most ``reach`` bits."""
     n = prints.count()
     routed, largest = _first_shards(prints, n, reach, shard_rows), n
-    while n > shard_rows << LEVELS:  # one tree is not enough: part the shards that are still large
+    while n > LARGE * shard_rows:  # part the shards that are still large, whatever the total is
         routed = cut(routed, "routed")
-        large = cut(routed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows), "large-shards")
+        large = cut(routed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > LARGE * shard_rows), "large-shards")
         most = large.agg(F.max("n")).first()[0] or 0
         if not most or most > 0.8 * largest:  # small enough, or no tree parts them
             break
@@ -258,19 +259,19 @@ def drop_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     first = found.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1")
     spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     several = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"])
-    gone = cut(several.where("place <> first").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")), "gone")
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__raw"))
-    kept = docs.join(gone, match, "left_anti")
-    twice = found.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"))
+    gone = cut(several.where("place <> first").select("doc_id", "raw"), "gone")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("raw"))
+    kept = packed.join(gone, match, "left_anti")
+    twice = found.where("n > 1").select("doc_id", "raw")
     if twice.isEmpty():
-        return kept
-    single = kept.join(twice, match, "left_anti")
-    packed = kept.join(twice, match, "left_semi").select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__raw"))
-    return single.unionByName(packed.dropDuplicates(["__id", "__raw"]).select("__row.*"))
+        return kept.select("row.*")
+    several = kept.join(twice, match, "left_semi").dropDuplicates(["id", "hash"])
+    return kept.join(twice, match, "left_anti").unionByName(several).select("row.*")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, reach: int = REACH, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, fingerprint, component_id).
+    """One row per row of ``docs``: (doc_id, fingerprint, component_id). Texts are read whole, however long.
 
     A null or blank text has fingerprint zero and is linked like any other. Rows of one doc_id count as one document, which
     links the groups of all its texts. A null doc_id cannot name a group: such rows take the group of their fingerprint, or

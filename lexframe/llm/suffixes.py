@@ -7,18 +7,19 @@ depth only, so their order need not be right beyond it, and one level of recursi
    anchor lies in one document only cannot repeat elsewhere and are left out. Runs of the others are cut, at places that their
    content decides, into pieces that share ``WINDOW - 1`` bytes, so that every window is whole in one piece. Equal pieces are
    one piece, of the smallest doc_id: copies, however many, are worked on once.
+   Of the pieces' windows those with a hash that occurs once are discarded: in a difference cover's recursion, too, suffixes
+   that are unique need not be sorted further (Dementiev, Kärkkäinen, Mehnert and Sanders, 2008).
 2. Pieces are strings of 8-byte characters, in all eight alignments. Characters at places 1 and 2 modulo 3 are the sample, the
-   difference cover {1, 2} modulo 3. **Sampled triples** of characters (24 bytes) are sorted over all chunks and named by rank.
-   Of any two places, one of the shifts by 0, 1 and 2 characters takes both into the sample; so windows none of whose three sampled
-   triples occurs twice are unique, and are discarded.
+   difference cover {1, 2} modulo 3: of any two places one of the shifts by 0, 1 and 2 characters takes both into the sample.
+   **Sampled triples** of characters (24 bytes) are sorted over all chunks and named by rank.
 3. **Recursion on names**: the sampled suffixes of what is left are sorted by triples of names, 72 bytes deep, and ranked.
 4. **Merge**: suffixes at places 0 modulo 3 are sorted by (character, rank of the next sampled suffix) and merged with the sampled
    ones, by comparing (character, rank) with places 1 and (two characters, rank) with places 2.
 5. **Adjacent prefixes** of ``WINDOW`` bytes are compared; equal neighbours are one class, with its smallest doc_id.
 
 Sorting is by buckets: ``exchange`` deals keys to buckets (by hash, by sampled splitters, then by names, which grow with their bucket),
-each of which is sorted in one task; a chunk sends equal keys once. Anchors are hashes, used as a filter only; everything else is
-compared by bytes. Each piece of text goes to its bucket once, no group is ever expanded into pairs, and only the splitters, at most
+each of which is sorted in one task; a chunk sends equal keys once. Hashes are filters that pass too much, never too little;
+what is removed is decided by bytes. Each piece of text goes to its bucket once, no group is ever expanded into pairs, and only the splitters, at most
 ``MOST_BUCKETS`` triples drawn from ``SAMPLED``, pass through the driver.
 """
 
@@ -47,7 +48,7 @@ CHUNK_BYTES = 4_000_000
 PIECE_CHUNK_BYTES = 2_000_000
 BLOCK = 1 << 16
 HASH_BITS = 48
-BREAKS = 16
+BREAKS = 8
 SAMPLED = 1 << 17
 LAST = 2**63 - 1
 BYTES_PER_ANCHOR = 13
@@ -61,16 +62,20 @@ _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 # --- anchors ------------------------------------------------------------------------------------------------------------------
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """HASH_BITS-bit hashes, never zero, of all runs of GRAM bytes: sums of powers by doubling (GRAM = 16 + 8)."""
-    power, m = _TABLE[data], int(_M1)
-    for width in (1, 2, 4):
-        power = power[:-width] * np.uint64(m) + power[width:]
-        m = m * m % (1 << 64)
-    eight, factor = power, np.uint64(m)
-    n = len(data) - GRAM + 1
-    h = (eight[:n] * factor + eight[8 : 8 + n]) * factor + eight[16 : 16 + n]
-    h = (h ^ (h >> np.uint64(32))) * _M2
+def _hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """HASH_BITS-bit hashes, never zero, of all runs of ``length`` bytes: sums of powers by doubling."""
+    n, power, width, m, have, out = len(data) - length + 1, _TABLE[data], 1, int(_M1), 0, None
+    while True:
+        factor = np.uint64(m)
+        if length & width:
+            part = power[have : have + n]
+            out = part.copy() if out is None else out * factor + part
+            have += width
+        if 2 * width > length:
+            break
+        power = power[:-width] * factor + power[width:]
+        m, width = m * m % (1 << 64), 2 * width
+    h = (out ^ (out >> np.uint64(32))) * _M2
     h ^= h >> np.uint64(29)
     h *= _M1
     return (h >> np.uint64(64 - HASH_BITS)) | np.uint64(1)
@@ -89,7 +94,7 @@ def _blocks(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarra
     total, padding = len(data) - WINDOW + 1, np.zeros(_SPAN - 1, np.uint64)
     for a in range(0, max(0, total), BLOCK):
         b = min(total, a + BLOCK)
-        grams = _gram_hashes(data[a : b + WINDOW - 1])
+        grams = _hashes(data[a : b + WINDOW - 1], GRAM)
         least = _extreme(grams, _SPAN, np.minimum)
         start = np.arange(a, b)
         inside = ends[np.searchsorted(ends, start, "right")] if len(ends) > 1 else ends[0]
@@ -227,20 +232,10 @@ class _Texts:
         data = b"".join(t.ljust(r, b"\0") for t, r in zip(texts, room, strict=True))
         return {"data": np.frombuffer(data, np.uint8), "start": start, "length": np.array([len(t) for t in texts], np.int64), "doc": np.array(docs, np.int64)}
 
-    def places(self, lengths: np.ndarray) -> np.ndarray:
-        """All places of the first ``lengths`` bytes of the pieces."""
-        total = int(lengths.sum())
-        return np.repeat(self.start - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(total)
-
     def windows(self) -> np.ndarray:
-        return self.places(self.length - WINDOW + 1)
-
-    def sample(self) -> np.ndarray:
-        at = self.places(self.length)
-        return at[at // WORD % 3 != 0]
-
-    def triples(self, at: np.ndarray) -> list[np.ndarray]:
-        return [self.words[at + WORD * k] for k in range(3)]
+        """The places of all windows of the pieces."""
+        n = self.length - WINDOW + 1
+        return np.repeat(self.start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
 
 
 def _distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,35 +254,24 @@ def _bounds(columns: list[np.ndarray], splitters: list[tuple]) -> np.ndarray:
     return np.array([0, *[bisect.bisect_left(range(n), s, key=row) for s in splitters], n])
 
 
-def _send_rows(keys: list[np.ndarray], number: np.ndarray, first: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> list[dict]:
-    """The distinct keys, ascending, by bucket, and whether the chunk has them twice."""
-    twice = np.bincount(number, minlength=len(first)) > 1
+def _send_rows(keys: list[np.ndarray], first: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> list[dict]:
+    """The distinct keys, ascending, by bucket."""
     columns = [k[first] for k in keys]
-    out = []
-    for label, a, b in zip(labels.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b > a:
-            out.append((label, {**{f"k{i}": gaps(c[a:b]) if i == 0 else c[a:b] for i, c in enumerate(columns)}, "twice": twice[a:b]}))
-    return sent(out)
+    parts = zip(labels.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+    return sent([(label, {f"k{i}": c[a:b] if i else gaps(c[a:b]) for i, c in enumerate(columns)}) for label, a, b in parts if b > a])
 
 
 def _rank(pieces: list[Arrays]) -> list[Arrays]:
-    """Ranks of the keys within the bucket, from 0, and whether they occur at several places."""
+    """Ranks of the keys within the bucket, from 0."""
     keys = [np.concatenate([np.cumsum(p["k0"], dtype=np.uint64) for p in pieces])]
     keys += [np.concatenate([p[k] for p in pieces]) for k in ("k1", "k2")]
-    _, number, first = _distinct(keys)
-    twice = (np.bincount(number, weights=np.concatenate([p["twice"] for p in pieces]) + 1.0, minlength=len(first)) > 1)[number]
-    out, at = [], 0
-    for p in pieces:
-        own = slice(at, at + len(p["k0"]))
-        out.append({"rank": gaps(number[own]).astype(np.uint32), "twice": twice[own]})
-        at += len(p["k0"])
-    return out
+    _, number, _ = _distinct(keys)
+    return [{"rank": gaps(part).astype(np.uint32)} for part in np.split(number, np.cumsum([len(p["k0"]) for p in pieces])[:-1])]
 
 
-def _names(got: dict[int, Arrays]) -> tuple[np.ndarray, np.ndarray]:
+def _names(got: dict[int, Arrays]) -> np.ndarray:
     """Names of the keys that were sent, in ascending order: bucket and rank in one number, from 1 on."""
-    names = [np.cumsum(got[b]["rank"], dtype=np.uint64) + np.uint64((b << 32) + 1) for b in sorted(got)]
-    return np.concatenate(names), np.concatenate([got[b]["twice"] for b in sorted(got)])
+    return np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(got[b]["rank"], dtype=np.uint64) + np.uint64((b << 32) + 1) for b in sorted(got)]])
 
 
 def _buckets_of_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,31 +281,65 @@ def _buckets_of_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, len(bucket)), bucket[at].astype(np.int64)
 
 
-def _name_triples(arrays: Arrays, splitters: list[tuple]) -> list[dict]:
+def _window_hashes(arrays: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of all windows, number of each one's hash in ascending order, the distinct hashes)."""
     texts = _Texts(arrays)
-    keys = texts.triples(texts.sample())
-    _, number, first = _distinct(keys)
-    return _send_rows(keys, number, first, _bounds([k[first] for k in keys], splitters), np.arange(len(splitters) + 1))
+    at = texts.windows()
+    h = _hashes(texts.data, WINDOW)[at]
+    _, number, first = _distinct([h])
+    return at, number, h[first]
 
 
-def _recurse(arrays: Arrays, got: dict[int, Arrays]) -> tuple[Arrays, list[dict]]:
-    """What is left of the windows, and the triples of names of the sampled suffixes that they need."""
-    texts = _Texts(arrays)
-    at = texts.sample()
-    _, number, _ = _distinct(texts.triples(at))
-    names, twice = _names(got)
-    name, repeated = np.zeros(len(texts.data) + 3 * TRIPLE, np.uint64), np.zeros(len(texts.data) + 3 * TRIPLE, bool)
-    name[at], repeated[at] = names[number], twice[number]
-    windows = texts.windows()
-    # Of any two places one of these three shifts lies in the sample for both, so an equal window has an equal triple there.
-    windows = windows[repeated[windows] | repeated[windows + WORD] | repeated[windows + 2 * WORD]]
+def _ask_windows(arrays: Arrays, buckets: int) -> list[dict]:
+    _, _, hashes = _window_hashes(arrays)
+    bounds = _by_bucket(hashes, buckets)
+    return sent([(k, {"gaps": gaps(hashes[a:b])}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
+
+
+def _needed(windows: np.ndarray) -> np.ndarray:
+    """The sampled suffixes that the order of ``windows`` depends on."""
     kind = windows // WORD % 3
-    need = np.unique(np.concatenate((windows[kind > 0], windows[kind < 2] + WORD, windows[kind != 1] + 2 * WORD)))
+    return np.unique(np.concatenate((windows[kind > 0], windows[kind < 2] + WORD, windows[kind != 1] + 2 * WORD)))
+
+
+def _triples(texts: _Texts, windows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(places, triples) of the sample as far as ``windows`` depend on it: up to three triples for each suffix."""
+    need = _needed(windows)
+    at = np.unique(np.concatenate([need, need + TRIPLE, need + 2 * TRIPLE]))
+    piece = np.searchsorted(texts.start, at, "right") - 1
+    at = at[at < texts.start[piece] + texts.length[piece]]
+    return at, [texts.words[at + WORD * k] for k in range(3)]
+
+
+def _discard(arrays: Arrays, got: dict[int, Arrays], buckets: int) -> Arrays:
+    """Leaves out the windows that no other place of any piece has."""
+    at, number, hashes = _window_hashes(arrays)
+    bounds = _by_bucket(hashes, buckets)
+    several = np.bincount(number, minlength=len(hashes)) > 1
+    for bucket, reply in got.items():
+        a, b = bounds[bucket], bounds[bucket + 1]
+        several[a:b] |= np.unpackbits(reply["bits"], count=b - a).astype(bool)
+    return {**arrays, "windows": at[several[number]]}
+
+
+def _ask_triples(arrays: Arrays, splitters: list[tuple]) -> list[dict]:
+    _, keys = _triples(_Texts(arrays), arrays["windows"])
+    _, _, first = _distinct(keys)
+    return _send_rows(keys, first, _bounds([k[first] for k in keys], splitters), np.arange(len(splitters) + 1))
+
+
+def _recurse(state: Arrays, got: dict[int, Arrays]) -> tuple[Arrays, list[dict]]:
+    """Asks for the ranks of the suffixes by triples of names."""
+    texts, windows = _Texts(state), state["windows"]
+    at, triples = _triples(texts, windows)
+    _, number, _ = _distinct(triples)
+    name = np.zeros(len(texts.data) + 3 * TRIPLE, np.uint64)
+    name[at] = _names(got)[number]
+    need = _needed(windows)
     keys = [name[need + TRIPLE * k] for k in range(3)]
     _, index, first = _distinct(keys)
     bounds, labels = _buckets_of_names(keys[0][first])
-    state = {**arrays, "windows": windows, "need": need, "index": index.astype(np.int32), "own": name[windows]}
-    return state, _send_rows(keys, index, first, bounds, labels) if len(need) else []
+    return {**state, "index": index.astype(np.int32), "own": name[windows]}, _send_rows(keys, first, bounds, labels)
 
 
 def _prefix(texts: _Texts, at: np.ndarray) -> list[np.ndarray]:
@@ -336,8 +354,8 @@ def _send_suffixes(state: Arrays, got: dict[int, Arrays], splitters: list[tuple]
     texts, windows = _Texts(state), state["windows"]
     if not len(windows):
         return {**state, "item": np.zeros(0, np.int32)}, []
-    names, _ = _names(got)
-    rank = lambda at: names[state["index"][np.minimum(np.searchsorted(state["need"], at), len(state["need"]) - 1)]]
+    names, need = _names(got), _needed(windows)
+    rank = lambda at: names[state["index"][np.minimum(np.searchsorted(need, at), len(need) - 1)]]
     kind = (windows // WORD % 3).astype(np.uint8)
     zero = np.uint64(0)
     own = np.where(kind > 0, rank(windows), zero)
@@ -458,7 +476,7 @@ def _round(states: DataFrame, answers: DataFrame | None, step: Callable[[Arrays,
 
 
 def _splitters(states: DataFrame, buckets: int) -> list[tuple]:
-    """Triples that part the sampled ones into about equal buckets, from a bounded sample drawn by hash."""
+    """Triples that part the sample into about equal buckets, from a bounded part of it drawn by hash."""
     chunks = states.count()
     if buckets == 1 or not chunks:
         return []
@@ -468,10 +486,10 @@ def _splitters(states: DataFrame, buckets: int) -> list[tuple]:
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for state in batch.column(0):
-                texts = _Texts(unpack(state.as_py()))
-                at = texts.sample()
-                at = at[np.random.default_rng(len(at)).integers(0, len(at), min(len(at), each))] if len(at) else at
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)) for k in texts.triples(at)], names=["k0", "k1", "k2"])
+                arrays = unpack(state.as_py())
+                at, keys = _triples(_Texts(arrays), arrays["windows"])
+                rows = np.random.default_rng(len(at)).integers(0, len(at), min(len(at), each)) if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array(k[rows].view(np.int64)) for k in keys], names=["k0", "k1", "k2"])
 
     rows = few.select("state").mapInArrow(draw, "k0 long, k1 long, k2 long").toArrow()
     drawn = sorted(set(zip(*[c.to_numpy().view(np.uint64).tolist() for c in rows.columns], strict=True)))
@@ -526,10 +544,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     distinct = pieces.groupBy("h").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).select("h", "doc", "text")
     states = cut(distinct.mapInArrow(_piece_chunks(piece_bytes), _STATE), "piece-chunks")
-    sampled = (pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 / 3
-    splitters = _splitters(states, buckets_for(sampled, bucket_keys))
+    size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    few = buckets_for(size, bucket_keys)
 
-    triples = _round(states, None, lambda a, _: (a, _name_triples(a, splitters)), "triples")
+    asked = _round(states, None, lambda a, _: (a, _ask_windows(a, few)), "windows")
+    left = _round(asked, answer(asked, _repeated), lambda a, g: (_discard(a, g, few), []), "windows-left")
+    splitters = _splitters(left, few)
+    triples = _round(left, None, lambda a, _: (a, _ask_triples(a, splitters)), "triples")
     names = _round(triples, answer(triples, _rank), _recurse, "names")
     suffixes = _round(names, answer(names, _rank), lambda a, g: _send_suffixes(a, g, splitters), "suffixes")
     ends = suffixes.select("chunk", "hs", "state").join(answer(suffixes, _merge), "chunk", "left")

@@ -50,3 +50,25 @@ def test_escape_is_reversible_and_safe(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e")).withColumn("u", chat.unescape(F.col("e")))
     for r in df.collect():
         assert r["u"] == r["t"] and not any(c in r["e"] for c in ("<|", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"))
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("one two three "), F.col("id")).alias("text"))
+        began = time.perf_counter()
+        (row,) = chat.chat_digest(turns).collect()
+        said = "".join(f"one two three {i}" for i in range(1, n, 2))
+        assert row["n_turns"] == n and row["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert min(seconds(16_000), seconds(16_000)) < 2.3 * max(min(seconds(8_000), seconds(8_000)), 0.5)
+
+
+def test_mask_over_parts(spark):
+    """Texts of other planes, and spans that end and begin at the edges of parts."""
+    rows = [(1, i, "assistant" if i % 2 else "user", "é😀" * (i * 37 % 700) + "x" * (i % 3), "c") for i in range(60)]
+    found = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.chat_digest(frame(spark, [r[:4] for r in rows])).collect()}
+    assert found == plain([r[:4] for r in rows])

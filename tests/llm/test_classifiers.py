@@ -5,7 +5,10 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexframe.llm import linear, quality, toxicity
+from lexframe.llm.labelled import training_rows
 
 from .inputs import frame
 
@@ -62,8 +65,6 @@ def test_toxicity_on_held_out_rows(spark, tables):
 
 def test_held_out_labels_do_not_matter(spark, tables):
     """Flipping the labels of the held-out fold changes no score."""
-    from pyspark.sql import functions as F
-
     docs, labels = tables
     for module, folds, out, column in ((quality, 5, 0, "quality"), (toxicity, 4, 2, "toxic")):
         held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == out
@@ -186,6 +187,53 @@ def test_quality_ratios_and_objective_against_plain():
     assert objective(best * 0.98) > objective(best) * (1 - 1e-2) and objective(best * 1.02) > objective(best) * (1 - 1e-2)
 
 
+def plain_quality(rows):
+    """Ratios, three-way margins, calibration and scores computed again from texts and labels."""
+    features = quality.Features()
+    examples = sorted({(tuple(features(t).tolist()), y) for t, y in rows}, key=lambda e: (quality.xxhash.xxh64_intdigest(np.array(e[0], np.int64).tobytes()), e[1]))
+
+    def fitted(part):
+        count = {c: {} for c in (0, 1)}
+        for places, y in part:
+            for p in places:
+                count[y][p] = count[y].get(p, 0) + 1
+        whole = {c: (1 << quality.BITS) + sum(count[c].values()) for c in (0, 1)}
+        ratio = lambda p: math.log((1 + count[1].get(p, 0)) / whole[1]) - math.log((1 + count[0].get(p, 0)) / whole[0])
+        values = [np.array([ratio(p) for p in places]) / math.sqrt(len(places)) for places, _ in part]
+        w = linear.dual_coordinate_descent([np.array(p) for p, _ in part], values, np.array([1 if y else -1 for _, y in part]), 1 << quality.BITS)
+        return lambda places: sum(ratio(p) * w[p] for p in places) / math.sqrt(len(places)) + w[-1]
+
+    margins = np.zeros(len(examples))
+    for k in range(3):
+        margin = fitted([e for i, e in enumerate(examples) if i % 3 != k])
+        for i in range(k, len(examples), 3):
+            margins[i] = margin(examples[i][0])
+    beta = linear.logistic(margins[:, None], np.array([float(y) for _, y in examples]))
+    margin = fitted(examples)
+    return [float(linear.sigmoid(max(0.0, beta[0]) * margin(tuple(features(t).tolist())) + beta[1])) for t, _ in rows]
+
+
+def test_quality_scores_against_plain(spark, tables):
+    """What the query runs, train and score, against the same model computed from texts and labels."""
+    docs, labels = tables
+    docs = docs.where("doc_id < 150")
+    found = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    rows = [(r["doc_id"], r["text"], r["quality"]) for r in docs.join(labels, "doc_id").select("doc_id", "text", "quality").collect()]
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    expected = dict(zip([r[0] for r in learnt], plain_quality([(t, y) for _, t, y in learnt]), strict=True))
+    assert {i: found[i] for i in expected} == pytest.approx(expected, abs=1e-6)
+
+
+def test_training_rows_are_bounded_and_may_have_any_columns(spark):
+    """20,000 rows of one id, equal or not, and columns with the names of results."""
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.range(20_000).selectExpr("7L as doc_id", "'the same' as text", "5 as label", "6 as id", "'z' as h1")
+    assert training_rows(docs, labels, "quality", 5, 0, 100).collect() == [("the same", 1)]
+    varied = docs.withColumn("text", F.concat(F.lit("text "), F.monotonically_increasing_id().cast("string")))
+    rows = training_rows(varied, labels, "quality", 5, 0, 100).collect()
+    assert 50 < len(rows) < 160 and {r["label"] for r in rows} == {1}
+
+
 def test_lambda_solves_its_equation():
     rate = toxicity._rate({0.0: 9900, 2.0: 90, 4.0: 10}, 0.5)
     assert 0.99 * math.exp(-0.5 * rate) + 0.009 * math.exp(2 * rate) + 0.001 * math.exp(4 * rate) == pytest.approx(1.0, abs=1e-9)

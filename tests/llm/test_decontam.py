@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexframe.llm import decontam
 
@@ -77,3 +78,14 @@ def test_invalid_bytes_are_word_characters(spark):
     items = spark.sql("SELECT 1L AS item_id, CAST(unhex('61ff2062') AS STRING) AS text")
     row = decontam.contamination(df, items).first()
     assert (row["n_words"], row["n_hit"], row["n_items"]) == (3, 2, 1)
+
+
+def test_blocks_stay_under_their_bound(spark):
+    """Repeated rows count once, and no block of different ones exceeds the bound by more than a cell."""
+    same = spark.range(20_000).select(F.lit(1).cast("long").alias("item_id"), F.lit("one and the same text of an item").alias("text"))
+    blocks, n = decontam._blocks(same, "item_id", "text", 100_000)
+    assert n == 1 and blocks.count() == 1
+    rows = same.unionByName(spark.range(5000).select(F.col("id").alias("item_id"), F.concat(F.lit("a text of its own "), F.col("id")).alias("text")))
+    blocks, n = decontam._blocks(rows, "item_id", "text", 30_000)
+    sizes = [r[1] for r in blocks.groupBy("block").agg(F.sum(F.octet_length("text") + 32)).collect()]
+    assert blocks.count() == 5001 and len(sizes) == n and max(sizes) <= 30_000

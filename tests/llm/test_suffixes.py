@@ -117,5 +117,7 @@ def test_merge_is_a_sort_by_prefixes():
 def test_equal_keys_are_sent_once():
     """A passage that fills a chunk makes a few keys, not one for each place."""
     arrays = suffixes._Texts.of([b"abcdefgh" * 5000] * 5, [1, 2, 3, 4, 5])
-    asked = suffixes._name_triples(arrays, [])
+    asked = suffixes._ask_windows(arrays, 1)
+    assert len(exchange.unpack(asked[0]["data"])["gaps"]) == 8
+    asked = suffixes._ask_triples({**arrays, "windows": suffixes._Texts(arrays).windows()}, [])
     assert len(exchange.unpack(asked[0]["data"])["k0"]) < 40
