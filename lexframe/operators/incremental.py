@@ -1,12 +1,10 @@
-"""Change detection and index maintenance: fingerprints, hashes, snapshot differences, cache, versioned state."""
+"""Change detection and index maintenance: fingerprints, hashes, snapshot differences, cache. The store is in ``store``."""
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_hash
@@ -98,79 +96,3 @@ def sync_report(diff: DataFrame, reasons: DataFrame) -> DataFrame:
 def signature(version: str, model: str, limit: int) -> str:
     """What an index was built with; another signature means that it must be rebuilt."""
     return f"{version}|{model}|{limit}"
-
-
-class Store:
-    """Tables as numbered Parquet directories with one pointer: a commit writes all tables, then moves the pointer, so that
-    readers see either the old state or the new one. Only Spark touches the files."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._session = uuid.uuid4().hex
-
-    def _pointer(self) -> dict:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return {"version": 0, "tables": {}}
-        rows = self.spark.read.text(f"{self.root}/_current").collect()  # one line for each commit that is kept
-        return max((json.loads(r[0]) for r in rows), key=lambda p: p["version"])
-
-    def read(self, table: str, schema: str) -> DataFrame:
-        path = self._pointer()["tables"].get(table)
-        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
-
-    def stage(self, df: DataFrame, label: str) -> DataFrame:
-        """``df`` written once beside the tables and read back: what follows has a short plan, and a lost executor loses nothing."""
-        path = f"{self.root}/_staging/{self._session}/{label}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df`` written once under ``_answers`` and read back, for results that are read lazily; the folder may be removed when
-        they have been."""
-        path = f"{self.root}/_answers/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def unstage(self) -> None:
-        """Removes what this store has staged."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_staging/{self._session}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _claim(self, version: int) -> None:
-        """Marks ``version`` as being written; an error if another writer has done so, as one of the two would be lost."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/v{version}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(path) or not fs.createNewFile(path):
-            raise RuntimeError(f"version {version} of {self.root} is being written, or its writer failed: see release()")
-
-    def release(self) -> None:
-        """Gives up the claim of a writer that failed."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/v{self._pointer()['version'] + 1}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
-
-    def commit(self, **tables: DataFrame) -> int:
-        """Writes ``tables`` as the next version; tables not named stay as they are. A failure leaves the old version."""
-        now = self._pointer()
-        version = now["version"] + 1
-        self._claim(version)
-        paths = dict(now["tables"])
-        try:
-            for name, df in tables.items():
-                paths[name] = f"{self.root}/{name}/v{version}"
-                df.write.mode("overwrite").parquet(paths[name])
-        except Exception:
-            self.release()
-            raise
-        line = json.dumps({"version": version, "tables": paths})
-        self.spark.range(1).select(F.lit(line).alias("value")).write.mode("append").text(f"{self.root}/_current")
-        return version
-
-    def reset(self, *keep: str) -> int:
-        """Forgets all tables but ``keep``."""
-        now = self._pointer()
-        self._claim(now["version"] + 1)
-        line = json.dumps({"version": now["version"] + 1, "tables": {k: v for k, v in now["tables"].items() if k in keep}})
-        self.spark.range(1).select(F.lit(line).alias("value")).write.mode("append").text(f"{self.root}/_current")
-        return now["version"] + 1

@@ -116,12 +116,12 @@ def retrieve(
     candidates: int = CANDIDATES,
     rerank_candidates: int = RERANK_CANDIDATES,
     stems: bool = True,
-    postings: DataFrame | None = None,
+    postings: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
     """(query_id, rank, chunk_id, score, sources) for ``queries`` (query_id, query, and query_vector for dense modes).
 
     The filter holds inside each branch, before its top k. Provisions cited in the query come first and are not reranked.
-    With ``postings`` (see ``lexical.postings``, of the chunks' ``embed_text``) texts are not tokenised. ``scorer`` is an expression
+    With ``postings`` (of the chunks' ``embed_text``, and the number of their parts: see ``Store.parts``) texts are not tokenised. ``scorer`` is an expression
     of query and passage, or a ``Model``.
     """
     chunk_filter = chunk_filter or ChunkFilter()
@@ -134,7 +134,7 @@ def retrieve(
             branches["sparse"] = lexical.search(chunks, queries, depth, "chunk_id", "embed_text", keep=keep, stems=stems)
         else:
             asked = lexical.asked_terms(queries, "query_id", "query", stems)
-            branches["sparse"] = lexical.search_postings(postings, asked, depth, "chunk_id", "query_id", allowed=chunks.where(keep))
+            branches["sparse"] = lexical.search_postings(postings[0], asked, depth, "chunk_id", "query_id", allowed=chunks.where(keep), parts=postings[1])
     if mode in ("dense", "hybrid"):
         allowed = vectors.join(chunks.where(keep).select("chunk_id"), "chunk_id", "left_semi")
         branches["dense"] = dense.search(allowed, queries, depth, "chunk_id", "vector")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..observability import Timings
 from ..operators import answering, chunking, dense, evaluation, incremental, lexical, retrieval, structure
+from ..operators.store import Buckets, Segment, Store
 from ..sources import schema
 
 STATE = "norm_id string, fingerprint string, next_change date, consolidated_as_of date, synced_at string"
@@ -28,7 +29,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, norms: DataFrame, embedder=None, scorer: retrieval.Scorer | None = None, generate=answering.extractive, pricing: DataFrame | None = None, limit: int = chunking.MAX_CHARS):
         self.spark, self.norms, self.limit = spark, norms, limit
-        self.store = incremental.Store(spark, root)
+        self.store = Store(spark, root)
         self.embedder, self.scorer, self.generate = embedder or dense.HashEmbedder(), scorer, generate
         self.pricing = pricing if pricing is not None else spark.createDataFrame([], schema.PRICING)
 
@@ -54,7 +55,7 @@ class Engine:
         meta = self.store.read("meta", META)
         same = not meta.where((F.col("key") == "signature") & (F.col("value") == signature)).isEmpty()
         # An index built otherwise counts as empty; its embeddings are of use still.
-        read = lambda table, kind: self.store.read(table, kind) if same else self.spark.createDataFrame([], kind)
+        read = lambda table, kind, buckets=None: self.store.read(table, kind, buckets) if same else self.spark.createDataFrame([], kind)
         state, gone = incremental.forget(read("state", STATE), self.norms)
         current = incremental.fingerprints(block_index)
         delivered = self.norms if only is None else self.norms.join(only.select("norm_id").distinct(), "norm_id", "left_semi")
@@ -68,7 +69,9 @@ class Engine:
         provisions = stage(structure.build_provisions(own, specs, block_index, day), "provisions")
         chunks = stage(chunking.chunk_provisions(provisions, specs, self.limit), "chunks")
         hashes = incremental.content_hashes(chunks)
-        old_hashes = read("hashes", HASHES)
+        # Norms lie in buckets: only those of norms that are due or gone are read and written, or all if the index starts anew.
+        touched = self.store.touched(todo, gone) if same else None
+        old_hashes = read("hashes", HASHES, touched)
         diff = stage(incremental.snapshot_diff(old_hashes.join(todo, "norm_id", "left_semi"), hashes, ["norm_id", "block_id"]), "diff")
         # The report outlives the state that it was made of, so its few rows are fixed here.
         report = self.spark.createDataFrame(incremental.sync_report(diff, reasons).collect(), incremental.REPORT)
@@ -88,13 +91,15 @@ class Engine:
         dates = chunks.groupBy("norm_id").agg(F.max("consolidated_as_of").alias("consolidated_as_of"))
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         renewed = todo.join(current, "norm_id", "left").join(structure.next_scheduled_change(own, specs, day), "norm_id").join(dates, "norm_id", "left").select("norm_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), "next_change", "consolidated_as_of", now.alias("synced_at"))
+        part = lambda table, kind: drop(read(table, kind, touched))
+        dead = stale.unionByName(old_hashes.join(gone, "norm_id", "left_semi").select("norm_id", "block_id"))
         self.store.commit(
-            chunks=incremental.patch(drop(read("chunks", CHUNKS)).unionByName(fresh), dates),
-            vectors=drop(read("vectors", VECTORS)).unionByName(embedded.select("norm_id", "block_id", "chunk_id", "vector")),
-            postings=drop(read("postings", POSTINGS)).unionByName(terms.select("norm_id", "block_id", "chunk_id", "n_terms", "term", "tf")).repartition("term").sortWithinPartitions("term"),
-            hashes=old_hashes.join(gone, "norm_id", "left_anti").join(todo, "norm_id", "left_anti").unionByName(hashes),
+            chunks=Buckets(incremental.patch(part("chunks", CHUNKS).unionByName(fresh), dates), "norm_id", touched),
+            vectors=Buckets(part("vectors", VECTORS).unionByName(embedded.select("norm_id", "block_id", "chunk_id", "vector")), "norm_id", touched),
+            postings=Segment(terms.select("norm_id", "block_id", "chunk_id", "n_terms", "term", "tf"), "term", dead, fresh=not same),
+            hashes=Buckets(old_hashes.join(gone, "norm_id", "left_anti").join(todo, "norm_id", "left_anti").unionByName(hashes), "norm_id", touched),
             state=incremental.upsert(state, renewed, ["norm_id"]),
-            cache=incremental.upsert(cache, added, ["text_hash", "model"]),
+            cache=Segment(added, "text_hash"),
             meta=incremental.upsert(meta, self.spark.createDataFrame([("signature", signature)], META), ["key"]),
         )
         log.info("synced", extra={"norms": report.count()})
@@ -116,7 +121,7 @@ class Engine:
                 queries = queries.join(vectors, "query_id")
         with timings.stage("retrieve"):
             scorer = self.scorer if scorer == "own" else scorer
-            hits = retrieval.retrieve(chunks, queries, self.norms, k, mode, chunk_filter, self.store.read("vectors", VECTORS), use_references, scorer, postings=self.store.read("postings", POSTINGS))
+            hits = retrieval.retrieve(chunks, queries, self.norms, k, mode, chunk_filter, self.store.read("vectors", VECTORS), use_references, scorer, postings=self.store.parts("postings", POSTINGS))
         return hits.join(chunks.withColumnRenamed("rank", "norm_rank"), "chunk_id")
 
     def _asked(self, queries: DataFrame, day: date, k: int, chunk_filter: retrieval.ChunkFilter | None, abstain_below: float | None) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexframe.operators import answering, dense, evaluation, incremental, lexical, references, retrieval
+from lexframe.operators.store import Store
 from lexframe.plans.engine import Engine
 from lexframe.sources import catalog, xml
 from lexframe.streaming import ingest
@@ -167,7 +168,7 @@ def test_out_of_range_citations_and_warnings(spark):
 
 
 def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
-    store = incremental.Store(spark, str(tmp_path / "x"))
+    store = Store(spark, str(tmp_path / "x"))
     rows = spark.range(1)
     store._claim(1)
     with pytest.raises(RuntimeError, match="version 1"):
@@ -180,7 +181,7 @@ def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
 
 
 def test_store_reads_one_version(spark, tmp_path):
-    store = incremental.Store(spark, str(tmp_path / "x"))
+    store = Store(spark, str(tmp_path / "x"))
     rows = lambda *v: spark.createDataFrame([(x,) for x in v], "a int")
     assert store.read("t", "a int").count() == 0
     store.commit(t=rows(1), u=rows(9))
@@ -206,7 +207,7 @@ def test_unfetched_norm_and_failed_sync_change_nothing(spark, engine):
     before = engine._chunks().count()
     none = xml.blocks(spark.createDataFrame([], "norm_id string, payload string"))
     assert engine.sync(none, index(spark, "20260401"), date(2026, 1, 1)).first()["status"] == "skipped" and engine._chunks().count() == before
-    version = engine.store._pointer()["version"]
+    version = engine.store.versions()[-1]
     changed = xml.blocks(spark.createDataFrame([("N-1", XML.replace("Diez", "Doce"))], "norm_id string, payload string"))
     embedder = engine.embedder
 
@@ -220,7 +221,7 @@ def test_unfetched_norm_and_failed_sync_change_nothing(spark, engine):
     with pytest.raises(Exception, match="no model"):
         engine.sync(changed, index(spark, "20260401"), date(2026, 1, 1))
     engine.embedder = embedder
-    assert engine.store._pointer()["version"] == version and engine._chunks().count() == before
+    assert engine.store.versions()[-1] == version and engine._chunks().count() == before
 
 
 def test_settings_and_log(tmp_path, capsys):
