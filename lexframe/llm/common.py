@@ -39,6 +39,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, part_col: str, label: str, *parts: str) -> list[DataFrame]:
+    """``cut``, with the rows of each value of ``part_col`` (a text) in a folder of its own, which ``discard`` removes by itself."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(part_col).parquet(path)
+    whole, out = spark.read.schema(df.schema).parquet(path), []
+    for part in parts:
+        rows = whole.where(F.col(part_col) == part).drop(part_col)
+        rows._cut_path = f"{path}/{part_col}={part}"
+        out.append(rows)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes the files of ``cut`` tables that nothing will read again."""
     for table in tables:

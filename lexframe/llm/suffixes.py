@@ -19,7 +19,7 @@ depth only, so their order need not be right beyond it, and one level of recursi
 
 Sorting is by buckets: ``exchange`` deals keys to buckets (by hash, by sampled splitters, then by names, which grow with their bucket),
 each of which is sorted in one task; a chunk sends equal keys once. Hashes are filters that pass too much, never too little;
-what is removed is decided by bytes. Each piece of text goes to its bucket once, no group is ever expanded into pairs, and only the splitters, at most
+of what passes adjacent prefixes are compared by a digest of 112 bits. Each piece of text goes to its bucket once, no group is ever expanded into pairs, and only the splitters, at most
 ``MOST_BUCKETS`` triples drawn from ``SAMPLED``, pass through the driver.
 """
 
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, utf8
+from .common import cut, cut_by, release, utf8
 from .exchange import BUCKET_KEYS, SENT, Arrays, answer, buckets_for, gaps, lexicographic, pack, received, sent, starts_of, unpack
 
 WINDOW = 50
@@ -62,8 +62,8 @@ _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 # --- anchors ------------------------------------------------------------------------------------------------------------------
 
 
-def _hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """HASH_BITS-bit hashes, never zero, of all runs of ``length`` bytes: sums of powers by doubling."""
+def _hashes(data: np.ndarray, length: int, bits: int = HASH_BITS) -> np.ndarray:
+    """Hashes of ``bits`` bits, never zero, of all runs of ``length`` bytes: sums of powers by doubling."""
     n, power, width, m, have, out = len(data) - length + 1, _TABLE[data], 1, int(_M1), 0, None
     while True:
         factor = np.uint64(m)
@@ -78,7 +78,7 @@ def _hashes(data: np.ndarray, length: int) -> np.ndarray:
     h = (out ^ (out >> np.uint64(32))) * _M2
     h ^= h >> np.uint64(29)
     h *= _M1
-    return (h >> np.uint64(64 - HASH_BITS)) | np.uint64(1)
+    return (h >> np.uint64(64 - bits)) | np.uint64(1)
 
 
 def _extreme(values: np.ndarray, length: int, pick: Callable) -> np.ndarray:
@@ -131,7 +131,7 @@ def _repeated(pieces: list[Arrays]) -> list[Arrays | None]:
 
 
 def _chunks(kind: pa.DataType, buckets: int, chunk_bytes: int):
-    """Rows (doc, doc_id, text) to rows of chunks, with their anchors sent."""
+    """Rows (doc, doc_id, text) to rows of chunks: one of what stays, and one of their anchors and what is asked of them."""
 
     def emit(number: int, held: list[tuple[int, object, bytes]]) -> pa.RecordBatch:
         buffer = b"".join(t for _, _, t in held)
@@ -145,9 +145,9 @@ def _chunks(kind: pa.DataType, buckets: int, chunk_bytes: int):
         bounds = _by_bucket(hashes, buckets)
         asked = sent([(k, {"gaps": gaps(hashes[a:b])}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
         anchors = pack({"gaps": gaps(at).astype(np.uint32), "key": key.astype(np.int32), "several": several, "break": hashes // np.uint64(2) % np.uint64(BREAKS) == 0, "bounds": bounds})
-        values = ([number], [[d for d, _, _ in held]], [[i for _, i, _ in held]], [ends], [zstandard.ZstdCompressor(1).compress(buffer)], [anchors], [asked])
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary(), _SENT_TYPE)
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "docs", "ids", "ends", "text", "anchors", "sent"])
+        values = ([number] * 2, ["state", "sent"], [[d for d, _, _ in held], None], [[i for _, i, _ in held], None], [ends, None], [zstandard.ZstdCompressor(3).compress(buffer), None], [None, anchors], [None, asked])
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary(), _SENT_TYPE)
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "part", "docs", "ids", "ends", "text", "anchors", "sent"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -342,11 +342,11 @@ def _recurse(state: Arrays, got: dict[int, Arrays]) -> tuple[Arrays, list[dict]]
     return {**state, "index": index.astype(np.int32), "own": name[windows]}, _send_rows(keys, first, bounds, labels)
 
 
-def _prefix(texts: _Texts, at: np.ndarray) -> list[np.ndarray]:
-    """WINDOW bytes from each place on, as words; of the last one the rest is zero."""
-    words = [texts.words[at + k] for k in range(0, WINDOW, WORD)]
-    words[-1] = words[-1] >> np.uint64(8 * (len(words) * WORD - WINDOW))
-    return words
+def _prefixes(texts: _Texts, at: np.ndarray) -> dict[str, np.ndarray]:
+    """Of WINDOW bytes from each place on the first two words, which merging compares, and a digest of 112 bits, which adjacent
+    prefixes are compared by: of N prefixes two different neighbours are confused with a probability below N / 2**112."""
+    first, second = (_hashes(data, WINDOW, bits) for data, bits in ((texts.data, 64), (texts.data[::-1], HASH_BITS)))
+    return {"w0": texts.words[at], "w1": texts.words[at + WORD], "p0": first[at], "p1": second[::-1][at]}
 
 
 def _send_suffixes(state: Arrays, got: dict[int, Arrays], splitters: list[tuple]) -> tuple[Arrays, list[dict]]:
@@ -366,7 +366,8 @@ def _send_suffixes(state: Arrays, got: dict[int, Arrays], splitters: list[tuple]
     least = np.full(len(first), LAST)
     np.minimum.at(least, item, doc)
     at = windows[first]
-    columns = {f"w{k}": w for k, w in enumerate(_prefix(texts, at))} | {"kind": kind[first], "own": own[first], "next1": next1[first], "next2": next2[first], "doc": least}
+    columns = _prefixes(texts, at) | {"kind": kind[first], "own": own[first], "next1": next1[first], "next2": next2[first], "doc": least}
+    columns["w1"] = np.where(kind[first] == 1, zero, columns["w1"])  # of no use there
     bucket = np.where(kind[first] > 0, (state["own"][first] - np.uint64(1)) >> np.uint64(32), zero).astype(np.int64)
     zeros = np.flatnonzero(kind[first] == 0)
     triples = [t[at[zeros]] for t in (texts.words, texts.words[WORD:], texts.words[2 * WORD :])]
@@ -395,7 +396,7 @@ def _merge(pieces: list[Arrays]) -> list[Arrays]:
     """Merges the three kinds of suffixes, compares adjacent prefixes, and answers with the least doc of each suffix's class."""
     column = lambda name: np.concatenate([p[name] for p in pieces])
     kind, own, next1, next2, doc = (column(n) for n in ("kind", "own", "next1", "next2", "doc"))
-    words = [column(f"w{k}") for k in range(-(-WINDOW // WORD))]
+    words = [column("w0"), column("w1")]
     rows = [np.flatnonzero(kind == k) for k in range(3)]
     place = np.zeros(len(kind), np.int64)
     keys01 = lambda r: [words[0][r], next1[r]]
@@ -408,7 +409,7 @@ def _merge(pieces: list[Arrays]) -> list[Arrays]:
         place[rows[x]] += before_x
         place[rows[y]] += before_y
     order = np.argsort(place, kind="stable")
-    fresh = starts_of(words, order)
+    fresh = starts_of([column("p0"), column("p1")], order)
     group = np.cumsum(fresh) - 1
     least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))
     found = np.empty(len(order), np.int64)
@@ -434,15 +435,24 @@ def _later(state: Arrays, got: dict[int, Arrays]) -> list[list[dict]]:
 
 # --- the rounds ---------------------------------------------------------------------------------------------------------------
 
-_STATE = f"chunk long, hs array<binary>, state binary, sent {SENT}"
+_STATE = f"chunk long, part string, hs array<binary>, state binary, sent {SENT}"
 
 
-def _piece_chunks(chunk_bytes: int):
-    """Rows (h, doc, text) to rows of states that have sent nothing yet."""
+def _rows(chunk: int, hs: list[bytes] | None, state: Arrays | None, asked: list[dict] | None) -> pa.RecordBatch:
+    """A chunk's state and what it asks, as one row each."""
+    found = [] if state is None else [("state", hs, pack(state), None)]
+    found += [] if asked is None else [("sent", None, None, asked)]
+    part, names, states, sends = zip(*found, strict=True)
+    columns = [pa.array([chunk] * len(found), pa.int64()), pa.array(part), pa.array(names, pa.list_(pa.binary())), pa.array(states, pa.binary()), pa.array(sends, _SENT_TYPE)]
+    return pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "hs", "state", "sent"])
+
+
+def _piece_chunks(chunk_bytes: int, buckets: int):
+    """Rows (h, doc, text) to rows of states that ask for their windows."""
 
     def emit(number: int, held: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
         state = _Texts.of([t for _, _, t in held], [d for _, d, _ in held])
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([[h for h, _, _ in held]], pa.list_(pa.binary())), pa.array([pack(state)], pa.binary()), pa.array([None], _SENT_TYPE)], names=["chunk", "hs", "state", "sent"])
+        return _rows(number, [h for h, _, _ in held], state, _ask_windows(state, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -459,19 +469,27 @@ def _piece_chunks(chunk_bytes: int):
     return run
 
 
-def _round(states: DataFrame, answers: DataFrame | None, step: Callable[[Arrays, dict[int, Arrays]], tuple[Arrays, list[dict]]], label: str) -> DataFrame:
-    """The states after ``step``, with what they send now, as a written table; the one before is removed."""
+Step = Callable[[Arrays, dict[int, Arrays]], tuple[Arrays | None, list[dict] | None]]
+
+
+def _stepped(states: DataFrame, answers: DataFrame | None, step: Step) -> DataFrame:
+    """What ``step`` makes of the states and the answers to what they asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, hs, state, got in zip(*batch.columns, strict=True):
-                after, asked = step(unpack(state.as_py()), received(got.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([hs.as_py()], pa.list_(pa.binary())), pa.array([pack(after)], pa.binary()), pa.array([asked], _SENT_TYPE)], names=["chunk", "hs", "state", "sent"])
+                yield _rows(chunk.as_py(), hs.as_py(), *step(unpack(state.as_py()), received(got.as_py())))
 
     rows = states.select("chunk", "hs", "state")
     rows = rows.withColumn("got", F.lit(None).cast(SENT)) if answers is None else rows.join(answers, "chunk", "left")
-    made = cut(rows.mapInArrow(run, _STATE), label)
-    release(states.sparkSession, states)
+    return rows.mapInArrow(run, _STATE)
+
+
+def _round(states: DataFrame, asked: DataFrame | None, compare: Callable[[list[Arrays]], list[Arrays | None]] | None, step: Step, label: str) -> list[DataFrame]:
+    """(states, what they ask) after ``step``, as written tables; those of the round before are removed."""
+    answers = None if asked is None else answer(asked, compare)
+    made = cut_by(_stepped(states, answers, step), "part", label, "state", "sent")
+    release(states.sparkSession, states, *([] if asked is None else [asked]))
     return made
 
 
@@ -531,31 +549,34 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A document, however long, is one chunk's row: it must fit a task. ``docs`` is read once for its rows and once for its size.
     The last three parameters are what tasks hold at a time; they change the cost only.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = buckets_for(size / BYTES_PER_ANCHOR, bucket_keys)
     arrow_kind = docs.select(id_col).limit(0).toArrow().schema.field(0).type
-    chunks = cut(rows.mapInArrow(_chunks(arrow_kind, buckets, chunk_bytes), f"chunk long, docs array<bigint>, ids array<{kind}>, ends array<bigint>, text binary, anchors binary, sent {SENT}"), "text-chunks")
+    made = rows.mapInArrow(_chunks(arrow_kind, buckets, chunk_bytes), f"chunk long, part string, docs array<bigint>, ids array<{kind}>, ends array<bigint>, text binary, anchors binary, sent {SENT}")
+    chunks, asked = cut_by(made, "part", "text-chunks", "state", "sent")
 
-    named = chunks.select("chunk", "docs", "ends", "text", "anchors").join(answer(chunks, _repeated), "chunk", "left")
+    named = chunks.select("chunk", "docs", "ends", "text").join(asked.select("chunk", "anchors"), "chunk").join(answer(asked, _repeated), "chunk", "left")
     pieces = cut(named.mapInArrow(_pieces, "h binary, chunk long, doc long, text binary, at array<struct<idx:int,doc:bigint,place:int>>"), "pieces")
-    release(docs.sparkSession)
+    release(spark, asked)
 
+    few = buckets_for(pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_keys)
     distinct = pieces.groupBy("h").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).select("h", "doc", "text")
-    states = cut(distinct.mapInArrow(_piece_chunks(piece_bytes), _STATE), "piece-chunks")
-    size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    few = buckets_for(size, bucket_keys)
-
-    asked = _round(states, None, lambda a, _: (a, _ask_windows(a, few)), "windows")
-    left = _round(asked, answer(asked, _repeated), lambda a, g: (_discard(a, g, few), []), "windows-left")
-    splitters = _splitters(left, few)
-    triples = _round(left, None, lambda a, _: (a, _ask_triples(a, splitters)), "triples")
-    names = _round(triples, answer(triples, _rank), _recurse, "names")
-    suffixes = _round(names, answer(names, _rank), lambda a, g: _send_suffixes(a, g, splitters), "suffixes")
-    ends = suffixes.select("chunk", "hs", "state").join(answer(suffixes, _merge), "chunk", "left")
-    runs = cut(ends.mapInArrow(_runs, "h binary, first long, runs array<struct<start:int,stop:int>>"), "runs")
-    release(docs.sparkSession, suffixes)
+    states, asked = cut_by(distinct.mapInArrow(_piece_chunks(piece_bytes, few), _STATE), "part", "piece-chunks", "state", "sent")
+    release(spark)
+    states, _ = _round(states, asked, _repeated, lambda a, g: (_discard(a, g, few), None), "windows")
+    splitters = _splitters(states, few)
+    states, asked = _round(states, None, None, lambda a, _: (a, _ask_triples(a, splitters)), "triples")
+    states, asked = _round(states, asked, _rank, _recurse, "names")
+    ranks = cut(answer(asked, _rank), "ranks")
+    release(spark, asked)
+
+    # What is sent to be merged goes to its buckets without being written first, so both sides of the merge derive it from the ranks.
+    merged = answer(_stepped(states, ranks, lambda a, g: (None, _send_suffixes(a, g, splitters)[1])), _merge)
+    ends = states.select("chunk", "hs", "state").join(ranks.withColumnRenamed("got", "ranks"), "chunk", "left").join(merged, "chunk", "left")
+    runs = cut(ends.mapInArrow(_runs(splitters), "h binary, first long, runs array<struct<start:int,stop:int>>"), "runs")
+    release(spark, states, ranks)
 
     # Where a piece lies in a later document than its first, all of it goes; in the first one what a window of another piece covers.
     def spans(o):
@@ -565,14 +586,19 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = pieces.select("h", "chunk", F.octet_length("text").alias("size"), "at").join(runs, "h").select("chunk", F.flatten(F.transform("at", spans)).alias("spans"))
     gone = cut(found.where(F.size("spans") > 0).groupBy("chunk").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    release(docs.sparkSession, pieces, runs)
+    release(spark, pieces, runs)
     out = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>"
     return chunks.select("chunk", "ids", "ends", "text").join(gone, "chunk", "left").select("ids", "ends", "text", "spans").mapInArrow(_outputs, out)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, hs, state, got in zip(*batch.columns, strict=True):
-            arrays = unpack(state.as_py())
-            runs = pa.array(_later(arrays, received(got.as_py())), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([hs.values, pa.array(arrays["doc"]), runs], names=["h", "first", "runs"])
+def _runs(splitters: list[tuple]):
+    """States with ranks and what merging answered to rows (h, first, runs) of pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, hs, state, ranks, got in zip(*batch.columns, strict=True):
+                arrays, _ = _send_suffixes(unpack(state.as_py()), received(ranks.as_py()), splitters)
+                runs = pa.array(_later(arrays, received(got.as_py())), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([hs.values, pa.array(arrays["doc"]), runs], names=["h", "first", "runs"])
+
+    return run

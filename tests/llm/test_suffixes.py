@@ -106,7 +106,7 @@ def test_merge_is_a_sort_by_prefixes():
     kind = at // 8 % 3
     column = lambda f: np.array([f(int(p)) for p in at], np.uint64)
     piece = {"kind": kind.astype(np.uint8), "own": column(deep), "next1": column(lambda p: deep(p + 8)), "next2": column(lambda p: deep(p + 16)), "doc": texts.doc[np.searchsorted(texts.start, at, "right") - 1]}
-    piece |= {f"w{k}": w for k, w in enumerate(suffixes._prefix(texts, at))}
+    piece |= suffixes._prefixes(texts, at)
     got = suffixes._merge([piece])[0]["least"]
     least = {}
     for s, d in zip(suffix, piece["doc"].tolist(), strict=True):
