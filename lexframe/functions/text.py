@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and what is left of them without.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçªº\u00a0"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncao "
-
 # Function words that carry no signal in Spanish legal text.
 STOPWORDS = (
     "a al algo algun alguna algunas alguno algunos ante antes aquel aquella aquellas aquello "
@@ -23,9 +23,56 @@ STOPWORDS = (
 TOKEN = r"\d+(?:[./]\d+)*|[a-z]+"
 
 
+@lru_cache(maxsize=1)
+def decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Code points whose compatibility decomposition without combining marks is another text: those with one character left or none, and
+    those with several. Hangul syllables, which decompose by arithmetic, are left to ``_jamo``."""
+    one, several = {"\u00a0": " "}, {}
+    for point in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)):
+        char = chr(point)
+        if unicodedata.combining(char) or unicodedata.decomposition(char):
+            left = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+            if left != char:
+                (one if len(left) < 2 else several)[char] = left
+    return one, several
+
+
+def _class(chars: list[str]) -> str:
+    """A regular expression for any of ``chars``, as ranges."""
+    ranges: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if ranges and point == ranges[-1][1] + 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+_SYLLABLE = "[\\x{ac00}-\\x{d7a3}]"
+
+
+def _jamo(syllable: Column) -> Column:
+    """The two or three letters of a Hangul syllable."""
+    n = F.ascii(syllable) - 0xAC00
+    char = lambda point: F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE")
+    last = F.when(n % 28 == 0, F.lit("")).otherwise(char(0x11A7 + n % 28))
+    return F.concat(char(0x1100 + F.floor(n / 588)), char(0x1161 + F.floor(n % 588 / 28)), last)
+
+
+def _replaced(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
+    """``text`` with each character of ``pattern`` replaced; texts without any are looked at once only."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.when(text.rlike(pattern), F.aggregate(found, text, lambda t, c: F.replace(t, c, by(c)))).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
-    """Lower case without accents; punctuation stays. Exact for the letters of western European languages."""
-    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}", ""), ACCENTED, PLAIN)
+    """Lower case, compatibility characters decomposed ("m²" is "m2", "ﬁ" is "fi"), combining marks dropped; punctuation stays."""
+    one, several = decompositions()
+    kept, dropped = [c for c in one if one[c]], [c for c in one if not one[c]]
+    plain = F.translate(text, "".join([*kept, *dropped]), "".join(one[c] for c in kept))
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spread = _replaced(plain, _class(list(several)), lambda c: F.try_element_at(table, c))
+    return F.lower(_replaced(spread, _SYLLABLE, _jamo))
 
 
 def clean(text: Column) -> Column:

@@ -82,30 +82,38 @@ def windows(paragraphs: Column, limit: int) -> Column:
     return F.aggregate(explode_long(paragraphs, limit), start, step, last)
 
 
-def apartado_marks(paragraphs: Column) -> Column:
-    """For each paragraph the number of markers in sequence so far: a marker counts only if it is the next number."""
+def apartado_starts(paragraphs: Column) -> Column:
+    """Indexes of the paragraphs that open an apartado: a marker counts only if it is the next number."""
     marker = lambda p: F.when(p["kind"] == "text", F.nullif(F.regexp_extract(p["text"], MARKER, 1), F.lit("")).cast("int"))
-    numbers = F.transform(paragraphs, marker)
-    start = F.struct(F.lit(0).alias("n"), _none("int").alias("marks"))
+    marked = F.filter(F.transform(paragraphs, lambda p, i: F.struct(i.alias("at"), marker(p).alias("n"))), lambda x: x["n"].isNotNull())
+    # Of the paragraphs marked n, in order, the first after the place of n - 1 opens apartado n. Sorted by number, then place, they are
+    # met in that order by one pass, which holds the last place and number and adds to a text, as an array would be copied each time.
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit("").alias("found"))
 
-    def step(a: Column, number: Column) -> Column:
-        n = F.when(F.coalesce(number == a["n"] + 1, F.lit(False)), a["n"] + 1).otherwise(a["n"])
-        return F.struct(n.alias("n"), F.concat(a["marks"], F.array(n)).alias("marks"))
+    def step(a: Column, x: Column) -> Column:
+        opens = (x["n"] == a["n"] + 1) & (x["at"] > a["at"])
+        return F.struct(F.when(opens, x["n"]).otherwise(a["n"]).alias("n"), F.when(opens, x["at"]).otherwise(a["at"]).alias("at"), F.when(opens, F.concat(a["found"], F.lit(" "), x["at"].cast("string"))).otherwise(a["found"]).alias("found"))
 
-    return F.aggregate(numbers, start, step, lambda a: a["marks"])
+    ordered = F.array_sort(F.transform(marked, lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"))))
+    places = F.aggregate(ordered, start, step, lambda a: F.trim(a["found"]))
+    return F.when(places == "", _none("int")).otherwise(F.transform(F.split(places, " "), lambda x: x.cast("int")))
 
 
 def apartados(paragraphs: Column) -> Column:
-    """array<struct<apartado,items>>: paragraphs by apartado; an introduction belongs to the first, without markers there is one group."""
-    marked = F.arrays_zip(paragraphs.alias("p"), apartado_marks(paragraphs).alias("m"))
-    most = F.greatest(F.coalesce(F.array_max(apartado_marks(paragraphs)), F.lit(0)), F.lit(1))
+    """array<struct<apartado,items>>: paragraphs by apartado; an introduction belongs to the first, without markers there is one group.
 
-    def group(g: Column) -> Column:
-        own = F.filter(marked, lambda x: F.greatest(x["m"], F.lit(1)) == g)
-        opening = F.get(F.filter(marked, lambda x: x["m"] == g), F.lit(0))["p"]["text"]
-        return F.struct(F.nullif(F.regexp_extract(opening, MARKER, 1), F.lit("")).alias("apartado"), F.transform(own, lambda x: x["p"]).alias("items"))
+    Boundaries are found by one pass; each group is a slice between two of them."""
 
-    return F.transform(F.sequence(F.lit(1), most), group)
+    def groups(bound: Column) -> Column:
+        paragraphs, starts = bound["paragraphs"], bound["starts"]
+        first = F.concat(F.array(F.lit(0)), F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
+        stop = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(paragraphs)))
+        bounds = F.arrays_zip(first.alias("a"), stop.alias("b"))
+        number = lambda i: F.nullif(F.regexp_extract(F.get(paragraphs, F.get(starts, i))["text"], MARKER, 1), F.lit(""))
+        return F.transform(bounds, lambda x, i: F.struct(number(i).alias("apartado"), F.slice(paragraphs, x["a"] + 1, x["b"] - x["a"]).alias("items")))
+
+    # Paragraphs and starts are bound once, however many groups there are.
+    return F.flatten(F.transform(F.array(F.struct(paragraphs.alias("paragraphs"), apartado_starts(paragraphs).alias("starts"))), groups))
 
 
 def split(paragraphs: Column, limit: int = MAX_CHARS) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerals import ordinal
 from ..functions.text import normalize
-from ..sources.catalog import aliases as alias_table
+from . import aliases
 
 # Patterns over normalised text.
 ARTICLE = r"\b(?:articulos?|arts?\.?)\s*(\d+)(?:\s*(bis|ter|quater|quinquies|sexies|septies|octies|nonies|decies)\b)?((?:\s*\.\s*\d+)?)"
@@ -25,45 +26,14 @@ GOLD = r"^(.+?) (art\.|DA|DT|DD|DF|anexo) (.+)$"
 GOLD_KINDS = {"art.": "articulo", "DA": "disposicion_adicional", "DT": "disposicion_transitoria", "DD": "disposicion_derogatoria", "DF": "disposicion_final", "anexo": "anexo"}
 
 
+_PLACES = pa.list_(pa.struct([("at", pa.int32()), ("rank", pa.int32()), ("norm_id", pa.string())]))
+
+
 def _plain(text: Column) -> Column:
     """Normalised, ordinal marks removed first so that "4.ª del" keeps its "del"."""
     return normalize(F.regexp_replace(text, r"(?<=\d)\s*\.?\s*[ºª°]", ""))
 
 
-MOST_ALIASES = 1000
-
-
-def _literal_aliases(catalog: DataFrame) -> list[tuple[int, str, str]]:
-    """(rank, norm_id, pattern) of the catalog's aliases in their order of use. A catalog is a small dimension: its rows are
-    counted. As literals the patterns are compiled once a task, not once a row."""
-    rows = alias_table(catalog).orderBy(F.desc("length"), "ord").limit(MOST_ALIASES + 1).collect()
-    if len(rows) > MOST_ALIASES:
-        raise ValueError(f"a catalog of over {MOST_ALIASES} aliases needs a join, not literals")
-    return [(i, r["norm_id"], rf"(?<![\w/])\Q{r['alias']}\E(?![\w/])") for i, r in enumerate(rows)]
-
-
-def _positions(text: Column, known: list[tuple[int, str, str]]) -> Column:
-    """array<struct<at,rank,norm_id>> of the aliases that ``text`` holds."""
-    if not known:
-        return F.array().cast("array<struct<at:int,rank:int,norm_id:string>>")
-
-    def found(t: Column) -> Column:
-        return F.array(*[F.struct(F.regexp_instr(t, F.lit(pattern)).alias("at"), F.lit(i).alias("rank"), F.lit(norm).alias("norm_id")) for i, norm, pattern in known])
-
-    # The text is bound once, however many aliases there are.
-    return F.filter(F.transform(F.array(text), found)[0], lambda x: x["at"] > 0)
-
-
-def resolve_norm(text: Column, known: list[tuple[int, str, str]]) -> Column:
-    """The norm mentioned first in normalised ``text``; of aliases at one place the longest."""
-    return F.array_min(_positions(text, known))["norm_id"]
-
-
-def mentioned_norms(text: Column, known: list[tuple[int, str, str]]) -> Column:
-    """All norms mentioned, those with longer aliases first, then in catalog order."""
-    return F.array_distinct(F.transform(_positions(normalize(text), known), lambda x: x["norm_id"]))
-
-
 def _mentions(text: Column, pattern: str) -> Column:
     """array<struct<hit,tail>>: every match and the text from it to the next match."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -71,42 +41,54 @@ def _mentions(text: Column, pattern: str) -> Column:
     return F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get(tails, i + 1).alias("tail")))
 
 
-def _norm_after(tail: Column, known: list[tuple[int, str, str]]) -> Column:
+def _near(tail: Column) -> Column:
+    """The text in which a reference's norm would stand, or null."""
     near = F.split(F.substring(tail, 1, WINDOW), NEXT_MENTION, 2)[0]
-    return F.when(near.rlike(OF_NORM), resolve_norm(near, known))
+    return F.when(near.rlike(OF_NORM), near)
 
 
-def _dispositions(plain: Column, kind: str, pattern: str, known: list[tuple[int, str, str]]) -> Column:
+def _dispositions(plain: Column, kind: str, pattern: str) -> Column:
     """References to dispositions of one kind; a second word that is no ordinal is left to the text."""
 
     def one(m: Column) -> Column:
         words = F.regexp_extract(m["hit"], pattern, 1)
         digits = F.when(words.rlike(r"^\d+$"), words.cast("int"))
         value = F.coalesce(digits, ordinal(words), ordinal(F.split(words, " ")[0]))
-        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("number"), F.lit(None).cast("string").alias("apartado"), _norm_after(m["tail"], known).alias("norm_id"))
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("number"), F.lit(None).cast("string").alias("apartado"), _near(m["tail"]).alias("near"))
 
     return F.filter(F.transform(_mentions(plain, pattern), one), lambda r: r["number"].isNotNull())
 
 
-def parse_references(text: Column, known: list[tuple[int, str, str]]) -> Column:
-    """array<struct<kind,number,apartado,norm_id>> of the provisions referred to: articles, then dispositions, without repeats."""
+def parse_references(text: Column) -> Column:
+    """array<struct<kind,number,apartado,near>> of the provisions referred to: articles, then dispositions; ``near`` may name their norm."""
     plain = _plain(text)
 
     def article(m: Column) -> Column:
         part = lambda i: F.regexp_extract(m["hit"], ARTICLE, i)
         name = F.concat(part(1), F.when(part(2) != "", F.concat(F.lit(" "), part(2))).otherwise(F.lit("")))
-        return F.struct(F.lit("articulo").alias("kind"), name.alias("number"), F.nullif(F.regexp_replace(part(3), r"\D", ""), F.lit("")).alias("apartado"), _norm_after(m["tail"], known).alias("norm_id"))
+        return F.struct(F.lit("articulo").alias("kind"), name.alias("number"), F.nullif(F.regexp_replace(part(3), r"\D", ""), F.lit("")).alias("apartado"), _near(m["tail"]).alias("near"))
 
     found = [F.transform(_mentions(plain, ARTICLE), article)]
     for kind, opening in DISPOSITIONS.items():
-        found.append(_dispositions(plain, kind, opening + ORDINAL, known))
-    return F.array_distinct(F.concat(*found))
+        found.append(_dispositions(plain, kind, opening + ORDINAL))
+    return F.concat(*found)
+
+
+def _first_norms(batch: pa.RecordBatch, automaton: aliases.Automaton) -> pa.Array:
+    """For each reference the norm that ``near`` names first, with its place; of aliases at one place the longest."""
+    best = [[min(automaton.places(r["near"]), default=None) for r in refs] for refs in batch.column("refs").to_pylist()]
+    return pa.array([[b and dict(zip(("at", "rank", "norm_id"), b, strict=True)) for b in row] for row in best], _PLACES)
 
 
 def references(texts: DataFrame, catalog: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ref, kind, number, apartado, norm_id), ``ref`` the order in the text's list."""
-    rows = texts.select(id_col, F.posexplode(parse_references(F.col(text_col), _literal_aliases(catalog))).alias("ref", "r"))
-    return rows.select(id_col, "ref", "r.*")
+    """(id, ref, kind, number, apartado, norm_id) without repeats, ``ref`` the order in the text's list."""
+    known = aliases.automata(catalog)
+    rows = texts.select(F.col(id_col).alias("id"), F.coalesce(parse_references(F.col(text_col)), F.array().cast("array<struct<kind:string,number:string,apartado:string,near:string>>")).alias("refs"))
+    found = aliases.mapped(rows, known, _first_norms, "array<struct<at:int,rank:int,norm_id:string>>", "norms")
+    # Blocks of aliases are compared by place, then rank, as the aliases of one block are.
+    best = lambda i: F.array_min(F.array_compact(F.array(*[F.get(f"norms_{k}", i) for k in range(len(known))])))["norm_id"]
+    named = F.transform("refs", lambda r, i: F.struct(r["kind"].alias("kind"), r["number"].alias("number"), r["apartado"].alias("apartado"), best(i).alias("norm_id")))
+    return found.select(F.col("id").alias(id_col), F.posexplode(F.array_distinct(named)).alias("ref", "r")).select(id_col, "ref", "r.*")
 
 
 def find_provisions(refs: DataFrame, chunks: DataFrame, keys: list[str], limit: int = HITS_PER_REFERENCE) -> DataFrame:

@@ -6,6 +6,7 @@ The legal corpus is not at hand, so tables stand in for it: ``documents.source``
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html, numerals
-from .functions.text import ACCENTED, PLAIN, STOPWORDS, clean, text_hash, tokenize
-from .operators import answering, chunking, dense, evaluation, incremental, lexical, references, retrieval, structure
+from .functions.text import STOPWORDS, clean, normalize, text_hash, tokenize
+from .operators import aliases, answering, chunking, dense, evaluation, incremental, lexical, references, retrieval, structure
 from .sources import catalog, landing, schema, xml
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +52,8 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
 def _norm(text: str) -> str:
-    return f"translate(lower(coalesce({text}, '')), '{ACCENTED}', '{PLAIN}')"
+    """The letters with marks, and other marks, of the given texts' languages: a table of the SQL's own."""
+    return f"translate(lower(coalesce({text}, '')), 'áàâäãåéèêëíìîïóòôöõúùûüñçªº\u00a0', 'aaaaaaeeeeiiiiooooouuuuncao ')"
 
 
 def _tok(text: str) -> str:
@@ -264,8 +266,36 @@ m AS (SELECT doc_id, norm_id, k, length(regexp_extract(s, '(?s)^(.*?)(?:^|[^\\w/
 
 @_registered(f"WITH {_FOUND}, f AS (SELECT doc_id, norm_id, min(k) AS k FROM m GROUP BY doc_id, norm_id) SELECT doc_id, coalesce((SELECT string_agg(norm_id, ',' ORDER BY k) FROM f WHERE f.doc_id = t.doc_id), '') AS norms FROM t")
 def mentioned_norms(spark, sf_dir):
-    known = references._literal_aliases(_catalog(spark))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(references.mentioned_norms(F.col("text"), known), ",").alias("norms"))
+    found = aliases.mentioned_norms(_table(spark, sf_dir, "documents"), _catalog(spark))
+    return found.select("doc_id", F.array_join("norms", ",").alias("norms"))
+
+
+#: Characters beside their compatibility decomposition without combining marks, as the Unicode charts give them.
+_COMPATIBLE = [("m²", "m2"), ("½", "1⁄2"), ("ﬁn", "fin"), ("Č", "c"), ("№", "no"), ("ⅷ", "viii"), ("㎏", "kg"), ("Ａ９", "a9"), ("…", "..."), ("ŉ", "ʼn"), ("ǆ", "dz"), ("℡", "tel"), ("①", "1"), ("한", "한"), ("Ệ", "e"), ("ş̈", "s"), ("｡", "。"), ("ﷺ", "صلى الله عليه وسلم")]
+
+
+@_registered(f"""SELECT doc_id, sha256(lower(translate(regexp_replace({_norm('text')}, '…', '...', 'g'), '’‘', '’‘')) || ' {' '.join(b for _, b in _COMPATIBLE)} ' || doc_id) AS plain_sha256,
+CAST(len({_tok('text')}) + {len([t for _, b in _COMPATIBLE for t in re.findall(r'[0-9]+(?:[./][0-9]+)*|[a-z]+', b) if t not in STOPWORDS])} + 1 AS INTEGER) AS n_terms FROM documents""")
+def normalize_compatibility(spark, sf_dir):
+    """Compatibility characters spliced into every document."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" " + " ".join(a for a, _ in _COMPATIBLE) + " "), F.col("doc_id").cast("string"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize(text), 256).alias("plain_sha256"), F.size(tokenize(text)).alias("n_terms"))
+
+
+_WORDS = "list_filter(list_distinct(regexp_extract_all({}, '[A-Za-z0-9_/]+')), lambda w: regexp_full_match(w, '[a-z]{{5,}}'))"
+
+
+@_registered(f"""WITH t AS (SELECT doc_id, lang, {_WORDS.format(_norm('text'))} AS w FROM documents), known AS (SELECT DISTINCT unnest(w) AS w FROM t WHERE lang = 'es'),
+hits AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(w) AS w FROM t) SEMI JOIN known USING (w))
+SELECT doc_id, count(w) AS n_norms, sha256(coalesce(string_agg(w, ',' ORDER BY w), '')) AS norms_sha256 FROM t LEFT JOIN hits USING (doc_id) GROUP BY doc_id""")
+def mentions_of_many_norms(spark, sf_dir):
+    """A catalog with a norm for each longer word of the Spanish documents, looked for in all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    words = F.regexp_extract_all(normalize(F.col("text")), F.lit("(?<![A-Za-z0-9_/])[a-z]{5,}(?![A-Za-z0-9_/])"), F.lit(0))
+    known = docs.where("lang = 'es'").select(F.explode(words).alias("norm_id")).distinct()
+    catalog = known.select("norm_id", F.lit(0).alias("ord"), F.col("norm_id").alias("short_name"), F.array().cast("array<string>").alias("aliases"))
+    found = aliases.mentioned_norms(docs, catalog)
+    return found.select("doc_id", F.size("norms").cast("long").alias("n_norms"), F.sha2(F.array_join(F.array_sort("norms"), ","), 256).alias("norms_sha256"))
 
 
 _CITED = [

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexframe.operators import answering, dense, evaluation, incremental, lexical, references, retrieval
+from lexframe.operators import aliases, answering, dense, evaluation, incremental, lexical, references, retrieval
 from lexframe.operators.store import Store
 from lexframe.plans.engine import Engine
 from lexframe.sources import catalog, xml
@@ -128,9 +128,21 @@ def test_references(spark, text, found):
 
 
 def test_norms_in_order_of_alias_length(spark):
-    known = references._literal_aliases(catalog.norms(spark, NORMS))
-    row = spark.createDataFrame([("La LPX y el Real Decreto 8/2001; Ley 7/19999",)], "t string").select(references.mentioned_norms(F.col("t"), known)).first()
-    assert row[0] == ["N-2", "N-1"]
+    rows = [(1, "La LPX y el Real Decreto 8/2001; Ley 7/19999"), (2, None), (3, "xLPX LPX/ /LPX _LPX"), (4, "xLPX (LPX)")]
+    texts, norms = spark.createDataFrame(rows, "id long, t string"), catalog.norms(spark, NORMS)
+    for block in (aliases.BLOCK_CHARS, 10):  # all at once, and alias by alias
+        found = {r["id"]: r["norms"] for r in aliases.mentioned_norms(texts, norms, "id", "t", block).collect()}
+        assert found == {1: ["N-2", "N-1"], 2: [], 3: [], 4: ["N-1"]}
+
+
+def test_references_take_the_first_norm_over_blocks_of_aliases(spark, monkeypatch):
+    text = spark.createDataFrame([(1, "el articulo 3 de la Ley 7/1999 y del Real Decreto 8/2001, el articulo 4 del Real Decreto 8/2001"), (2, None)], "id long, t string")
+    one = lambda: sorted(map(tuple, references.references(text, catalog.norms(spark, NORMS), "id", "t").collect()))
+    whole = one()
+    assert [(r[3], r[5]) for r in whole] == [("3", "N-1"), ("4", "N-2")]
+    known = aliases.automata(catalog.norms(spark, NORMS), 10)
+    monkeypatch.setattr(references.aliases, "automata", lambda _: known)
+    assert len(known) > 2 and one() == whole
 
 
 def test_bm25_saturates(spark):

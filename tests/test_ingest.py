@@ -175,3 +175,18 @@ def test_fetch_retries_with_backoff():
     with pytest.raises(urllib.error.HTTPError):
         remote.fetch("http://x/y", "a/b", pause=waits.append, opened=fatal)
     assert len(waits) == 2
+
+
+def test_apartados_of_long_provisions_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        items = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(F.lit("text").alias("kind"), F.concat(F.when(i <= 999, i).otherwise(7).cast("string"), F.lit(". Texto del apartado")).alias("text"), F.lit("p").alias("css_class"))).alias("p"))
+        items.select(F.size(chunking.apartados(F.col("p")))).first()
+        began = time.perf_counter()
+        (row,) = items.select(chunking.apartados(F.col("p")).alias("g")).collect()
+        assert [g["apartado"] for g in row["g"]] == [str(i) for i in range(1, min(n, 999) + 1)] and sum(len(g["items"]) for g in row["g"]) == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert min(seconds(3200), seconds(3200)) < 2.3 * max(min(seconds(1600), seconds(1600)), 0.5)

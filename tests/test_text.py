@@ -48,3 +48,18 @@ def test_stems_of_hand_checked_words():
 def test_stems_of_terms(spark):
     terms = spark.createDataFrame([(1, "contratos"), (2, "20/2015"), (3, "contrato")], "id int, term string")
     assert sorted(map(tuple, stem.with_stems(terms).select("id", "term").collect())) == [(1, "contrat"), (2, "20/2015"), (3, "contrat")]
+
+
+def test_normalize_is_the_compatibility_decomposition(spark):
+    """Every code point that decomposes, and random texts, against the Unicode tables."""
+    import random
+    import unicodedata
+
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s.replace("\u00a0", " ")) if not unicodedata.combining(c)).lower()
+    points = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x30000)]) if unicodedata.decomposition(c) or unicodedata.combining(c) or 0xAC00 <= ord(c) < 0xAC00 + 900]
+    rng = random.Random(1)
+    texts = ["".join(points[i : i + 40]) for i in range(0, len(points), 40)] + ["".join(rng.choice(points + list("aZ 1.ñ")) for _ in range(30)) for _ in range(200)]
+    texts = [t for t in texts if all(plain(c.upper()) != "σ" for c in t)]  # the last sigma of a word is another letter
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.normalize(F.col("t")).alias("n")).collect()
+    wrong = [(r["t"], r["n"], plain(r["t"])) for r in rows if r["n"] != plain(r["t"])]
+    assert len(rows) > 300 and not wrong, wrong[:3]
