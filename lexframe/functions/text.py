@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -37,18 +36,7 @@ def decompositions() -> tuple[dict[str, str], dict[str, str]]:
     return one, several
 
 
-def _class(chars: list[str]) -> str:
-    """A regular expression for any of ``chars``, as ranges."""
-    ranges: list[list[int]] = []
-    for point in sorted(map(ord, chars)):
-        if ranges and point == ranges[-1][1] + 1:
-            ranges[-1][1] = point
-        else:
-            ranges.append([point, point])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-
-
-_SYLLABLE = "[\\x{ac00}-\\x{d7a3}]"
+_FOREIGN = "[^\\x00-\\x7f]"
 
 
 def _jamo(syllable: Column) -> Column:
@@ -59,20 +47,17 @@ def _jamo(syllable: Column) -> Column:
     return F.concat(char(0x1100 + F.floor(n / 588)), char(0x1161 + F.floor(n % 588 / 28)), last)
 
 
-def _replaced(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
-    """``text`` with each character of ``pattern`` replaced; texts without any are looked at once only."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.when(text.rlike(pattern), F.aggregate(found, text, lambda t, c: F.replace(t, c, by(c)))).otherwise(text)
-
-
 def normalize(text: Column) -> Column:
     """Lower case, compatibility characters decomposed ("m²" is "m2", "ﬁ" is "fi"), combining marks dropped; punctuation stays."""
     one, several = decompositions()
     kept, dropped = [c for c in one if one[c]], [c for c in one if not one[c]]
     plain = F.translate(text, "".join([*kept, *dropped]), "".join(one[c] for c in kept))
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    spread = _replaced(plain, _class(list(several)), lambda c: F.try_element_at(table, c))
-    return F.lower(_replaced(spread, _SYLLABLE, _jamo))
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{to}" for c, to in several.items())), F.lit("\x01"), F.lit("\x02"))
+    syllable = lambda c: F.ascii(c).between(0xAC00, 0xD7A3)
+    spread = lambda c: F.coalesce(F.try_element_at(table, c), F.when(syllable(c), _jamo(c)), c)
+    # Most texts are ASCII by now; of the others each different character is looked up once.
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(_FOREIGN), F.lit(0)))
+    return F.lower(F.when(plain.rlike(_FOREIGN), F.aggregate(found, plain, lambda t, c: F.replace(t, c, spread(c)))).otherwise(plain))
 
 
 def clean(text: Column) -> Column:

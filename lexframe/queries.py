@@ -271,10 +271,10 @@ def mentioned_norms(spark, sf_dir):
 
 
 #: Characters beside their compatibility decomposition without combining marks, as the Unicode charts give them.
-_COMPATIBLE = [("m²", "m2"), ("½", "1⁄2"), ("ﬁn", "fin"), ("Č", "c"), ("№", "no"), ("ⅷ", "viii"), ("㎏", "kg"), ("Ａ９", "a9"), ("…", "..."), ("ŉ", "ʼn"), ("ǆ", "dz"), ("℡", "tel"), ("①", "1"), ("한", "한"), ("Ệ", "e"), ("ş̈", "s"), ("｡", "。"), ("ﷺ", "صلى الله عليه وسلم")]
+_COMPATIBLE = [("m²", "m2"), ("½", "1⁄2"), ("ﬁn", "fin"), ("Č", "c"), ("№", "no"), ("ⅷ", "viii"), ("㎏", "kg"), ("Ａ９", "a9"), ("…", "..."), ("ŉ", "ʼn"), ("ǆ", "dz"), ("℡", "tel"), ("①", "1"), ("한", "\u1112\u1161\u11ab"), ("Ệ", "e"), ("ş̈", "s"), ("｡", "。"), ("ﷺ", "صلى الله عليه وسلم")]
 
 
-@_registered(f"""SELECT doc_id, sha256(lower(translate(regexp_replace({_norm('text')}, '…', '...', 'g'), '’‘', '’‘')) || ' {' '.join(b for _, b in _COMPATIBLE)} ' || doc_id) AS plain_sha256,
+@_registered(f"""SELECT doc_id, sha256(replace({_norm('text')}, '…', '...') || ' {' '.join(b for _, b in _COMPATIBLE)} ' || doc_id) AS plain_sha256,
 CAST(len({_tok('text')}) + {len([t for _, b in _COMPATIBLE for t in re.findall(r'[0-9]+(?:[./][0-9]+)*|[a-z]+', b) if t not in STOPWORDS])} + 1 AS INTEGER) AS n_terms FROM documents""")
 def normalize_compatibility(spark, sf_dir):
     """Compatibility characters spliced into every document."""
@@ -287,7 +287,7 @@ _WORDS = "list_filter(list_distinct(regexp_extract_all({}, '[A-Za-z0-9_/]+')), l
 
 @_registered(f"""WITH t AS (SELECT doc_id, lang, {_WORDS.format(_norm('text'))} AS w FROM documents), known AS (SELECT DISTINCT unnest(w) AS w FROM t WHERE lang = 'es'),
 hits AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(w) AS w FROM t) SEMI JOIN known USING (w))
-SELECT doc_id, count(w) AS n_norms, sha256(coalesce(string_agg(w, ',' ORDER BY w), '')) AS norms_sha256 FROM t LEFT JOIN hits USING (doc_id) GROUP BY doc_id""")
+SELECT doc_id, count(hits.w) AS n_norms, sha256(coalesce(string_agg(hits.w, ',' ORDER BY hits.w), '')) AS norms_sha256 FROM t LEFT JOIN hits USING (doc_id) GROUP BY doc_id""")
 def mentions_of_many_norms(spark, sf_dir):
     """A catalog with a norm for each longer word of the Spanish documents, looked for in all documents."""
     docs = _table(spark, sf_dir, "documents")
