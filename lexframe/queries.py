@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .functions import html, numerals
 from .functions.text import STOPWORDS, clean, normalize, text_hash, tokenize
-from .operators import aliases, answering, chunking, dense, evaluation, incremental, lexical, references, retrieval, structure
+from .operators import aliases, answering, chunking, dense, evaluation, incremental, ivf, lexical, references, retrieval, structure
+from .operators.store import Buckets, Segment, Store
+from .session import shared_folder
 from .sources import catalog, landing, schema, xml
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +108,17 @@ def bm25_topk(spark, sf_dir):
     return _sparse(spark, sf_dir, 10)
 
 
+@_registered(ORACLES["bm25_topk"])
+def stored_bm25_topk(spark, sf_dir):
+    """The search of ``bm25_topk`` over postings that a store holds by the hash of their term: the parts of other terms stay closed."""
+    held = Store(spark, shared_folder(spark))
+    kept = lexical.postings(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_terms", "term", "tf")
+    held.commit(postings=Segment(kept, "term"))
+    rows, parts = held.parts("postings", "doc_id long, n_terms int, term string, tf long")
+    asked = lexical.asked_terms(_asked(spark, sf_dir), "item_id", "query", False)
+    return lexical.search_postings(rows, asked, 10, "doc_id", "item_id", parts=parts)
+
+
 @_registered()
 def sparse_vectors(spark, sf_dir):
     """Term ids are CRC-32, which DuckDB lacks; tests hold them against zlib."""
@@ -127,6 +140,13 @@ def dense_topk(spark, sf_dir):
     return dense.search(_table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), 10)
 
 
+@_registered(ORACLES["dense_topk"])
+def dense_topk_indexed(spark, sf_dir):
+    """The search of ``dense_topk`` through an inverted file that is built anew at every call."""
+    index = ivf.build(_table(spark, sf_dir, "embeddings"), shared_folder(spark))
+    return index.search(_vector_queries(spark, sf_dir), 10)
+
+
 def _dense(spark, sf_dir, k: int, keep: DataFrame | None = None) -> DataFrame:
     """A benchmark item's vector is that of its own number; a document's too."""
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
@@ -658,9 +678,14 @@ def cache_fill(spark, sf_dir):
 
 @_registered("SELECT doc_id, CASE WHEN source = 'src3' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
 def state_upsert(spark, sf_dir):
-    table = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    changed = _table(spark, sf_dir, "documents").where("source = 'src3'").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"))
-    return incremental.upsert(table, changed, ["doc_id"])
+    """Through a store of buckets: those of the changed rows' sources are read, changed and written, the others taken over."""
+    held, schema = Store(spark, shared_folder(spark)), "source string, doc_id long, n_chars long"
+    table = _table(spark, sf_dir, "documents").selectExpr("source", "doc_id", "n_chars")
+    held.commit(documents=Buckets(table, "source"))
+    changed = table.where("source = 'src3'").withColumn("n_chars", F.col("n_chars") + 1)
+    touched = held.touched(changed)
+    held.commit(documents=Buckets(incremental.upsert(held.read("documents", schema, touched), changed, ["doc_id"]), "source", touched))
+    return held.read("documents", schema).selectExpr("doc_id", "n_chars")
 
 
 @_registered("""SELECT source AS norm_id, CASE WHEN source = 'src1' THEN 'skipped' ELSE 'updated' END AS status, CASE WHEN source = 'src1' THEN NULL ELSE 'forced' END AS reason,

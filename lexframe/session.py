@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,14 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     return builder.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for tables that executors share: under spark.checkpoint.dir, or a temporary one of this machine where that is
+    unset under a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lexframe-")
+    return f"{root.rstrip('/')}/lexframe/{uuid.uuid4().hex}"
