@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize
+from .text import normalize_latin
 
 # Cardinal and ordinal words without accents.
 CARDINALS = {
@@ -56,24 +56,24 @@ def _words(text: Column) -> Column:
 
 def cardinal(text: Column) -> Column:
     """"trescientos siete" -> 307; null unless every word is a cardinal (or "y")."""
-    return _total(F.filter(_words(normalize(text)), lambda w: w != "y"), _lookup(CARDINALS))
+    return _total(F.filter(_words(normalize_latin(text)), lambda w: w != "y"), _lookup(CARDINALS))
 
 
 def ordinal(text: Column) -> Column:
     """"trigésimo segunda", "decimosexta" -> 32, 16; null if a word is unknown."""
-    return _total(_words(normalize(text)), _lookup(ordinals()))
+    return _total(_words(normalize_latin(text)), _lookup(ordinals()))
 
 
 def number(text: Column) -> Column:
     """Digits, cardinal words or ordinal words as an int."""
-    plain = F.rtrim(F.regexp_replace(F.trim(normalize(text)), r"\.+$", ""))
+    plain = F.rtrim(F.regexp_replace(F.trim(normalize_latin(text)), r"\.+$", ""))
     digits = F.regexp_extract(plain, r"^(\d+)[.ao°]*$", 1)
     return F.coalesce(F.when(digits != "", digits.cast("int")), cardinal(plain), ordinal(plain))
 
 
 def provision_number(title: Column) -> Column:
     """Canonical number of a provision's title: "41", "7 quater", "16", "única", "5 c"; null if it has none."""
-    text = F.regexp_replace(F.trim(F.regexp_replace(normalize(title), KIND_PREFIX, "")), r"\.+$", "")
+    text = F.regexp_replace(F.trim(F.regexp_replace(normalize_latin(title), KIND_PREFIX, "")), r"\.+$", "")
     tokens = F.regexp_extract_all(text, F.lit(r"([a-z]+|\d+)"), F.lit(1))
     last = F.try_element_at(tokens, F.lit(-1))
     latin = last.isin(*LATIN_SUFFIXES)

@@ -8,6 +8,10 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Letters with marks and what is left of them without.
+ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçªº\u00a0"
+PLAIN = "aaaaaaeeeeiiiiooooouuuuncao "
+
 # Function words that carry no signal in Spanish legal text.
 STOPWORDS = (
     "a al algo algun alguna algunas alguno algunos ante antes aquel aquella aquellas aquello "
@@ -51,13 +55,21 @@ def normalize(text: Column) -> Column:
     """Lower case, compatibility characters decomposed ("m²" is "m2", "ﬁ" is "fi"), combining marks dropped; punctuation stays."""
     one, several = decompositions()
     kept, dropped = [c for c in one if one[c]], [c for c in one if not one[c]]
-    plain = F.translate(text, "".join([*kept, *dropped]), "".join(one[c] for c in kept))
     table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{to}" for c, to in several.items())), F.lit("\x01"), F.lit("\x02"))
     syllable = lambda c: F.ascii(c).between(0xAC00, 0xD7A3)
     spread = lambda c: F.coalesce(F.try_element_at(table, c), F.when(syllable(c), _jamo(c)), c)
-    # Most texts are ASCII by now; of the others each different character is looked up once.
-    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(_FOREIGN), F.lit(0)))
-    return F.lower(F.when(plain.rlike(_FOREIGN), F.aggregate(found, plain, lambda t, c: F.replace(t, c, spread(c)))).otherwise(plain))
+    foreign = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(_FOREIGN), F.lit(0)))
+
+    # Text and table are bound once each, as expressions that repeat them would grow with every use of the result. Most texts are
+    # ASCII after the first step; of the others each different character is looked up once.
+    plain = F.transform(F.array(text), lambda t: F.translate(t, "".join([*kept, *dropped]), "".join(one[c] for c in kept)))
+    whole = F.transform(plain, lambda t: F.when(t.rlike(_FOREIGN), F.aggregate(foreign(t), t, lambda a, c: F.replace(a, c, spread(c)))).otherwise(t))
+    return F.lower(whole[0])
+
+
+def normalize_latin(text: Column) -> Column:
+    """``normalize`` for titles, labels and numerals: the letters of western European languages only, in a far smaller expression."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}", ""), ACCENTED, PLAIN)
 
 
 def clean(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerals import provision_number
-from ..functions.text import normalize
+from ..functions.text import normalize_latin
 
 # Beginnings of normalised titles and what they mean.
 HEADING_LEVELS = {"libro": 0, "titulo": 1, "capitulo": 2, "subseccion": 4, "seccion": 3}
@@ -27,7 +27,7 @@ LEVELS = range(5)
 
 
 def _by_prefix(title: Column, table: dict) -> Column:
-    norm, out = normalize(title), F.lit(None)
+    norm, out = normalize_latin(title), F.lit(None)
     for prefix, value in reversed(table.items()):
         out = F.when(norm.startswith(prefix), F.lit(value)).otherwise(out)
     return out
@@ -73,7 +73,7 @@ v_since, v_rank = "in_force_since", "col2"
 
 def after_approval(blocks: DataFrame) -> DataFrame:
     """Blocks after the heading that opens an approved text, or all blocks of norms without one."""
-    opens = F.col("block_type").eqNullSafe("encabezado") & normalize(F.col("title")).isin(*APPROVED_TEXT)
+    opens = F.col("block_type").eqNullSafe("encabezado") & normalize_latin(F.col("title")).isin(*APPROVED_TEXT)
     start = F.min(F.when(opens, F.col("ord"))).over(Window.partitionBy("norm_id"))
     return blocks.withColumn("__start", start).where(F.col("ord") > F.coalesce("__start", F.lit(-1))).drop("__start")
 
@@ -134,12 +134,12 @@ def heading_text(title: Column, lines: Column) -> Column:
 def rubric(label: Column, line: Column) -> Column:
     """What follows the label in its line, without the punctuation around it; null if nothing or another text does."""
     rest = F.regexp_replace(F.substr(line, F.length(label) + 1), r"^[ .:\-–]+|[ .:\-–]+$", "")
-    return F.when(normalize(line).startswith(normalize(label)) & (rest != ""), rest)
+    return F.when(normalize_latin(line).startswith(normalize_latin(label)) & (rest != ""), rest)
 
 
 def annex(label: Column, paragraphs: Column) -> tuple[Column, Column]:
     """(heading, remaining paragraphs): leading headings that repeat the label are dropped, the first other one is the rubric."""
-    repeats = lambda p: (p["kind"] == "heading") & ((normalize(p["text"]) == normalize(label)) | normalize(p["text"]).isin("anexo", "anejo"))
+    repeats = lambda p: (p["kind"] == "heading") & ((normalize_latin(p["text"]) == normalize_latin(label)) | normalize_latin(p["text"]).isin("anexo", "anejo"))
     indexed = F.transform(paragraphs, lambda p, i: F.struct(i.alias("i"), repeats(p).alias("r")))
     first = F.coalesce(F.get(F.filter(indexed, lambda x: ~x["r"]), F.lit(0))["i"], F.size(paragraphs))
     found = F.get(paragraphs, first)
@@ -171,7 +171,7 @@ def build_provisions(blocks: DataFrame, norms: DataFrame, block_index: DataFrame
     is_annex = F.col("kind") == "anexo"
     rows = rows.withColumn("heading", F.when(is_annex, annex_heading).otherwise(rubric(F.col("label"), F.col("v.label_line"))))
     rows = rows.withColumn("paragraphs", F.when(is_annex, annex_rest).otherwise(F.col("v.paragraphs")))
-    amending = (F.col("kind") == "disposicion_final") & F.coalesce(normalize(F.col("heading")).rlike(AMENDING), F.lit(False))
+    amending = (F.col("kind") == "disposicion_final") & F.coalesce(normalize_latin(F.col("heading")).rlike(AMENDING), F.lit(False))
     rows = rows.where(~amending).join(block_index.select("norm_id", "block_id", "updated_at"), ["norm_id", "block_id"], "left")
     return rows.select(
         "norm_id", "ord", "block_id", "kind", "label", F.when(~is_annex, provision_number(F.col("label"))).alias("number"), "heading", "hierarchy", "paragraphs",
