@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import text_hash
 
 REPORT = "norm_id string, status string, reason string, changed long, removed long, unchanged long"
+NOTHING_IN_FORCE = "no provisions in force"
 NOT_HASHED = ("consolidated_as_of", "chunk_id")
 
 
@@ -88,7 +89,7 @@ def patch(chunks: DataFrame, norm_dates: DataFrame, column: str = "consolidated_
 def sync_report(diff: DataFrame, reasons: DataFrame) -> DataFrame:
     """(norm_id, status, reason, changed, removed, unchanged): one row per norm."""
     counted = diff.groupBy("norm_id").agg(F.count_if(F.col("change").isin("new", "changed")).alias("changed"), F.count_if(F.col("change") == "removed").alias("removed"), F.count_if(F.col("change") == "same").alias("unchanged"))
-    status = F.when(F.col("reason").isNull(), "skipped").when(F.col("reason") == "not indexed", "created").otherwise("updated")
+    status = F.when(F.col("reason").isNull(), "skipped").when(F.col("reason") == NOTHING_IN_FORCE, "failed").when(F.col("reason") == "not indexed", "created").otherwise("updated")
     joined = reasons.join(counted, "norm_id", "left")
     return joined.select("norm_id", status.alias("status"), "reason", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("changed", "removed", "unchanged")])
 

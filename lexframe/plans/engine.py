@@ -42,7 +42,8 @@ class Engine:
 
         ``blocks`` and ``block_index`` are those of the whole catalog, or of the norms in ``only`` (norm_id): then no other
         norm is processed or reported. Norms that the catalog lacks are removed in both cases; norms without any block were
-        not fetched, are skipped and stay as they are. New tables are computed first and take effect together, so a failure leaves the old state.
+        not fetched, are skipped and stay as they are; a due norm without any provision in force is reported as failed and stays too.
+        Vectors of another dimension than the held ones are an error. New tables are computed first and take effect together, so a failure leaves the old state.
         """
         try:
             return self._sync(blocks, block_index, day, force, only)
@@ -68,6 +69,11 @@ class Engine:
 
         provisions = stage(structure.build_provisions(own, specs, block_index, day), "provisions")
         chunks = stage(chunking.chunk_provisions(provisions, specs, self.limit), "chunks")
+        # A norm of which nothing is in force was scoped or dated wrongly: it fails by itself, and what is indexed of it stays.
+        empty = stage(todo.join(chunks.select("norm_id").distinct(), "norm_id", "left_anti"), "empty")
+        todo = todo.join(empty, "norm_id", "left_anti")
+        failed = empty.withColumn("failed", F.lit(incremental.NOTHING_IN_FORCE))
+        reasons = reasons.join(failed, "norm_id", "left").select("norm_id", F.coalesce("failed", "reason").alias("reason"))
         hashes = incremental.content_hashes(chunks)
         # Norms lie in buckets: only those of norms that are due or gone are read and written, or all if the index starts anew.
         touched = self.store.touched(todo, gone) if same else None
@@ -86,6 +92,8 @@ class Engine:
         wanted = fresh.select("norm_id", "block_id", "chunk_id", "embed_text")
         cache = self.store.read("cache", CACHE)
         embedded, added = incremental.embed_with_cache(wanted, cache, self.embedder.name, embed, keep=lambda df: stage(df, "embedded"))
+        held = read("vectors", VECTORS, touched).select(F.size("vector").alias("n")).first()
+        embedded = embedded if held is None else dense.check_dimension(embedded, held["n"])
         terms = lexical.postings(fresh, "chunk_id", "embed_text", True, ("norm_id", "block_id"))
 
         dates = chunks.groupBy("norm_id").agg(F.max("consolidated_as_of").alias("consolidated_as_of"))
