@@ -32,6 +32,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     fetch = commands.add_parser("fetch", help="raw snapshots of the norms that lack some part")
     fetch.add_argument("--service", default=given.service, help="address of the service")
     fetch.add_argument("--refresh", action="store_true")
+    fetch.add_argument("--changed", action="store_true", help="also the norms whose index is not the one that was fetched")
     for name in ("search", "ask"):
         command = commands.add_parser(name)
         command.add_argument("query")
@@ -71,7 +72,8 @@ def main(argv: list[str] | None = None) -> None:
     norms = catalog.norms(spark, json.loads(Path(args.catalog).read_text("utf-8")))
     engine = Engine(spark, args.store, norms)
     if args.command == "fetch":
-        print(landing.fetch_snapshots(spark, args.landing, norms, args.service, args.refresh))
+        fetched = landing.fetch_changed(spark, args.landing, norms, args.service) if args.changed and not args.refresh else landing.fetch_snapshots(spark, args.landing, norms, args.service, args.refresh)
+        print(fetched)
     elif args.command == "ingest":
         texts = landing.read_text(spark, args.landing).join(norms.select("norm_id"), "norm_id", "left_semi")
         index = landing.parse_index(landing.read_json(spark, args.landing, landing.INDEX))

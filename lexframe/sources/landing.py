@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_date
+from ..operators import incremental
+from . import remote
 
 TEXT, INDEX, METADATA = "texto.xml", "indice.json", "metadatos.json"
 # The service's paths of the three parts.
@@ -37,41 +42,75 @@ def missing(spark: SparkSession, root: str, catalog: DataFrame) -> DataFrame:
     return catalog.join(whole, "norm_id", "left_anti").select("norm_id")
 
 
-def land(rows: DataFrame, root: str, name: str) -> int:
-    """Writes each payload of (norm_id, payload) to its norm's folder as ``name`` and returns how many; one is held at a time, as
-    a service that limits its rate gives them one by one."""
-    spark, written = rows.sparkSession, 0
-    files = spark._jvm.org.apache.hadoop.fs
-    for row in rows.select("norm_id", "payload").toLocalIterator():
-        path = files.Path(f"{root.rstrip('/')}/{row['norm_id']}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(row["payload"].encode("utf-8")))
-        out.close()
-        written += 1
-    return written
+def land(rows: DataFrame, root: str) -> int:
+    """Writes (norm_id, name, payload) as files of the norms' folders and returns how many. Executors write, and a job that fails
+    leaves nothing; JSON payloads with an error status are failures."""
+    remote.register(rows.sparkSession)
+    payload = F.when(F.col("name") == TEXT, F.col("payload")).otherwise(accepted(F.col("payload")))
+    counted = Observation()
+    rows = rows.select("norm_id", "name", payload.alias("payload")).observe(counted, F.count(F.lit(1)).alias("files"))
+    staging = f"_landing-{uuid.uuid4().hex}"
+    try:
+        rows.write.format("norm_snapshots").mode("append").option("last", INDEX).option("staging", staging).save(root)
+    finally:  # a job that fails before its last stage is not told to the writer
+        _delete(rows.sparkSession, f"{root.rstrip('/')}/{staging}")
+    return counted.get["files"]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _service(spark: SparkSession, base: str, ids: list[str], names: tuple[str, ...], **options: str) -> dict[str, str]:
+    remote.register(spark)
+    parts = {n: [PARTS[n], "application/xml" if n == TEXT else "application/json"] for n in names}
+    return {"base": base, "ids": ",".join(ids), "parts": json.dumps(parts), "index": INDEX, **options}
+
+
+def _ids(norms: DataFrame) -> list[str]:
+    return [r[0] for r in norms.select("norm_id").orderBy("norm_id").collect()]  # a catalog is a small dimension
 
 
 def fetch_snapshots(spark: SparkSession, root: str, catalog: DataFrame, base: str, refresh: bool = False, **options: str) -> int:
     """Fetches the three parts of the norms that lack one, or of all with ``refresh``, into ``root``; returns the number of files.
 
-    ``base`` is the address of the service. Statuses inside JSON payloads are checked before anything of a part is written.
+    ``base`` is the address of the service. Nothing is written unless all payloads came and none has an error status.
     """
-    from . import remote
+    ids = _ids(catalog if refresh else missing(spark, root, catalog))
+    return land(spark.read.format("norm_service").options(**_service(spark, base, ids, tuple(PARTS), **options)).load(), root) if ids else 0
 
-    remote.register(spark)
-    wanted = catalog.select("norm_id") if refresh else missing(spark, root, catalog)
-    ids = [r[0] for r in wanted.orderBy("norm_id").collect()]  # a catalog is a small dimension
+
+def fetch_changed(spark: SparkSession, root: str, catalog: DataFrame, base: str, **options: str) -> int:
+    """Fetches the index of every norm, and text and metadata of those only whose index is not the one in ``root``, or that lack a
+    file there; returns the number of files written. Other norms cost one request and are not written."""
+    ids = _ids(catalog)
     if not ids:
         return 0
-    written = 0
-    for name, path in PARTS.items():
-        accept = "application/xml" if name == TEXT else "application/json"
-        reader = spark.read.format("norm_service").option("base", base).option("ids", ",".join(ids)).option("part", path).option("accept", accept)
-        rows = reader.options(**options).load()
-        if name != TEXT:
-            rows = rows.withColumn("payload", accepted(F.col("payload")))
-        written += land(rows, root, name)
-    return written
+    lacking = missing(spark, root, catalog)
+    whole = catalog.select("norm_id").join(lacking, "norm_id", "left_anti")
+    pending = f"{root.rstrip('/')}/_pending-{uuid.uuid4().hex}"  # asked for once, used twice
+    try:
+        spark.read.format("norm_service").options(**_service(spark, base, ids, (INDEX,), **options)).load().write.parquet(pending)
+        indices = spark.read.parquet(pending)
+        wanted = lacking
+        if not whole.isEmpty():
+            prints = lambda raw, name: incremental.fingerprints(parse_index(raw)).withColumnRenamed("fingerprint", name)
+            held = prints(read_json(spark, root, INDEX).join(whole, "norm_id", "left_semi"), "held")
+            both = whole.join(held, "norm_id", "left").join(prints(indices, "found"), "norm_id", "left")
+            wanted = wanted.unionByName(both.where(~F.col("held").eqNullSafe(F.col("found"))).select("norm_id"))
+        due = _ids(wanted)
+        if not due:
+            return 0
+        rest = spark.read.format("norm_service").options(**_service(spark, base, due, (METADATA, TEXT), **options)).load()
+        return land(rest.unionByName(indices.where(F.col("norm_id").isin(due))), root)
+    finally:
+        _delete(spark, pending)
+
+
+def changes(spark: SparkSession, catalog: DataFrame, base: str, **options: str) -> DataFrame:
+    """Stream of (norm_id, name, payload): the three parts of every norm, then of those whose index changes."""
+    return spark.readStream.format("norm_service").options(**_service(spark, base, _ids(catalog), tuple(PARTS), **options)).load()
 
 
 def accepted(payload: Column) -> Column:

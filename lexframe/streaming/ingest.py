@@ -30,3 +30,13 @@ def watch(spark: SparkSession, root: str, checkpoint: str, sync: Callable[..., o
 
     writer = arrived.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def poll(spark: SparkSession, root: str, checkpoint: str, norms: DataFrame, base: str, once: bool = True, every: str = "1 hour", **options: str) -> StreamingQuery:
+    """Asks the service for the index of every norm at each trigger and lands the parts of those that changed, for ``watch`` to find.
+
+    The checkpoint holds what was last seen, so a restarted query asks for the texts of changed norms only.
+    """
+    writer = landing.changes(spark, norms, base, **options).writeStream.foreachBatch(lambda batch, _: landing.land(batch, root) and None)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=every).start()
