@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 # Sentences that answers and readers rely on.
 ABSTENTION = "No consta en la normativa indexada."
 WARNINGS = {"refusal": "El modelo ha declinado responder.", "max_tokens": "La respuesta se ha truncado."}
+FAILED = "Error al generar la respuesta."
 WARNING_CODES = {"refusal": "refusal", "max_tokens": "truncated"}
 NOT_YET = " no se aplica hasta el "
 CONSOLIDATED, NOT_APPLICABLE, REPEALED = "texto consolidado a ", "AÚN NO APLICABLE: se aplica desde ", "DEROGADO o sin contenido"
@@ -24,8 +26,11 @@ INSTRUCTIONS = (
     f'Si los fragmentos no contienen la respuesta, contesta "{ABSTENTION}". Advierte de lo que aún no es aplicable y de lo derogado. No des asesoramiento jurídico.'
 )
 
+BATCH = 64
+
 EVENT = "query_id long, seq int, type string, text string, source_index int, code string, stop_reason string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long"
 Generate = Callable[[str, list[dict]], Iterator[dict]]
+log = logging.getLogger(__name__)
 
 
 def sources(hits: DataFrame, day, rank_col: str = "rank") -> DataFrame:
@@ -78,21 +83,44 @@ def extractive(prompt: str, found: list[dict]) -> Iterator[dict]:
     yield {"type": "completed", "stop_reason": "end_turn", "model": "extractive", "input_tokens": len(prompt) // 4, "output_tokens": len(found)}
 
 
+def _answered(query_id: int, prompt: str, abstain: bool, found: list[dict], model: Generate) -> Iterator[dict]:
+    """Events of one question. What a model raises ends its own question with an "error" event; its earlier events stay."""
+    if abstain:
+        yield {"query_id": query_id, "seq": 0, "type": "delta", "text": ABSTENTION}
+        yield {"query_id": query_id, "seq": 1, "type": "completed"}
+        return
+    seq = 0
+    try:
+        for event in model(prompt, found):
+            yield {"query_id": query_id, "seq": seq, **event}
+            seq += 1
+    except Exception as error:  # any failure of a model, of which nothing is known here
+        log.warning("generation failed", extra={"query_id": query_id, "error": str(error)})
+        yield {"query_id": query_id, "seq": seq, "type": "error", "text": f"{type(error).__name__}: {error}"}
+
+
 def generate(asked: DataFrame, model: Generate = extractive) -> DataFrame:
-    """Event rows of ``asked`` (query_id, prompt, abstain, sources array<struct<index,text>>). Abstaining queries never reach the model."""
+    """Event rows of ``asked`` (query_id, prompt, abstain, sources array<struct<index,text>>), in batches of a few events, so that none
+    waits for the end of its partition. Abstaining queries never reach the model; a failing call costs its own question only."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in EVENT.split(", ")]
+
+        def out(rows: list[dict]) -> pd.DataFrame:
+            frame = pd.DataFrame(rows, columns=names, dtype=object)
+            for c in ("source_index", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"):
+                frame[c] = pd.to_numeric(frame[c]).astype("Int64")
+            return frame
+
+        rows: list[dict] = []
         for frame in frames:
-            rows = []
             for r in frame.itertuples():
                 found = [x if isinstance(x, dict) else x.asDict() for x in ([] if r.sources is None else r.sources)]
-                for seq, event in enumerate([{"type": "delta", "text": ABSTENTION}, {"type": "completed"}] if r.abstain else model(r.prompt, found)):
-                    rows.append({"query_id": r.query_id, "seq": seq, **event})
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            for c in ("source_index", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"):
-                out[c] = pd.to_numeric(out[c]).astype("Int64")
-            yield out
+                rows.extend(_answered(r.query_id, r.prompt, r.abstain, found, model))
+                if len(rows) >= BATCH:
+                    yield out(rows)
+                    rows = []
+        yield out(rows)
 
     return asked.mapInPandas(run, EVENT)
 
@@ -105,11 +133,12 @@ def in_range(events: DataFrame, n_sources: DataFrame) -> DataFrame:
 
 
 def fold_events(events: DataFrame, query_col: str = "query_id") -> DataFrame:
-    """One row per query: answer, cited sources, whether it abstains in words, warnings, stop reason, usage."""
+    """One row per query: answer, cited sources, whether it abstains in words, warnings, stop reason, usage, and the error, if any,
+    that ended it."""
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "delta", F.struct("seq", "text")))), lambda x: x["text"])
     last = lambda c: F.max_by(F.when(F.col("type") == "completed", F.col(c)), F.when(F.col("type") == "completed", F.col("seq")))
     columns = ["stop_reason", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
-    folded = events.groupBy(query_col).agg(F.trim(F.array_join(texts, "")).alias("answer"), F.array_sort(F.collect_set(F.when(F.col("type") == "citation", F.col("source_index")))).alias("cited_sources"), *[last(c).alias(c) for c in columns])
+    folded = events.groupBy(query_col).agg(F.trim(F.array_join(texts, "")).alias("answer"), F.array_sort(F.collect_set(F.when(F.col("type") == "citation", F.col("source_index")))).alias("cited_sources"), F.max(F.when(F.col("type") == "error", F.col("text"))).alias("error"), *[last(c).alias(c) for c in columns])
     code = F.create_map(*[F.lit(x) for pair in WARNING_CODES.items() for x in pair])
     return folded.withColumn("abstained", F.col("answer").startswith(ABSTENTION.rstrip("."))).withColumn("warning", F.when(F.col("stop_reason").isNotNull(), F.try_element_at(code, F.col("stop_reason"))))
 
@@ -133,7 +162,7 @@ def cited_and_uncited(found: DataFrame, folded: DataFrame) -> DataFrame:
 
 def event_stream(found: DataFrame, events: DataFrame) -> DataFrame:
     """(query_id, seq, type, data) of every question, data as JSON: its sources, warnings of what does not apply yet, the model's
-    deltas and citations, a warning if it refused or was cut off, and its end. ``found`` are ``sources`` with a ``citation``."""
+    deltas and citations, a warning if it refused or was cut off, and its end: "done", or "error" if the model failed. ``found`` are ``sources`` with a ``citation``."""
     listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "chunk_id", "citation", "score", "retrieved_by", "not_yet_applicable"))).alias("s"))
     first = events.select("query_id").distinct().join(listed, "query_id", "left")
     none = F.array().cast(listed.schema["s"].dataType)
@@ -150,5 +179,7 @@ def event_stream(found: DataFrame, events: DataFrame) -> DataFrame:
     code = F.create_map(*[F.lit(x) for pair in WARNING_CODES.items() for x in pair])
     parts.append(end.where(F.col("stop_reason").isin(*WARNINGS)).select("query_id", *row(3, zero, F.lit("warning"), F.struct(F.try_element_at(code, F.col("stop_reason")).alias("code"), F.try_element_at(said, F.col("stop_reason")).alias("message")))))
     parts.append(end.select("query_id", *row(4, zero, F.lit("done"), F.struct("stop_reason", "model", "input_tokens", "output_tokens"))))
+    # What went wrong is for the log; readers are told that it did.
+    parts.append(events.where("type = 'error'").select("query_id", *row(4, zero, F.lit("error"), F.struct(F.lit(FAILED).alias("message")))))
     seq = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "at", "type")) - 1
     return reduce(DataFrame.unionByName, parts).select("query_id", seq.alias("seq"), "type", "data")

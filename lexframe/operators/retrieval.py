@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from . import dense, lexical, references
+from . import dense, evaluation, lexical, references
 from .lexical import ROUND
 
 RRF_K = 60
@@ -155,3 +156,66 @@ def retrieve(
         cited = references.reference_hits(refs, chunks, "query_id", list(chunk_filter.norm_ids)).withColumnRenamed("place", "rank")
         return merge(cited, found, "query_id", "chunk_id", k)
     return found.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "sources", "rank")
+
+
+def retrieve_grid(
+    chunks: DataFrame,
+    queries: DataFrame,
+    catalog: DataFrame,
+    configs: Sequence[str],
+    k: int,
+    vectors: DataFrame,
+    scorer: Scorer,
+    postings: tuple[DataFrame, int],
+    keep: Callable[[DataFrame], DataFrame],
+    chunk_filter: ChunkFilter | None = None,
+    candidates: int = CANDIDATES,
+    rerank_candidates: int = RERANK_CANDIDATES,
+) -> DataFrame:
+    """(config, query_id, rank, chunk_id, score, sources): what ``retrieve`` gives for every configuration "mode[+refs][+rerank]".
+
+    Each branch is searched once, to the greatest depth that a configuration asks for, and written by ``keep``; a pair of query and
+    chunk is scored once. Configurations are a column, so fusion, reranking and merging are one plan for all of them.
+    """
+    spark, chunk_filter = queries.sparkSession, chunk_filter or ChunkFilter()
+    named = spark.createDataFrame([(c,) for c in dict.fromkeys(configs)], "config string")
+    grid = named.select("config", evaluation.parse_config(F.col("config")).alias("g")).select("config", "g.*")
+    wide = max(k, rerank_candidates)
+    grid = grid.withColumn("pool", F.when(F.col("rerank"), wide).otherwise(k))
+    modes = {c.split("+")[0] for c in configs}
+    if modes - {"sparse", "dense", "hybrid"}:
+        raise ValueError(f"no such mode: {sorted(modes)}")
+    depth = max(wide, candidates) if "hybrid" in modes else wide
+    allowed = chunks.where(chunk_filter.predicate())
+    branches = {}
+    if modes & {"sparse", "hybrid"}:
+        asked = lexical.asked_terms(queries, "query_id", "query", True)
+        branches["sparse"] = keep(lexical.search_postings(postings[0], asked, depth, "chunk_id", "query_id", allowed=allowed, parts=postings[1]))
+    if modes & {"dense", "hybrid"}:
+        branches["dense"] = keep(dense.search(vectors.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), queries, depth, "chunk_id", "vector"))
+    columns = ["query_id", "chunk_id", "score", "sources", "rank"]
+    lists = [branches[m].withColumn("sources", F.array(F.lit(m))).select(F.lit(m).alias("mode"), *columns) for m in branches if m in modes]
+    if "hybrid" in modes:
+        fused = fuse({m: b.where(F.col("rank") <= candidates) for m, b in branches.items()}, "query_id", "chunk_id", wide)
+        lists.append(fused.select(F.lit("hybrid").alias("mode"), *columns))
+    key = F.struct("config", "query_id").alias("asked")
+    found = reduce(DataFrame.unionByName, lists).join(F.broadcast(grid), "mode").where(F.col("rank") <= F.col("pool")).select(key, *columns, "refs", "rerank")
+    plain = found.where(~F.col("rerank"))
+    again = found.where("rerank")
+    if any("rerank" in c.split("+")[1:] for c in configs):
+        passages = chunks.select("chunk_id", passage(F.col("norm_short_name"), F.col("label"), F.col("heading"), F.col("text")).alias("__passage"))
+        pairs = again.select("query_id", "chunk_id").distinct().join(passages, "chunk_id").join(queries.select("query_id", F.col("query").alias("__query")), "query_id")
+        if isinstance(scorer, Model):
+            scored = model_scores(pairs, scorer.scores, "__query", "__passage")
+        else:
+            scored = pairs.withColumn("rerank_score", scorer(F.col("__query"), F.col("__passage")))
+        scored = again.join(scored.select("query_id", "chunk_id", "rerank_score"), ["query_id", "chunk_id"])
+        plain = plain.unionByName(rerank(scored, "asked", F.col("rerank_score")).drop("rerank_score"))
+    plain = plain.drop("query_id")
+    alone = plain.where(~F.col("refs")).where(F.col("rank") <= k)
+    cited = references.reference_hits(references.references(queries, catalog, "query_id", "query"), chunks, "query_id", list(chunk_filter.norm_ids)).withColumnRenamed("place", "rank")
+    told = [c for c in dict.fromkeys(configs) if "refs" in c.split("+")[1:]]
+    cited = cited.withColumn("config", F.explode(F.array(*map(F.lit, told)) if told else F.array().cast("array<string>"))).withColumn("asked", key)
+    merged = merge(cited, plain.where("refs"), "asked", "chunk_id", k)
+    rest = ["chunk_id", "score", "sources", "rank"]
+    return alone.select("asked.*", *rest).unionByName(merged.select("asked.*", *rest))

@@ -21,6 +21,7 @@ VECTORS = "norm_id string, block_id string, chunk_id string, vector array<float>
 POSTINGS = "norm_id string, block_id string, chunk_id string, n_terms int, term string, tf long"
 META = "key string, value string"
 CHUNKS = "chunk_id string, norm_id string, norm_short_name string, block_id string, seq int, kind string, label string, number string, heading string, apartado string, hierarchy array<string>, text string, embed_text string, url string, version_in_force_since date, block_updated_at date, consolidated_as_of date, repealed boolean, jurisdiction string, legal_effect string, rank string, topics array<string>, application_date date, refs_out array<string>"
+LENGTHS = (3, 2000)
 log = logging.getLogger(__name__)
 
 
@@ -134,8 +135,8 @@ class Engine:
 
     def _asked(self, queries: DataFrame, day: date, k: int, chunk_filter: retrieval.ChunkFilter | None, abstain_below: float | None) -> tuple[DataFrame, DataFrame]:
         """(sources, events of the model) of the queries."""
-        wrong = F.raise_error(F.lit("a question has 3 to 2000 characters")).cast("boolean")
-        queries = queries.where(F.when(F.length("query").between(3, 2000), True).otherwise(wrong))
+        wrong = F.raise_error(F.lit(f"a question has {LENGTHS[0]} to {LENGTHS[1]} characters")).cast("boolean")
+        queries = queries.where(F.when(F.length("query").between(*LENGTHS), True).otherwise(wrong))
         hits = self.store.keep(self.search(queries, k, "hybrid", chunk_filter))
         label = chunking.citation_label(F.col("norm_short_name"), F.col("kind"), F.col("number"), F.col("label"), F.col("apartado"))
         title = answering.result_title(label, F.col("heading"), F.col("consolidated_as_of"), F.col("application_date"), F.col("repealed"), day)
@@ -176,18 +177,19 @@ class Engine:
         return self.spark.createDataFrame([*checks, ("answering", bool(answering_ready and self.generate))], "check string, ok boolean")
 
     def evaluate(self, questions: DataFrame, gold: DataFrame, configs: list[str], k: int = max(evaluation.KS)) -> DataFrame:
-        """Means by configuration ("mode[+refs][+rerank]") and category. ``gold`` has (id, norm_id, kind, number, block_id)."""
+        """Means by configuration ("mode[+refs][+rerank]") and category. ``gold`` has (id, norm_id, kind, number, block_id).
+        However many configurations there are, postings and vectors are searched once."""
         kept = evaluation.checked_questions(questions, gold).where("category <> 'out_of_scope'")
         keyed = gold.withColumn("gold", F.concat_ws("#", "norm_id", "kind", "number", "block_id"))
-        scores = None
-        for config in configs:
-            mode, *switches = config.split("+")
-            scorer = (self.scorer or retrieval.lexical_overlap) if "rerank" in switches else None
-            found = self.search(kept.select(F.col("id").alias("query_id"), F.col("question").alias("query")), k, mode, None, "refs" in switches, scorer)
-            hits = self.store.keep(found.select("query_id", "norm_id", "kind", "number", "block_id", "rank"))
-            asked = keyed.select(*[F.col(c).alias(f"g_{c}") for c in ("id", "norm_id", "kind", "number", "block_id")], "gold")
-            match = (F.col("query_id") == F.col("g_id")) & (F.col("norm_id") == F.col("g_norm_id")) & (F.col("kind") == F.col("g_kind")) & evaluation.gold_matches(F.col("g_block_id"), F.col("g_number"), F.col("block_id"), F.col("number"))
-            matched = hits.join(asked, match).select(F.col("g_id").alias("id"), "gold", F.col("rank").cast("int").alias("rank"))
-            part = evaluation.score_questions(keyed.select("id", "gold").distinct(), matched, "id").join(kept.select("id", "category"), "id").withColumn("config", F.lit(config))
-            scores = part if scores is None else scores.unionByName(part)
+        queries = kept.select(F.col("id").alias("query_id"), F.col("question").alias("query"))
+        vectors = dense.embed(queries, self.embedder, "query_id", "query").withColumnRenamed("vector", "query_vector")
+        chunks, scorer = self._chunks(), self.scorer or retrieval.lexical_overlap
+        found = retrieval.retrieve_grid(chunks, queries.join(vectors, "query_id"), self.norms, configs, k, self.store.read("vectors", VECTORS), scorer, self.store.parts("postings", POSTINGS), self.store.keep)
+        hits = self.store.keep(found.join(chunks.select("chunk_id", "norm_id", "kind", "number", "block_id"), "chunk_id"))
+        asked = keyed.select(*[F.col(c).alias(f"g_{c}") for c in ("id", "norm_id", "kind", "number", "block_id")], "gold")
+        match = (F.col("query_id") == F.col("g_id")) & (F.col("norm_id") == F.col("g_norm_id")) & (F.col("kind") == F.col("g_kind")) & evaluation.gold_matches(F.col("g_block_id"), F.col("g_number"), F.col("block_id"), F.col("number"))
+        both = lambda question: F.struct("config", F.col(question).alias("id")).alias("asked")
+        matched = hits.join(asked, match).select(both("g_id"), "gold", F.col("rank").cast("int").alias("rank"))
+        every = keyed.select("id", "gold").distinct().withColumn("config", F.explode(F.array(*map(F.lit, dict.fromkeys(configs)))))
+        scores = evaluation.score_questions(every.select(both("id"), "gold"), matched, "asked").select("asked.*", *[f"recall_at_{n}" for n in evaluation.KS], "reciprocal_rank").join(kept.select("id", "category"), "id")
         return evaluation.summarise(scores)

@@ -772,6 +772,25 @@ def event_stream(spark, sf_dir):
     return answering.event_stream(found, events).select("query_id", "seq", "type")
 
 
+def _failing(prompt: str, found: list[dict]):
+    """A model that breaks off at every seventh length."""
+    yield {"type": "delta", "text": str(len(prompt))}
+    if len(prompt) % 7 == 0:
+        raise RuntimeError("broken")
+    yield {"type": "citation", "text": "x", "source_index": 0}
+    yield {"type": "completed", "stop_reason": "end_turn", "model": "m", "input_tokens": len(prompt), "output_tokens": 1}
+
+
+@_registered("""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, lang = 'es' AS abstain FROM documents)
+SELECT doc_id AS query_id, CASE WHEN abstain THEN 'No consta en la normativa indexada.' ELSE CAST(n AS VARCHAR) END AS answer, CASE WHEN NOT abstain AND n % 7 > 0 THEN 1 ELSE 0 END AS cited,
+  CASE WHEN NOT abstain AND n % 7 > 0 THEN 'end_turn' END AS stop_reason, CASE WHEN NOT abstain AND n % 7 > 0 THEN n END AS input_tokens, CASE WHEN NOT abstain AND n % 7 = 0 THEN 'RuntimeError: broken' END AS error, abstain AS abstained FROM d""")
+def answers_with_failures(spark, sf_dir):
+    """Every document a question; failures stay with their own rows, Spanish ones abstain before the model."""
+    none = F.array().cast("array<struct<index:int,text:string>>")
+    asked = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("prompt"), F.coalesce(F.col("lang") == "es", F.lit(False)).alias("abstain"), none.alias("sources"))
+    return answering.fold_events(answering.generate(asked, _failing)).select("query_id", "answer", F.size("cited_sources").alias("cited"), "stop_reason", "input_tokens", "error", "abstained")
+
+
 @_registered("""WITH t AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant'), u AS (SELECT conv_id, turn FROM conversations WHERE role = 'user')
 SELECT u.conv_id AS query_id, CAST(u.turn AS INTEGER) AS index, t.conv_id IS NOT NULL AS cited FROM u LEFT JOIN t ON t.conv_id = u.conv_id AND t.turn = u.turn + 1""")
 def cited_and_uncited(spark, sf_dir):

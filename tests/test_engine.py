@@ -92,6 +92,65 @@ def test_evaluate(spark, engine):
         evaluation.checked_questions(questions.union(questions), gold).collect()
 
 
+def test_grid_searches_each_branch_once(spark, engine, monkeypatch):
+    configs = ["dense", "sparse", "hybrid", "hybrid+refs", "hybrid+refs+rerank", "sparse+rerank", "dense+refs"]
+    queries = spark.createDataFrame([(1, "¿Qué dice el artículo 1 de la Ley 7/1999?"), (2, "plazo de once días"), (3, "zzz"), (4, None)], "query_id long, query string")
+    vectors = dense.embed(queries, engine.embedder, "query_id", "query").withColumnRenamed("vector", "query_vector")
+    calls = []
+    for module, name in ((lexical, "search_postings"), (dense, "search")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, real=real, name=name, **k: calls.append(name) or real(*a, **k))
+    held = engine.store.read("vectors", "norm_id string, block_id string, chunk_id string, vector array<float>")
+    postings = engine.store.parts("postings", "norm_id string, block_id string, chunk_id string, n_terms int, term string, tf long")
+    grid = retrieval.retrieve_grid(engine._chunks(), queries.join(vectors, "query_id"), engine.norms, configs, 3, held, retrieval.lexical_overlap, postings, engine.store.keep)
+    found = {tuple(r) for r in grid.select("config", "query_id", "rank", "chunk_id", "score", F.concat_ws(",", F.array_sort("sources"))).collect()}
+    assert sorted(calls) == ["search", "search_postings"]
+    for config in configs:
+        mode, *switches = config.split("+")
+        alone = engine.search(queries, 3, mode, None, "refs" in switches, retrieval.lexical_overlap if "rerank" in switches else None)
+        rows = alone.select(F.lit(config), "query_id", "rank", "chunk_id", "score", F.concat_ws(",", F.array_sort("sources"))).collect()
+        assert {tuple(r) for r in rows} == {r for r in found if r[0] == config}, config
+    with pytest.raises(ValueError, match="no such mode"):
+        retrieval.retrieve_grid(engine._chunks(), queries, engine.norms, ["nearest"], 3, held, None, postings, engine.store.keep)
+
+
+def test_a_failing_model_costs_its_own_question_only(spark, engine):
+    def model(prompt, found):
+        yield {"type": "delta", "text": "Sí."}
+        if "once" in prompt:
+            raise RuntimeError("down")
+        yield {"type": "completed", "stop_reason": "end_turn", "model": "m", "input_tokens": 1, "output_tokens": 1}
+
+    own = Engine(spark, engine.store.root, engine.norms, generate=model)
+    queries = spark.createDataFrame([(1, "plazo de once"), (2, "materia de las pruebas")], "query_id long, query string")
+    rows = {r["query_id"]: r for r in own.ask(queries, date(2026, 1, 1)).collect()}
+    assert rows[1]["error"] == "RuntimeError: down" and rows[1]["answer"] == "Sí." and rows[1]["stop_reason"] is None
+    assert rows[2]["error"] is None and rows[2]["stop_reason"] == "end_turn"
+    told = own.ask_events(queries, date(2026, 1, 1)).orderBy("query_id", "seq").collect()
+    assert [r["type"] for r in told if r["query_id"] == 1][-2:] == ["delta", "error"] and [r["type"] for r in told if r["query_id"] == 2][-1] == "done"
+    assert all("down" not in r["data"] for r in told)
+
+
+def test_questions_are_answered_as_they_come(spark, engine, tmp_path):
+    import json
+
+    from lexframe.streaming import answers
+
+    asked, out = tmp_path / "asked", str(tmp_path / "out")
+    asked.mkdir()
+
+    def ask(name, *rows):
+        (asked / name).write_text("\n".join(json.dumps({"query_id": i, "query": q}) for i, q in rows))
+        answers.answer(engine, str(asked), out, str(tmp_path / "seen"), lambda: date(2026, 1, 1)).awaitTermination()
+        return {(r["query_id"], r["seq"]): r["type"] for r in spark.read.parquet(out).collect()}
+
+    first = ask("a.json", (1, "plazo de once días"), (2, "x"))
+    assert first[1, 0] == "sources" and first[2, 0] == "error" and "done" in first.values()
+    second = ask("b.json", (1, "otra vez lo mismo"), (3, None))
+    assert {k: v for k, v in second.items() if k[0] != 3} == first and second[3, 0] == "error"
+    assert spark.read.parquet(out).groupBy("query_id", "seq").count().where("count > 1").isEmpty()
+
+
 def test_recall_example(spark):
     gold = spark.createDataFrame([("q", 20), ("q", 9)], "id string, gold int")
     hits = spark.createDataFrame([("q", 1, 1), ("q", 20, 2), ("q", 3, 3), ("q", 9, 4)], "id string, gold int, rank int")
