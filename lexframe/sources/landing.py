@@ -31,6 +31,17 @@ def read_json(spark: SparkSession, root: str, name: str) -> DataFrame:
     return _whole(spark, root, name)
 
 
+def read_of(spark: SparkSession, root: str, name: str, norms: list[str]) -> DataFrame:
+    """(norm_id, payload) of the files ``name`` that are there of ``norms``; no other folder is opened."""
+    files, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    paths = [files.Path(f"{root.rstrip('/')}/{n}/{name}") for n in norms]
+    there = [p.toString() for p in paths if p.getFileSystem(conf).exists(p)]
+    if not there:
+        return spark.createDataFrame([], "norm_id string, payload string")
+    found = spark.read.text(there, wholetext=True).withColumnRenamed("value", "payload")
+    return found.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("norm_id"), "payload")
+
+
 def missing(spark: SparkSession, root: str, catalog: DataFrame) -> DataFrame:
     """Norms of the catalog that lack one of the three files: these have to be fetched."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import date, datetime
+from io import BytesIO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -147,6 +148,18 @@ def parse_blocks(norm_id: str, payload: str) -> Iterator[dict]:
         yield {"norm_id": norm_id, "ord": at, "block_id": block.get("id", ""), "block_type": block.get("tipo", ""), "title": title, "expired_on": _day(block.get("fecha_caducidad")), "versions": versions}
 
 
+def change_days(payload: bytes) -> list[date]:
+    """All days on which a block of the text changes or expires, in order. Blocks are let go as they have been read."""
+    days = set()
+    for _, element in ElementTree.iterparse(BytesIO(payload)):
+        if element.tag == "version":
+            days.add(_day(element.get("fecha_vigencia") or element.get("fecha_publicacion")))
+        elif element.tag == "bloque":
+            days.add(_day(element.get("fecha_caducidad")))
+            element.clear()
+    return sorted(days - {None})
+
+
 def blocks(raw: DataFrame) -> DataFrame:
     """(norm_id, payload) texts -> one row per block with its versions (schema.BLOCKS)."""
 

@@ -93,7 +93,7 @@ def test_evaluate(spark, engine):
 
 
 def test_grid_searches_each_branch_once(spark, engine, monkeypatch):
-    configs = ["dense", "sparse", "hybrid", "hybrid+refs", "hybrid+refs+rerank", "sparse+rerank", "dense+refs"]
+    configs = ["dense", "sparse", "hybrid", "hybrid+refs+rerank", "dense+refs"]
     queries = spark.createDataFrame([(1, "¿Qué dice el artículo 1 de la Ley 7/1999?"), (2, "plazo de once días"), (3, "zzz"), (4, None)], "query_id long, query string")
     vectors = dense.embed(queries, engine.embedder, "query_id", "query").withColumnRenamed("vector", "query_vector")
     calls = []
@@ -274,6 +274,38 @@ def test_streaming_ingest(spark, tmp_path):
     assert seen == [(6, 1)]
 
 
+def test_scheduled_changes_wake_a_norm(spark, tmp_path):
+    """The clock: 31 December 2029, a change of N-1's text, is moved to a few seconds from now."""
+    import time
+
+    for norm, text in (("N-1", XML), ("N-2", XML.replace("20291231", "20000103"))):
+        (tmp_path / "raw" / norm).mkdir(parents=True)
+        (tmp_path / "raw" / norm / "texto.xml").write_text(text, "utf-8")
+        (tmp_path / "raw" / norm / "indice.json").write_text('{"status":{"code":"200"},"data":{"bloque":[{"id":"a1","titulo":"x","fecha_actualizacion":"20210301"}]}}', "utf-8")
+    seen, at = [], int(time.time() * 1000) + 40_000
+    wake = lambda day, at=at: at if day == date(2029, 12, 31) else 0
+
+    def sync(blocks, index, day, only):
+        seen.append((sorted(r[0] for r in only.collect()), time.time() * 1000 >= at, blocks.select("norm_id").distinct().count(), index.count()))
+
+    start = lambda: ingest.watch_scheduled(spark, str(tmp_path / "raw"), str(tmp_path / "cp"), sync, every="1 second", wake=wake)
+
+    def until(n):
+        query, end = start(), time.time() + 90
+        try:
+            while len(seen) < n and time.time() < end and query.isActive:
+                time.sleep(0.5)
+            assert query.exception() is None
+        finally:
+            query.stop()
+
+    until(1)
+    assert seen == [(["N-1", "N-2"], False, 2, 2)]
+    until(2)  # the timer outlives a restart
+    assert seen[1:] == [(["N-1"], True, 1, 1)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ingest.ROCKS
+
+
 def test_unfetched_norm_and_failed_sync_change_nothing(spark, engine):
     before = engine._chunks().count()
     none = xml.blocks(spark.createDataFrame([], "norm_id string, payload string"))
