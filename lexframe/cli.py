@@ -8,6 +8,7 @@ import logging
 from datetime import date
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import __version__, observability, settings, sinks
@@ -62,6 +63,13 @@ def _questions(spark, norms, path: str):
     return rows.drop("gold"), gold.drop("ref")
 
 
+def _show(rows: DataFrame) -> None:
+    """All rows: one for each norm or gold provision, so no more than a catalog or a list of questions has."""
+    held = rows.cache()
+    held.show(max(held.count(), 1), False)
+    held.unpersist()
+
+
 def main(argv: list[str] | None = None) -> None:
     args = _arguments(argv)
     if args.command == "version":
@@ -85,9 +93,9 @@ def main(argv: list[str] | None = None) -> None:
         blocks = xml.blocks(texts)
         if args.dry_run:
             engine.norms = norms if chosen is None else chosen
-            engine.statistics(blocks, index, date.today()).show(100, False)
+            _show(engine.statistics(blocks, index, date.today()).orderBy("norm_id"))
         else:
-            engine.sync(blocks, index, date.today(), args.force, chosen).show(100, False)
+            _show(engine.sync(blocks, index, date.today(), args.force, chosen).orderBy("norm_id"))
     elif args.command in ("search", "ask"):
         asked = spark.createDataFrame([(0, args.query)], "query_id long, query string")
         chosen = retrieval.ChunkFilter(norm_ids=tuple(args.norm))
@@ -106,11 +114,11 @@ def main(argv: list[str] | None = None) -> None:
                 except Exception:  # a log that cannot be written must not cost the answer
                     logging.getLogger(__name__).exception("query log")
     elif args.command == "norms":
-        engine.overview().select("norm_id", "short_name", "consolidated_as_of", "chunks").orderBy("norm_id").show(1000, False)
+        _show(engine.overview().select("norm_id", "short_name", "consolidated_as_of", "chunks").orderBy("norm_id"))
     elif args.command == "ready":
         engine.readiness().show()
     elif args.command == "eval-validate":
-        evaluation.missing_gold(_questions(spark, norms, args.questions)[1], engine._chunks()).show(1000, False)
+        _show(evaluation.missing_gold(_questions(spark, norms, args.questions)[1], engine._chunks()))
     else:
         summary = engine.evaluate(*_questions(spark, norms, args.questions), args.configs.split(",")).cache()
         print(evaluation.markdown_table(summary))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -30,7 +29,6 @@ BATCH = 64
 
 EVENT = "query_id long, seq int, type string, text string, source_index int, code string, stop_reason string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long"
 Generate = Callable[[str, list[dict]], Iterator[dict]]
-log = logging.getLogger(__name__)
 
 
 def sources(hits: DataFrame, day, rank_col: str = "rank") -> DataFrame:
@@ -95,7 +93,6 @@ def _answered(query_id: int, prompt: str, abstain: bool, found: list[dict], mode
             yield {"query_id": query_id, "seq": seq, **event}
             seq += 1
     except Exception as error:  # any failure of a model, of which nothing is known here
-        log.warning("generation failed", extra={"query_id": query_id, "error": str(error)})
         yield {"query_id": query_id, "seq": seq, "type": "error", "text": f"{type(error).__name__}: {error}"}
 
 

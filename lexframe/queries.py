@@ -507,6 +507,25 @@ def html_paragraphs(spark, sf_dir):
     return rows.select("page_id", F.size("p").alias("paragraphs"), text_hash(F.array_join("p", "\n")).alias("text_sha256"))
 
 
+#: What XML cannot hold, and what Python takes for white space.
+NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@_registered(rf"""WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{NOT_XML}', '', 'g'), chr(10)) AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS ord FROM d)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, 'b' || ord AS block_id, DATE '2020-01-01' + CAST(ord % 300 AS INTEGER) AS since, nullif(trim(regexp_replace(line, '{SPACES}', ' ', 'g')), '') AS text FROM e""")
+def document_blocks(spark, sf_dir):
+    """Documents as responses of the service, a block a line, read back by the pull parser."""
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), NOT_XML, ""), "\n", -1)
+    escaped = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    day = lambda i: F.date_format(F.date_add(F.lit(date(2020, 1, 1)), (i % 300).cast("int")), "yyyyMMdd")
+    block = lambda t, i: F.concat(F.lit('<bloque id="b'), i.cast("string"), F.lit('" tipo="precepto" titulo="x"><version fecha_vigencia="'), day(i), F.lit('"><p class="parrafo">'), escaped(t), F.lit("</p></version></bloque>"))
+    payload = F.concat(F.lit("<response><status><code>200</code></status><data><texto>"), F.array_join(F.transform(lines, block), ""), F.lit("</texto></data></response>"))
+    found = xml.blocks(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("norm_id"), payload.alias("payload")))
+    version = F.col("versions")[0]
+    return found.select(F.col("norm_id").cast("long").alias("doc_id"), "ord", "block_id", version["in_force_since"].alias("since"), F.get(version["paragraphs"], F.lit(0))["text"].alias("text"))
+
+
 # --- incremental maintenance
 
 

@@ -10,13 +10,18 @@ import re
 from collections.abc import Iterator
 from datetime import date, datetime
 from io import BytesIO
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schema
 
+SLICE = 1 << 16
+BLOCKS_AT_ONCE = 32
+
 # Classes of paragraphs, and what makes a table too numeric to be shown.
 NOTE_CLASSES = ("nota_pie", "nota_pie_2")
 LABEL_CLASSES = ("articulo",)
@@ -130,22 +135,41 @@ def parse_version(element) -> dict:
     return {"label_line": label, "heading_lines": lines, "paragraphs": items.paragraphs(), "notes": notes}
 
 
+def _block(norm_id: str, at: int, block) -> dict:
+    versions = []
+    for i, version in enumerate(block.findall("version")):
+        since = _day(version.get("fecha_vigencia") or version.get("fecha_publicacion"))
+        if since is None:
+            raise ValueError(f"{norm_id}#{block.get('id')}: a version has no date")
+        versions.append({"vord": i, "in_force_since": since, **parse_version(version)})
+    title = " ".join(block.get("titulo", "").replace("\xa0", " ").split())
+    return {"norm_id": norm_id, "ord": at, "block_id": block.get("id", ""), "block_type": block.get("tipo", ""), "title": title, "expired_on": _day(block.get("fecha_caducidad")), "versions": versions}
+
+
 def parse_blocks(norm_id: str, payload: str) -> Iterator[dict]:
-    """Blocks of one document in order. A version counts from its date of force, else of publication, else it is an error."""
+    """Blocks of one document in order. A version counts from its date of force, else of publication, else it is an error.
+
+    The text is fed to a pull parser in slices and a block is let go when it has been given, so that beside the payload
+    one block at a time is held. Errors that stand behind the first block come after it has been given.
+    """
     if "<!DOCTYPE" in payload or "<!ENTITY" in payload:
         raise ValueError(f"{norm_id}: document types and entities are refused")
-    root = ElementTree.fromstring(payload.encode("utf-8"))
-    if (code := root.findtext("status/code")) not in (None, "200"):
-        raise ValueError(f"{norm_id}: response has status {code}")
-    for at, block in enumerate(root.iter("bloque")):
-        versions = []
-        for i, version in enumerate(block.findall("version")):
-            since = _day(version.get("fecha_vigencia") or version.get("fecha_publicacion"))
-            if since is None:
-                raise ValueError(f"{norm_id}#{block.get('id')}: a version has no date")
-            versions.append({"vord": i, "in_force_since": since, **parse_version(version)})
-        title = " ".join(block.get("titulo", "").replace("\xa0", " ").split())
-        yield {"norm_id": norm_id, "ord": at, "block_id": block.get("id", ""), "block_type": block.get("tipo", ""), "title": title, "expired_on": _day(block.get("fecha_caducidad")), "versions": versions}
+    parser, opened, at = ElementTree.XMLPullParser(("start", "end")), [], 0
+    for start in range(0, len(payload), SLICE):
+        parser.feed(payload[start : start + SLICE])
+        for event, element in parser.read_events():
+            if event == "start":
+                opened.append(element)
+                continue
+            opened.pop()
+            if element.tag == "code" and len(opened) == 2 and opened[-1].tag == "status" and element.text != "200":
+                raise ValueError(f"{norm_id}: response has status {element.text}")
+            if element.tag == "bloque":
+                yield _block(norm_id, at, element)
+                at += 1
+                if opened:
+                    opened[-1].remove(element)
+    parser.close()
 
 
 def change_days(payload: bytes) -> list[date]:
@@ -160,6 +184,13 @@ def change_days(payload: bytes) -> list[date]:
     return sorted(days - {None})
 
 
+def _some(norm_id: str, payload: str) -> Iterator[list[dict]]:
+    """The blocks of a text, a few at a time; none of a null text."""
+    found = parse_blocks(norm_id, payload) if payload is not None else iter(())
+    while rows := list(islice(found, BLOCKS_AT_ONCE)):
+        yield rows
+
+
 def blocks(raw: DataFrame) -> DataFrame:
     """(norm_id, payload) texts -> one row per block with its versions (schema.BLOCKS)."""
 
@@ -168,6 +199,19 @@ def blocks(raw: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for norm_id, payload in zip(batch["norm_id"], batch["payload"], strict=True):
-                yield pd.DataFrame(list(parse_blocks(norm_id, payload)), columns=names)
+                for rows in _some(norm_id, payload):
+                    yield pd.DataFrame(rows, columns=names)
 
     return raw.select("norm_id", "payload").mapInPandas(run, schema.BLOCKS)
+
+
+class _NormBlocks:
+    def eval(self, norm_id: str, payload: str) -> Iterator[tuple]:
+        for rows in _some(norm_id, payload):
+            yield from (tuple(r.values()) for r in rows)
+
+
+def register(spark: SparkSession) -> None:
+    """``norm_blocks(norm_id, payload)`` for SQL: ``SELECT b.* FROM texts t, LATERAL norm_blocks(t.norm_id, t.payload) b``. Spark
+    takes no Arrow functions there, so rows are sent one by one; ``blocks`` sends them in frames."""
+    spark.udtf.register("norm_blocks", F.udtf(_NormBlocks, returnType=schema.BLOCKS, useArrow=False))

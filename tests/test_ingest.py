@@ -1,4 +1,5 @@
 from datetime import date
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,36 @@ def test_apartados_of_long_provisions_take_time_in_proportion(spark):
 
     seconds(100)
     assert min(seconds(3200), seconds(3200)) < 2.3 * max(min(seconds(1600), seconds(1600)), 0.5)
+
+
+def test_blocks_by_a_table_function(spark):
+    texts = spark.createDataFrame([("N-1", XML), ("N-2", MARKED), ("N-3", None)], "norm_id string, payload string")
+    texts.createOrReplaceTempView("texts_of_norms")
+    xml.register(spark)
+    found = spark.sql("SELECT b.* FROM texts_of_norms t, LATERAL norm_blocks(t.norm_id, t.payload) b")
+    assert found.orderBy("norm_id", "ord").collect() == xml.blocks(texts).orderBy("norm_id", "ord").collect()
+    with pytest.raises(Exception, match="status 404"):
+        spark.sql("SELECT b.* FROM VALUES ('N', '<response><status><code>404</code></status></response>') t(n, p), LATERAL norm_blocks(n, p) b").collect()
+
+
+def test_one_block_at_a_time_is_held():
+    import tracemalloc
+
+    def peak(n):
+        block = '<bloque id="a" tipo="precepto" titulo="Artículo"><version fecha_vigencia="20200101">' + "<p>Texto de un apartado.</p>" * 200 + "</version></bloque>"
+        payload = "<response><data>" + block * n + "</data></response>"
+        tracemalloc.start()
+        assert sum(1 for _ in xml.parse_blocks("N", payload)) == n
+        try:
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(800) < 1.5 * peak(40)
+
+
+def test_a_broken_text_is_an_error():
+    with pytest.raises(ElementTree.ParseError):
+        list(xml.parse_blocks("N", "<response><data>"))
+    with pytest.raises(ElementTree.ParseError):
+        list(xml.parse_blocks("N", ""))
