@@ -81,14 +81,20 @@ def after_approval(blocks: DataFrame) -> DataFrame:
 def in_scope(blocks: DataFrame, norms: DataFrame) -> DataFrame:
     """Blocks from ``from_block`` up to, not including, ``until_block``, and the extra blocks; all where a norm has no scope.
 
-    A block that the scope names and the text lacks is an error.
+    A block that the scope names and the text lacks is an error. The places of the named blocks are found by a join, so that a norm's
+    blocks need not come together, and what a row carries of them is as long as its scope.
     """
-    scoped = blocks.join(norms.select("norm_id", "scope"), "norm_id")
-    norm = Window.partitionBy("norm_id")
-    position = lambda name: F.min(F.when(F.col("block_id") == F.col(f"scope.{name}"), F.col("ord"))).over(norm)
     needed = F.concat(F.array("scope.from_block", "scope.until_block"), F.coalesce("scope.extra_blocks", F.array().cast("array<string>")))
-    lacking = F.array_except(needed, F.collect_set("block_id").over(norm))
-    scoped = scoped.withColumns({"__from": position("from_block"), "__until": position("until_block"), "__lacking": F.when(F.col("scope").isNotNull(), lacking)})
+    named = norms.where("scope is not null").select("norm_id", F.explode(needed).alias("block_id")).distinct()
+    places = blocks.select("norm_id", "block_id", "ord").join(named, ["norm_id", "block_id"]).groupBy("norm_id", "block_id").agg(F.min("ord").alias("at"))
+    places = places.groupBy("norm_id").agg(F.map_from_entries(F.collect_list(F.struct("block_id", "at"))).alias("__at"))
+    scopes = norms.select("norm_id", "scope").join(places, "norm_id", "left")
+    lacking = F.array_except(needed, F.coalesce(F.map_keys("__at"), F.array().cast("array<string>")))
+    scopes = scopes.select(
+        "norm_id", "scope", F.try_element_at("__at", F.col("scope.from_block")).alias("__from"), F.try_element_at("__at", F.col("scope.until_block")).alias("__until"),
+        F.when(F.col("scope").isNotNull(), lacking).alias("__lacking"),
+    )
+    scoped = blocks.join(scopes, "norm_id")
     inside = F.col("scope").isNull() | ((F.col("ord") >= F.col("__from")) & (F.col("ord") < F.col("__until"))) | F.coalesce(F.array_contains("scope.extra_blocks", F.col("block_id")), F.lit(False))
     wrong = F.concat("norm_id", F.lit(": scope block not found in the text: "), F.array_join("__lacking", ", "))
     keep = F.when(F.size("__lacking") > 0, F.raise_error(wrong).cast("boolean")).otherwise(inside)
