@@ -62,7 +62,7 @@ def normalize(text: Column) -> Column:
 
     # Text and table are bound once each, as expressions that repeat them would grow with every use of the result. Most texts are
     # ASCII after the first step; of the others each different character is looked up once.
-    plain = F.transform(F.array(text), lambda t: F.translate(t, "".join([*kept, *dropped]), "".join(one[c] for c in kept)))
+    plain = F.transform(F.array(text), lambda t: F.when(t.rlike(_FOREIGN), F.translate(t, "".join([*kept, *dropped]), "".join(one[c] for c in kept))).otherwise(t))
     whole = F.transform(plain, lambda t: F.when(t.rlike(_FOREIGN), F.aggregate(foreign(t), t, lambda a, c: F.replace(a, c, spread(c)))).otherwise(t))
     return F.lower(whole[0])
 
