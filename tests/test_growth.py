@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 from lexframe import queries
-from lexframe.operators import lexical
+from lexframe.operators import dense, lexical
 
 DATA = Path("/root/testdata/sf0.001")
 with_data = pytest.mark.skipif(not DATA.exists(), reason="driver tables are not here")
@@ -67,3 +67,18 @@ def test_rows_of_one_id_count_together(spark):
     found = lexical.search(texts, spark.createDataFrame([(7, "foca luna")], "query_id long, query string"), 5).collect()
     assert sorted(r["doc_id"] for r in found) == [1, 2]
     assert lexical.postings(texts, "doc_id", "text").where("doc_id = 1 and term = 'foca'").first()["tf"] == 2
+
+
+def test_a_task_gives_k_vectors_for_a_query_whatever_its_batches(spark, monkeypatch):
+    draw = random.Random(5)
+    vectors = spark.createDataFrame([(i, [float(draw.randrange(1, 4)) for _ in range(3)]) for i in range(100)], "vec_id long, embedding array<float>").coalesce(1)
+    queries = vectors.where("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    whole = sorted(map(tuple, dense.search(vectors, queries, 4).collect()))
+    monkeypatch.setattr(dense, "SCORES", 30)  # tiles of three queries by ten vectors
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        assert sorted(map(tuple, dense.search(vectors, queries, 4).collect())) == whole and len(whole) == 40
+        monkeypatch.setattr(dense, "top_k", lambda found, *_: found)
+        assert dense.search(vectors, queries, 4).count() == 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
