@@ -82,3 +82,9 @@ def test_a_task_gives_k_vectors_for_a_query_whatever_its_batches(spark, monkeypa
         assert dense.search(vectors, queries, 4).count() == 40
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@with_data
+def test_sparse_vectors_shuffle_terms_once(spark):
+    found = plan(queries.sparse_vectors(spark, str(DATA)))
+    assert found.count("Exchange ") == 1 and "MapInArrow" in found
