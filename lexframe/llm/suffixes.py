@@ -8,7 +8,9 @@ depth only, so their order need not be right beyond it, and one level of recursi
    content decides, into pieces that share ``WINDOW - 1`` bytes, so that every window is whole in one piece. Equal pieces are
    one piece, of the smallest doc_id: copies, however many, are worked on once.
    Of the pieces' windows those with a hash that occurs once are discarded: in a difference cover's recursion, too, suffixes
-   that are unique need not be sorted further (Dementiev, Kärkkäinen, Mehnert and Sanders, 2008).
+   that are unique need not be sorted further (Dementiev, Kärkkäinen, Mehnert and Sanders, 2008). A window is led by the one before it
+   if the byte before it is the same wherever it occurs, and the byte after that one too: the two then occur in the same pieces, and
+   what is found for the leading window of a run holds for the whole run. Only leading windows are sorted.
 2. Pieces are strings of 8-byte characters, in all eight alignments. Characters at places 1 and 2 modulo 3 are the sample, the
    difference cover {1, 2} modulo 3: of any two places one of the shifts by 0, 1 and 2 characters takes both into the sample.
    **Sampled triples** of characters (24 bytes) are sorted over all chunks and named by rank.
@@ -47,8 +49,10 @@ GRAM = 24
 CHUNK_BYTES = 4_000_000
 PIECE_CHUNK_BYTES = 2_000_000
 BLOCK = 1 << 16
-HASH_BITS = 48
+HASH_BITS = 40
+DIGEST_BITS = 48
 BREAKS = 8
+SEVERAL = 255
 SAMPLED = 1 << 17
 LAST = 2**63 - 1
 BYTES_PER_ANCHOR = 13
@@ -63,7 +67,10 @@ _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hashes(data: np.ndarray, length: int, bits: int = HASH_BITS) -> np.ndarray:
-    """Hashes of ``bits`` bits, never zero, of all runs of ``length`` bytes: sums of powers by doubling."""
+    """Hashes of ``bits`` bits, never zero, of all runs of ``length`` bytes: sums of powers by doubling, BLOCK runs at a time."""
+    total = len(data) - length + 1
+    if total > 2 * BLOCK:
+        return np.concatenate([_hashes(data[a : min(a + BLOCK, total) + length - 1], length, bits) for a in range(0, total, BLOCK)])
     n, power, width, m, have, out = len(data) - length + 1, _TABLE[data], 1, int(_M1), 0, None
     while True:
         factor = np.uint64(m)
@@ -81,6 +88,25 @@ def _hashes(data: np.ndarray, length: int, bits: int = HASH_BITS) -> np.ndarray:
     return (h >> np.uint64(64 - bits)) | np.uint64(1)
 
 
+def _ordered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of hashes of HASH_BITS bits, and which in that order differ from the one before: hash and place are sorted as one number."""
+    width = np.uint64(64 - HASH_BITS)
+    if len(hashes) >> int(width):
+        order = np.argsort(hashes, kind="stable")
+        return order, starts_of([hashes], order)
+    both = np.sort((hashes << width) | np.arange(len(hashes), dtype=np.uint64))
+    ascending = both >> width
+    return (both & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64), np.concatenate((np.ones(min(1, len(both)), bool), ascending[1:] != ascending[:-1]))
+
+
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_distinct`` for hashes of HASH_BITS bits."""
+    order, fresh = _ordered(hashes)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order, number, order[fresh]
+
+
 def _extreme(values: np.ndarray, length: int, pick: Callable) -> np.ndarray:
     have, total = 1, len(values) - length + 1
     while 2 * have <= length:
@@ -122,8 +148,8 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _repeated(pieces: list[Arrays]) -> list[Arrays | None]:
     """Which hashes of each piece other pieces have too."""
     h = np.concatenate([np.cumsum(p["gaps"].astype(np.uint64), dtype=np.uint64) for p in pieces])
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
+    order, fresh = _ordered(h)
+    same = ~fresh[1:]
     found = np.zeros(len(h), bool)
     found[order[1:][same]] = found[order[:-1][same]] = True
     parts = np.split(found, np.cumsum([len(p["gaps"]) for p in pieces])[:-1])
@@ -137,14 +163,14 @@ def _chunks(kind: pa.DataType, buckets: int, chunk_bytes: int):
         buffer = b"".join(t for _, _, t in held)
         ends = np.cumsum([len(t) for _, _, t in held])
         at, h = _anchors(np.frombuffer(buffer, np.uint8), ends)
-        order, key, first = _distinct([h])  # stable, so of equal hashes the first place comes first and the last one last
+        order, fresh = _ordered(h)  # stable, so of equal hashes the first place comes first and the last one last
         owner = np.searchsorted(ends, at[order], "right")
-        edge = np.append(np.flatnonzero(starts_of([h], order)), len(order))
+        edge = np.append(np.flatnonzero(fresh), len(order))
         several = owner[edge[:-1]] != owner[edge[1:] - 1]
-        hashes = h[first]
+        hashes = h[order[fresh]]
         bounds = _by_bucket(hashes, buckets)
         asked = sent([(k, {"gaps": gaps(hashes[a:b])}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
-        anchors = pack({"gaps": gaps(at).astype(np.uint32), "key": key.astype(np.int32), "several": several, "break": hashes // np.uint64(2) % np.uint64(BREAKS) == 0, "bounds": bounds})
+        anchors = pack({"gaps": gaps(at).astype(np.uint32), "several": np.packbits(several), "bounds": bounds})
         values = ([number] * 2, ["state", "sent"], [[d for d, _, _ in held], None], [[i for _, i, _ in held], None], [ends, None], [zstandard.ZstdCompressor(3).compress(buffer), None], [None, anchors], [None, asked])
         kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary(), _SENT_TYPE)
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "part", "docs", "ids", "ends", "text", "anchors", "sent"])
@@ -167,9 +193,12 @@ def _chunks(kind: pa.DataType, buckets: int, chunk_bytes: int):
 # --- pieces -------------------------------------------------------------------------------------------------------------------
 
 
-def _candidates(total: int, ends: np.ndarray, anchors: Arrays, got: dict[int, Arrays]) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(data: np.ndarray, ends: np.ndarray, anchors: Arrays, got: dict[int, Arrays]) -> tuple[np.ndarray, np.ndarray]:
     """(candidate windows, breaks) as masks of window starts. A window whose anchor one document has alone is not repeated elsewhere."""
-    several, at = anchors["several"].copy(), np.cumsum(anchors["gaps"], dtype=np.int64)
+    total, at = max(0, len(data) - WINDOW + 1), np.cumsum(anchors["gaps"], dtype=np.int64)
+    h = _hashes(data, GRAM)[at] if len(at) else np.zeros(0, np.uint64)
+    _, key, first = _numbered(h)
+    several = np.unpackbits(anchors["several"], count=len(first)).astype(bool)
     for bucket, reply in got.items():
         a, b = anchors["bounds"][bucket], anchors["bounds"][bucket + 1]
         several[a:b] |= np.unpackbits(reply["bits"], count=b - a).astype(bool)
@@ -181,10 +210,10 @@ def _candidates(total: int, ends: np.ndarray, anchors: Arrays, got: dict[int, Ar
     mask = np.cumsum(change[:total]) > 0
     # Keys are numbered by hash, so the least key of a window's anchors is that of its own anchor.
     least = np.full(total + _SPAN - 1, len(several), np.int32)
-    least[at] = anchors["key"]
+    least[at] = key
     mask &= np.append(several, False)[_extreme(least, _SPAN, np.minimum)] if total else mask
     breaks = np.zeros(total, bool)
-    cuts = at[anchors["break"][anchors["key"]]]
+    cuts = at[h // np.uint64(2) % np.uint64(BREAKS) == 0]
     breaks[cuts[cuts < total]] = True
     return mask, breaks
 
@@ -195,7 +224,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, docs, ends, text, anchors, got in zip(*batch.columns, strict=True):
             data = zstandard.ZstdDecompressor().decompress(text.as_py())
             docs, ends = docs.values.to_numpy(), ends.values.to_numpy()
-            mask, breaks = _candidates(max(0, len(data) - WINDOW + 1), ends, unpack(anchors.as_py()), received(got.as_py()))
+            mask, breaks = _candidates(np.frombuffer(data, np.uint8), ends, unpack(anchors.as_py()), received(got.as_py()))
             at = np.flatnonzero(mask & (breaks | ~np.concatenate(([False], mask[:-1]))))
             if not len(at):
                 continue
@@ -220,10 +249,10 @@ class _Texts:
 
     def __init__(self, arrays: Arrays):
         self.data, self.start, self.length, self.doc = (arrays[k] for k in ("data", "start", "length", "doc"))
-        w = self.data.astype(np.uint64)
-        for width in (1, 2, 4):
-            w = (w[:-width] << np.uint64(8 * width)) | w[width:]
-        self.words = w
+
+    def words(self, at: np.ndarray) -> np.ndarray:
+        """The characters at these places."""
+        return np.lib.stride_tricks.sliding_window_view(self.data, WORD)[at].reshape(-1).view(">u8").astype(np.uint64)
 
     @staticmethod
     def of(texts: list[bytes], docs: list[int]) -> Arrays:
@@ -281,19 +310,53 @@ def _buckets_of_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, len(bucket)), bucket[at].astype(np.int64)
 
 
-def _window_hashes(arrays: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of all windows, number of each one's hash in ascending order, the distinct hashes)."""
+def _window_hashes(arrays: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(places of all windows, number of each one's hash in ascending order, the distinct hashes, how often each occurs, and the
+    bytes before and after it, SEVERAL where they differ or a piece ends)."""
     texts = _Texts(arrays)
     at = texts.windows()
     h = _hashes(texts.data, WINDOW)[at]
-    _, number, first = _distinct([h])
-    return at, number, h[first]
+    order, number, first = _numbered(h)
+    count = np.bincount(number, minlength=len(first))
+    starts = np.cumsum(count) - count
+    length = texts.length - WINDOW + 1
+    begins = np.cumsum(length) - length
+    sides = []
+    for places, edges in ((at - 1, begins), (at + WINDOW, begins + length - 1)):
+        side = texts.data[places]
+        side[edges[length > 0]] = SEVERAL
+        sides.append(_side(side[order], starts))
+    return at, number, h[first], count, sides
+
+
+def _side(side: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The byte that all of each group have, or SEVERAL."""
+    if not len(starts):
+        return side
+    least = np.minimum.reduceat(side, starts)
+    return np.where(least == np.maximum.reduceat(side, starts), least, np.uint8(SEVERAL))
 
 
 def _ask_windows(arrays: Arrays, buckets: int) -> list[dict]:
-    _, _, hashes = _window_hashes(arrays)
+    _, _, hashes, _, (before, after) = _window_hashes(arrays)
     bounds = _by_bucket(hashes, buckets)
-    return sent([(k, {"gaps": gaps(hashes[a:b])}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
+    return sent([(k, {"gaps": gaps(hashes[a:b]), "before": before[a:b], "after": after[a:b]}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
+
+
+def _neighbours(pieces: list[Arrays]) -> list[Arrays | None]:
+    """Which hashes of each piece other pieces have too, and of those which have one byte only before or after them."""
+    h = np.concatenate([np.cumsum(p["gaps"].astype(np.uint64), dtype=np.uint64) for p in pieces])
+    order, fresh = _ordered(h)
+    starts = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(starts, len(h)))
+    found = {"bits": np.empty(len(h), bool), "before": np.empty(len(h), bool), "after": np.empty(len(h), bool)}
+    several = sizes > 1
+    found["bits"][order] = np.repeat(several, sizes)
+    for name in ("before", "after"):
+        one = _side(np.concatenate([p[name] for p in pieces])[order], starts) != SEVERAL
+        found[name][order] = np.repeat(several & one, sizes)
+    edges = np.cumsum([0, *[len(p["gaps"]) for p in pieces]])
+    return [{n: np.packbits(f[a:b]) for n, f in found.items()} if found["bits"][a:b].any() else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _needed(windows: np.ndarray) -> np.ndarray:
@@ -308,18 +371,25 @@ def _triples(texts: _Texts, windows: np.ndarray) -> tuple[np.ndarray, list[np.nd
     at = np.unique(np.concatenate([need, need + TRIPLE, need + 2 * TRIPLE]))
     piece = np.searchsorted(texts.start, at, "right") - 1
     at = at[at < texts.start[piece] + texts.length[piece]]
-    return at, [texts.words[at + WORD * k] for k in range(3)]
+    return at, [texts.words(at + WORD * k) for k in range(3)]
 
 
 def _discard(arrays: Arrays, got: dict[int, Arrays], buckets: int) -> Arrays:
-    """Leaves out the windows that no other place of any piece has."""
-    at, number, hashes = _window_hashes(arrays)
+    """Leaves the windows that another place of any piece has too and that no other one leads, and how many windows follow each."""
+    at, number, hashes, count, sides = _window_hashes(arrays)
     bounds = _by_bucket(hashes, buckets)
-    several = np.bincount(number, minlength=len(hashes)) > 1
+    several, (before, after) = count > 1, [s != SEVERAL for s in sides]
     for bucket, reply in got.items():
         a, b = bounds[bucket], bounds[bucket + 1]
-        several[a:b] |= np.unpackbits(reply["bits"], count=b - a).astype(bool)
-    return {**arrays, "windows": at[several[number]]}
+        bits, one_before, one_after = (np.unpackbits(reply[n], count=b - a).astype(bool) for n in ("bits", "before", "after"))
+        several[a:b] |= bits
+        before[a:b] &= ~bits | one_before
+        after[a:b] &= ~bits | one_after
+    led = before[number]  # never a piece's first window
+    led[1:] &= (after & several)[number[:-1]]
+    kept = several[number]
+    lead = np.flatnonzero(~led[kept])
+    return {**arrays, "windows": at[kept][lead], "run": np.diff(np.append(lead, int(kept.sum())))}
 
 
 def _ask_triples(arrays: Arrays, splitters: list[tuple]) -> list[dict]:
@@ -345,15 +415,15 @@ def _recurse(state: Arrays, got: dict[int, Arrays]) -> tuple[Arrays, list[dict]]
 def _prefixes(texts: _Texts, at: np.ndarray) -> dict[str, np.ndarray]:
     """Of WINDOW bytes from each place on the first two words, which merging compares, and a digest of 112 bits, which adjacent
     prefixes are compared by: of N prefixes two different neighbours are confused with a probability below N / 2**112."""
-    first, second = (_hashes(data, WINDOW, bits) for data, bits in ((texts.data, 64), (texts.data[::-1], HASH_BITS)))
-    return {"w0": texts.words[at], "w1": texts.words[at + WORD], "p0": first[at], "p1": second[::-1][at]}
+    flat = np.lib.stride_tricks.sliding_window_view(texts.data, WINDOW)[at].reshape(-1)
+    first, second = (_hashes(data, WINDOW, bits) if len(at) else np.zeros(0, np.uint64) for data, bits in ((flat, 64), (flat[::-1], DIGEST_BITS)))
+    return {"w0": texts.words(at), "w1": texts.words(at + WORD), "p0": first[::WINDOW], "p1": second[::-1][::WINDOW]}
 
 
-def _send_suffixes(state: Arrays, got: dict[int, Arrays], splitters: list[tuple]) -> tuple[Arrays, list[dict]]:
-    """The suffixes that are left, those that are equal to the depth of their ranks once, to the buckets of their first triples."""
+def _dealt(state: Arrays, got: dict[int, Arrays], splitters: list[tuple]) -> tuple[Arrays, np.ndarray, np.ndarray]:
+    """The suffixes that are left, those that are equal to the depth of their ranks once, in the order of the buckets of their first triples:
+    what they are merged by, their buckets, and which of them each window has."""
     texts, windows = _Texts(state), state["windows"]
-    if not len(windows):
-        return {**state, "item": np.zeros(0, np.int32)}, []
     names, need = _names(got), _needed(windows)
     rank = lambda at: names[state["index"][np.minimum(np.searchsorted(need, at), len(need) - 1)]]
     kind = (windows // WORD % 3).astype(np.uint8)
@@ -361,25 +431,31 @@ def _send_suffixes(state: Arrays, got: dict[int, Arrays], splitters: list[tuple]
     own = np.where(kind > 0, rank(windows), zero)
     next1, next2 = np.where(kind < 2, rank(windows + WORD), zero), np.where(kind != 1, rank(windows + 2 * WORD), zero)
     doc = texts.doc[np.searchsorted(texts.start, windows, "right") - 1]
-    head = texts.words[windows]
-    order, item, first = _distinct([kind, own, np.where(kind == 0, head, zero), np.where(kind == 0, next1, zero)])
+    _, item, first = _distinct([kind, own, np.where(kind == 0, texts.words(windows), zero), np.where(kind == 0, next1, zero)])
     least = np.full(len(first), LAST)
     np.minimum.at(least, item, doc)
     at = windows[first]
-    columns = _prefixes(texts, at) | {"kind": kind[first], "own": own[first], "next1": next1[first], "next2": next2[first], "doc": least}
-    columns["w1"] = np.where(kind[first] == 1, zero, columns["w1"])  # of no use there
     bucket = np.where(kind[first] > 0, (state["own"][first] - np.uint64(1)) >> np.uint64(32), zero).astype(np.int64)
     zeros = np.flatnonzero(kind[first] == 0)
-    triples = [t[at[zeros]] for t in (texts.words, texts.words[WORD:], texts.words[2 * WORD :])]
+    triples = [texts.words(at[zeros] + WORD * k) for k in range(3)]
     rows = lexicographic(triples)
     bounds = _bounds([t[rows] for t in triples], splitters)
     bucket[zeros[rows]] = np.repeat(np.arange(len(splitters) + 1), np.diff(bounds))
     dealt = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], bucket[dealt][1:] != bucket[dealt][:-1])))
-    parts = [(int(bucket[dealt[a]]), {n: c[dealt[a:b]] for n, c in columns.items()}) for a, b in zip(edges, np.append(edges[1:], len(dealt)), strict=True)]
     position = np.empty(len(dealt), np.int64)
     position[dealt] = np.arange(len(dealt))
-    return {**state, "item": position[item].astype(np.int32)}, sent(parts)
+    chosen = first[dealt]
+    return {"at": windows[chosen], "kind": kind[chosen], "own": own[chosen], "next1": next1[chosen], "next2": next2[chosen], "doc": least[dealt]}, bucket[dealt], position[item]
+
+
+def _send_suffixes(state: Arrays, got: dict[int, Arrays], splitters: list[tuple]) -> list[dict]:
+    if not len(state["windows"]):
+        return []
+    columns, bucket, _ = _dealt(state, got, splitters)
+    columns |= _prefixes(_Texts(state), columns.pop("at"))
+    columns["w1"] = np.where(columns["kind"] == 1, np.uint64(0), columns["w1"])  # of no use there
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    return sent([(int(bucket[a]), {n: c[a:b] for n, c in columns.items()}) for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True)])
 
 
 def _before(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -418,18 +494,18 @@ def _merge(pieces: list[Arrays]) -> list[Arrays]:
     return [{"least": p} for p in parts]
 
 
-def _later(state: Arrays, got: dict[int, Arrays]) -> list[list[dict]]:
+def _later(state: Arrays, item: np.ndarray, got: dict[int, Arrays]) -> list[list[dict]]:
     """For each piece the runs [start, stop) of bytes that a window covers which starts in a document before the piece's first."""
     least = np.concatenate([got[b]["least"] for b in sorted(got)]) if got else np.zeros(0, np.int64)
     at = state["windows"]
     piece = np.searchsorted(state["start"], at, "right") - 1
-    hit = least[state["item"]] < state["doc"][piece] if len(at) else np.zeros(0, bool)
-    at, piece = at[hit], piece[hit]
+    hit = least[item] < state["doc"][piece] if len(at) else np.zeros(0, bool)
+    at, piece, end = at[hit], piece[hit], (at + state["run"])[hit]
     out: list[list[dict]] = [[] for _ in state["start"]]
     if len(at):
-        edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1]))))
-        for a, b, k in zip(at[edge].tolist(), at[np.append(edge[1:], len(at)) - 1].tolist(), piece[edge].tolist(), strict=True):
-            out[k].append({"start": a - int(state["start"][k]), "stop": b - int(state["start"][k]) + WINDOW})
+        edge = np.flatnonzero(np.concatenate(([True], (at[1:] != end[:-1]) | (piece[1:] != piece[:-1]))))
+        for a, b, k in zip(at[edge].tolist(), end[np.append(edge[1:], len(at)) - 1].tolist(), piece[edge].tolist(), strict=True):
+            out[k].append({"start": a - int(state["start"][k]), "stop": b - int(state["start"][k]) + WINDOW - 1})
     return out
 
 
@@ -447,12 +523,12 @@ def _rows(chunk: int, hs: list[bytes] | None, state: Arrays | None, asked: list[
     return pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "hs", "state", "sent"])
 
 
-def _piece_chunks(chunk_bytes: int, buckets: int):
-    """Rows (h, doc, text) to rows of states that ask for their windows."""
+def _piece_chunks(chunk_bytes: int):
+    """Rows (h, doc, text) to rows of states."""
 
     def emit(number: int, held: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
         state = _Texts.of([t for _, _, t in held], [d for _, d, _ in held])
-        return _rows(number, [h for h, _, _ in held], state, _ask_windows(state, buckets))
+        return _rows(number, [h for h, _, _ in held], state, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -493,10 +569,10 @@ def _round(states: DataFrame, asked: DataFrame | None, compare: Callable[[list[A
     return made
 
 
-def _splitters(states: DataFrame, buckets: int) -> list[tuple]:
+def _splitters(states: DataFrame, bucket_keys: int) -> list[tuple]:
     """Triples that part the sample into about equal buckets, from a bounded part of it drawn by hash."""
     chunks = states.count()
-    if buckets == 1 or not chunks:
+    if not chunks:
         return []
     few = states if chunks <= SAMPLED // 8 else states.where(F.pmod(F.xxhash64("chunk"), F.lit(chunks)) < SAMPLED // 8)
     each = max(8, SAMPLED // max(1, chunks))
@@ -507,10 +583,13 @@ def _splitters(states: DataFrame, buckets: int) -> list[tuple]:
                 arrays = unpack(state.as_py())
                 at, keys = _triples(_Texts(arrays), arrays["windows"])
                 rows = np.random.default_rng(len(at)).integers(0, len(at), min(len(at), each)) if len(at) else at
-                yield pa.RecordBatch.from_arrays([pa.array(k[rows].view(np.int64)) for k in keys], names=["k0", "k1", "k2"])
+                share = pa.array(np.full(len(rows), len(at) / max(1, len(rows))))
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[rows].view(np.int64)) for k in keys), share], names=["k0", "k1", "k2", "share"])
 
-    rows = few.select("state").mapInArrow(draw, "k0 long, k1 long, k2 long").toArrow()
-    drawn = sorted(set(zip(*[c.to_numpy().view(np.uint64).tolist() for c in rows.columns], strict=True)))
+    rows = few.select("state").mapInArrow(draw, "k0 long, k1 long, k2 long, share double").toArrow()
+    *keys, share = (c.to_numpy() for c in rows.columns)
+    buckets = buckets_for(share.sum() * max(1, chunks / (SAMPLED // 8)), bucket_keys)
+    drawn = sorted(set(zip(*[k.view(np.uint64).tolist() for k in keys], strict=True)))
     return sorted({drawn[len(drawn) * k // buckets] for k in range(1, buckets)}) if drawn else []
 
 
@@ -563,17 +642,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     few = buckets_for(pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_keys)
     distinct = pieces.groupBy("h").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).select("h", "doc", "text")
-    states, asked = cut_by(distinct.mapInArrow(_piece_chunks(piece_bytes, few), _STATE), "part", "piece-chunks", "state", "sent")
+    pieced = cut(distinct.mapInArrow(_piece_chunks(piece_bytes), _STATE), "piece-chunks")
     release(spark)
-    states, _ = _round(states, asked, _repeated, lambda a, g: (_discard(a, g, few), None), "windows")
-    splitters = _splitters(states, few)
+    # What is asked of windows goes to its buckets without being written first.
+    answers = answer(_stepped(pieced, None, lambda a, _: (None, _ask_windows(a, few))), _neighbours)
+    states = cut(_stepped(pieced, answers, lambda a, g: (_discard(a, g, few), None)), "windows")
+    release(spark, pieced)
+    splitters = _splitters(states, bucket_keys)
     states, asked = _round(states, None, None, lambda a, _: (a, _ask_triples(a, splitters)), "triples")
     states, asked = _round(states, asked, _rank, _recurse, "names")
     ranks = cut(answer(asked, _rank), "ranks")
     release(spark, asked)
 
     # What is sent to be merged goes to its buckets without being written first, so both sides of the merge derive it from the ranks.
-    merged = answer(_stepped(states, ranks, lambda a, g: (None, _send_suffixes(a, g, splitters)[1])), _merge)
+    merged = answer(_stepped(states, ranks, lambda a, g: (None, _send_suffixes(a, g, splitters))), _merge)
     ends = states.select("chunk", "hs", "state").join(ranks.withColumnRenamed("got", "ranks"), "chunk", "left").join(merged, "chunk", "left")
     runs = cut(ends.mapInArrow(_runs(splitters), "h binary, first long, runs array<struct<start:int,stop:int>>"), "runs")
     release(spark, states, ranks)
@@ -597,8 +679,9 @@ def _runs(splitters: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, hs, state, ranks, got in zip(*batch.columns, strict=True):
-                arrays, _ = _send_suffixes(unpack(state.as_py()), received(ranks.as_py()), splitters)
-                runs = pa.array(_later(arrays, received(got.as_py())), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+                arrays = unpack(state.as_py())
+                item = _dealt(arrays, received(ranks.as_py()), splitters)[2] if len(arrays["windows"]) else np.zeros(0, np.int64)
+                runs = pa.array(_later(arrays, item, received(got.as_py())), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([hs.values, pa.array(arrays["doc"]), runs], names=["h", "first", "runs"])
 
     return run

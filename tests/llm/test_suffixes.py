@@ -121,3 +121,17 @@ def test_equal_keys_are_sent_once():
     assert len(exchange.unpack(asked[0]["data"])["gaps"]) == 8
     asked = suffixes._ask_triples({**arrays, "windows": suffixes._Texts(arrays).windows()}, [])
     assert len(exchange.unpack(asked[0]["data"])["k0"]) < 40
+
+
+def test_of_a_repeated_run_one_window_is_sorted():
+    """The windows of a passage that occur in the same pieces follow the first of them, in one chunk and over several."""
+    rng = np.random.default_rng(8)
+    letters = lambda k, a=97: bytes(rng.integers(a, a + 26, k, np.uint8))
+    passage = letters(600)
+    texts = [b"<" + letters(80, 65) + passage + letters(90, 65), b">" + letters(30, 65) + passage + b"." + letters(40, 65), letters(60, 65) + b"," + passage[200:300] + b";" + letters(60, 65)]
+    whole = suffixes._discard(suffixes._Texts.of(texts, [3, 2, 1]), {}, 1)
+    runs = lambda state: sorted(zip((state["windows"] - state["start"][np.searchsorted(state["start"], state["windows"], "right") - 1]).tolist(), state["run"].tolist(), strict=True))
+    assert runs(whole) == sorted([(81, 200), (281, 51), (332, 300), (31, 200), (231, 51), (282, 300), (61, 51)])
+    chunks = [suffixes._Texts.of([t], [d]) for t, d in zip(texts, [3, 2, 1], strict=True)]
+    answers = suffixes._neighbours([exchange.unpack(suffixes._ask_windows(c, 1)[0]["data"]) for c in chunks])
+    assert sorted(r for c, a in zip(chunks, answers, strict=True) for r in runs(suffixes._discard(c, {0: a}, 1))) == runs(whole)
