@@ -224,3 +224,12 @@ def test_a_broken_text_is_an_error():
         list(xml.parse_blocks("N", "<response><data>"))
     with pytest.raises(ElementTree.ParseError):
         list(xml.parse_blocks("N", ""))
+
+
+def test_blocks_of_many_texts_share_a_batch():
+    """A batch holds blocks of several texts, and is closed by its number of blocks or their characters."""
+    text = lambda n, k: "<response><data><texto>" + f'<bloque id="b"><version fecha_vigencia="20200101"><p class="parrafo">{"x" * k}</p></version></bloque>' * n + "</texto></data></response>"
+    many = list(xml._batches((str(i), text(2, 5)) for i in range(xml.BATCH_BLOCKS)))
+    assert [b.num_rows for b in many] == [xml.BATCH_BLOCKS] * 2
+    assert many[1].to_pylist()[-1]["norm_id"] == str(xml.BATCH_BLOCKS - 1) and many[1].to_pylist()[-1]["ord"] == 1
+    assert [b.num_rows for b in xml._batches(iter([("a", text(3, xml.BATCH_CHARS)), ("b", None), ("c", text(1, 1))]))] == [1, 1, 1, 1]
