@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import numpy as np
@@ -194,6 +195,18 @@ def test_norms_in_order_of_alias_length(spark):
         assert found == {1: ["N-2", "N-1"], 2: [], 3: [], 4: ["N-1"]}
 
 
+def test_aliases_of_one_run_are_no_part_of_the_automaton(spark):
+    """They lie in a table; both ways find what a plain search of free places finds, norms of the same alias included."""
+    names = ["lpx", "7/1999", "ley 7/1999", "ley", "(a)", "a_b", "b c", "lpx"]
+    norms = catalog.norms(spark, [{"norm_id": f"N-{i}", "short_name": n, "aliases": [], "topics": []} for i, n in enumerate(names)])
+    known = aliases.automata(norms)
+    assert len(known) == 1 and len(known[0]._built()) == 3 and len(known[0].sent.value["hashes"]) == 5
+    inside = "[A-Za-z0-9_/]"
+    for text in ("ley 7/1999 y lpx, lpx", "xley (a) a_b b c", "7/1999/ ley 7/19999 b cc", "a_b_ (a)(a) /lpx lpx", "", "ley"):
+        plain = {i: m.start() + 1 for i, n in enumerate(names) if (m := re.search(f"(?<!{inside}){re.escape(n)}(?!{inside})", text))}
+        assert {int(norm[2:]): place for place, _, norm in known[0].places(text)} == plain
+
+
 def test_references_take_the_first_norm_over_blocks_of_aliases(spark, monkeypatch):
     text = spark.createDataFrame([(1, "el articulo 3 de la Ley 7/1999 y del Real Decreto 8/2001, el articulo 4 del Real Decreto 8/2001"), (2, None)], "id long, t string")
     one = lambda: sorted(map(tuple, references.references(text, catalog.norms(spark, NORMS), "id", "t").collect()))
