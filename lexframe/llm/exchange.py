@@ -25,18 +25,33 @@ SENT = "array<struct<bucket:int,data:binary>>"
 Arrays = dict[str, np.ndarray]
 
 
+def _planes(values: np.ndarray) -> np.ndarray | None:
+    """The lowest bytes of all numbers, then their second ones and so on, as far as the largest number has any; None if that leaves no byte out."""
+    size = values.dtype.itemsize
+    if values.dtype.kind not in "iu" or not len(values) or values.min() < 0 or (need := max(1, -(-int(values.max()).bit_length() // 8))) == size:
+        return None
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, size)[:, :need].T)
+
+
 def pack(arrays: Arrays) -> bytes:
+    """Numbers that leave upper bytes empty are written as planes of bytes, which take about their entropy when compressed, some tenth less than whole ones."""
     out = io.BytesIO()
     for name, values in arrays.items():
-        out.write(f"{name}\n".encode())
-        np.save(out, values, allow_pickle=False)
-    return zstandard.ZstdCompressor(1).compress(out.getvalue())
+        planes = _planes(values)
+        out.write(f"{name} {'' if planes is None else values.dtype.str}\n".encode())
+        np.save(out, values if planes is None else planes, allow_pickle=False)
+    return zstandard.ZstdCompressor(1).compress(out.getbuffer())
 
 
 def unpack(data: bytes) -> Arrays:
     held, out = io.BytesIO(zstandard.ZstdDecompressor().decompress(data)), {}
-    while name := held.readline():
-        out[name[:-1].decode()] = np.load(held, allow_pickle=False)
+    while line := held.readline():
+        (name, kind), values = line[:-1].decode().split(" "), np.load(held, allow_pickle=False)
+        if kind:
+            whole = np.zeros((values.shape[1], np.dtype(kind).itemsize), np.uint8)
+            whole[:, : len(values)] = values.T
+            values = whole.reshape(-1).view(kind)
+        out[name] = values
     return out
 
 

@@ -70,7 +70,10 @@ def _hashes(data: np.ndarray, length: int, bits: int = HASH_BITS) -> np.ndarray:
     """Hashes of ``bits`` bits, never zero, of all runs of ``length`` bytes: sums of powers by doubling, BLOCK runs at a time."""
     total = len(data) - length + 1
     if total > 2 * BLOCK:
-        return np.concatenate([_hashes(data[a : min(a + BLOCK, total) + length - 1], length, bits) for a in range(0, total, BLOCK)])
+        whole = np.empty(total, np.uint64)
+        for a in range(0, total, BLOCK):
+            whole[a : a + BLOCK] = _hashes(data[a : min(a + BLOCK, total) + length - 1], length, bits)
+        return whole
     n, power, width, m, have, out = len(data) - length + 1, _TABLE[data], 1, int(_M1), 0, None
     while True:
         factor = np.uint64(m)
@@ -145,6 +148,14 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(hashes, (np.arange(buckets + 1, dtype=object) * (1 << HASH_BITS) // buckets).astype(np.uint64))
 
 
+def _anchor_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bounds): ascending hashes by their lower bits, bucket by bucket. Anchors are least hashes and crowd at the lower end, so buckets of equal
+    ranges would have up to ``(_SPAN + 1) / 2`` times the keys of the average one."""
+    bucket = ((hashes >> np.uint64(1)) % np.uint64(buckets)).astype(np.uint16)  # the lowest bit is set in all
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
 def _repeated(pieces: list[Arrays]) -> list[Arrays | None]:
     """Which hashes of each piece other pieces have too."""
     h = np.concatenate([np.cumsum(p["gaps"].astype(np.uint64), dtype=np.uint64) for p in pieces])
@@ -168,9 +179,10 @@ def _chunks(kind: pa.DataType, buckets: int, chunk_bytes: int):
         edge = np.append(np.flatnonzero(fresh), len(order))
         several = owner[edge[:-1]] != owner[edge[1:] - 1]
         hashes = h[order[fresh]]
-        bounds = _by_bucket(hashes, buckets)
-        asked = sent([(k, {"gaps": gaps(hashes[a:b])}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
-        anchors = pack({"gaps": gaps(at).astype(np.uint32), "several": np.packbits(several), "bounds": bounds})
+        dealt, bounds = _anchor_buckets(hashes, buckets)
+        keys = (hashes >> np.uint64(1))[dealt] // np.uint64(buckets)  # ascending, and distinct, within a bucket
+        asked = sent([(k, {"gaps": gaps(keys[a:b])}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
+        anchors = pack({"gaps": gaps(at).astype(np.uint32), "several": np.packbits(several), "buckets": np.array([buckets])})
         values = ([number] * 2, ["state", "sent"], [[d for d, _, _ in held], None], [[i for _, i, _ in held], None], [ends, None], [zstandard.ZstdCompressor(3).compress(buffer), None], [None, anchors], [None, asked])
         kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary(), _SENT_TYPE)
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "part", "docs", "ids", "ends", "text", "anchors", "sent"])
@@ -196,12 +208,16 @@ def _chunks(kind: pa.DataType, buckets: int, chunk_bytes: int):
 def _candidates(data: np.ndarray, ends: np.ndarray, anchors: Arrays, got: dict[int, Arrays]) -> tuple[np.ndarray, np.ndarray]:
     """(candidate windows, breaks) as masks of window starts. A window whose anchor one document has alone is not repeated elsewhere."""
     total, at = max(0, len(data) - WINDOW + 1), np.cumsum(anchors["gaps"], dtype=np.int64)
-    h = _hashes(data, GRAM)[at] if len(at) else np.zeros(0, np.uint64)
+    h, edges = np.empty(len(at), np.uint64), np.searchsorted(at, np.arange(0, len(data) + BLOCK, BLOCK))
+    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if b > a:
+            h[a:b] = _hashes(data[k * BLOCK : (k + 1) * BLOCK + GRAM - 1], GRAM)[at[a:b] - k * BLOCK]
     _, key, first = _numbered(h)
     several = np.unpackbits(anchors["several"], count=len(first)).astype(bool)
+    dealt, bounds = _anchor_buckets(h[first], int(anchors["buckets"][0]))
     for bucket, reply in got.items():
-        a, b = anchors["bounds"][bucket], anchors["bounds"][bucket + 1]
-        several[a:b] |= np.unpackbits(reply["bits"], count=b - a).astype(bool)
+        own = dealt[bounds[bucket] : bounds[bucket + 1]]
+        several[own] |= np.unpackbits(reply["bits"], count=len(own)).astype(bool)
     change = np.zeros(total + 1, np.int32)  # > 0 where a window is whole
     begins = np.concatenate(([0], ends[:-1]))
     long = ends - begins >= WINDOW

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexframe.llm import exchange, suffixes
+from lexframe.llm import common, exchange, suffixes
 
 from .inputs import awkward, frame
 
@@ -135,3 +137,41 @@ def test_of_a_repeated_run_one_window_is_sorted():
     chunks = [suffixes._Texts.of([t], [d]) for t, d in zip(texts, [3, 2, 1], strict=True)]
     answers = suffixes._neighbours([exchange.unpack(suffixes._ask_windows(c, 1)[0]["data"]) for c in chunks])
     assert sorted(r for c, a in zip(chunks, answers, strict=True) for r in runs(suffixes._discard(c, {0: a}, 1))) == runs(whole)
+
+
+def test_buckets_of_anchors_are_about_equal(spark):
+    """Anchors are least hashes: among equal ranges of hashes the first has many times the keys of the average one, and a task holds a bucket."""
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(20_000))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc long, text string").selectExpr("doc", "doc as doc_id", "cast(text as binary) as text").repartition(1)
+    schema = f"chunk long, part string, docs array<bigint>, ids array<bigint>, ends array<bigint>, text binary, anchors binary, sent {exchange.SENT}"
+    rows = docs.mapInArrow(suffixes._chunks(pa.int64(), 24, 10**6), schema).where("part = 'sent'").collect()
+    sizes = [len(exchange.unpack(s["data"])["gaps"]) for r in rows for s in r["sent"]]
+    assert len(rows) == 1 and len(sizes) == 24 and max(sizes) < 1.3 * sum(sizes) / 24
+
+
+def test_packed_numbers_take_about_their_entropy():
+    rng = np.random.default_rng(6)
+    arrays = {"gaps": exchange.gaps(np.sort(rng.integers(0, 1 << 40, 200_000).astype(np.uint64)))}
+    arrays |= {"signed": np.array([-1, 5]), "large": np.array([2**64 - 1, 0], np.uint64), "zeros": np.zeros(3, np.int32), "none": np.zeros(0, np.int64), "every": np.arange(9)[::3], "bits": np.array([True, False])}
+    data = exchange.pack(arrays)
+    assert len(data) < 3.2 * 200_000  # whole numbers took 3.41 bytes each
+    found = exchange.unpack(data)
+    assert list(found) == list(arrays)
+    assert all(found[n].dtype == a.dtype and found[n].flags.writeable and (found[n] == a).all() and len(found[n]) == len(a) for n, a in arrays.items())
+
+
+def test_release_drops_the_last_shuffle(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(k).getName() for k in range(held.size())}
+
+    before = files()
+    table = common.cut(spark.range(100_000).selectExpr("id", "uuid() AS u").repartition(3, "u"), "released")
+    made = files() - before
+    assert made
+    common.release(spark, table)
+    end = time.time() + 5
+    while files() & made and time.time() < end:
+        time.sleep(0.1)
+    assert not files() & made
