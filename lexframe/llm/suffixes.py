@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, cut_by, release, utf8
-from .exchange import BUCKET_KEYS, SENT, Arrays, answer, buckets_for, gaps, lexicographic, pack, received, sent, starts_of, unpack
+from .exchange import BUCKET_KEYS, SENT, Arrays, answer, ascending, buckets_for, gaps, lexicographic, pack, received, sent, shares, starts_of, unpack, widely
 
 WINDOW = 50
 WORD = 8
@@ -143,9 +143,14 @@ def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, h[first]
 
 
+def _ranges(buckets: int) -> np.ndarray:
+    """Where the buckets of hashes begin and the last one ends."""
+    return np.array([k * (1 << HASH_BITS) // buckets for k in range(buckets + 1)], np.uint64)
+
+
 def _by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bounds of the buckets among ascending hashes."""
-    return np.searchsorted(hashes, (np.arange(buckets + 1, dtype=object) * (1 << HASH_BITS) // buckets).astype(np.uint64))
+    return np.searchsorted(hashes, _ranges(buckets))
 
 
 def _anchor_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +163,13 @@ def _anchor_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.nd
 
 def _repeated(pieces: list[Arrays]) -> list[Arrays | None]:
     """Which hashes of each piece other pieces have too."""
-    h = np.concatenate([np.cumsum(p["gaps"].astype(np.uint64), dtype=np.uint64) for p in pieces])
-    order, fresh = _ordered(h)
-    same = ~fresh[1:]
+    h, edges = ascending(pieces)
     found = np.zeros(len(h), bool)
-    found[order[1:][same]] = found[order[:-1][same]] = True
-    parts = np.split(found, np.cumsum([len(p["gaps"]) for p in pieces])[:-1])
+    for at in shares(h):
+        order, fresh = _ordered(h[at])
+        same = ~fresh[1:]
+        found[at[order[1:][same]]] = found[at[order[:-1][same]]] = True
+    parts = np.split(found, edges[1:-1])
     return [{"bits": np.packbits(f)} if f.any() else None for f in parts]
 
 
@@ -355,23 +361,24 @@ def _side(side: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _ask_windows(arrays: Arrays, buckets: int) -> list[dict]:
     _, _, hashes, _, (before, after) = _window_hashes(arrays)
-    bounds = _by_bucket(hashes, buckets)
-    return sent([(k, {"gaps": gaps(hashes[a:b]), "before": before[a:b], "after": after[a:b]}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
+    ranges, bounds = _ranges(buckets), _by_bucket(hashes, buckets).tolist()
+    kind = np.uint32 if (1 << HASH_BITS) // buckets < 1 << 32 else np.uint64
+    return sent([(k, {"gaps": gaps((hashes[a:b] - ranges[k]).astype(kind)), "before": before[a:b], "after": after[a:b]}) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a])
 
 
 def _neighbours(pieces: list[Arrays]) -> list[Arrays | None]:
     """Which hashes of each piece other pieces have too, and of those which have one byte only before or after them."""
-    h = np.concatenate([np.cumsum(p["gaps"].astype(np.uint64), dtype=np.uint64) for p in pieces])
-    order, fresh = _ordered(h)
-    starts = np.flatnonzero(fresh)
-    sizes = np.diff(np.append(starts, len(h)))
+    h, edges = ascending(pieces)
+    sides = {n: np.concatenate([p.pop(n) for p in pieces]) for n in ("before", "after")}
     found = {"bits": np.empty(len(h), bool), "before": np.empty(len(h), bool), "after": np.empty(len(h), bool)}
-    several = sizes > 1
-    found["bits"][order] = np.repeat(several, sizes)
-    for name in ("before", "after"):
-        one = _side(np.concatenate([p[name] for p in pieces])[order], starts) != SEVERAL
-        found[name][order] = np.repeat(several & one, sizes)
-    edges = np.cumsum([0, *[len(p["gaps"]) for p in pieces]])
+    for at in shares(h):
+        order, fresh = _ordered(h[at])
+        order, starts = at[order], np.flatnonzero(fresh)
+        sizes = np.diff(np.append(starts, len(at)))
+        several = sizes > 1
+        found["bits"][order] = np.repeat(several, sizes)
+        for name, side in sides.items():
+            found[name][order] = np.repeat(several & (_side(side[order], starts) != SEVERAL), sizes)
     return [{n: np.packbits(f[a:b]) for n, f in found.items()} if found["bits"][a:b].any() else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
@@ -647,7 +654,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = buckets_for(size / BYTES_PER_ANCHOR, bucket_keys)
+    buckets = widely(size / BYTES_PER_ANCHOR, bucket_keys)
     arrow_kind = docs.select(id_col).limit(0).toArrow().schema.field(0).type
     made = rows.mapInArrow(_chunks(arrow_kind, buckets, chunk_bytes), f"chunk long, part string, docs array<bigint>, ids array<{kind}>, ends array<bigint>, text binary, anchors binary, sent {SENT}")
     chunks, asked = cut_by(made, "part", "text-chunks", "state", "sent")
@@ -656,7 +663,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = cut(named.mapInArrow(_pieces, "h binary, chunk long, doc long, text binary, at array<struct<idx:int,doc:bigint,place:int>>"), "pieces")
     release(spark, asked)
 
-    few = buckets_for(pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_keys)
+    few = widely(pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_keys)
     distinct = pieces.groupBy("h").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).select("h", "doc", "text")
     pieced = cut(distinct.mapInArrow(_piece_chunks(piece_bytes), _STATE), "piece-chunks")
     release(spark)

@@ -175,3 +175,40 @@ def test_release_drops_the_last_shuffle(spark):
     while files() & made and time.time() < end:
         time.sleep(0.1)
     assert not files() & made
+
+
+def test_large_buckets_are_compared_by_shares(monkeypatch):
+    """Many buckets are larger ones, so that pieces do not follow the square of the input; what comparing takes besides is bounded by a share."""
+    rng = np.random.default_rng(9)
+    drawn = [np.unique(rng.integers(0, 9000, 4000).astype(np.uint64) << np.uint64(1) | np.uint64(1)) for _ in range(3)]
+    sides = [{n: rng.integers(97, 99, len(h)).astype(np.uint8) for n in ("before", "after")} for h in drawn]
+    pieces = lambda: [{"gaps": exchange.gaps(h), **s} for h, s in zip(drawn, sides, strict=True)]
+    whole = [suffixes._repeated(pieces()), suffixes._neighbours(pieces())]
+    sizes = []
+
+    def counted(keys):
+        for at in exchange.shares(keys, 500):
+            sizes.append(len(at))
+            yield at
+
+    monkeypatch.setattr(suffixes, "shares", counted)
+    for reply, parted in zip(whole, [suffixes._repeated(pieces()), suffixes._neighbours(pieces())], strict=True):
+        assert all((a[n] == b[n]).all() for a, b in zip(reply, parted, strict=True) for n in a)
+    assert len(sizes) > 20 and max(sizes) < 1000 and sum(sizes) == 2 * sum(map(len, drawn))
+    every = 10 * exchange.BUCKET_KEYS
+    assert exchange.widely(every) == 10 and exchange.widely(100 * every) == 250 and exchange.shares(np.zeros(0, np.uint64)).__next__().size == 0
+
+
+def test_small_pieces_cost_little(spark, monkeypatch):
+    """A piece of a few keys makes no compressor of its own and takes little besides its keys; replies of many pieces come back whole."""
+    made = []
+    for kind in ("ZstdCompressor", "ZstdDecompressor"):
+        monkeypatch.setattr(exchange.zstandard, kind, lambda *a, kind=kind, real=getattr(exchange.zstandard, kind): made.append(kind) or real(*a))
+    rng = np.random.default_rng(10)
+    piece = {"gaps": exchange.gaps(np.sort(rng.integers(0, 1 << 30, 40).astype(np.uint64))).astype(np.uint32), "before": np.zeros(40, np.uint8), "after": np.zeros(40, np.uint8)}
+    data = exchange.pack(piece)
+    assert all((exchange.unpack(data)[n] == a).all() for n, a in piece.items()) and not made
+    assert len(data) < 40 * 4 + 100
+    rows = spark.createDataFrame([(c, [{"bucket": b, "data": bytearray(data)} for b in range(7)]) for c in range(50)], f"chunk long, sent {exchange.SENT}").repartition(1)
+    got = exchange.answer(rows, lambda pieces: [{"n": np.array([len(p["gaps"])])} for p in pieces])
+    assert sorted((r["chunk"], sorted((b, int(a["n"][0])) for b, a in exchange.received([x.asDict() for x in r["got"]]).items())) for r in got.collect()) == [(c, [(b, 40) for b in range(7)]) for c in range(50)]
