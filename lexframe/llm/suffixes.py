@@ -97,16 +97,22 @@ def _ordered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes) >> int(width):
         order = np.argsort(hashes, kind="stable")
         return order, starts_of([hashes], order)
-    both = np.sort((hashes << width) | np.arange(len(hashes), dtype=np.uint64))
-    ascending = both >> width
-    return (both & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64), np.concatenate((np.ones(min(1, len(both)), bool), ascending[1:] != ascending[:-1]))
+    both = hashes << width  # changed in place: of millions of numbers each copy counts
+    both |= np.arange(len(hashes), dtype=np.uint64)
+    both.sort()
+    fresh, ascending = np.ones(len(both), bool), both >> width
+    np.not_equal(ascending[1:], ascending[:-1], out=fresh[1:])
+    both &= (np.uint64(1) << width) - np.uint64(1)
+    return both.view(np.int64), fresh
 
 
 def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_distinct`` for hashes of HASH_BITS bits."""
     order, fresh = _ordered(hashes)
+    ascending = np.cumsum(fresh)
+    ascending -= 1
     number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(fresh) - 1
+    number[order] = ascending
     return order, number, order[fresh]
 
 
@@ -229,7 +235,8 @@ def _candidates(data: np.ndarray, ends: np.ndarray, anchors: Arrays, got: dict[i
     long = ends - begins >= WINDOW
     np.add.at(change, begins[long], 1)
     np.add.at(change, ends[long] - WINDOW + 1, -1)
-    mask = np.cumsum(change[:total]) > 0
+    mask = np.cumsum(change[:total], dtype=np.int32) > 0
+    del change
     # Keys are numbered by hash, so the least key of a window's anchors is that of its own anchor.
     least = np.full(total + _SPAN - 1, len(several), np.int32)
     least[at] = key
@@ -339,16 +346,19 @@ def _window_hashes(arrays: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     at = texts.windows()
     h = _hashes(texts.data, WINDOW)[at]
     order, number, first = _numbered(h)
-    count = np.bincount(number, minlength=len(first))
-    starts = np.cumsum(count) - count
+    hashes = h[first]
+    del h, first
+    count = np.bincount(number, minlength=len(hashes)).astype(np.int32)
+    starts = np.cumsum(count)
+    starts -= count
     length = texts.length - WINDOW + 1
     begins = np.cumsum(length) - length
     sides = []
-    for places, edges in ((at - 1, begins), (at + WINDOW, begins + length - 1)):
-        side = texts.data[places]
+    for shift, edges in ((-1, begins), (WINDOW, begins + length - 1)):
+        side = texts.data[at + shift]
         side[edges[length > 0]] = SEVERAL
         sides.append(_side(side[order], starts))
-    return at, number, h[first], count, sides
+    return at, number, hashes, count, sides
 
 
 def _side(side: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -212,3 +213,14 @@ def test_small_pieces_cost_little(spark, monkeypatch):
     rows = spark.createDataFrame([(c, [{"bucket": b, "data": bytearray(data)} for b in range(7)]) for c in range(50)], f"chunk long, sent {exchange.SENT}").repartition(1)
     got = exchange.answer(rows, lambda pieces: [{"n": np.array([len(p["gaps"])])} for p in pieces])
     assert sorted((r["chunk"], sorted((b, int(a["n"][0])) for b, a in exchange.received([x.asDict() for x in r["got"]]).items())) for r in got.collect()) == [(c, [(b, 40) for b in range(7)]) for c in range(50)]
+
+
+def test_windows_of_a_chunk_take_bounded_memory():
+    """A task holds a chunk's windows: besides their places a few numbers for each."""
+    rng = np.random.default_rng(11)
+    arrays = suffixes._Texts.of([bytes(rng.integers(97, 123, 500_000, np.uint8))], [1])
+    tracemalloc.start()
+    suffixes._window_hashes(arrays)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 62 * 500_000
